@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlink.llm import bpe, decontam, linededup, quality, sharding, simhash, tokens_out
+from bizlink.llm import bpe, decontam, linededup, quality, sharding, simhash, suffix, tokens_out, toxicity
 from bizlink.llm.common import read, scratch_path
 
 #: The vocabulary of the production queries; every operator takes the path as a parameter.
@@ -36,6 +36,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -49,8 +53,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_substrings(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_bpe_round_trip, op4_line_dedup, op7_simhash_groups, op8_slot_sharding, op9_decontamination)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_bpe_round_trip, op4_line_dedup, op6_toxicity, op7_simhash_groups, op8_slot_sharding, op9_decontamination, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
