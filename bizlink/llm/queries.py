@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlink.llm import bpe, decontam, linededup, quality, sharding, simhash, suffix, tokens_out, toxicity
+from bizlink.llm import bpe, decontam, linededup, pii, quality, sharding, simhash, suffix, tokens_out, toxicity
 from bizlink.llm.common import read, scratch_path
 
 #: The vocabulary of the production queries; every operator takes the path as a parameter.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
+#: Key of the registered query; in production a secret of the owner's, never stored with the data.
+SURROGATE_KEY = b"registered-query"
+
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
@@ -36,6 +39,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, SURROGATE_KEY)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -58,7 +66,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_bpe_round_trip, op4_line_dedup, op6_toxicity, op7_simhash_groups, op8_slot_sharding, op9_decontamination, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_bpe_round_trip, op4_line_dedup, op5_pii_surrogates, op6_toxicity, op7_simhash_groups, op8_slot_sharding, op9_decontamination, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
