@@ -147,7 +147,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         names = GIVEN[gender, script] if gender in "fm" else GIVEN["f", script] + GIVEN["m", script]
     else:
         names = FAMILY[script]
-    return "-".join(names[number(len(names))] for _ in range(1 + attempt // 2)).casefold()
+    return "".join(names[number(len(names))] for _ in range(1 + attempt // 2)).casefold()
 
 
 def _shaped(kind: str, found: str, new: str) -> str:
