@@ -1,0 +1,321 @@
+"""Each operator against a brute-force version, with nulls, empties, ties, repeats and extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+
+from bizlink.llm import bpe, decontam, graph, linededup, pii, quality, sharding, simhash, suffix, tokens_out, toxicity
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "of", "Anna", "blé", "river", "stone,", "x|", "Haus."]) + str(rng.randint(0, 60)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(1, 120)) for _ in range(30)]
+    texts += [texts[0], texts[0], texts[1] + " and more", "a b " * 80, "", None, "   \n\t ", "x", "日本語 テスト 😀", "tail  spaces   here \n\n", "<|endoftext|> in text", "long" * 4000]
+    passage = "\n".join(prose(rng, 12) for _ in range(5))
+    texts += [f"{prose(rng, 9)}\n{passage}\n{prose(rng, 8)}" for _ in range(3)] + [passage]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return rows + [(None, "no id here at all", None, None, None), (3, texts[3], "en", "s", 1)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame(corpus, COLUMNS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def keyed(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, str(r[1:])))
+
+
+def test_op1_files(spark, docs, corpus, none, tmp_path):
+    path = str(tmp_path / "t")
+    tokens_out.write_token_files(docs, VOCABULARY, path)
+    lib, start, want = library(), 0, []
+    for i, t, *_ in sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.append(lib.encode(t or "", add_special_tokens=False).ids, 2).astype("<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert keyed(map(tuple, tokens_out.token_digests(spark, path).collect())) == keyed(want)
+    assert keyed((r["doc_id"], r["start"], r["n_tokens"]) for r in tokens_out.token_index(spark, path).collect()) == keyed(w[:3] for w in want)
+    tokens_out.write_token_files(none, VOCABULARY, path + "0")
+    assert tokens_out.token_digests(spark, path + "0").count() == 0
+
+
+def test_op1_file_encodings(docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "t"
+    tokens_out.write_token_files(docs, VOCABULARY, str(path))
+    group = pq.ParquetFile(next(p for p in path.iterdir() if p.suffix == ".parquet")).metadata.row_group(0)
+    found = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+    assert "DELTA_BINARY_PACKED" in found["doc_id"].encodings and found["doc_id"].has_column_index
+    assert any("DICTIONARY" in e for e in found["ids.list.element"].encodings)
+
+
+def test_op2_measures(docs, corpus, none):
+    got = keyed(tuple(r) for r in quality.repetition(docs.select("doc_id", "text")).drop("text").collect())
+    want = []
+    for i, t, *_ in corpus:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n = len(w)
+
+        def covered(m, w=w, n=n):
+            c = Counter(tuple(w[k : k + m]) for k in range(n - m + 1))
+            return len({j for k in range(n - m + 1) if c[tuple(w[k : k + m])] > 1 for j in range(k, k + m)})
+
+        longest = 0
+        while longest + 1 < n and max(Counter(tuple(w[k : k + longest + 1]) for k in range(n - longest)).values()) > 1:
+            longest += 1
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = n < 10 or 100 * covered(5) > 20 * n
+        want.append((i, n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), covered(5), failed, covered(10), longest, not failed and 10 * covered(10) <= 2 * n and longest <= 100))
+    assert got == keyed(want)
+    assert quality.repetition(none).count() == 0
+    clash = docs.withColumnRenamed("lang", "kept")
+    assert [c for c in quality.repetition(clash).columns if c == "kept"] == ["kept"]
+    assert quality.repetition(clash, only_kept=True).columns == clash.columns
+
+
+def test_op3_round_trip(docs, corpus, none):
+    lib = library()
+    want = []
+    for i, t, *_ in corpus:
+        ids = np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4")
+        want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert keyed(map(tuple, bpe.digest_documents(docs, VOCABULARY).collect())) == keyed(want)
+    assert all(r["decoded"] == (t or "") for r, (_, t, *_) in zip(keyed(bpe.encode_documents(docs, VOCABULARY).select("doc_id", "decoded").collect()), keyed((i, t or "") for i, t, *_ in corpus), strict=True))
+    assert bpe.digest_documents(none, VOCABULARY).count() == 0
+
+
+def test_op3_random_strings_as_library():
+    rng, lib, own = random.Random(2), library(), bpe.load(VOCABULARY)
+    for _ in range(1500):
+        t = "".join(rng.choice("ab c'\n\t  .,1é日<|>ts\xa0 \x00") for _ in range(rng.randint(0, 50)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_op4_deletes_later_runs(spark, docs, corpus, none):
+    got = {(r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in linededup.dedup_lines(docs, counts=True).collect()}
+    seen, gone = set(), defaultdict(set)
+    order = sorted({(i, t) for i, t, *_ in corpus}, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    lines = {k: [x for x in (k[1] or "").split("\n") if x.strip(" \t\n\v\f\r")] for k in order}
+    for k in order:
+        for j in range(len(lines[k]) - 2):
+            run = tuple(lines[k][j : j + 3])
+            gone[k] |= set(range(j, j + 3)) if run in seen else set()
+            seen.add(run)
+    assert {(i, n, d) for i, _, n, d in got} == {(k[0], len(lines[k]), len(gone[k])) for k in order}
+    assert sum(map(len, gone.values())) == 15
+    assert linededup.dedup_lines(none).count() == 0 and linededup.dedup_lines(docs).columns == docs.columns
+    same = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "z\n\na\n\nb\nc")], "doc_id long, text string")
+    assert sorted(r["text"] for r in linededup.dedup_lines(same).collect()) == ["a\nb\nc", "a\nb\nc", "z\n"]
+
+
+def test_op5_surrogates(spark, none):
+    texts = ["mail ann.b2@site.com or Mr. John Smith, +1 (614) 555-8001, 9.8.7.6", "Mrs. Smith and john, 4111 1111 1111 1111 card", "ANN.B2@SITE.COM again; Herr Braun " + "ab12" * 10, None, "", "nothing"]
+    texts += [f"Mr. Q{chr(97 + i // 26)}{chr(97 + i % 26)} here" for i in range(60)]
+    df = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 7)], COLUMNS).withColumnRenamed("n_chars", "n_entities")
+    out = pii.replace_entities(df, b"k").collect()
+    assert {r["doc_id"]: r["text"] for r in out}[3] is None and len(out) == len(texts) + 1
+    mapped = {}
+    for r in out:
+        before, after = pii.entities(texts[r["doc_id"]] or ""), pii.entities(r["text"] or "")
+        assert [e[2] for e in before] == [e[2] for e in after] and r["n_entities"] == len(before)
+        for x, y in zip(before, after, strict=True):
+            assert mapped.setdefault(x[2:], y[3]) == y[3]
+    assert len({(k, v) for (k, _), v in mapped.items()}) == len(mapped)
+    assert not {(k, v) for (k, _), v in mapped.items()} & set(mapped)
+    assert pii.luhn(mapped["card_valid", "4111111111111111"])
+    assert pii.replace_entities(none, b"k").count() == 0
+
+
+def test_op6_learns_rare_expressions(spark, none):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        words = prose(rng, 60).split() + ([f"vile{rng.choice('abcdefgh')}{rng.choice('xyz')}" for _ in range(4)] if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    labels += [(None, 1, 1), (7, None, None)]
+    docs = spark.createDataFrame(rows + [(900, None, None, None, None), (901, "", "en", "s", 0), (None, "x", "en", "s", 0)], COLUMNS)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, lab).collect()
+    assert len(got) == len(rows) + 3 and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held)
+    right = [(r["predicted"] == 1) == (r["doc_id"] % 4 == 0) for r in held if r["doc_id"] < 600]
+    assert sum(right) / len(right) > 0.95
+    assert toxicity.toxicity(none, lab.where("false")).count() == 0
+
+
+def test_op7_groups(docs, corpus, none):
+    fp = []
+    for i, t, *_ in corpus:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        s = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        fp.append((i, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))))
+    group = list(range(len(fp)))
+    for _ in fp:
+        group = [min(group[b] for b in range(len(fp)) if (fp[a][1] ^ fp[b][1]).bit_count() <= 4) for a in range(len(fp))]
+    want = []
+    for a, (i, f) in enumerate(fp):
+        ids = [fp[b][0] for b in range(len(fp)) if group[b] == group[a] and fp[b][0] is not None]
+        want.append((i, f"{f:016x}", min(ids, default=None)))
+    assert keyed((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()) == keyed(want)
+    assert simhash.keep_representatives(docs).count() == len({(c, f if c is None else 0) for _, f, c in want})
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [16384, 3])
+def test_op7_links_connect_all_near(spark, bucket, monkeypatch):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(12)} | {0, (1 << 64) - 1}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    src = simhash._link_keys
+    if bucket == 3:
+        def small(batches, src=src):
+            simhash.BUCKET = 3
+            return src(batches)
+        monkeypatch.setattr(simhash, "_link_keys", small)
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"))
+    got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+    order = sorted(fps)
+    root = {f: f for f in order}
+    changed = True
+    while changed:
+        changed = False
+        for a in order:
+            low = min((root[b] for b in order if (a ^ b).bit_count() <= 4), key=lambda x: x - (1 << 64) if x >> 63 else x)
+            if low != root[a]:
+                root[a], changed = low, True
+    s = lambda f: f - (1 << 64) if f >> 63 else f
+    assert {f: got.get(f, f) for (f,) in signed} == {s(f): s(root[f]) for f in fps}
+
+
+def test_op8_slots_and_rebalance(spark, docs, corpus, none):
+    got = sharding.shard_documents(docs, 4, 64).collect()
+    want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in corpus)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard_documents(none).count() == 0
+    loads = spark.createDataFrame([(i, 100 + i, 1) for i in range(200)], "vslot int, bytes long, n long")
+    first = sharding.slot_map(loads, 4)
+    size = defaultdict(int)
+    for r in first.collect():
+        size[r["shard"]] += 100 + r["vslot"]
+    assert max(size.values()) - min(size.values()) <= 300
+    second = {r["vslot"]: (r["shard"], r["version"]) for r in sharding.rebalance(first, loads, 5).collect()}
+    moved = [k for k, (s, _) in second.items() if s == 4]
+    assert all(second[r["vslot"]][0] in (4, r["shard"]) for r in first.collect()) and 25 <= len(moved) <= 40 and {v for _, v in second.values()} == {2}
+
+
+@pytest.mark.parametrize("block", [8 << 20, 40])
+def test_op9_contamination(spark, docs, corpus, none, block, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    long_ = next(t for _, t, *_ in corpus if t and len(t.split()) > 60)
+    items = [(1, " ".join(long_.split()[3:25]).upper()), (2, "XX"), (3, "no id"), (4, None), (5, "!!"), (6, "a b a b a b a b a b a b"), (10, " ".join(long_.split()[3:25]))]
+    got = keyed(map(tuple, decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    fold = lambda t: word.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    want = []
+    for i, t, *_ in corpus:
+        w, hit, own = fold(t), set(), set()
+        for item, it in items:
+            x = fold(it)
+            m = min(10, len(x))
+            for a in range(len(x) - m + 1 if m else 0):
+                for b in range(len(w) - m + 1):
+                    if w[b : b + m] == x[a : a + m]:
+                        hit |= set(range(b, b + m))
+                        own.add(str(item))
+        want.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)))
+    assert got == keyed(want) and any(w[5] for w in want)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.drop_contaminated(docs, bench).count() == sum(not w[5] for w in want)
+    assert decontam.contamination(docs, bench.where("false")).where("contaminated").count() == 0 and decontam.contamination(none, bench).count() == 0
+
+
+@pytest.mark.parametrize("members", [10_000, 0])
+def test_op10_repeated_bytes(spark, corpus, none, members, monkeypatch):
+    monkeypatch.setattr(suffix, "MEMBERS", members)
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh é") for _ in range(700))
+    extra = []
+    for k in range(12):
+        w = list(shared)
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = "Z"
+        extra.append("".join(w)[rng.randrange(60) :])
+    extra += ["ab" * 500, "q" * 199, "q" * 200, "w" * 201, shared[:199], shared[100:300]]
+    rows = corpus + [(1000 + k, t, None, None, None) for k, t in enumerate(extra)]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(6)
+    data = [(i, (t or "").encode()) for i, t, *_ in rows]
+    count = Counter(b[k : k + 200] for _, b in data for k in range(len(b) - 199))
+    want = []
+    for i, b in data:
+        mark = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                mark[k : k + 200] = True
+        spans = int(np.count_nonzero(mark & ~np.r_[False, mark[:-1]])) if len(b) else 0
+        want.append((i, len(b), int(mark.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~mark].tobytes()).hexdigest()))
+    assert keyed(map(tuple, suffix.repeated_substrings(df).collect())) == keyed(want)
+    assert suffix.repeated_substrings(none).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    clean = [prose(rng, 90) for _ in range(12)]
+    item = " ".join(clean[5].split()[10:40])
+    texts = clean + [clean[2] + " ok", "spam spam spam spam spam spam " * 20, "short one", None]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    keep = [i for i in range(12) if i != 5]
+    assert got == {i: hashlib.sha256(clean[i].encode()).hexdigest() for i in keep} or got == {i: hashlib.sha256(texts[i].encode()).hexdigest() for i in [*keep, 12]}
+    assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_entry_imports_everything():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
+    assert set(__spark_entry__.oracle_sql()) <= set(names)
