@@ -83,6 +83,8 @@ def repeated_windows(docs: DataFrame, run: int) -> DataFrame:
 def _delete(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
     """The text without the runs, its lines with a word, and how many went."""
     gone = {k for s in starts for k in range(s, s + run)}
+    if not gone:
+        return text, sum(map(_has_word, text.split("\n"))), 0
     out, n, held = [], 0, []
     after_gone = True
     for line in text.split("\n"):

@@ -69,5 +69,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_bpe_round_trip, op4_line_dedup, op5_pii_surrogates, op6_toxicity, op7_simhash_groups, op8_slot_sharding, op9_decontamination, op10_suffix_dedup)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP4_SQL = """
+WITH l AS (SELECT doc_id, pos, line, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS w FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
+n AS (SELECT *, sum(CAST(w AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l),
+s AS (SELECT doc_id, k, line, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3 FROM n WHERE w WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, k) AS rn FROM s WHERE l3 IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, k + i AS k FROM (SELECT doc_id, k, unnest([0, 1, 2]) AS i FROM r WHERE rn > 1)),
+f AS (SELECT n.doc_id, n.pos, n.line, n.w, CASE WHEN n.w THEN g.k IS NOT NULL END AS d FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.k = g.k AND n.w),
+h AS (SELECT *, CASE WHEN w THEN d ELSE coalesce(max(d) OVER (PARTITION BY doc_id), false)
+  AND coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), true)
+  AND coalesce(first_value(d IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), true) END AS gone FROM f)
+SELECT doc_id, count(*) FILTER (w) AS n_lines, count(*) FILTER (w AND d) AS n_deleted, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM h GROUP BY doc_id
+"""
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i + 1:i + m], ' ') AS t FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, i, m, array_to_string(w[i + 1:i + m], ' ') AS t FROM (SELECT doc_id, w, m, unnest(range(len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+hit AS (SELECT doc_id, i, dw.m AS m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.t = bw.t),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM hit) GROUP BY doc_id),
+q AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN q ON d.doc_id = q.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express over whole tables; the tests hold the others
+    to brute-force versions."""
+    return {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
