@@ -28,15 +28,16 @@ import regex
 from pyspark.sql import DataFrame
 
 #: White space as Unicode's White_Space property has it (fixed value).
-_SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public byte-level splitter (fixed value), with white space written out.
 _SPLIT = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
-    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
+    rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: A space with white space on both sides, or before it and nothing behind it: there a cut
 #: before the space would fall inside a pre-token.
-_INNER_SPACE = re.compile(rf"[{_SPACE}] (?:[{_SPACE}]|\Z)")
+INNER_SPACE = rf"[{SPACE}] (?:[{SPACE}]|$)"
+_INNER_SPACE = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
 #: Entries of one generation of a worker's cache: bounds its memory, results don't depend on it.
 CACHE_ENTRIES = 250_000
 

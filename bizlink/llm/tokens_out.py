@@ -1,7 +1,6 @@
 """Token-id files (operator 1): encode, write sorted Parquet list columns, read selectively.
 
-The library call is the cost, so each distinct chunk of a text is encoded once per worker
-(cuts before spaces are exact, see :mod:`bizlink.llm.bpe`). Documents are dealt out by ranges
+Documents are dealt out by ranges
 of ``doc_id`` and sorted inside, so file order is ascending id order. A file holds
 
 * ``doc_id``, ``n_tokens``, ``local_start`` with delta encoding, and ``ids`` as a
@@ -15,15 +14,18 @@ Metadata can be read without touching the ids column and the other way round.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizlink.llm.bpe import Filling, PieceEncoder
+from bizlink.llm.bpe import INNER_SPACE, SPACE
 from bizlink.llm.common import n_tasks
 
 #: Writer settings: row group and page sizes in bytes, rows a page; version 2 pages give the
@@ -37,39 +39,95 @@ FILE_OPTIONS = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#local_start": "false",
     "parquet.enable.dictionary#n_tokens": "false",
-    "compression": "zstd",
+    "compression": "snappy",
 }
-_LOADED: dict[str, PieceEncoder] = {}
-
+#: Marks a chunk that was cut before a line end; texts that hold it are encoded whole.
+_LINE = "\x00"
+#: A line end with no white space beside it is a pre-token of its own, so a cut before it is exact.
+_LINE_END = f"([^{SPACE}])\n([^{SPACE}])"
+#: Distinct chunks of one generation of a worker's cache.
+CACHE_CHUNKS = 400_000
+#: Bytes of text that are encoded together.
+UNIT_BYTES = 8 << 20
+_LOADED: dict[str, LibraryEncoder] = {}
+
+
+class LibraryEncoder:
+    """Whole texts through the tokenizers library, each distinct chunk once.
+
+    Arrow cuts the texts of a unit before spaces and single line ends and numbers the distinct chunks; those that
+    the cache lacks go to the library in one call, and the ids of every text are gathered from
+    theirs. A chunk that ends in one mark after a letter is the ids of both parts, since the
+    splitter always parts them. Texts where a cut could fall inside a pre-token, or with a
+    special token's string, go to the library whole.
+    """
 
-def _library(path: str) -> PieceEncoder:
-    """An encoder whose pre-tokens are encoded by the tokenizers library."""
-    if path not in _LOADED:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        lib = Tokenizer.from_file(path)
-        lib.no_truncation()
-        lib.no_padding()
-        special = {t.content: int(i).to_bytes(4, "little") for i, t in lib.get_added_tokens_decoder().items()}
-        enc = PieceEncoder(lambda piece: _ids(lib, [piece])[0], special)
-        enc.library = lib
-        _LOADED[path] = enc
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        special = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
+        self.whole = "|".join(filter(None, [INNER_SPACE, special, _LINE]))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = dict(zip(".,!?;:", self._ids(list(".,!?;:")), strict=True))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk with the space or the line end that it was cut from."""
+        marks = self.marks
+        base = [c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in chunks]
+        own = dict.fromkeys(base)
+        young, old = self.young.get, self.old.get
+        for c in own:
+            own[c] = young(c) or old(c)
+        unseen = [c for c, ids in own.items() if ids is None]
+        own.update(zip(unseen, self._ids([c[1:] if c[:1] == _LINE else " " + c for c in unseen]), strict=True))
+        if len(self.young) > CACHE_CHUNKS:
+            self.young, self.old = {}, self.young
+        self.young.update(own)
+        return [own[b] if len(b) == len(c) else own[b] + marks[c[-1]] for b, c in zip(base, chunks, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        whole = np.flatnonzero(pa.compute.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False))
+        cut = pa.compute.split_pattern(pa.compute.replace_substring_regex(texts, _LINE_END, f"\\1 {_LINE}\n\\2"), " ")
+        numbered = cut.flatten().dictionary_encode()
+        place = numbered.indices.to_numpy().copy()
+        at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        chunks = numbered.dictionary.to_pylist()
+        firsts = [chunks[i] for i in place[at[:-1]].tolist()]
+        ids = [*self._chunks(chunks), *self._ids(firsts), b""]
+        place[at[:-1]] = len(chunks) + np.arange(len(texts))
+        for row, own in zip(whole.tolist(), self._ids([texts[r].as_py() for r in whole.tolist()]), strict=True):
+            place[at[row] : at[row + 1]] = len(ids) - 1
+            place[at[row]] = len(chunks) + row
+            ids[len(chunks) + row] = own
+        got = pa.array(ids, pa.binary()).take(pa.array(place))
+        ends = np.frombuffer(got.buffers()[1], np.int32)[got.offset + at]
+        flat = got.buffers()[2].to_pybytes()
+        return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _library(path: str) -> LibraryEncoder:
+    if path not in _LOADED:
+        _LOADED[path] = LibraryEncoder(path)
     return _LOADED[path]
 
 
-def _ids(lib, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _encode(enc: PieceEncoder, texts: list[str]) -> list[bytes]:
-    """Whole texts; the chunks that the cache lacks go to the library in one call."""
-    chunk: Filling = enc.chunk
-    unseen = {c for t in texts for c in t.split(" ")[1:]}
-    unseen = [c for c in unseen if c not in chunk and c not in chunk.older]
-    known = dict(zip(unseen, _ids(enc.library, [" " + c for c in unseen]), strict=True))
-    chunk.make = lambda c: known[c] if c in known else enc._split(" " + c)
-    return [enc.encode(t) for t in texts]
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0), np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            before = int(size[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, before + UNIT_BYTES, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, options: dict | None = None) -> None:
@@ -84,16 +142,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = _library(vocabulary), 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = [i + end for i in _encode(enc, [t or "" for t in part.column(2).to_pylist()])]
-                n = np.array([len(i) // 4 for i in ids], np.int64)
-                stop = at + np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(stop - n), pa.array(n), pa.ListArray.from_arrays(cuts, flat)], schema=schema)
-                at = int(stop[-1])
+        for part in _units(batches):
+            ids = [i + end for i in enc.encode(part.column(2).fill_null(""))]
+            n = np.array([len(i) // 4 for i in ids], np.int64)
+            stop = at + np.cumsum(n)
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(stop - n), pa.array(n), pa.ListArray.from_arrays(cuts, flat)], schema=schema)
+            at = int(stop[-1])
 
     ranged = (
         docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
