@@ -46,7 +46,7 @@ _LINE = "\x00"
 #: A line end with no white space beside it is a pre-token of its own, so a cut before it is exact.
 _LINE_END = f"([^{SPACE}])\n([^{SPACE}])"
 #: Distinct chunks of one generation of a worker's cache.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 #: Bytes of text that are encoded together.
 UNIT_BYTES = 8 << 20
 _LOADED: dict[str, LibraryEncoder] = {}
