@@ -1,8 +1,9 @@
 """Toxicity from class-conditional Kneser-Ney models (operator 6).
 
 A model of the characters inside words: orders 2 to 7 have counts of their own for toxic and
-for ordinary documents and back off to counts of order 1 that both classes share and that
-cover all documents, so what one class has never seen is as likely as in the other. Lower orders
+for ordinary documents. Below them lie orders 1 to 3 that both classes share and that are
+counted over all documents: what one class has never seen is as likely as after the same two
+characters anywhere, so a rare expression backs off to the same counts in either class. Lower orders
 count the different grams that end in them (continuation counts); grams at a word's start
 keep plain counts. A word's log-likelihood ratio depends on the word alone and is computed
 once per worker. A document is scored from two length-normalised numbers, the mean ratio of
@@ -33,10 +34,11 @@ from bizlink.llm.common import materialize
 
 #: Labelled rows of each label that the class counts take, and that the curve takes.
 PER_CLASS, PER_CLASS_CURVE = 20_000, 5_000
-SHARED, TOP = 1, 7
+#: Highest shared order, lowest and highest order of a class.
+SHARED, LOW, TOP = 3, 2, 7
 DISCOUNT, MARGIN, FLOOR = 0.75, 1.0, 1 / 4096
 #: Slots of gram and context tables by order; orders not named take the last.
-SLOTS = {1: (1 << 16, 1), 2: (1 << 16, 1 << 14), 3: (1 << 17, 1 << 15), 4: (1 << 18, 1 << 17), 5: (1 << 20, 1 << 19)}
+SLOTS = {1: (1 << 16, 1), 2: (1 << 18, 1 << 16), 3: (1 << 18, 1 << 18), 4: (1 << 18, 1 << 17), 5: (1 << 20, 1 << 19)}
 _WORD = re.compile(r"\w+")
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 
@@ -72,7 +74,7 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: Column) -
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, gram, n) of a batch: words of labelled rows under their label, and under kind 2
-    the pairs of neighbouring characters of all rows."""
+    the shared grams of all rows: order 3, and shorter ones at a word's start."""
     for batch in batches:
         counts = [Counter(), Counter(), Counter()]
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -87,10 +89,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = words[lo : lo + 50_000]
             codes, at = _codes(some)
             n = np.repeat(np.array([counts[2][w] for w in some]), [len(w) + 2 for w in some])
-            pair = np.flatnonzero(at >= 1)
-            grams, inverse = np.unique((codes[pair - 1] << np.uint64(21)) | codes[pair], return_inverse=True)
-            sums = np.bincount(inverse, weights=n[pair]).astype(np.int64)
-            yield _rows(2, [chr(int(g) >> 21) + chr(int(g) & 0x1FFFFF) for g in grams], sums)
+            full, start = np.flatnonzero(at >= SHARED - 1), np.flatnonzero(at == 1)
+            packed = (codes[full - 2] << np.uint64(42)) | (codes[full - 1] << np.uint64(21)) | codes[full]
+            packed = np.concatenate([packed, (codes[start - 1] << np.uint64(21)) | codes[start]])
+            grams, inverse = np.unique(packed, return_inverse=True)
+            sums = np.bincount(inverse, weights=n[np.concatenate([full, start])]).astype(np.int64)
+            parts = [[int(g) >> s & 0x1FFFFF for s in (42, 21, 0)] for g in grams]
+            yield _rows(2, ["".join(chr(c) for c in p if c) for p in parts], sums)
 
 
 def _rows(kind: int, grams: list[str], n: np.ndarray) -> pa.RecordBatch:
@@ -142,7 +147,7 @@ class Model:
         self.tables: dict[tuple[int, int], list[np.ndarray]] = {}
         name, slot, n = (rows.column(k).to_numpy() for k in range(3))
         for y in (0, 1, 2):
-            for k in range(1, SHARED + 1) if y == 2 else range(SHARED + 1, TOP + 1):
+            for k in range(1, SHARED + 1) if y == 2 else range(LOW, TOP + 1):
                 grams, contexts = SLOTS[min(k, 5)]
                 self.tables[y, k] = [np.zeros(s, np.float32) for s in (grams, contexts, contexts)]
                 for p in range(3):
@@ -168,17 +173,17 @@ class Model:
         """log P(word | toxic) - log P(word | ordinary)."""
         codes, at = _codes(words)
         p = np.full(len(codes), FLOOR)
-        out: list[np.ndarray] = []
+        places = {}
         for k in range(1, TOP + 1):
             where = np.flatnonzero(at >= max(k - 1, 1))
             cols = [codes[where - j] for j in range(k - 1, -1, -1)]
             sizes = SLOTS[min(k, 5)]
-            slots = [_slot(cols, sizes[0]), _slot(cols[:-1], sizes[1]) if k > 1 else np.zeros(len(where), np.int64)]
-            if k <= SHARED:
-                p = self._deeper(p, 2, k, where, slots)
-                out = [p, p]
-            else:
-                out = [self._deeper(out[y], y, k, where, slots) for y in (0, 1)]
+            places[k] = where, [_slot(cols, sizes[0]), _slot(cols[:-1], sizes[1]) if k > 1 else np.zeros(len(where), np.int64)]
+        for k in range(1, SHARED + 1):
+            p = self._deeper(p, 2, k, *places[k])
+        out = [p, p]
+        for k in range(LOW, TOP + 1):
+            out = [self._deeper(out[y], y, k, *places[k]) for y in (0, 1)]
         diff = np.where(at > 0, np.log(out[1]) - np.log(out[0]), 0)
         return np.add.reduceat(diff, np.flatnonzero(at == 0))
 
@@ -225,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], np.ndarra
     ends = counts.where("kind < 2").select("kind", marked.alias("s"), "n", F.explode(F.sequence(F.lit(2), F.char_length("gram") + 2)).alias("e"))
     first = F.greatest(F.col("e") - (TOP - 1), F.lit(1))
     top = ends.select("kind", F.substring(F.col("s"), first, F.col("e") - first + 1).alias("gram"), "n").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    tables = _orders(materialize(top, "tox-grams"), TOP, SHARED + 1).unionByName(_orders(counts.where("kind = 2"), SHARED + 1, 1).where(F.col("order") <= SHARED))
+    tables = _orders(materialize(top, "tox-grams"), TOP, LOW).unionByName(_orders(counts.where("kind = 2"), SHARED, 1))
     slots = tables.select("kind", "gram", "n", "order").mapInArrow(_to_slots, "name int, slot int, n bigint")
     sent = docs.sparkSession.sparkContext.broadcast(Model(slots.groupBy("name", "slot").agg(F.sum("n").alias("n")).toArrow()))
     curve = _sample(docs, labels, PER_CLASS_CURVE, fold == 4)

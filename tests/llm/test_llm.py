@@ -197,6 +197,17 @@ def test_op7_groups(docs, corpus, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_op6_shared_trigrams_cover_all_documents(spark):
+    rows = [(i, "plain text here" if i % 2 else "vile text here") for i in range(40)] + [(100, "qzqj qzqj zqx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)[0].value
+    cols = [np.array([ord(c)], np.uint64) for c in "qzq"]
+    count, total, types = (model.tables[2, 3][k] for k in range(3))
+    assert count[toxicity._slot(cols, len(count))[0]] == 2
+    assert total[toxicity._slot(cols[:2], len(total))[0]] == 2 and types[toxicity._slot(cols[:2], len(types))[0]] == 1
+
+
 @pytest.mark.parametrize("bucket", [16384, 3])
 def test_op7_links_connect_all_near(spark, bucket, monkeypatch):
     rng = random.Random(9)
