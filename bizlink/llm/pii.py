@@ -8,7 +8,8 @@ numbers keep layout, card numbers keep their check digit valid or not, tokens th
 Replacements are checked against each other and against all real values of the type; the
 loser of a collision tries its next hash, until none is left, so distinct entities stay
 distinct and equal ones equal in all documents. Given and family names are replaced one by
-one, so a later mention by family name alone still points to the same person.
+one, and names found in a document are replaced wherever they stand alone in it, so a mention
+by family name alone still points to the same person.
 """
 
 from __future__ import annotations
@@ -54,8 +55,11 @@ _HEX = re.compile(r"[0-9A-Fa-f]{32}")
 _TOKEN = re.compile(r"(?<![0-9A-Za-z])(?P<token>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")
 _GIVEN_ALL = {n for ns in GIVEN.values() for n in ns}
 _TITLE_ALL = sorted({t for ts in TITLES.values() for t in ts}, key=len, reverse=True)
-_TRIGGERS = _GIVEN_ALL | {t + dot for t in _TITLE_ALL for dot in ("", ".")}
+_WORD = re.compile(r"\w+")
+#: The first run of word characters of all that a person can begin with.
+_TRIGGERS = {_WORD.match(t).group() for t in (*_GIVEN_ALL, *_TITLE_ALL)}
 _PERSON = re.compile(rf"(?<!\w)(?P<person>(?:{'|'.join(map(re.escape, _TITLE_ALL))})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(sorted(_GIVEN_ALL))}) {_NAME})(?!\w)")
+_BARE = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 
 
 def _matches(text: str) -> Iterator[re.Match]:
@@ -66,7 +70,7 @@ def _matches(text: str) -> Iterator[re.Match]:
         yield from _NUMBER.finditer(text, m.start(), m.end() + 1)
     if _HEX.search(text):
         yield from _TOKEN.finditer(text)
-    if not _TRIGGERS.isdisjoint(text.split()):
+    if not _TRIGGERS.isdisjoint(_WORD.findall(text)):
         yield from _PERSON.finditer(text)
 
 
@@ -106,7 +110,29 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             out.append((m.start(), m.end(), kind if kind == "phone" else "card_valid" if luhn(digits) else "card_other", digits))
         else:
             out.append((m.start(), m.end(), kind, found.lower() if kind != "token" else found))
-    return out
+    return _with_bare_names(text, out)
+
+
+def _with_bare_names(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` and the capitalised words outside it that are names in it; one that is both a
+    given and a family name counts as the family name."""
+    names: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind.startswith("family"):
+            names[value] = kind
+        elif kind.startswith("given"):
+            names.setdefault(value, kind)
+    if not names:
+        return found
+    out, k = [], 0
+    for m in _BARE.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            out.append(found[k])
+            k += 1
+        value = m.group().casefold()
+        if value in names and (k == len(found) or m.end() <= found[k][0]):
+            out.append((m.start(), m.end(), names[value], value))
+    return out + found[k:]
 
 
 def _draw(key: bytes, kind: str, value: str, attempt: int) -> Iterator[int]:

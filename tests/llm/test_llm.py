@@ -157,6 +157,16 @@ def test_op5_surrogates(spark, none):
     assert pii.replace_entities(none, b"k").count() == 0
 
 
+def test_op5_names_behind_marks_and_alone(spark):
+    texts = ['seen ("Anna Weber") once', "list -Mrs. Roth, (Mr. Lund)", "Holm said so. Mr. Carl Holm left; later Holm's friend saw Carl and CARL, not Holmes or holm@site.com"]
+    out = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").collect()}
+    assert [out[i]["n_entities"] for i in range(3)] == [2, 2, 7]
+    for i, names in enumerate(["Anna Weber", "Roth Lund", "Holm Carl CARL"]):
+        assert not set(names.split()) & set(re.findall(r"\w+", out[i]["text"]))
+    first, family, later, given, upper = re.fullmatch(r"(\w+) said so. Mr. (\w+ \w+) left; later (\w+)'s friend saw (\w+) and (\w+), not Holmes or \S+", out[2]["text"]).groups()
+    assert family == f"{given} {first}" and later == first and upper == given.upper()
+
+
 def test_op6_learns_rare_expressions(spark, none):
     rng = random.Random(4)
     rows, labels = [], []
