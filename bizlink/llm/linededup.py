@@ -3,10 +3,13 @@
 The lines of a document that hold a word are its sequence. In each window of ``run`` lines
 the smallest line hash (the last of equal ones) is the window's fingerprint, so any two equal
 windows choose the same line of themselves. Fingerprints that occur once in the corpus are
-dropped first; a match can't contain them. Each that is left is extended both ways over the
-windows that chose it: windows with equal content are the same run of lines at two places.
+dropped first; a match can't contain them. The windows that chose the others are compared by content:
+windows with equal content are the same run of lines at two places.
 Every window whose content starts at an earlier place (by doc_id, then line) is a later
-copy, its neighbours in the match are so as well, and the united runs are deleted.
+copy, its neighbours in the match are so as well, and the united runs are deleted: they are
+the match at its full length. With ``words`` shorter windows of that many words or more are
+windows too, with fingerprints of their own for each number of lines, so that a match counts
+that has either enough lines or enough words.
 
 Only fingerprints, not texts, are dealt out to find the runs; a hot line costs one row per
 window in partial counts and is never paired with itself.
@@ -23,24 +26,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 3
+#: Words that make a match of fewer lines count, where it is asked for.
+WORDS = 50
 
 
 def _has_word(line: str) -> bool:
     return bool(line) and not line.encode().isspace()
 
 
-def winnow(text: str, run: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(fingerprint, windows that chose it as (content hash, first line)) of one text."""
+def winnow(text: str, run: int, words: int | None = None) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(fingerprint, windows that chose it as (content hash, first line, lines)) of one text."""
     h = xxhash.xxh64_intdigest
-    lines = [h(x.encode()) for x in text.split("\n") if _has_word(x)]
+    kept = [x.encode() for x in text.split("\n") if _has_word(x)]
+    lines = [h(x) for x in kept]
+    before = np.cumsum([0, *(len(x.split()) for x in kept)]).tolist() if words else []
     packed = np.array(lines, "<u8").tobytes()
-    out, chosen_at = [], -1
-    for i in range(len(lines) - run + 1):
-        at = min(range(i, i + run), key=lambda k: (lines[k], -k))
-        if at != chosen_at:
-            out.append((lines[at], []))
-            chosen_at = at
-        out[-1][1].append((h(packed[8 * i : 8 * (i + run)], 1), i))
+    out = []
+    for size in range(1 if words else run, run + 1):
+        chosen_at = -1
+        for i in range(len(lines) - size + 1):
+            if size < run and before[i + size] - before[i] < words:
+                continue
+            at = min(range(i, i + size), key=lambda k: (lines[k], -k))
+            if at != chosen_at:
+                out.append((lines[at] if size == run else h(packed[8 * at : 8 * at + 8], size), []))
+                chosen_at = at
+            out[-1][1].append((h(packed[8 * i : 8 * (i + size)], 1), i, size))
     return out
 
 
@@ -48,41 +59,41 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def line_fingerprints(docs: DataFrame, run: int) -> DataFrame:
-    """``(doc_id, th, fp, content, line)``, one row per window with its fingerprint."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("windows", pa.list_(pa.struct([("content", pa.int64()), ("line", pa.int32())])))])
+def line_fingerprints(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
+    """``(doc_id, th, fp, windows)``, one row per window with its fingerprint."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("windows", pa.list_(pa.struct([("content", pa.int64()), ("line", pa.int32()), ("size", pa.int32())])))])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = [winnow(t, run) if t else [] for t in part.column(2).to_pylist()]
+                found = [winnow(t, run, words) if t else [] for t in part.column(2).to_pylist()]
                 row = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 flat = [x for f in found for x in f]
                 cuts = np.concatenate([[0], np.cumsum([len(w) for _, w in flat])]).astype(np.int32)
-                content = _signed([c for _, w in flat for c, _ in w])
-                line = pa.array([i for _, w in flat for _, i in w], pa.int32())
-                windows = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([content, line], ["content", "line"]))
+                content = _signed([c for _, w in flat for c, _, _ in w])
+                line, n = (pa.array([x[k] for _, w in flat for x in w], pa.int32()) for k in (1, 2))
+                windows = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([content, line, n], ["content", "line", "size"]))
                 take = pa.array(row, pa.int64())
                 yield pa.record_batch([part.column(0).take(take), part.column(1).take(take), _signed([f for f, _ in flat]), windows], schema=schema)
 
-    return docs.mapInArrow(one, "doc_id bigint, th bigint, fp bigint, windows array<struct<content: bigint, line: int>>")
+    return docs.mapInArrow(one, "doc_id bigint, th bigint, fp bigint, windows array<struct<content: bigint, line: int, size: int>>")
 
 
-def repeated_windows(docs: DataFrame, run: int) -> DataFrame:
-    """``(doc_id, th, lines)``: first lines of the windows that occurred earlier."""
-    fps = line_fingerprints(docs, run)
+def repeated_windows(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
+    """``(doc_id, th, lines)``: the windows that occurred earlier, as first line and lines."""
+    fps = line_fingerprints(docs, run, words)
     twice = fps.groupBy("fp").agg(F.sum(F.size("windows")).alias("n")).where("n > 1").select("fp")
     windows = fps.join(twice, "fp", "left_semi").select("doc_id", "th", F.inline("windows"))
     place = F.struct("doc_id", "th", "line")
     first = windows.groupBy("content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
     later = windows.join(first, "content").where(place > F.col("first"))
-    return later.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))
+    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("line", "size")).alias("lines"))
 
 
-def _delete(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
+def _delete(text: str, windows: list[dict]) -> tuple[str, int, int]:
     """The text without the runs, its lines with a word, and how many went."""
-    gone = {k for s in starts for k in range(s, s + run)}
+    gone = {k for w in windows for k in range(w["line"], w["line"] + w["size"])}
     if not gone:
         return text, sum(map(_has_word, text.split("\n"))), 0
     out, n, held = [], 0, []
@@ -104,18 +115,19 @@ def _delete(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
     return "\n".join(out), n, len(gone)
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, counts: bool = False) -> DataFrame:
-    """``docs`` with later repeated runs of at least ``run`` lines deleted from ``text``.
+def dedup_lines(docs: DataFrame, run: int = RUN, counts: bool = False, words: int | None = None) -> DataFrame:
+    """``docs`` with later repeated runs of at least ``run`` lines, or with ``words`` of at least
+    that many words, deleted from ``text``.
 
     Order is doc_id (nulls first), for equal ids the text's hash, then the line. Blank lines
     between two deleted lines go with them, and a text of deleted lines only becomes empty.
-    Null texts stay null; texts of fewer lines than ``run`` stay as they are; rows that
+    Null texts stay null; texts too short for a run stay as they are; rows that
     repeat both id and text count as one document and stay alike. Other columns pass through
     (``n_chars``, if there, keeps its value). With ``counts`` the columns ``n_lines`` and
     ``n_deleted`` are added.
     """
     keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.xxhash64("text").alias("__th"))
-    found = repeated_windows(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__th").alias("th"), "text"), run)
+    found = repeated_windows(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__th").alias("th"), "text"), run, words)
     found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__fth"), F.col("lines").alias("__lines"))
     both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["__id"]) & (keyed["__th"] == found["__fth"]), "left").drop("__id", "__fth", "__th")
     columns = docs.columns
@@ -124,8 +136,8 @@ def dedup_lines(docs: DataFrame, run: int = RUN, counts: bool = False) -> DataFr
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = batch.column("text").to_pylist(), batch.column("__lines").to_pylist()
-            done = [(None, 0, 0) if t is None else _delete(t, s or [], run) if s or counts else (t, 0, 0) for t, s in zip(texts, starts, strict=True)]
+            texts, windows = batch.column("text").to_pylist(), batch.column("__lines").to_pylist()
+            done = [(None, 0, 0) if t is None else _delete(t, w or []) if w or counts else (t, 0, 0) for t, w in zip(texts, windows, strict=True)]
             new = pa.array([d[0] for d in done], pa.string())
             cols = [new if c == "text" else batch.column(c) for c in columns]
             more = [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2)] if counts else []

@@ -139,6 +139,32 @@ def test_op4_deletes_later_runs(spark, docs, corpus, none):
     assert sorted(r["text"] for r in linededup.dedup_lines(same).collect()) == ["a\nb\nc", "a\nb\nc", "z\n"]
 
 
+def test_op4_runs_by_lines_or_words(spark, corpus):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    pool = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (60, 49, 30, 30, 20, 5, 3, 1)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else prose(rng, 20) for _ in range(rng.randint(1, 7)))) for i in range(100, 160)]
+    rows += [(i, t) for i, t, *_ in corpus if t]
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    seen, want = set(), []
+    for i, t in order:
+        lines, gone = [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")], set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if b - a >= 3 or len(re.findall(r"[^\x20\x09-\x0D]+", "\n".join(run))) >= 50:
+                    gone |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+        want.append((i, len(lines), len(gone)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = linededup.dedup_lines(df, counts=True, words=50).select("doc_id", "n_lines", "n_deleted").distinct()
+    assert keyed(map(tuple, got.collect())) == keyed(set(want)) and sum(w[2] for w in want) > 20
+    twice = spark.createDataFrame([(1, pool[0], 9), (2, "own\n" + pool[0], 9), (3, "\n".join(pool[2:4]), 9), (4, "\n".join([*pool[2:4], "end"]), 9), (5, pool[1], 9), (6, pool[1], 9)], "doc_id long, text string, n_chars long")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, twice, "").collect()}
+    assert (left[2], left[4], left[6]) == ("own", "end", pool[1])
+
+
 def test_op5_surrogates(spark, none):
     texts = ["mail ann.b2@site.com or Mr. John Smith, +1 (614) 555-8001, 9.8.7.6", "Mrs. Smith and john, 4111 1111 1111 1111 card", "ANN.B2@SITE.COM again; Herr Braun " + "ab12" * 10, None, "", "nothing"]
     texts += [f"Mr. Q{chr(97 + i // 26)}{chr(97 + i % 26)} here" for i in range(60)]
