@@ -1,30 +1,34 @@
 """Toxicity from class-conditional Kneser-Ney models (operator 6).
 
-A model of the characters inside words: orders 2 to 7 have counts of their own for toxic and
-for ordinary documents. Below them lie orders 1 to 3 that both classes share and that are
-counted over all documents: what one class has never seen is as likely as after the same two
-characters anywhere, so a rare expression backs off to the same counts in either class. Lower orders
-count the different grams that end in them (continuation counts); grams at a word's start
-keep plain counts. A word's log-likelihood ratio depends on the word alone and is computed
-once per worker. A document is scored from two length-normalised numbers, the mean ratio of
-its words and the mean excess of ratios over a margin (the rest is noise of sparse counts),
-by a logistic curve fitted on labelled rows that the counts didn't see.
-
-The class counts come from a bounded sample of labelled rows (``PER_CLASS`` rows of each
-label, by hash of the id); every document gives to the shared counts. The tables have a
-fixed number of slots, which bounds what is sent to the tasks.
+Each class, toxic and ordinary, has a model of word pairs from a bounded sample of labelled rows
+(``PER_CLASS`` rows of each label, by hash of the id). Its levels, each interpolated with the next:
+
+1. counts of word pairs, a pair counting once in a text, so that a text that repeats itself doesn't
+   outvote others;
+2. continuation counts of words: how many different words come before one in the class, so that
+   a copied text counts a word once;
+3. counts of words that both classes share and that are taken over all documents: an expression
+   that is rare in a class gets there the probability that it has anywhere.
+
+What one or two occurrences would give is left to the next level whole; higher counts lose the
+modified Kneser-Ney discount, estimated from counts of counts, and their standard error beside it,
+so that chance repeats of rare words don't look like expressions of a class. The shared counts
+cover every word of the corpus and stay a distributed table; only those of words in labelled rows
+are sent to the tasks, as any other word is as likely in one class as in the other up to the
+classes' backoff weights. A document is scored from its length-normalised log-likelihood ratio, the part
+of it that comes from expressions well above the noise of sparse counts, that part's sum, and the length, by a logistic
+curve fitted on labelled rows that the counts didn't see.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +38,13 @@ from bizlink.llm.common import materialize
 
 #: Labelled rows of each label that the class counts take, and that the curve takes.
 PER_CLASS, PER_CLASS_CURVE = 20_000, 5_000
-#: Highest shared order, lowest and highest order of a class.
-SHARED, LOW, TOP = 3, 2, 7
-DISCOUNT, MARGIN, FLOOR = 0.75, 1.0, 1 / 4096
-#: Slots of gram and context tables by order; orders not named take the last.
-SLOTS = {1: (1 << 16, 1), 2: (1 << 18, 1 << 16), 3: (1 << 18, 1 << 18), 4: (1 << 18, 1 << 17), 5: (1 << 20, 1 << 19)}
+#: Log-likelihood ratio from which a word pair counts as more than noise.
+MARGIN = 1.0
+#: Discount of higher counts where the counts of counts give none.
+DISCOUNT = 0.75
+#: What stands before a text's first word.
+START = 0
 _WORD = re.compile(r"\w+")
-_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -48,21 +52,12 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of ``^word$`` for all words, and each one's place in its word."""
-    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    size = np.array([len(w) + 2 for w in words])
-    ends = np.cumsum(size)
-    return codes, np.arange(len(codes)) - np.repeat(ends - size, size)
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
-def _slot(columns: list[np.ndarray], slots: int) -> np.ndarray:
-    h = np.full(len(columns[0]), len(columns), np.uint64)
-    for c in columns:
-        h = (h ^ c) * _MIX[0]
-        h ^= h >> np.uint64(29)
-    h *= _MIX[1]
-    return (h >> np.uint64(32)).astype(np.int64) & (slots - 1)
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: Column) -> DataFrame:
@@ -72,167 +67,163 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: Column) -
     return parts[0].unionByName(parts[1]).select(F.col("doc_id").cast("long").alias("id"), F.col("y").cast("int").alias("y"))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, gram, n) of a batch: words of labelled rows under their label, and under kind 2
-    the shared grams of all rows: order 3, and shorter ones at a word's start."""
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, v, w, n) of a batch: texts that hold a word pair, for labelled rows under their
+    label, and under kind 2 the words of all rows."""
     for batch in batches:
-        counts = [Counter(), Counter(), Counter()]
+        number: dict[str, int] = {}
+        total = np.zeros(1 << 12, np.int64)
+        pairs: list[list[np.ndarray]] = [[], []]
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = _WORD.findall((text or "").lower())
-            counts[2].update(words)
+            own = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64)
+            if len(own) == 0:
+                continue
+            counted = np.bincount(own)
+            if len(counted) > len(total):
+                total = np.concatenate([total, np.zeros(max(len(total), len(counted) - len(total)), np.int64)])
+            total[: len(counted)] += counted
             if y is not None:
-                counts[y].update(words)
+                pairs[y].append(np.unique(np.r_[0, own[:-1] + 1] << 32 | own))
+        hashes = _hashes(list(number))
+        yield _rows(2, np.zeros(len(hashes), np.int64), hashes, total[: len(hashes)])
+        before = np.r_[np.int64(START), hashes]
         for y in (0, 1):
-            yield _rows(y, list(counts[y]), np.array(list(counts[y].values()), np.int64))
-        words = list(counts[2])
-        for lo in range(0, len(words), 50_000):
-            some = words[lo : lo + 50_000]
-            codes, at = _codes(some)
-            n = np.repeat(np.array([counts[2][w] for w in some]), [len(w) + 2 for w in some])
-            full, start = np.flatnonzero(at >= SHARED - 1), np.flatnonzero(at == 1)
-            packed = (codes[full - 2] << np.uint64(42)) | (codes[full - 1] << np.uint64(21)) | codes[full]
-            packed = np.concatenate([packed, (codes[start - 1] << np.uint64(21)) | codes[start]])
-            grams, inverse = np.unique(packed, return_inverse=True)
-            sums = np.bincount(inverse, weights=n[np.concatenate([full, start])]).astype(np.int64)
-            parts = [[int(g) >> s & 0x1FFFFF for s in (42, 21, 0)] for g in grams]
-            yield _rows(2, ["".join(chr(c) for c in p if c) for p in parts], sums)
-
-
-def _rows(kind: int, grams: list[str], n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), kind, np.int32)), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["kind", "gram", "n"])
-
-
-def _orders(top: DataFrame, high: int, low: int) -> DataFrame:
-    """Tables of orders ``high`` down to ``low`` from plain counts of the highest order and of
-    the shorter grams at a word's start."""
-    now = top.where(F.char_length("gram") == high)
-    out = now.withColumn("order", F.lit(high))
-    for k in range(high - 1, low - 1, -1):
-        ends = now.select("kind", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("n"))
-        now = ends.unionByName(top.where(F.char_length("gram") == k).select("kind", "gram", "n")).groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-        out = out.unionByName(now.withColumn("order", F.lit(k)))
-    return out
+            if pairs[y]:
+                both, n = np.unique(np.concatenate(pairs[y]), return_counts=True)
+                yield _rows(y, before[both >> 32], hashes[both & 0xFFFFFFFF], n)
 
 
-def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grams to slots: per (kind, order) the counts, and totals and types of the contexts."""
-    for batch in batches:
-        kinds, orders = np.asarray(batch.column(0)), np.asarray(batch.column(3))
-        for kind, order in {*zip(kinds.tolist(), orders.tolist(), strict=True)}:
-            own = np.flatnonzero((kinds == kind) & (orders == order))
-            grams = "".join(batch.column(1).take(pa.array(own)).to_pylist())
-            codes = np.frombuffer(grams.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(-1, order)
-            n = np.asarray(batch.column(2))[own]
-            cols = [codes[:, k] for k in range(order)]
-            size = SLOTS[min(order, 5)]
-            slot = _slot(cols, size[0])
-            context = _slot(cols[:-1], size[1]) if order > 1 else np.zeros(len(own), np.int64)
-            for table, where, value in ((0, slot, n), (1, context, n), (2, context, np.ones(len(n), np.int64))):
-                at, inverse = np.unique(where, return_inverse=True)
-                sums = np.bincount(inverse, weights=value).astype(np.int64)
-                name = pa.array(np.full(len(at), _table(kind, order, table), np.int32))
-                yield pa.RecordBatch.from_arrays([name, pa.array(at.astype(np.int32)), pa.array(sums)], names=["name", "slot", "n"])
-
-
-def _table(kind: int, order: int, part: int) -> int:
-    """One number for a table: gram counts, context totals or context types of a kind and order."""
-    return (kind * 8 + order) * 3 + part
+def _rows(kind: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), kind, np.int32)), pa.array(v), pa.array(w), pa.array(n.astype(np.int64))], names=["kind", "v", "w", "n"])
+
+
+def discount(n: list[float]) -> float:
+    """Discount of counts of three and more from how many grams occur 1, 2, 3 and 4 times."""
+    if not (n[0] and n[1] and n[2]):
+        return DISCOUNT
+    return min(max(3 - 4 * n[0] / (n[0] + 2 * n[1]) * n[3] / n[2], 0.1), 2.9)
+
+
+def lost(n: Column, cut: Column) -> Column:
+    """What a count gives to the next level."""
+    n = n.cast("double")
+    return F.when(n <= 2, n).otherwise(F.least(n, cut + F.sqrt(n)))
 
 
 class Model:
-    """Slot tables by (kind, order): gram counts, context totals, context types. They travel
-    compressed, since most slots are empty or small."""
-
-    def __init__(self, rows: pa.Table):
-        self.tables: dict[tuple[int, int], list[np.ndarray]] = {}
-        name, slot, n = (rows.column(k).to_numpy() for k in range(3))
-        for y in (0, 1, 2):
-            for k in range(1, SHARED + 1) if y == 2 else range(LOW, TOP + 1):
-                grams, contexts = SLOTS[min(k, 5)]
-                self.tables[y, k] = [np.zeros(s, np.float32) for s in (grams, contexts, contexts)]
-                for p in range(3):
-                    own = name == _table(y, k, p)
-                    self.tables[y, k][p][slot[own]] = n[own]
-
-    def __getstate__(self) -> dict:
-        return {k: [zlib.compress(t.tobytes(), 1) for t in ts] for k, ts in self.tables.items()}
-
-    def __setstate__(self, state: dict) -> None:
-        self.tables = {k: [np.frombuffer(zlib.decompress(t), np.float32) for t in ts] for k, ts in state.items()}
-
-    def _deeper(self, p: np.ndarray, kind: int, order: int, where: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-        count, total, types = self.tables[kind, order]
-        t = total[slots[1]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.maximum(count[slots[0]] - DISCOUNT, 0) / t + DISCOUNT * types[slots[1]] / t * p[where]
-        p = p.copy()
-        p[where] = np.where(t > 0, seen, p[where])
-        return p
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        codes, at = _codes(words)
-        p = np.full(len(codes), FLOOR)
-        places = {}
-        for k in range(1, TOP + 1):
-            where = np.flatnonzero(at >= max(k - 1, 1))
-            cols = [codes[where - j] for j in range(k - 1, -1, -1)]
-            sizes = SLOTS[min(k, 5)]
-            places[k] = where, [_slot(cols, sizes[0]), _slot(cols[:-1], sizes[1]) if k > 1 else np.zeros(len(where), np.int64)]
-        for k in range(1, SHARED + 1):
-            p = self._deeper(p, 2, k, *places[k])
-        out = [p, p]
-        for k in range(LOW, TOP + 1):
-            out = [self._deeper(out[y], y, k, *places[k]) for y in (0, 1)]
-        diff = np.where(at > 0, np.log(out[1]) - np.log(out[0]), 0)
-        return np.add.reduceat(diff, np.flatnonzero(at == 0))
+    """Probabilities of words and word pairs by class, for words of labelled rows in the order
+    of their hashes; a word outside has the number of words as its place."""
+
+    def __init__(self, words: pa.Table, pairs: pa.Table, shared_total: int):
+        col = lambda t, c: t.column(c).to_numpy()
+        order = np.argsort(col(words, "key"))
+        self.key = col(words, "key")[order]
+        size, floor = len(self.key), 1 / max(1, shared_total)
+        shared = np.maximum(np.r_[col(words, "shared")[order], 0] / max(1, shared_total), floor)
+        v, w = (np.searchsorted(self.key, col(pairs, c)) for c in ("v", "w"))
+        pair = v * size + w
+        by_pair = np.argsort(pair)
+        self.pair, v = pair[by_pair], v[by_pair]
+        self.word, self.rest, self.more = [], [], []
+        for y in (0, 1):
+            cont, cont_lost, follow, follow_lost = (col(words, f"{c}{y}")[order].astype(float) for c in ("cont", "cont_lost", "follow", "follow_lost"))
+            total = max(1.0, cont.sum())
+            back = cont_lost.sum() / total if cont.any() else 1.0
+            self.word.append(np.r_[(cont - cont_lost) / total, 0] + back * shared)
+            self.rest.append(np.r_[np.where(follow > 0, follow_lost / np.maximum(follow, 1), 1.0), 1.0])
+            self.more.append(col(pairs, f"kept{y}")[by_pair] / np.maximum(follow[v], 1))
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.key, hashes)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == hashes[known]
+        return np.where(known, at, len(self.key))
+
+    def ratios(self, places: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(word | before, toxic) - log P(word | before, ordinary)."""
+        size = len(self.key)
+        pair = np.where((places < size) & (before < size), before * size + places, -1)
+        at = np.searchsorted(self.pair, pair)
+        seen = at < len(self.pair)
+        seen[seen] = self.pair[at[seen]] == pair[seen]
+        at = at[seen]
+        p = []
+        for y in (0, 1):
+            now = self.rest[y][before] * self.word[y][places]
+            now[seen] += self.more[y][at]
+            p.append(now)
+        return np.log(p[1]) - np.log(p[0])
 
 
 def _features(model: Model, known: Filling, texts: list[str | None]) -> np.ndarray:
-    found = [_WORD.findall((t or "").lower()) for t in texts]
+    """Mean excess over the margin, mean ratio, number of words, summed excess, by text."""
+    found = [words_of(t) for t in texts]
     unseen = list({w for ws in found for w in ws if w not in known and w not in known.older})
-    fresh: dict[str, float] = {}
-    for lo in range(0, len(unseen), 50_000):
-        some = unseen[lo : lo + 50_000]
-        fresh.update(zip(some, model.ratios(some).tolist(), strict=True))
-    known.make = lambda w: fresh[w] if w in fresh else float(model.ratios([w])[0])
-    out = np.zeros((len(texts), 3))
+    fresh = dict(zip(unseen, model.place(_hashes(unseen)).tolist(), strict=True))
+    known.make = lambda w: fresh[w] if w in fresh else int(model.place(_hashes([w]))[0])
+    out = np.zeros((len(texts), 4))
+    start = int(model.place(np.array([START]))[0])
     for k, ws in enumerate(found):
         if ws:
-            r = np.fromiter(map(known.__getitem__, ws), float, len(ws))
-            out[k] = np.maximum(r - MARGIN, 0).sum() / len(ws), r.mean(), len(ws)
+            own = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+            r = model.ratios(own, np.r_[start, own[:-1]])
+            high = np.maximum(r - MARGIN, 0).sum()
+            out[k] = high / len(ws), r.mean(), len(ws), high
     return out
 
 
 def _design(f: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(f)), np.log(f[:, 0] + 1e-3), f[:, 1], np.log1p(f[:, 2])])
+    return np.column_stack([np.ones(len(f)), np.log(f[:, 0] + 1e-3), f[:, 1], np.log1p(f[:, 2]), np.log1p(f[:, 3])])
 
 
 def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton steps with a small ridge; a class without rows gives a constant 0.5 or its side."""
-    x, w = _design(f), np.zeros(4)
+    x = _design(f)
+    w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 0.1 * w
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4), grad)
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), grad)
     return w
 
 
+def count_grams(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """``(kind, v, w, n)``: counts of word pairs by label (0, 1) of the rows ``(id, y)`` in
+    ``train``, and of the words of all documents (2). Words are 64-bit hashes."""
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    joined = texts.join(F.broadcast(train), texts["doc_id"] == train["id"], "left").select("text", "y")
+    rows = joined.mapInArrow(_count_grams, "kind int, v bigint, w bigint, n bigint")
+    return rows.groupBy("kind", "v", "w").agg(F.sum("n").alias("n"))
+
+
+def model_of(grams: DataFrame) -> Model:
+    """The model of both classes from the counts. What comes to the driver has a row for each
+    word and each kept pair of the labelled sample, whatever the size of the corpus."""
+    own, shared = grams.where("kind < 2"), grams.where("kind = 2").select(F.col("w").alias("key"), F.col("n").alias("shared"))
+
+    def with_lost(df: DataFrame, n: str) -> DataFrame:
+        few = {(r[0], r[1]): r[2] for r in df.where(F.col(n) <= 4).groupBy("kind", n).count().collect()}
+        cuts = [discount([few.get((y, k), 0) for k in (1, 2, 3, 4)]) for y in (0, 1)]
+        return df.withColumn("lost", lost(F.col(n), F.when(F.col("kind") == 0, cuts[0]).otherwise(cuts[1])))
+
+    pairs = with_lost(own, "n")
+    before = with_lost(own.groupBy("kind", F.col("w").alias("key")).agg(F.count("*").alias("n")), "n")
+    ahead = pairs.groupBy("kind", F.col("v").alias("key")).agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+    both = before.withColumn("what", F.lit("cont")).unionByName(ahead.withColumn("what", F.lit("follow")))
+    of = lambda what, y, c: F.sum(F.when((F.col("what") == what) & (F.col("kind") == y), F.col(c)).otherwise(0))
+    fields = [of(what, y, c).alias(f"{what}{tail}{y}") for what in ("cont", "follow") for c, tail in (("n", ""), ("lost", "_lost")) for y in (0, 1)]
+    words = both.groupBy("key").agg(*fields).join(shared, "key", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    kept = pairs.withColumn("kept", F.col("n") - F.col("lost")).where("kept > 0")
+    kept = kept.groupBy("v", "w").agg(*(F.sum(F.when(F.col("kind") == y, F.col("kept")).otherwise(0)).alias(f"kept{y}") for y in (0, 1)))
+    return Model(words.toArrow(), kept.toArrow(), shared.agg(F.sum("shared")).first()[0] or 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], np.ndarray]:
-    """The count tables and the curve's weights. Rows of fold 0 never give a label."""
+    """The model and the curve's weights. Rows of fold 0 never give a label."""
     fold = fold_of(F.col("doc_id"))
+    grams = materialize(count_grams(docs, _sample(docs, labels, PER_CLASS, fold.isin(1, 2, 3))), "tox-grams")
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(grams))
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    train = _sample(docs, labels, PER_CLASS, fold.isin(1, 2, 3))
-    joined = texts.join(F.broadcast(train), texts["doc_id"] == train["id"], "left").select("text", "y")
-    counts = joined.mapInArrow(_count_words, "kind int, gram string, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "tox-counts")
-    marked = F.concat(F.lit("^"), "gram", F.lit("$"))
-    ends = counts.where("kind < 2").select("kind", marked.alias("s"), "n", F.explode(F.sequence(F.lit(2), F.char_length("gram") + 2)).alias("e"))
-    first = F.greatest(F.col("e") - (TOP - 1), F.lit(1))
-    top = ends.select("kind", F.substring(F.col("s"), first, F.col("e") - first + 1).alias("gram"), "n").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    tables = _orders(materialize(top, "tox-grams"), TOP, LOW).unionByName(_orders(counts.where("kind = 2"), SHARED, 1))
-    slots = tables.select("kind", "gram", "n", "order").mapInArrow(_to_slots, "name int, slot int, n bigint")
-    sent = docs.sparkSession.sparkContext.broadcast(Model(slots.groupBy("name", "slot").agg(F.sum("n").alias("n")).toArrow()))
     curve = _sample(docs, labels, PER_CLASS_CURVE, fold == 4)
     seen = texts.join(F.broadcast(curve), texts["doc_id"] == curve["id"]).select("text", "y")
 
@@ -240,10 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], np.ndarra
         known = Filling(None)
         for batch in batches:
             f = _features(sent.value, known, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, k]) for k in range(3))], names=["y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, k]) for k in range(4))], names=["y", "a", "b", "c", "d"])
 
-    got = seen.mapInArrow(measure, "y int, a double, b double, c double").toArrow()
-    f = np.column_stack([got.column(k).to_numpy() for k in (1, 2, 3)])
+    got = seen.mapInArrow(measure, "y int, a double, b double, c double, d double").toArrow()
+    f = np.column_stack([got.column(k).to_numpy() for k in (1, 2, 3, 4)])
     rates = labels.where("toxic in (0, 1)").where(fold == 4).agg(F.avg("toxic")).first()[0]
     y = got.column(0).to_numpy().astype(float)
     weights = _logistic(f, y)
@@ -256,7 +247,7 @@ def score(docs: DataFrame, sent: Broadcast[Model], weights: np.ndarray) -> DataF
     """``(doc_id, held_out, score, predicted)`` for every row, in the scan's partitions.
 
     Null and empty texts have no words and get the curve's value there; a null id isn't held
-    out; other columns are ignored.
+    out; repeated rows are scored alike; other columns are ignored.
     """
     caches: dict[int, Filling] = {}
 

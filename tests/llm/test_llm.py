@@ -233,15 +233,57 @@ def test_op7_groups(docs, corpus, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_op6_shared_trigrams_cover_all_documents(spark):
-    rows = [(i, "plain text here" if i % 2 else "vile text here") for i in range(40)] + [(100, "qzqj qzqj zqx")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, labels)[0].value
-    cols = [np.array([ord(c)], np.uint64) for c in "qzq"]
-    count, total, types = (model.tables[2, 3][k] for k in range(3))
-    assert count[toxicity._slot(cols, len(count))[0]] == 2
-    assert total[toxicity._slot(cols[:2], len(total))[0]] == 2 and types[toxicity._slot(cols[:2], len(types))[0]] == 1
+def test_op6_ratios_as_by_hand(spark):
+    rng = random.Random(12)
+    say = lambda y: " ".join(rng.choice(["red", "blue", "tall", "small", "run"] + ["vile", "you"] * (3 * y)) for _ in range(rng.randint(3, 25)))
+    rows = [(i, say(i % 2)) for i in range(80)] + [(100, "Red red qzqj"), (101, None), (102, "vile vile YOU vile")]
+    y_of = {i: i % 2 for i in range(80)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = spark.createDataFrame(list(y_of.items()), "id long, y int")
+    model = toxicity.model_of(toxicity.count_grams(docs, train))
+    words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in rows}
+    shared = Counter(w for ws in words.values() for w in ws)
+    total = sum(shared.values())
+
+    def tables(y):
+        pairs = Counter(p for i, ws in words.items() if y_of.get(i) == y for p in set(zip(["^", *ws], ws, strict=False)))
+        cont = Counter(w for _, w in pairs)
+        out = []
+        for c in (pairs, cont):
+            n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+            cut = min(max(3 - 4 * n[0] / (n[0] + 2 * n[1]) * n[3] / n[2], 0.1), 2.9) if n[0] and n[1] and n[2] else 0.75
+            out += [c, {k: v if v <= 2 else min(v, cut + v**0.5) for k, v in c.items()}]
+        return out
+
+    def p(y, v, w):
+        pairs, pair_lost, cont, cont_lost = tables(y)
+        low = (cont[w] - cont_lost.get(w, 0) + sum(cont_lost.values()) * max(shared[w], 1) / total) / sum(cont.values())
+        follow = sum(n for (a, _), n in pairs.items() if a == v)
+        if not follow:
+            return low
+        return (pairs[v, w] - pair_lost.get((v, w), 0) + sum(n for (a, _), n in pair_lost.items() if a == v) * low) / follow
+
+    for text in ("vile you red", "you are vile", "small run blue tall"):
+        ws = text.split()
+        at = model.place(toxicity._hashes(ws))
+        got = model.ratios(at, np.r_[model.place(np.array([toxicity.START])), at[:-1]])
+        want = [np.log(p(1, v, w)) - np.log(p(0, v, w)) for v, w in zip(["^", *ws], ws, strict=False)]
+        if "are" in ws:  # seen in neither class: alike up to the backoff weights
+            want[1] = np.log(p(1, "you", "zzz")) - np.log(p(0, "you", "zzz"))
+        assert np.allclose(got, want)
+
+
+def test_op6_sees_expressions_of_ordinary_words(spark):
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(800):
+        words = [rng.choice("north south tea cup light heavy sun rain green wall".split()) for _ in range(40)]
+        for _ in range(4):
+            words.insert(rng.randrange(40), "paper tiger" if i % 4 == 0 else rng.choice(["paper wall", "green tiger"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert np.mean([(r["predicted"] == 1) == (r["doc_id"] % 4 == 0) for r in got if r["held_out"]]) > 0.95
 
 
 @pytest.mark.parametrize("bucket", [16384, 3])
