@@ -2,99 +2,220 @@
 
 Test items become windows of 10 consecutive words (a shorter item is one window). Windows
 of one length m form a search: a shift table over blocks of two words says how far the end
-of the window may move when a block is seen (m - 1 words for a block that no window has), a
-bucket per last block holds the windows that end in it, and a direct comparison of the words
-confirms each. Documents are read once, in place: no shuffle.
+of the window may move when a block is seen (m - 1 words for a block that no window has),
+buckets by the hash of the window's words select the windows that can end there, and a direct
+comparison of the words confirms each. Documents are read once, in place: no shuffle.
 
-The windows are sent to the tasks in blocks of at most ``BLOCK_BYTES``; a larger benchmark
-is searched block by block and the finds of each document are united.
+Spark cuts long items into pieces and deals the pieces into blocks of about ``BLOCK_BYTES``, which
+are sent to the tasks one at a time. A Python worker builds a block's tables once and keeps them
+for its later tasks. With more than one block the finds of each are written, and united by document.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlink.llm.common import materialize
 
 WINDOW = 10
-#: Bound on the text of the items whose windows are sent to the tasks at once.
+#: Aim for the text of the items whose windows are sent to the tasks at once.
 BLOCK_BYTES = 8 << 20
+#: Words of an item that stay together.
+PIECE_WORDS = 20_000
 #: ASCII bytes that are not part of a word become spaces, A-Z become a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _window_hash(ids: np.ndarray, starts: np.ndarray, m: int, seed: int) -> np.ndarray:
+    h = np.full(len(starts), seed, np.uint64)
+    for k in range(m):
+        h = _mixed(h * _ODD + ids[starts + k].astype(np.uint64))
+    return h
+
+
 class Search:
-    """Shift table and buckets for windows of one length."""
+    """Shift table and buckets for windows of one length ``m``. ``ids`` are the word numbers of
+    all pieces, ``first`` and ``size`` where each piece of this search lies, ``owner`` its item."""
 
-    def __init__(self, m: int, windows: dict[tuple[bytes, ...], list[str]]):
-        self.m, self.windows = m, windows
+    def __init__(self, m: int, ids: np.ndarray, n_ids: int, first: np.ndarray, size: np.ndarray, owner: np.ndarray):
+        self.m, self.ids, self.n_ids = m, ids, n_ids
         self.block = min(2, m)
         self.default = m - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for w in windows:
-            for end in range(self.block, m + 1):
-                block = w[end - self.block : end]
-                block = block if self.block == 2 else block[0]
-                self.shift[block] = min(self.shift.get(block, self.default), m - end)
-            self.bucket.setdefault(block, []).append(w)
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """Starts of all occurrences, with their window."""
-        m, n, get, default, bucket = self.m, len(words), self.shift.get, self.default, self.bucket
-        blocks = words if self.block == 1 else list(zip(words, words[1:]))  # noqa: B905
-        end = m
+        inside = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        n = size - self.block + 1
+        at = inside(n)
+        keys = self._blocks(ids, np.repeat(first, n) + at)
+        shift = np.maximum(m - self.block - at, 0)
+        order = np.lexsort((shift, keys))
+        keys, shift = keys[order], shift[order]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        self.block_keys, self.shift = keys[new], shift[new].astype(np.int16)
+        n = size - m + 1
+        starts, owners = np.repeat(first, n) + inside(n), np.repeat(owner, n)
+        h, h2 = _window_hash(ids, starts, m, 1), _window_hash(ids, starts, m, 2)
+        order = np.lexsort((h2, h))
+        h, h2, starts, self.owners = h[order], h2[order], starts[order], owners[order]
+        run = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+        self.bucket, self.start, self.run = h[run], starts[run], np.r_[run, len(h)]
+
+    def _blocks(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        key = ids[at].astype(np.int64)
+        return key if self.block == 1 else key * (self.n_ids + 1) + ids[at + 1]
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all occurrences and the number of the window that occurs there."""
+        m, b, n = self.m, self.block, len(ids)
+        none = np.empty(0, np.int64)
+        if n < m:
+            return none, none
+        keys = self._blocks(ids, np.arange(n - b + 1))
+        at = np.minimum(np.searchsorted(self.block_keys, keys), len(self.block_keys) - 1)
+        shift = np.where(self.block_keys[at] == keys, self.shift[at], self.default).tolist()
+        ends, end = [], m
         while end <= n:
-            block = blocks[end - self.block]
-            shift = get(block, default)
-            if shift:
-                end += shift
-                continue
-            for w in bucket[block]:
-                if tuple(words[end - m : end]) == w:
-                    yield end - m, w
-            end += 1
-
-
-def searches(items: list[tuple[str, str | None]]) -> list[Search]:
-    by_length: dict[int, dict] = {}
-    for item, text in items:
-        w = tuple(words_of(text))
-        m = min(WINDOW, len(w))
-        for at in range(len(w) - m + 1 if m else 0):
-            owners = by_length.setdefault(m, {}).setdefault(w[at : at + m], [])
-            if item not in owners:
-                owners.append(item)
-    return [Search(m, x) for m, x in by_length.items()]
-
-
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, fetched one partition at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
-    out, size = [[]], 0
-    for r in rows.toLocalIterator():
-        if size + len(r.text) > BLOCK_BYTES and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r.item, r.text))
-        size += len(r.text)
-    return out
+            step = shift[end - b]
+            if step == 0:
+                ends.append(end)
+                step = 1
+            end += step
+        starts = np.array(ends, np.int64) - m
+        h = _window_hash(ids, starts, m, 1)
+        lo, hi = (np.searchsorted(self.bucket, h, side) for side in ("left", "right"))
+        starts, window = np.repeat(starts, hi - lo), np.repeat(lo, hi - lo) + (np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo))
+        same = np.ones(len(starts), bool)
+        for k in range(m):
+            same &= ids[starts + k] == self.ids[self.start[window] + k]
+        return starts[same], window[same]
+
+
+class Tables:
+    """The searches of one block of pieces ``(item, m, text)``."""
+
+    def __init__(self, items: list[str], lengths: list[int], texts: list[str]):
+        self.items = items
+        self.number: dict[bytes, int] = {}
+        parts = [np.array([self.number.setdefault(w, len(self.number)) for w in t.encode().split()], np.int32) for t in texts]
+        size = np.array([len(p) for p in parts], np.int64)
+        first, m = np.cumsum(size) - size, np.array(lengths, np.int64)
+        ids = np.concatenate([*parts, np.empty(0, np.int32)])
+        owner = np.arange(len(items))
+        self.searches = [Search(int(k), ids, len(self.number), first[m == k], size[m == k], owner[m == k]) for k in np.unique(m)]
+
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Positions inside any occurrence, and the items that own one."""
+        get, unknown = self.number.get, len(self.number)
+        ids = np.array([get(w, unknown) for w in words], np.int64)
+        edge, items = np.zeros(len(words) + 1, np.int64), set()
+        for s in self.searches:
+            starts, window = s.find(ids)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + s.m, -1)
+            for u in np.unique(window):
+                items.update(self.items[o] for o in np.unique(s.owners[s.run[u] : s.run[u + 1]]))
+        return np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
+
+
+#: The tables of the block that a worker used last, by the block's name.
+_BUILT: dict[str, Tables] = {}
+
+
+def _tables(name: str, sent: Broadcast) -> Tables:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Tables(*sent.value)
+    return _BUILT[name]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items to ``(item, m, text)``: folded words joined by spaces, long items in overlapping parts."""
+    for batch in batches:
+        out = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            w = words_of(text)
+            m = min(WINDOW, len(w))
+            out += [(item, m, b" ".join(w[k : k + PIECE_WORDS + m - 1]).decode()) for k in range(0, len(w) - m + 1 if m else 0, PIECE_WORDS)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string())], names=["item", "m", "text"])
+
+
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The pieces with their block, and the number of blocks."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    pieces = materialize(items.mapInArrow(_pieces, "item string, m int, text string"), "decontam-pieces")
+    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 if total <= BLOCK_BYTES else math.ceil(2 * total / BLOCK_BYTES)
+    return pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), n
+
+
+def _send(pieces: DataFrame, block: int) -> tuple[str, Broadcast]:
+    own = pieces.where(F.col("block") == block).select("item", "m", "text").toArrow()
+    return uuid.uuid4().hex, pieces.sparkSession.sparkContext.broadcast(tuple(own.column(k).to_pylist() for k in range(3)))
+
+
+def _scan(name: str, sent: Broadcast, emit: Callable) -> Callable:
+    """Batches through the tables: ``emit`` makes the rows of a slice with its hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(name, sent)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                words = [words_of(t) for t in part.column("text").to_pylist()]
+                yield emit(part, [len(w) for w in words], [tables.hits(w) for w in words])
+
+    return run
 
 
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
+def _verdicts(part: pa.RecordBatch, n: list[int], found: list) -> pa.RecordBatch:
+    sha = [hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for _, items in found]
+    hit = pa.array([len(at) for at, _ in found], pa.int64())
+    cols = [part.column("doc_id"), pa.array(n, pa.int64()), hit, pa.array([len(items) for _, items in found], pa.int64()), pa.array(sha), pa.compute.greater(hit, 0)]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", *(c.split()[0] for c in RESULT.split(", "))])
+
+
+def _finds(part: pa.RecordBatch, n: list[int], found: list) -> pa.RecordBatch:
+    hit = [k for k, (at, _) in enumerate(found) if len(at)]
+    cols = [part.column("__row").take(pa.array(hit, pa.int64())), pa.array([found[k][0] for k in hit], pa.list_(pa.int64())), pa.array([sorted(found[k][1]) for k in hit], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(cols, names=["__row", "at", "items"])
+
+
+def _clean(part: pa.RecordBatch, n: list[int], found: list) -> pa.RecordBatch:
+    return part.filter(pa.array([len(at) == 0 for at, _ in found], pa.bool_()))
+
+
+def _finds_by_block(keyed: DataFrame, pieces: DataFrame, n: int) -> DataFrame:
+    """``(__row, at, items)`` of rows with a find, block by block; one block is held at a time."""
+    found = None
+    for block in range(n):
+        name, sent = _send(pieces, block)
+        part = materialize(keyed.select("__row", "text").mapInArrow(_scan(name, sent, _finds), "__row bigint, at array<bigint>, items array<string>"), "decontam-finds")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for every row.
 
@@ -102,56 +223,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     null item id counts as the empty string; repeated rows give a row each; other columns
     are ignored.
     """
-    blocks = _blocks(benchmark)
+    pieces, n = _blocks(benchmark)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    if len(blocks) == 1:
-        return docs.mapInArrow(_scan(blocks[0]), f"doc_id bigint, {RESULT}")
-    keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "decontam")
-    found = None
-    for block in blocks:
-        part = keyed.mapInArrow(_scan(block, spans=True), "row bigint, doc_id bigint, n_words bigint, at array<bigint>, items array<string>")
-        found = part if found is None else found.unionByName(part)
-    each = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("items")).alias("items"))
-    n_hit, items = F.size(F.array_distinct("at")).cast("long"), F.array_sort(F.array_distinct("items"))
-    return each.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
-    for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_scan(block, only_clean=True), docs.schema)
-    return docs
-
+    if n == 1:
+        return docs.mapInArrow(_scan(*_send(pieces, 0), _verdicts), f"doc_id bigint, {RESULT}")
 
-def hits(words: list[bytes], tables: list[Search]) -> tuple[np.ndarray, set[str]]:
-    """Positions inside any occurrence, and the items that own one."""
-    mark, items = bytearray(len(words)), set()
-    for t in tables:
-        for at, w in t.find(words):
-            mark[at : at + t.m] = b"\1" * t.m
-            items.update(t.windows[w])
-    return np.flatnonzero(np.frombuffer(mark, np.uint8)), items
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(words_of(t)) for t in b.column("text").to_pylist()], pa.int64())], names=["__row", "doc_id", "text", "n_words"])
 
+    keyed = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text").mapInArrow(count, "__row bigint, doc_id bigint, text string, n_words bigint")
+    keyed = materialize(keyed, "decontam")
+    each = _finds_by_block(keyed, pieces, n).groupBy("__row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("items")).alias("items"))
+    each = keyed.select("__row", "doc_id", "n_words").join(each, "__row", "left")
+    n_hit = F.coalesce(F.size(F.array_distinct("at")), F.lit(0)).cast("long")
+    items = F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>"))
+    return each.select("doc_id", "n_words", F.greatest(n_hit, F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
-def _scan(items: list[tuple[str, str]], spans: bool = False, only_clean: bool = False):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = searches(items)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = part.column("text").to_pylist()
-                rows = []
-                for t in texts:
-                    w = words_of(t)
-                    rows.append((len(w), *hits(w, tables)))
-                n = pa.array([r[0] for r in rows], pa.int64())
-                hit = pa.array([len(r[1]) for r in rows], pa.int64())
-                if only_clean:
-                    yield part.filter(pa.compute.equal(hit, 0))
-                elif spans:
-                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), n, pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "at", "items"])
-                else:
-                    sha = [hashlib.sha256(",".join(sorted(r[2])).encode()).hexdigest() for r in rows]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, hit, pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(sha), pa.compute.greater(hit, 0)], names=["doc_id", *(c.split()[0] for c in RESULT.split(", "))])
 
-    return run
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs. Null and
+    empty texts stay, as do repeated rows; a column may not be named ``__row``."""
+    pieces, n = _blocks(benchmark)
+    if n == 1:
+        return docs.mapInArrow(_scan(*_send(pieces, 0), _clean), docs.schema)
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
+    return keyed.join(_finds_by_block(keyed, pieces, n), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -333,7 +333,7 @@ def test_op8_slots_and_rebalance(spark, docs, corpus, none):
     assert all(second[r["vslot"]][0] in (4, r["shard"]) for r in first.collect()) and 25 <= len(moved) <= 40 and {v for _, v in second.values()} == {2}
 
 
-@pytest.mark.parametrize("block", [8 << 20, 40])
+@pytest.mark.parametrize("block", [8 << 20, 200])
 def test_op9_contamination(spark, docs, corpus, none, block, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     long_ = next(t for _, t, *_ in corpus if t and len(t.split()) > 60)
@@ -359,6 +359,28 @@ def test_op9_contamination(spark, docs, corpus, none, block, monkeypatch):
     assert decontam.contamination(docs, bench.where("false")).where("contaminated").count() == 0 and decontam.contamination(none, bench).count() == 0
 
 
+def test_op9_long_items_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 15)
+    rng = random.Random(21)
+    item = [f"w{rng.randrange(30)}" for _ in range(90)]
+    texts = [" ".join([*(f"w{rng.randrange(30)}" for _ in range(40)), *item[k : k + 25], "end"]) for k in range(0, 65, 7)] + [" ".join(item[20:29]), "x " * 60_000 + " ".join(item[50:60])]
+    got = decontam.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    windows = {tuple(item[k : k + 10]) for k in range(81)}
+    for r in got:
+        w = texts[r["doc_id"]].split()
+        assert r["n_hit"] == len({j for k in range(len(w) - 9) if tuple(w[k : k + 10]) in windows for j in range(k, k + 10)})
+    assert got[-1]["n_hit"] == 10 and not got[-2]["n_hit"]
+
+
+def test_op9_tables_of_frequent_words():
+    rng = np.random.default_rng(5)
+    words = np.char.add("v", np.minimum(rng.zipf(1.2, 200_000), 50_000).astype(str))
+    tables = decontam.Tables([str(k) for k in range(2000)], [10] * 2000, [" ".join(words[k * 100 : (k + 1) * 100]) for k in range(2000)])
+    text = [w.encode() for w in np.char.add("v", np.minimum(rng.zipf(1.2, 20_000), 50_000).astype(str))] + [w.encode() for w in words[520:560]]
+    at, items = tables.hits(text)
+    assert set(range(20_000, 20_040)) <= set(at.tolist()) and "5" in items
+
+
 @pytest.mark.parametrize("members", [10_000, 0])
 def test_op10_repeated_bytes(spark, corpus, none, members, monkeypatch):
     monkeypatch.setattr(suffix, "MEMBERS", members)
