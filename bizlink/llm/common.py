@@ -38,6 +38,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key of more rows than this, and than the ``HOT_KEYS``-th part of all, is spread over tasks.
+HOT_ROWS, HOT_KEYS = 1000, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined on ``keys`` with the one row that ``right`` has of each key, hot keys spread.
+
+    ``counts`` is a written table of the keys with the number ``n`` of their rows in ``left``. Keys
+    above the limits are fewer than ``HOT_KEYS`` whatever the data, so they are broadcast to mark
+    their rows; those rows are dealt out by the columns ``by`` too, and the right rows of
+    these keys are repeated for every part. Nothing else moves twice.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys, F.lit(True).alias("__hot"))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    parts = n_tasks(left)
+    marked = left.join(F.broadcast(hot), keys, "left")
+    marked = marked.withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")).otherwise(0)).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(every)).drop("__hot")
+    return marked.join(repeated, [*keys, "__part"], how).drop("__part")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_tasks(df: DataFrame) -> int:
     """Partitions for an explicit shuffle: the session's setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -75,9 +75,13 @@ OP4_SQL = """
 WITH l AS (SELECT doc_id, pos, line, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS w FROM (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
 n AS (SELECT *, sum(CAST(w AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l),
-s AS (SELECT doc_id, k, line, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3 FROM n WHERE w WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, k) AS rn FROM s WHERE l3 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, k + i AS k FROM (SELECT doc_id, k, unnest([0, 1, 2]) AS i FROM r WHERE rn > 1)),
+s AS (SELECT doc_id, k, line, lead(line, 1) OVER o AS l2, lead(line, 2) OVER o AS l3, nw, lead(nw, 1) OVER o AS nw2 FROM (
+  SELECT doc_id, k, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw FROM n WHERE w) WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+u AS (SELECT doc_id, k, 1 AS m, line AS a, NULL AS b, NULL AS c FROM s WHERE nw >= 50
+  UNION ALL SELECT doc_id, k, 2, line, l2, NULL FROM s WHERE l2 IS NOT NULL AND nw + nw2 >= 50
+  UNION ALL SELECT doc_id, k, 3, line, l2, l3 FROM s WHERE l3 IS NOT NULL),
+r AS (SELECT doc_id, k, m, row_number() OVER (PARTITION BY m, a, b, c ORDER BY doc_id, k) AS rn FROM u),
+g AS (SELECT DISTINCT doc_id, k + i AS k FROM (SELECT doc_id, k, unnest(range(m)) AS i FROM r WHERE rn > 1)),
 f AS (SELECT n.doc_id, n.pos, n.line, n.w, CASE WHEN n.w THEN g.k IS NOT NULL END AS d FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.k = g.k AND n.w),
 h AS (SELECT *, CASE WHEN w THEN d ELSE coalesce(max(d) OVER (PARTITION BY doc_id), false)
   AND coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), true)

@@ -17,7 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of three lines or fifty words go; n_chars follows the text."""
-    done = linededup.dedup_lines(docs, words=linededup.WORDS)
+    done = linededup.dedup_lines(docs)
+    if "n_chars" not in docs.columns:
+        return done
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -123,7 +123,7 @@ def test_op3_random_strings_as_library():
 
 
 def test_op4_deletes_later_runs(spark, docs, corpus, none):
-    got = {(r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in linededup.dedup_lines(docs, counts=True).collect()}
+    got = {(r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in linededup.dedup_lines(docs, words=None, counts=True).collect()}
     seen, gone = set(), defaultdict(set)
     order = sorted({(i, t) for i, t, *_ in corpus}, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     lines = {k: [x for x in (k[1] or "").split("\n") if x.strip(" \t\n\v\f\r")] for k in order}
@@ -158,13 +158,34 @@ def test_op4_runs_by_lines_or_words(spark, corpus):
                     seen.add(run)
         want.append((i, len(lines), len(gone)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = linededup.dedup_lines(df, counts=True, words=50).select("doc_id", "n_lines", "n_deleted").distinct()
+    got = linededup.dedup_lines(df, counts=True).select("doc_id", "n_lines", "n_deleted").distinct()
     assert keyed(map(tuple, got.collect())) == keyed(set(want)) and sum(w[2] for w in want) > 20
     twice = spark.createDataFrame([(1, pool[0], 9), (2, "own\n" + pool[0], 9), (3, "\n".join(pool[2:4]), 9), (4, "\n".join([*pool[2:4], "end"]), 9), (5, pool[1], 9), (6, pool[1], 9)], "doc_id long, text string, n_chars long")
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, twice, "").collect()}
     assert (left[2], left[4], left[6]) == ("own", "end", pool[1])
 
 
+def test_op4_hot_passage_and_clashing_names(spark, monkeypatch):
+    from bizlink.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    shared = "p one\np two\np three\np four"
+    rows = [(i, f"own {i}\n{shared}\nend {i}" if i % 2 else f"{shared}\nlast {i}", 1, "x", 2) for i in range(60)] + [(100, "long " * 40_000, 1, "x", 2), (101, "long " * 40_000, 1, "x", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, __th string, __runs int").repartition(7)
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(df, counts=True).collect()}
+    assert got[0]["text"] == f"{shared}\nlast 0" and got[7]["text"] == "own 7\nend 7" and got[8]["text"] == "last 8"
+    assert (got[8]["n_lines"], got[8]["n_deleted"], got[8]["__th"], got[8]["__runs"]) == (5, 4, "x", 2)
+    assert got[100]["text"] and got[101]["text"] == ""
+
+
+def test_op4_extends_to_full_matches():
+    lines = lambda s: b"".join(xxhash.xxh3_128_digest(c.encode()) for c in s)
+    assert linededup.extended(lines("xabcdey"), lines("abcdez"), 1, [2, 3]) == [(1, 5)]
+    assert linededup.extended(lines("abcXdef"), lines("abcYdef"), 0, [4, 0]) == [(0, 3), (4, 3)]
+    assert linededup.extended(lines("aaaa"), lines("aaaa"), 1, [1]) == [(1, 3)]
+
+
 def test_op5_surrogates(spark, none):
     texts = ["mail ann.b2@site.com or Mr. John Smith, +1 (614) 555-8001, 9.8.7.6", "Mrs. Smith and john, 4111 1111 1111 1111 card", "ANN.B2@SITE.COM again; Herr Braun " + "ab12" * 10, None, "", "nothing"]
     texts += [f"Mr. Q{chr(97 + i // 26)}{chr(97 + i % 26)} here" for i in range(60)]
