@@ -38,6 +38,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, tag: str, keys: list[str], buckets: int) -> DataFrame:
+    """Like :func:`materialize`, with rows bucketed by ``keys``, so that a later join or grouping
+    on them moves only its other side. Rows that lie by the keys already, as after a join on
+    them, give a file for each bucket."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").option("path", scratch_path(spark, tag)).bucketBy(buckets, *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 #: A key of more rows than this, and than the ``HOT_KEYS``-th part of all, is spread over tasks.
 HOT_ROWS, HOT_KEYS = 1000, 1000
 

@@ -8,13 +8,17 @@ repeated windows. The digits are taken in an order that lets most suffixes go ea
    anchors, and one anchor serves all consecutive windows that chose it, so a pass over the
    text gives one row for about 90 windows. A group with one row holds no repeat and is dropped.
 2. The second digit is the whole stretch of text under those windows. Rows with an equal
-   stretch settle all their windows at once; this takes care of copies.
+   anchor and stretch (128 bits together) settle all their windows at once; this takes care
+   of copies, and most repeats are found here.
 3. What is left, anchors that are equal in stretches that differ, is where repeats begin and
-   end. One row of each stretch is expanded to its windows, which are sorted by four digits
-   of 50 bytes, keeping only groups that are still tied.
-
-Only anchor rows, the contexts of step 3 and one copy of the texts are dealt out. An anchor
-with more than ``MEMBERS`` stretches is sorted window by window across tasks instead.
+   end. One row of each stretch is expanded to its windows, which go through passes over four
+   digits of 50 bytes, keeping only groups that are still tied; the windows of a tied group are
+   compared byte by byte.
+
+So equal groups are those of the named sort, but suffixes are never put in the order of their
+bytes, which nothing here needs. Only anchor rows, the contexts of step 3 and one copy of the
+texts are dealt out. Frequent anchors and stretches are marked where they lie, or spread. An anchor
+with more than ``MEMBERS`` stretches is sorted window by window across tasks.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizlink.llm.common import materialize, n_tasks
+from bizlink.llm.common import HOT_ROWS, materialize, materialize_buckets, n_tasks, spread_join
 
 DEPTH, GRAM, DIGIT = 200, 24, 50
 #: Bytes of a text that are worked on at once; the next piece starts so that no window is lost.
 PIECE = 1 << 17
 #: Stretches of one anchor that a task sorts in memory.
 MEMBERS = 10_000
+#: What makes up more than this part of a task's rows, and of all, is kept apart from the shuffle
+#: by anchor; pairs that a task counts at a time for that.
+FREQUENT, HELD_PAIRS = 2_000, 1 << 20
+_PAIR = np.dtype([("h", np.uint64), ("s", np.uint64), ("n", np.int64)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,14 +107,40 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "th", "h", "s", "first", "last", "at"]
+    """Anchor rows (kind 0), and at the end of the task what is frequent in it: (anchor, stretch)
+    pairs with their number of rows (kind 1) and anchors with their number of stretches (kind 2)."""
+    names = ["kind", "id", "th", "h", "s", "first", "last", "at"]
+    counted, held, rows = np.empty(0, _PAIR), [], 0
+
+    def merged(limit: int) -> np.ndarray:
+        whole = np.concatenate([counted, *held])
+        order = np.lexsort((whole["s"], whole["h"]))
+        whole = whole[order]
+        new = np.flatnonzero(np.r_[True, (whole["h"][1:] != whole["h"][:-1]) | (whole["s"][1:] != whole["s"][:-1])]) if len(whole) else np.empty(0, np.int64)
+        out = whole[new].copy()
+        out["n"] = np.add.reduceat(whole["n"], new) if len(new) else out["n"]
+        _, group, stretches = np.unique(out["h"], return_inverse=True, return_counts=True)
+        return out[(out["n"] >= limit) | (stretches[group] >= limit)] if len(out) else out
+
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             found = [anchors(_bytes(t)) for t in part.column(2).to_pylist()]
             row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             h, s, *places = (np.concatenate([f[k] for f in found]) for k in range(5))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), *(pa.array(p.astype(np.int32)) for p in places)], names=names)
+            held.append(np.rec.fromarrays([h, s, np.ones(len(h), np.int64)], dtype=_PAIR))
+            rows += len(h)
+            if sum(map(len, held)) > HELD_PAIRS:
+                # Pairs that are rare so far go, as in counting frequent items with bounded memory.
+                counted, held = merged(max(1, rows // FREQUENT)), []
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int8)), part.column(0).take(row), part.column(1).take(row), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), *(pa.array(p.astype(np.int32)) for p in places)], names=names)
+    counted = merged(max(2, rows // FREQUENT))
+    h, stretches = np.unique(counted["h"], return_counts=True)
+    often = stretches >= max(2, rows // FREQUENT)
+    keep = counted["n"] >= max(2, rows // FREQUENT)
+    for kind, h, s, n in ((1, counted["h"][keep], counted["s"][keep], counted["n"][keep]), (2, h[often], h[often], stretches[often])):
+        zero = pa.array(np.zeros(len(h), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(n.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), zero, zero, zero], names=names)
 
 
 def removed(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -136,7 +170,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 128):
             part = batch.slice(lo, 128)
             done, texts, spans, contexts = [], [], [], []
-            for text, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for text, found in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                 data, found = _bytes(text), found or []
                 own = [(f["first"], f["last"]) for f in found if f["copied"]]
                 still = [f for f in found if f["open"]]
@@ -146,40 +180,68 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done.append((None,) * 4 if still else _digest(data, own))
             cols = [pa.array([d[k] for d in done], t) for k, (_, t) in enumerate(_RESULT)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *cols, pa.array(texts, pa.string()), pa.array(spans, pa.list_(_SPAN)), pa.array(contexts, pa.list_(_CONTEXT))],
-                names=["doc_id", "th", *(n for n, _ in _RESULT), "text", "spans", "contexts"],
+                [part.column(0), part.column(1), part.column(2), *cols, pa.array(texts, pa.string()), pa.array(spans, pa.list_(_SPAN)), pa.array(contexts, pa.list_(_CONTEXT))],
+                names=["doc_id", "id", "th", *(n for n, _ in _RESULT), "text", "spans", "contexts"],
             )
 
 
-def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of rows (h, first, last, at, context): row, start in its context, place of the anchor,
-    and the four digits of every window."""
-    first, last, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "at"))
+def _context_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All contexts of a batch as one array of bytes, and where each begins."""
     text = batch.column("context")
     buffers, base = text.buffers(), text.offset
     cuts = np.frombuffer(buffers[1], np.int32)[base : base + len(text) + 1].astype(np.int64)
     data = np.frombuffer(buffers[2], np.uint8)[cuts[0] : cuts[-1]] if len(text) else np.empty(0, np.uint8)
+    return data, cuts[:-1] - cuts[0]
+
+
+def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (h, first, last, at, context) for every window: row, start in its context, start in
+    the bytes of all contexts, place of the anchor; and those bytes."""
+    first, last, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("first", "last", "at"))
+    data, begins = _context_bytes(batch)
     count = last - first + 1
     row = np.repeat(np.arange(len(count)), count)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = (cuts[:-1] - cuts[0])[row] + inside
-    blocks = _gram_hashes(data, DIGIT, _BYTE2)
-    return row, inside, at[row] - first[row] - inside, [blocks[start + k] for k in range(0, DEPTH, DIGIT)]
+    return row, inside, begins[row] + inside, at[row] - first[row] - inside, data
 
 
-def _tied(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Ranges of windows of whole anchor groups that are equal to another window."""
-    row, inside, place, digits = _windows(batch)
-    group = _mixed(batch.column("h").to_numpy().view(np.uint64)[row] ^ (place.astype(np.uint64) * _ODD))
-    left = np.arange(len(row))
-    for k in range(len(digits)):
-        key = _mixed(group ^ digits[k] * _ODD)
-        _, group, n = np.unique(key, return_inverse=True, return_counts=True)
+def _by_digits(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which windows are tied with another of their group after all digits, by passes over
+    digits of 50 bytes from the most significant; groups of one leave early. A digit is compared
+    by its hash; members of a group that is left are then compared byte by byte."""
+    left = np.arange(len(start))
+    blocks = _gram_hashes(data, DIGIT, _BYTE2) if len(data) >= DIGIT else np.empty(0, np.uint64)
+    for k in range(0, DEPTH, DIGIT):
+        _, group, n = np.unique(_mixed(group ^ blocks[start[left] + k] * _ODD), return_inverse=True, return_counts=True)
         tied = n[group] > 1
         left, group = left[tied], group[tied].astype(np.uint64)
-        digits = [x[tied] for x in digits]
         if len(left) == 0:
-            break
+            return left
+    order = np.argsort(group, kind="stable")
+    left, group = left[order], group[order]
+    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    head = np.repeat(begins, np.diff(np.r_[begins, len(group)]))
+    words = np.lib.stride_tricks.sliding_window_view(data, DEPTH)
+    unlike = np.zeros(len(left), bool)
+    for lo in range(0, len(left), 50_000):
+        own = slice(lo, lo + 50_000)
+        unlike[own] = (words[start[left[own]]] != words[start[left[head[own]]]]).any(axis=1)
+    if unlike.any():
+        # Hashes that met by chance: the few groups concerned are ordered by their bytes.
+        keep = ~np.isin(group, group[unlike])
+        again: dict[tuple[int, bytes], list[int]] = {}
+        for i in np.flatnonzero(~keep):
+            again.setdefault((int(group[i]), words[start[left[i]]].tobytes()), []).append(i)
+        keep[[i for found in again.values() if len(found) > 1 for i in found]] = True
+        left = left[keep]
+    return np.sort(left)
+
+
+def _tied(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Ranges of windows of whole anchor groups that are equal to another window."""
+    row, inside, start, place, data = _windows(batch)
+    group = _mixed(batch.column("h").to_numpy().view(np.uint64)[row] ^ (place.astype(np.uint64) * _ODD))
+    left = _by_digits(data, start, group)
     return _ranges(batch, row[left], inside[left])
 
 
@@ -188,7 +250,7 @@ def _ranges(batch: pa.RecordBatch, row: np.ndarray, inside: np.ndarray) -> pa.Re
     begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
     ends = np.r_[begins[1:] - 1, len(row) - 1] if len(row) else begins
     take = pa.array(row[begins])
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(start[begins].astype(np.int32)), pa.array(start[ends].astype(np.int32))], names=["doc_id", "th", "first", "last"])
+    return pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("th").take(take), pa.array(start[begins].astype(np.int32)), pa.array(start[ends].astype(np.int32))], names=["id", "th", "first", "last"])
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,26 +281,58 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            row, inside, place, digits = _windows(part)
+            row, inside, at, place, data = _windows(part)
+            blocks = _gram_hashes(data, DIGIT, _BYTE2) if len(data) else data
+            digits = [blocks[at + k] for k in range(0, DEPTH, DIGIT)]
             take = pa.array(row)
             start = inside + part.column("first").to_numpy().astype(np.int64)[row]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(take), part.column("th").take(take), part.column("h").take(take), pa.array(place.astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digits), pa.array(start.astype(np.int32))],
-                names=["doc_id", "th", "h", "place", "d0", "d1", "d2", "d3", "first"],
+                [part.column("id").take(take), part.column("th").take(take), part.column("h").take(take), pa.array(place.astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digits), pa.array(start.astype(np.int32))],
+                names=["id", "th", "h", "place", "d0", "d1", "d2", "d3", "first"],
             )
 
 
 def repeated_ranges(contexts: DataFrame, tasks: int) -> DataFrame:
-    """``(doc_id, th, first, last)`` of windows of the contexts that occur twice."""
-    own = "doc_id bigint, th bigint, first int, last int"
+    """``(id, th, first, last)`` of windows of the contexts that occur twice."""
+    own = "id bigint, th bigint, first int, last int"
     few = contexts.where(F.col("members") <= MEMBERS).repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_sort_groups, own)
     keys = ["h", "place", "d0", "d1", "d2", "d3"]
-    wide = contexts.where(F.col("members") > MEMBERS).mapInArrow(_spread, "doc_id bigint, th bigint, h bigint, place int, d0 bigint, d1 bigint, d2 bigint, d3 bigint, first int")
-    twice = wide.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    many = wide.join(twice, keys, "left_semi").select("doc_id", "th", "first", F.col("first").alias("last"))
+    wide = contexts.where(F.col("members") > MEMBERS).mapInArrow(_spread, "id bigint, th bigint, h bigint, place int, d0 bigint, d1 bigint, d2 bigint, d3 bigint, first int")
+    twice = wide.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    many = spread_join(wide, twice.select(*keys), keys, materialize(twice, "suffix-hot"), ["id", "th", "first"], "left_semi").select("id", "th", "first", F.col("first").alias("last"))
     return few.unionByName(many)
 
 
+def marked_anchors(rows: DataFrame) -> DataFrame:
+    """``(id, th, h, at, first, last, members, copied, open)`` of anchor rows whose stretch occurs
+    again (``copied``) or that stand for their stretch where their anchor has several (``open``).
+
+    Frequent pairs of anchor and stretch are known from the tasks' own counts, are fewer than
+    ``FREQUENT`` by construction, and mark their rows where these lie; one row of each goes on.
+    Frequent anchors are sorted by stretch in several tasks. The rest is sorted by anchor.
+    """
+    total = rows.where("kind = 0").count()
+    often = lambda kind, keys: F.broadcast(rows.where(F.col("kind") == kind).groupBy(*keys).agg(F.sum("id").alias("n")).where(F.col("n") >= max(HOT_ROWS, total // FREQUENT)))
+    pairs = often(1, ["h", "s"]).select("h", "s", F.lit(True).alias("frequent"))
+    anchors_ = often(2, ["h"]).select("h", F.col("n").alias("stretches"))
+    own = rows.where("kind = 0").drop("kind").join(pairs, ["h", "s"], "left")
+    place = ["id", "th", "h", "s", "first", "last", "at"]
+    settled = own.where("frequent").select(*place)
+    one = settled.groupBy("h", "s").agg(F.min(F.struct("id", "th", "first", "last", "at")).alias("one")).select("h", "s", "one.*")
+    rest = own.where("frequent is null").select(*place, F.lit(False).alias("frequent")).unionByName(one.select(*place, F.lit(True).alias("frequent")))
+    rest = rest.join(anchors_, "h", "left").withColumn("part", F.when(F.col("stretches").isNotNull(), F.pmod("s", F.lit(1024))).otherwise(0))
+    group = Window.partitionBy("h", "part")
+    by_stretch = group.orderBy("s")
+    new = F.coalesce(F.lag("s").over(by_stretch) != F.col("s"), F.lit(True))
+    copied = F.col("frequent") | ~new | F.coalesce(F.lead("s").over(by_stretch) == F.col("s"), F.lit(False))
+    marked = rest.withColumn("new", new).withColumn("copied", copied)
+    marked = marked.withColumn("members", F.coalesce("stretches", F.sum(F.col("new").cast("long")).over(group)))
+    marked = marked.withColumn("open", F.col("new") & (F.col("members") > 1)).where("copied or open")
+    out = ["id", "th", "h", "at", "first", "last", "members", "copied", "open"]
+    others = settled.select("id", "th", "h", "at", "first", "last", F.lit(0).cast("long").alias("members"), F.lit(True).alias("copied"), F.lit(False).alias("open"))
+    return marked.select(*out).unionByName(others)
+
+
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row.
 
@@ -246,25 +340,21 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     its places. A null text counts as empty, shorter texts have no windows, rows that repeat
     id and text are copies of each other; other columns are ignored.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    rows = keyed.mapInArrow(_anchor_rows, "doc_id bigint, th bigint, h bigint, s bigint, first int, last int, at int")
-    by_anchor = Window.partitionBy("h").orderBy("s")
-    group = Window.partitionBy("h")
-    new = F.coalesce(F.lag("s").over(by_anchor) != F.col("s"), F.lit(True))
-    copied = ~new | F.coalesce(F.lead("s").over(by_anchor) == F.col("s"), F.lit(False))
-    marked = rows.withColumn("new", new).withColumn("copied", copied).withColumn("members", F.sum(F.col("new").cast("long")).over(group))
-    marked = marked.withColumn("open", F.col("new") & (F.col("members") > 1)).where("copied or open")
-    found = marked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at", "first", "last", "members", "copied", "open")).alias("found"))
-    found = found.withColumnsRenamed({"doc_id": "fid", "th": "fth"})
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["fid"]) & (keyed["th"] == found["fth"]), "left").select("doc_id", "th", "text", "found")
+    tasks = n_tasks(docs)
+    # A null id can't be a join key; equal texts are copies, so that any value serves for it.
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    anchor = "kind tinyint, id bigint, th bigint, h bigint, s bigint, first int, last int, at int"
+    rows = materialize(keyed.select("id", "th", "text").mapInArrow(_anchor_rows, anchor), "suffix-anchors")
+    found = marked_anchors(rows).groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "first", "last", "members", "copied", "open")).alias("found"))
+    joined = keyed.join(found, ["id", "th"], "left").select("doc_id", "id", "th", "text", "found")
     result = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     span = "array<struct<first: int, last: int>>"
-    settled = materialize(joined.mapInArrow(_settle, f"doc_id bigint, th bigint, {result}, text string, spans {span}, contexts array<struct<h: bigint, at: int, first: int, last: int, members: bigint, context: binary>>"), "suffix")
-    contexts = settled.where("text is not null").select("doc_id", "th", F.inline("contexts"))
-    ranges = repeated_ranges(contexts, n_tasks(docs)).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("more"))
-    ranges = ranges.withColumnsRenamed({"doc_id": "fid", "th": "fth"})
-    pending = settled.where("text is not null").select("doc_id", "th", "text", "spans")
-    pending = pending.join(ranges, pending["doc_id"].eqNullSafe(ranges["fid"]) & (pending["th"] == ranges["fth"]), "left").select("doc_id", "text", "spans", "more")
+    settled = joined.mapInArrow(_settle, f"doc_id bigint, id bigint, th bigint, {result}, text string, spans {span}, contexts array<struct<h: bigint, at: int, first: int, last: int, members: bigint, context: binary>>")
+    settled = materialize_buckets(settled, "suffix", ["id", "th"], tasks)
+    contexts = settled.where("text is not null").select("id", "th", F.inline("contexts"))
+    ranges = repeated_ranges(contexts, tasks).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("more"))
+    pending = settled.where("text is not null").select("doc_id", "id", "th", "text", "spans").join(ranges, ["id", "th"], "left").select("doc_id", "text", "spans", "more")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

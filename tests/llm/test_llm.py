@@ -402,9 +402,10 @@ def test_op9_tables_of_frequent_words():
     assert set(range(20_000, 20_040)) <= set(at.tolist()) and "5" in items
 
 
-@pytest.mark.parametrize("members", [10_000, 0])
-def test_op10_repeated_bytes(spark, corpus, none, members, monkeypatch):
+@pytest.mark.parametrize("members, hot", [(10_000, 1000), (0, 1000), (10_000, 2), (0, 2)])
+def test_op10_repeated_bytes(spark, corpus, none, members, hot, monkeypatch):
     monkeypatch.setattr(suffix, "MEMBERS", members)
+    monkeypatch.setattr(suffix, "HOT_ROWS", hot)
     rng = random.Random(3)
     shared = "".join(rng.choice("abcdefgh é") for _ in range(700))
     extra = []
@@ -430,6 +431,24 @@ def test_op10_repeated_bytes(spark, corpus, none, members, monkeypatch):
     assert suffix.repeated_substrings(none).count() == 0
 
 
+def test_op10_bytes_decide_where_hashes_meet(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 4000, dtype=np.uint8)
+    data[1000:1300] = data[0:300]
+    data[2000:2300] = data[500:800]
+    start = np.array([0, 500, 1000, 2000, 3000, 3300])
+    monkeypatch.setattr(suffix, "_gram_hashes", lambda d, size, table: np.zeros(len(d) - size + 1, np.uint64))
+    assert suffix._by_digits(data, start, np.zeros(len(start), np.uint64)).tolist() == [0, 1, 2, 3]
+
+
+def test_op10_text_over_a_piece(spark):
+    rng = random.Random(13)
+    long_ = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(0, long_), (1, "own " + long_[130_900:131_400] + " words"), (2, "z" * 150)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (500, 1), 1: (500, 1), 2: (0, 0)}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 
