@@ -34,7 +34,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage is cut, and a lost
     executor costs at most the tasks that were running on it."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,7 +44,7 @@ def materialize_buckets(df: DataFrame, tag: str, keys: list[str], buckets: int)
     them, give a file for each bucket."""
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.format("parquet").option("path", scratch_path(spark, tag)).bucketBy(buckets, *keys).saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, tag)).bucketBy(buckets, *keys).saveAsTable(name)
     return spark.table(name)
 
 
