@@ -48,6 +48,16 @@ def parse_location(location: Column) -> tuple[Column, Column]:
     return city, state_of(region_of(location))
 
 
+#: Words that say nothing about a niche.
+NICHE_STOPWORDS = ["the", "and", "of", "in", "a", "best", "top", "local", "affordable", "near", "medical", "business", "businesses", "services", "service", "company", "near me", "good", "cheap"]
+
+
+def taxonomy_term(niche: Column) -> Column:
+    """The last telling word of a niche, to look a speciality up by; empty if there is none."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(niche, F.lit(""))), F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.length(w) >= 3) & ~w.isin(NICHE_STOPWORDS))
+    return F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
+
+
 #: Query variants as (niche pattern, prefix of the city) (fixed values).
 TILES = [("{}", None), *(("{}", p) for p in ("Downtown ", "North ", "South ", "East ", "West ", "Central ")), ("best {}", None), ("{} services", None), ("top {}", None)]
 

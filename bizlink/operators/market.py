@@ -16,8 +16,13 @@ PROFILES = [
     ("Solar", ["solar", "photovoltaic"]),
     ("Restoration (water/fire/mold)", ["restoration", "water damage", "fire damage", "mold", "disaster"]),
     ("Landscaping / Lawn", ["landscap", "lawn", "hardscape", "irrigation", "lawn care", "tree service"]),
+    ("Concrete / Masonry / Paving", ["concrete", "masonry", "paving", "asphalt", "driveway"]),
+    ("Painting", ["paint"]),
+    ("Remodeling / General Contractor", ["remodel", "kitchen", "bath", "general contractor", "construction", "builder", "contractor", "renovation"]),
+    ("Restaurant", ["restaurant", "cafe", "coffee", "bar", "grill", "pizzeria", "pizza", "diner", "eatery", "bakery", "bistro", "pub", "taco", "sushi", "kitchen"]),
+    ("Hospitality / Lodging", ["hotel", "motel", "inn", "lodge", "resort", "hostel", "suites", "bed and breakfast", "b&b", "guest house"]),
 ]
-FALLBACK = "General local service"
+FALLBACK = "Local business"
 
 
 def profile_of(category: Column, profiles: list[tuple[str, list[str]]] | None = None) -> Column:

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 NPI = "struct<number: string, basic: struct<organization_name: string, first_name: string, last_name: string>, addresses: array<struct<address_purpose: string, address_1: string, address_2: string, city: string, state: string, postal_code: string, telephone_number: string>>, taxonomies: array<struct<desc: string, primary: boolean>>>"
 LD = "struct<name: string, telephone: string, description: string, url: string, servesCuisine: string, sameAs: array<string>, address: struct<streetAddress: string, addressLocality: string, addressRegion: string, postalCode: string>, aggregateRating: struct<ratingValue: string, reviewCount: string, ratingCount: string>>"
-#: Stems of medical niches (fixed values).
-MEDICAL = "dentist dental orthodont doctor physician medical clinic chiropract therap psycholog psychiatr counsel optomet ophthalm pediatr dermatolog cardiolog surgeon podiatr pharmac nurse urgent hospital acupunct audiolog".split()
+#: Marks of medical niches.
+MEDICAL = [
+    "medical", "clinic", "health", "doctor", "physician", "dentist", "dental", "hospital", "urgent care", "pediatric", "therapy", "therapist", "chiropract", "psych", "mental", "rehab", "nursing",
+    "care", "surgery", "surgeon", "optometr", "optical", "dermatolog", "cardiolog", "orthoped", "pharmacy", "wellness", "diagnostic", "radiology", "veterinar", "obgyn", "gynecolog", "podiatr",
+    "acupunctur", "chiropractor", "physiotherap", "imaging", "lab", "hospice", "home health", "behavioral", "counseling", "midwife", "audiolog",
+]
 SOCIAL_HOSTS = "facebook.com|instagram.com|twitter.com|x.com|linkedin.com|youtube.com"
 
 
@@ -33,7 +37,8 @@ def npi_listing(raw: DataFrame) -> DataFrame:
 
 
 def is_medical(niche: Column) -> Column:
-    return F.lower(niche).rlike("|".join(MEDICAL))
+    low = F.lower(F.coalesce(niche, F.lit("")))
+    return F.exists(F.array(*(F.lit(m) for m in MEDICAL)), lambda m: F.contains(low, m))
 
 
 def npi_select(listings: DataFrame, term: Column, most: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bizlink.functions import contact as C
 from bizlink.functions import identity as I
 from bizlink.functions import pages as P
-from bizlink.functions.places import parse_location
+from bizlink.functions.places import parse_location, taxonomy_term
 from bizlink.operators import lookups
 from bizlink.operators.select import first_by
 from bizlink.plans.registry import query
@@ -21,7 +21,7 @@ _NORM = lambda e: f"regexp_replace(regexp_replace(lower(trim({e})), '^\\.+|\\.+$
 _END = lambda e: f"split_part({_DOM(e)}, '.', -1)"
 _JUNK = lambda e: (
     f"({_LOC(e)} = '' OR NOT regexp_full_match({_DOM(e)}, '[^.]+(\\.[^.]+)+') OR {_DOM(e)} IN {_IN(C.PLACEHOLDER_DOMAINS)} OR {_LOC(e)} IN {_IN(C.PLACEHOLDER_LOCALS)} OR regexp_matches({_LOC(e)}, '^[a-f0-9]{{16,}}$') OR regexp_matches({e}, '@[0-9]x$') "
-    f"OR contains({_DOM(e)}, 'sentry') OR contains({_DOM(e)}, 'ingest') OR (contains({_LOC(e)}, '.') AND split_part({_LOC(e)}, '.', 1) IN {_IN(C.ASSET_HOSTS)}) OR {_END(e)} IN {_IN(C.ASSET_ENDINGS)} OR (length({_END(e)}) <> 2 AND {_END(e)} NOT IN {_IN(C.LONG_ENDINGS)}))"
+    f"OR contains({_DOM(e)}, 'sentry') OR contains({_DOM(e)}, 'ingest') OR (contains({_LOC(e)}, '.') AND split_part({_LOC(e)}, '.', 1) IN {_IN(C.ASSET_HOSTS)}) OR {_END(e)} IN {_IN(C.ASSET_ENDINGS)} OR {_END(e)} IN {_IN(C.SCRIPT_WORDS)} OR (length({_END(e)}) <> 2 AND {_END(e)} NOT IN {_IN(C.LONG_ENDINGS)}))"
 )
 _SCORE = lambda e, d: (
     f"CASE WHEN lower({_DOM(e)}) IN {_IN(C.GENERIC_DOMAINS)} THEN 10 ELSE CASE WHEN regexp_matches(lower({_LOC(e)}), '^[a-z][a-z.]+[a-z]$') AND length({_LOC(e)}) >= 4 THEN CASE WHEN contains({_LOC(e)}, '.') THEN 80 ELSE 60 END "
@@ -29,10 +29,17 @@ _SCORE = lambda e, d: (
 )
 
 
-@query(f"SELECT doc_id, email FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(replace(text, '.example.com', '.biz.com'), '{C.EMAIL}'), lambda e: {_NORM('e')}))) AS email FROM documents) WHERE NOT {_JUNK('email')}")
+#: Documents with addresses that end as real ones do, some spelled in words.
+_MAILS = "concat(replace(text, '.example.com', '.biz.com'), CASE doc_id % 3 WHEN 0 THEN concat(' write to joe', CAST(doc_id AS STRING), ' [at] acme [dot] plumbing') ELSE '' END)"
+_RAW = f"regexp_extract(t, '{C.SPELLED}', 1)"
+_PLAIN = f"trim(trim(regexp_replace(regexp_replace({_RAW}, '\\s*\\[?\\s*(?:at|@)\\s*\\]?\\s*', '@'), '\\s*\\[?\\s*(?:dot|\\.)\\s*\\]?\\s*', '.', 'g')), '[]()')"
+
+
+@query(f"SELECT DISTINCT doc_id, email FROM (SELECT doc_id, unnest(list_append(list_transform(regexp_extract_all(t, '{C.EMAIL}'), lambda e: {_NORM('e')}), CASE WHEN regexp_matches({_PLAIN}, '^{C.EMAIL}') THEN {_NORM(_PLAIN)} END)) AS email FROM (SELECT doc_id, {_MAILS} AS t FROM documents)) WHERE email IS NOT NULL AND NOT {_JUNK('email')}")
 def f13_email_harvest(spark, sf_dir):
-    text = F.replace(F.col("text"), F.lit(".example.com"), F.lit(".biz.com"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(C.harvest_emails(text)).alias("email"))
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.replace(F.col("text"), F.lit(".example.com"), F.lit(".biz.com")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" write to joe"), F.col("doc_id").cast("string"), F.lit(" [at] acme [dot] plumbing"))).otherwise(""))
+    return docs.select("doc_id", F.explode(C.harvest_emails(text)).alias("email"))
 
 
 @query(f"SELECT lead_id, ord, regexp_matches(email, '^{C.EMAIL}$') AS ok, {_SCORE('email', 'domain')} AS score FROM v_emails")
@@ -49,8 +56,7 @@ _PH = "(SELECT lead_id, ord, phone || CASE lead_id % 3 WHEN 0 THEN ' ext 12' WHE
 _DIG = "regexp_replace(regexp_replace(raw, '(?i)\\s*(?:ext|x|#).*$', ''), '\\D', '', 'g')"
 _TEN0 = f"CASE WHEN length({_DIG}) = 11 AND {_DIG} LIKE '1%' THEN right({_DIG}, 10) WHEN length({_DIG}) = 10 THEN {_DIG} END"
 _TEN = f"CASE WHEN regexp_matches({_TEN0}, '^[2-9]\\d{{2}}[2-9]\\d{{6}}$') THEN {_TEN0} END"
-_AREAS = {k: v for v, ks in lookups.AREA_CODES.items() for k in ks}
-_STATE = "CASE substring(ten, 1, 3) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _AREAS.items()) + " END"
+_STATE = "CASE substring(ten, 1, 3) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lookups.AREA_CODES.items()) + " END"
 
 
 @query(f"SELECT lead_id, ord, ten IS NOT NULL AS valid, CASE WHEN ten IS NULL THEN 'unknown' WHEN substring(ten, 1, 3) IN {_IN(C.TOLL_FREE)} THEN 'toll_free' ELSE 'fixed_line_or_mobile' END AS kind, concat('(' || substring(ten, 1, 3), ') ' || substring(ten, 4, 3), '-' || substring(ten, 7, 4)) AS national, {_STATE} AS area_code, CASE WHEN ten IS NULL THEN 0 ELSE 5 + CASE WHEN substring(ten, 1, 3) IN {_IN(C.TOLL_FREE)} THEN 3 ELSE 0 END + CASE WHEN {_STATE} IS NOT NULL THEN 2 ELSE 0 END END AS score FROM (SELECT *, {_TEN} AS ten FROM {_PH} WHERE raw IS NOT NULL) ".replace("concat('(' || substring(ten, 1, 3), ') ' || substring(ten, 4, 3), '-' || substring(ten, 7, 4))", "'(' || substring(ten, 1, 3) || ') ' || substring(ten, 4, 3) || '-' || substring(ten, 7, 4)"))
@@ -136,7 +142,7 @@ def x1_visible_text(spark, sf_dir):
 #: Pages with the marks the given ones lack, added by arithmetic; the same text in both engines.
 MARKED = """(SELECT page_id, url, concat(html, CASE page_id % 6 WHEN 0 THEN '<script src="https://cdn.shopify.com/x.js"></script>' WHEN 1 THEN '<link href="/wp-content/a.css">' WHEN 2 THEN '<p>This domain is parked</p>' ELSE '' END,
  CASE page_id % 4 WHEN 0 THEN '<a href="https://www.facebook.com/Acme.Co/">f</a><script>fbq("init")</script>' WHEN 1 THEN '<a href="https://instagram.com/acme_1">i</a> <a href="https://www.doordash.com/store">d</a>' WHEN 2 THEN '<iframe src="https://toasttab.com/x"></iframe>' ELSE '' END,
- CASE page_id % 5 WHEN 0 THEN '<p>Founded in 1987, serving since 1991. Established in 2001.</p>' WHEN 1 THEN '<p>Team of 42 people</p>' WHEN 2 THEN '<script type="application/ld+json">{{"name":"Acme","numberOfEmployees":"17"}}</script>' ELSE '' END,
+ CASE page_id % 5 WHEN 0 THEN '<p>Founded in 1987, serving since 1991. Established in 2001.</p>' WHEN 1 THEN '<p>Team of 42 people</p>' WHEN 2 THEN '<script type="application/ld+json">{{"name":"Acme","numberOfEmployees":17,"foundingDate":"1979-01-01"}}</script>' WHEN 3 THEN concat('<script type="application/ld+json">[{{"a":1}},{{"description":"A shop with a long history, number ', CAST(page_id AS STRING), '"}}]</script>') ELSE '<footer>Copyright © 1999-2024 Acme. We employ about 300.</footer>' END,
  CASE page_id % 7 WHEN 0 THEN '<meta name="description" content="A family business for all kinds of roofs">' WHEN 1 THEN '<p>Founded by John Smith.</p>' WHEN 2 THEN '<p>Posted March 15, 2024 and 2024-06-01</p>' ELSE '' END) AS html,
  CAST(CASE page_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 429 ELSE 200 END AS INT) AS code FROM {pages})"""
 _MARKED = MARKED.format(pages="pages").replace("{{", "{").replace("}}", "}")
@@ -149,22 +155,23 @@ def marked(spark, sf_dir):
 _ANY = lambda words, text: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT page_id, {_ANY(P.PARKED, 'lower(html)')} AS parked, CASE WHEN code < 400 THEN CASE WHEN {_ANY(P.PARKED, 'lower(html)')} THEN 'dead' ELSE 'active' END WHEN code = 429 THEN 'active' ELSE 'dead' END AS status, CASE WHEN {_ANY(P.CHALLENGES, 'lower(substring(html, 1, 4000))')} OR code IN (403, 429) THEN 'blocked' WHEN code >= 500 THEN 'target_down' WHEN code >= 400 THEN 'reject' ELSE 'ok' END AS outcome FROM {_MARKED}")
+@query(f"SELECT page_id, {_ANY(P.PARKED, 'lower(html)')} AS parked, CASE WHEN code < 400 THEN CASE WHEN {_ANY(P.PARKED, 'lower(html)')} THEN 'dead' ELSE 'active' END WHEN code = 429 THEN 'active' ELSE 'dead' END AS status, CASE WHEN {_ANY(P.CHALLENGES, 'lower(substring(html, 1, 4000))')} OR code IN (401, 403, 429) THEN 'blocked' WHEN code >= 500 THEN 'target_down' WHEN code >= 400 THEN 'reject' ELSE 'ok' END AS outcome FROM {_MARKED}")
 def p11_p13_page_status(spark, sf_dir):
     html, code = F.col("html"), F.col("code")
     return marked(spark, sf_dir).select("page_id", P.is_parked(html).alias("parked"), P.site_status(code, html, F.col("url")).alias("status"), P.fetch_outcome(code, html).alias("outcome"))
 
 
-_PATH = "lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1))"
+_PATH = "lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1))"
 
 
-@query(f"SELECT page_id, CASE WHEN {_PATH} IN ('', '/') THEN 'home' " + " ".join(f"WHEN regexp_matches({_PATH}, '{p}') THEN '{k}'" for k, p in P.PAGE_KINDS.items()) + " ELSE 'other' END AS kind FROM pages")
+@query(f"SELECT page_id, CASE WHEN {_PATH} IN ('', '/') THEN 'home' " + " ".join(f"WHEN {_ANY(P.PAGE_WORDS[k], _PATH)} THEN '{k}'" for k in P.PATHS) + f" WHEN rtrim({_PATH}, '/') IN {_IN(P.CONTACT_PATHS)} THEN 'contact' ELSE 'other' END AS kind, {_ANY(P.SITEMAP_WORDS, _PATH)} AS relevant, CASE WHEN rtrim({_PATH}, '/') = '' THEN 0 ELSE list_position({_LIST(P.CONTACT_PATHS)}, rtrim({_PATH}, '/')) END AS contact_order FROM pages")
 def p14_page_kind(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", P.page_kind(F.col("url")).alias("kind"))
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", P.page_kind(url).alias("kind"), P.sitemap_relevant(url).alias("relevant"), P.path_order(url, P.CONTACT_PATHS).alias("contact_order"))
 
 
 _LAB = lambda marks: "list_filter([" + ", ".join(f"CASE WHEN contains(lower(html), '{m}') THEN '{n}' END" for m, n in marks.items()) + "], lambda x: x IS NOT NULL)"
-_CMSQ = "CASE " + " ".join(f"WHEN {_ANY(m, 'lower(html)')} THEN '{n}'" for n, m in P.CMS.items()) + " END"
+_CMSQ = "CASE " + " ".join(f"WHEN {_ANY([x.lower() for x in m], 'lower(html)')} THEN '{n}'" for n, m in P.CMS.items()) + " END"
 _DED = lambda marks: f"array_to_string(list_filter({_LAB(marks)}, lambda x, i: list_position({_LAB(marks)}, x) = i), ',')"
 
 
@@ -180,20 +187,47 @@ def x10_social_links(spark, sf_dir):
     return marked(spark, sf_dir).select("page_id", *(P.social_link(F.col("html"), s).alias(s) for s in P.SOCIAL))
 
 
-_YEARS = "list_sort(list_filter(list_transform(list_concat(" + ", ".join(f"regexp_extract_all(html, '{p}', 1)" for p in P._FOUNDED[:2]) + f", regexp_extract_all(html, '{P._FOUNDED[2]}', 1)), lambda y: CAST(y AS INT)), lambda y: y BETWEEN 1700 AND 2025))"
+_SQ = lambda p: p.replace("'", "''")
+_INT = lambda p: f"TRY_CAST(regexp_extract(html, '{_SQ(p)}', 1) AS INT)"
+_YEARS = "list_sort(list_filter(list_transform(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(html, '{p}', 1)" for p in P.FOUNDED[:2]) + "), list_concat(" + ", ".join(f"regexp_extract_all(html, '{p}', 1)" for p in P.FOUNDED[2:]) + ")), lambda y: CAST(y AS INT)), lambda y: y BETWEEN 1700 AND 2025))"
 
 
-@query(f"SELECT page_id, y[len(y) // 2 + 1] AS founded FROM (SELECT page_id, {_YEARS} AS y FROM {_MARKED})")
+@query(f"SELECT page_id, CASE WHEN f BETWEEN 1700 AND 2026 THEN f END AS founded FROM (SELECT page_id, coalesce({_INT(P.FOUNDED_SCHEMA)}, y[len(y) // 2 + 1], {_INT(P.COPYRIGHT_RANGE)}, CASE WHEN page_id % 3 = 0 THEN 2011 END) AS f FROM (SELECT page_id, html, {_YEARS} AS y FROM {_MARKED}))")
 def a12_x5_year_founded(spark, sf_dir):
-    return marked(spark, sf_dir).select("page_id", P.year_founded(F.col("html"), 2026).alias("founded"))
+    domain = F.when(F.col("page_id") % 3 == 0, 2011)
+    return marked(spark, sf_dir).select("page_id", P.year_founded(F.col("html"), 2026, domain).alias("founded"))
 
 
-_EMP = "coalesce(" + ", ".join(f"CASE WHEN TRY_CAST(regexp_extract(html, '{p}', 1) AS INT) BETWEEN 1 AND 50000 THEN TRY_CAST(regexp_extract(html, '{p}', 1) AS INT) END" for p in (r'"numberOfEmployees"\s*:\s*"?(\d{1,5})', r'itemprop="numberOfEmployees"\s+content="(\d{1,5})"', *P._STAFF)) + ")"
+_EMP = "coalesce(" + ", ".join([_INT(p) for p in (P.STAFF_SCHEMA, *P.STAFF_ITEM)] + [f"CASE WHEN {_INT(p)} BETWEEN 1 AND 50000 THEN {_INT(p)} END" for p in P.STAFF]) + ")"
+_DESC = "trim(regexp_extract(html, '(?i)<meta\\s+(?:name|property)=\"description\"\\s+content=\"([^\"]*)\"', 1))"
 
 
-@query(f"SELECT page_id, {_EMP} AS staff, CASE WHEN length(trim(regexp_extract(html, '(?i)<meta\\s+(?:name|property)=\"description\"\\s+content=\"([^\"]*)\"', 1))) > 20 THEN trim(regexp_extract(html, '(?i)<meta\\s+(?:name|property)=\"description\"\\s+content=\"([^\"]*)\"', 1)) END AS description FROM {_MARKED}")
+@query(f"SELECT page_id, CASE WHEN e BETWEEN 1 AND 50000 THEN e END AS staff, CASE WHEN length(d) > 20 THEN d END AS description, CASE WHEN page_id % 5 = 3 THEN concat('A shop with a long history, number ', page_id) END AS schema_description FROM (SELECT page_id, {_EMP} AS e, {_DESC} AS d FROM {_MARKED})")
 def x2_x4_page_facts(spark, sf_dir):
-    return marked(spark, sf_dir).select("page_id", P.employee_count(F.col("html")).alias("staff"), P.meta_description(F.col("html")).alias("description"))
+    html = F.col("html")
+    return marked(spark, sf_dir).select("page_id", P.employee_count(html).alias("staff"), P.meta_description(html).alias("description"), P.schema_description(html).alias("schema_description"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size + 2 WHEN 1 THEN 3 + p_size % 4 ELSE NULL END AS people FROM part")
+def x4_team_count(spark, sf_dir):
+    k, size = F.col("p_partkey") % 3, F.col("p_size")
+    cards = F.concat(F.lit("<li class='x'>a</li>"), F.repeat(F.lit("<div id=1 class='our-Team-card'><b>A</b></div>"), size + 2))
+    names = F.concat_ws(" | ", F.transform(F.sequence(F.lit(1), 3 + size % 4), lambda i: F.concat(F.lit("<p>Ann "), F.get(F.array(*(F.lit(n) for n in ("Lee", "Ray", "Fox", "Day", "Roe", "Poe", "Low"))), i - 1), F.lit("</p>"))))
+    return table(spark, sf_dir, "part").select("p_partkey", P.team_count(F.when(k == 0, cards).when(k == 1, names).otherwise("<p>Ann Lee, Privacy Policy</p>")).alias("people"))
+
+
+@query("SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN [p_name] WHEN 1 THEN [p_name, 'two'] WHEN 2 THEN [p_name, 'in graph'] ELSE ['item', p_name] END) AS name FROM part")
+def s5_json_ld_items(spark, sf_dir):
+    k, name = F.col("p_partkey") % 4, F.concat(F.lit('{"name":"'), F.col("p_name"), F.lit('"}'))
+    text = F.when(k == 0, name).when(k == 1, F.concat(F.lit("["), name, F.lit(',{"name":"two"}]'))).when(k == 2, F.concat(F.lit('{"@context":"x","@graph":['), name, F.lit(',{"name":"in graph"}]}')))
+    text = text.otherwise(F.concat(F.lit('{"itemListElement":[{"position":1,"item":{"name":"item"}},'), name, F.lit("]}")))
+    html = F.concat(F.lit('<script type="application/ld+json">'), text, F.lit("</script>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(P.json_ld_items(html)).alias("o")).select("p_partkey", F.get_json_object("o", "$.name").alias("name"))
+
+
+@query("SELECT p_partkey, coalesce(list_filter(regexp_extract_all(lower(p_name || ' services'), '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'of', 'in', 'a', 'best', 'top', 'local', 'affordable', 'near', 'medical', 'business', 'businesses', 'services', 'service', 'company', 'good', 'cheap'))[-1], '') AS term FROM part")
+def f17_taxonomy_term(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", taxonomy_term(F.concat("p_name", F.lit(" services"))).alias("term"))
 
 
 @query(f"SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*type=\"application/ld\\+json\"[^>]*>(.*?)</script>', 1)) AS block FROM {_MARKED}")
@@ -201,15 +235,14 @@ def s5_json_ld_blocks(spark, sf_dir):
     return marked(spark, sf_dir).select("page_id", F.explode(P.json_ld(F.col("html"))).alias("block"))
 
 
-@query(f"SELECT page_id, CASE WHEN contains(html, '<p>Founded by John Smith.</p>') THEN 'John Smith' END AS owner FROM {_MARKED} WHERE page_id % 7 = 1 OR page_id % 7 = 2")
+@query()
 def f16_owner_name(spark, sf_dir):
-    text = F.concat(F.lit("x "), F.regexp_extract("html", r"<p>(Founded by [A-Za-z ]+\.)</p>", 1))
-    return marked(spark, sf_dir).where("page_id % 7 = 1 or page_id % 7 = 2").select("page_id", C.owner_name(text).alias("owner"))
+    return marked(spark, sf_dir).select("page_id", C.owner_name(P.visible_text(F.col("html"))).alias("owner"))
 
 
-@query(f"SELECT DISTINCT w AS word_pair, regexp_matches(w, '^[A-Z][a-zA-Z''-]* [A-Z][a-zA-Z''-]*$') AND lower(split_part(w, ' ', 1)) NOT IN {_IN(C.NOT_NAMES)} AND lower(split_part(w, ' ', 2)) NOT IN {_IN(C.NOT_NAMES)} AND length(split_part(w, ' ', 1)) >= 3 AND length(split_part(w, ' ', 2)) >= 3 AS ok FROM (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+ [A-Za-z][a-z]+)')) AS w FROM documents WHERE lang = 'en')")
+@query(f"SELECT DISTINCT w AS word_pair, regexp_matches(w, '^[A-Z][a-zA-Z''-]* [A-Z][a-zA-Z''-]*$') AND lower(split_part(w, ' ', 1)) NOT IN {_IN(C.NOT_NAMES)} AND lower(split_part(w, ' ', 2)) NOT IN {_IN(C.NOT_NAMES)} AND length(split_part(w, ' ', 1)) >= 3 AND length(split_part(w, ' ', 2)) >= 3 AS ok FROM (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+ [A-Za-z][a-z]+)')) AS w FROM documents)")
 def f15_person_names(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+ [A-Za-z][a-z]+)"), F.lit(1))).alias("word_pair"))
+    pairs = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+ [A-Za-z][a-z]+)"), F.lit(1))).alias("word_pair"))
     return pairs.distinct().select("word_pair", C.plausible_person(F.col("word_pair")).alias("ok"))
 
 

@@ -238,10 +238,17 @@ def j12_competitors(spark, sf_dir):
     return market.competitors(view(spark, sf_dir, "leads"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_name LIKE '%roof%' THEN 'Roofing' WHEN p_name LIKE '%electric%' OR p_name LIKE '%gear%' THEN 'Gear' WHEN p_name LIKE '%red%' THEN 'Red' ELSE 'General local service' END AS profile FROM part")
+#: Trade words set behind part names, so that every profile and the fallback occur.
+_TRADES = ["roof repair", "AC repair", "plumber", "electrician", "solar", "mold", "tree service", "paving", "house painting", "kitchen remodeling", "bakery", "motel", "pet grooming"]
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 13 WHEN 0 THEN 'Roofing' WHEN 1 THEN 'HVAC' WHEN 2 THEN 'Plumbing' WHEN 3 THEN 'Electrical' WHEN 4 THEN 'Solar' WHEN 5 THEN 'Restoration (water/fire/mold)' WHEN 6 THEN 'Landscaping / Lawn' "
+    "WHEN 7 THEN 'Concrete / Masonry / Paving' WHEN 8 THEN 'Painting' WHEN 9 THEN 'Remodeling / General Contractor' WHEN 10 THEN 'Restaurant' WHEN 11 THEN 'Hospitality / Lodging' ELSE 'Local business' END AS profile FROM part"
+)
 def j13_vertical_profile(spark, sf_dir):
-    profiles = [("Roofing", ["roof"]), ("Gear", ["electric", "gear"]), ("Red", ["red"])]
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", market.profile_of(F.col("p_name"), profiles).alias("profile"))
+    trade = F.get(F.array(*(F.lit(t) for t in _TRADES)), (F.col("p_partkey") % 13).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", market.profile_of(F.initcap(trade)).alias("profile"))
 
 
 @query("SELECT lead_id, CASE WHEN google_review_count > 0 AND year_founded > 0 THEN floor((google_review_count * 20 + greatest(1, 2026 - year_founded)) / (greatest(1, 2026 - year_founded) * 2)) / 10 ELSE NULL END AS velocity FROM v_leads")

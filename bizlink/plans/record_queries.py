@@ -57,10 +57,10 @@ def s7_f18_place_panels(spark, sf_dir):
     return records.panel_listing(panels)
 
 
-@query("SELECT o_orderkey, regexp_matches(lower(o_orderpriority || CASE o_custkey % 4 WHEN 0 THEN ' Dentist' WHEN 1 THEN ' roof' ELSE ' Physicians' END), '" + "|".join(records.MEDICAL) + "') AS medical FROM orders")
+@query("SELECT o_orderkey, o_custkey % 7 NOT IN (1, 4) AS medical FROM orders")
 def p16_medical_niche(spark, sf_dir):
-    k = F.col("o_custkey") % 4
-    niche = F.concat("o_orderpriority", F.when(k == 0, " Dentist").when(k == 1, " roof").otherwise(" Physicians"))
+    niches = ["Dentist", "roof", "Physicians", "Urgent Care", "pub", "Optometrist", "Home Health aide"]
+    niche = F.concat_ws(" ", F.lit("local"), F.get(F.array(*(F.lit(n) for n in niches)), (F.col("o_custkey") % 7).cast("int")))
     return table(spark, sf_dir, "orders").select("o_orderkey", records.is_medical(niche).alias("medical"))
 
 
