@@ -1,10 +1,12 @@
 """Surrogates for personal data (operator 5).
 
-Entities are found by pattern: e-mail addresses, phone numbers, IPv4 addresses, payment card
-numbers, secret tokens, and the parts of personal names after a form of address or with a
-known given name. Each distinct entity of the corpus gets one replacement of its own type,
+Entities are found by pattern: e-mail addresses, phone numbers, IPv4 addresses, payment card,
+social security and bank account numbers, secret tokens and keys, and the parts of personal
+names after a form of address or with a known given name. Each distinct entity of the corpus gets one replacement of its own type,
 made from a keyed hash (HMAC-SHA256) of its canonical form: names keep gender and script,
-numbers keep layout, card numbers keep their check digit valid or not, tokens their alphabet.
+numbers keep layout, card numbers keep their check digit valid or not, account numbers country
+and a valid check, keys their prefix, tokens their alphabet. Family names, and given names once
+the known ones are taken, are put together from syllables of their script.
 Replacements are checked against each other and against all real values of the type; the
 loser of a collision tries its next hash, until none is left, so distinct entities stay
 distinct and equal ones equal in all documents. Given and family names are replaced one by
@@ -23,22 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlink.llm.common import materialize
+from bizlink.llm.common import fresh, materialize, spread_join
 
-#: Given names by gender and script, family names by script, forms of address.
+#: Given names by gender and script.
 GIVEN = {
-    ("f", "latin"): "Anna Clara Elena Emma Eva Greta Helen Ines Julia Karin Laura Lucia Maria Marta Nora Olga Paula Rosa Sofia Vera".split(),
-    ("m", "latin"): "Adam Bruno Carl David Erik Felix Georg Hugo Ivan Jakob Karl Leon Martin Niels Oscar Paul Robert Simon Thomas Viktor".split(),
+    ("f", "latin"): "Anna Barbara Clara Elena Elizabeth Emily Emma Eva Greta Helen Ines Jennifer Jessica Julia Karen Karin Laura Linda Lucia Maria Marta Mary Nancy Nora Olga Patricia Paula Rosa Sarah Sofia Susan Vera".split(),
+    ("m", "latin"): "Adam Bruno Carl Charles Daniel David Erik Felix Georg George Hugo Ivan Jakob James John Joseph Karl Leon Martin Michael Niels Oscar Paul Peter Richard Robert Simon Thomas Viktor William".split(),
     ("f", "cyrillic"): "Анна Вера Елена Ирина Мария Нина Ольга Софья".split(),
     ("m", "cyrillic"): "Борис Виктор Иван Лев Максим Олег Павел Сергей".split(),
     ("f", "greek"): "Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
     ("m", "greek"): "Γιώργος Δημήτρης Κώστας Νίκος Πέτρος Σπύρος".split(),
 }
-FAMILY = {
-    "latin": "Abel Baum Costa Dahl Egger Faber Garcia Holm Ibsen Jansen Keller Lund Moreau Nilsen Orsini Petit Quist Roth Silva Torres Ulrich Vogel Weber Yates Zeller".split(),
-    "cyrillic": "Беляев Волков Громов Егоров Зайцев Козлов Лебедев Морозов Орлов Соколов".split(),
-    "greek": "Αλεξίου Βασιλείου Γεωργίου Δημητρίου Ιωάννου Νικολάου".split(),
+#: First letters, vowels and last letters of syllables by script; endings of names by script and kind.
+SYLLABLES = {
+    "latin": (["b", "br", "d", "dr", "f", "g", "gr", "h", "k", "kl", "l", "m", "n", "p", "r", "s", "st", "t", "tr", "v", "w", "z"], ["a", "e", "i", "o", "u", "ei"], ["", "l", "n", "r", "s", "m"]),
+    "cyrillic": (["б", "в", "г", "гр", "д", "з", "к", "кр", "л", "м", "н", "п", "р", "с", "ст", "т", "тр"], ["а", "е", "и", "о", "у"], ["", "л", "н", "р", "с", "м"]),
+    "greek": (["β", "γ", "δ", "κ", "κρ", "λ", "μ", "ν", "π", "ρ", "σ", "στ", "τ", "φ"], ["α", "ε", "ι", "ο"], ["", "λ", "ν", "ρ"]),
 }
+ENDINGS = {
+    ("family", "latin"): ["berg", "son", "mann", "ini", "ez", "eau", "sen", "er", "ard", "oli"], ("family", "cyrillic"): ["ов", "ев", "ин", "ский"], ("family", "greek"): ["ίδης", "όπουλος", "άκης", "ίου"],
+    ("f", "latin"): ["a", "ina", "ella", "ine"], ("m", "latin"): ["o", "us", "an", "ert"], ("f", "cyrillic"): ["а", "ина", "ия"], ("m", "cyrillic"): ["ан", "ий", "ор"], ("f", "greek"): ["ία", "ούλα"], ("m", "greek"): ["ος", "άς"],
+}
+#: Forms of address by gender.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Κύριος"]}
 
 _NAME = r"[^\W\d_a-zà-ÿа-яά-ώ][^\W\d_]+"
@@ -48,11 +56,16 @@ _EMAIL = re.compile(r"(?P<email>[A-Za-z0-9À-ÿ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z
 _DIGITS = re.compile(r"[+\d][\d .()-]{5,}")
 _NUMBER = re.compile(
     r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
+    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d+])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))"
     r"|(?P<phone>(?<![\w+])\+?\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w))"
 )
 _HEX = re.compile(r"[0-9A-Fa-f]{32}")
 _TOKEN = re.compile(r"(?<![0-9A-Za-z])(?P<token>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])")
+#: Prefixes of cloud, code host, chat and model service keys, with what follows.
+_KEY = re.compile(r"(?<![0-9A-Za-z])(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{20,})(?![0-9A-Za-z])")
+KINDS = ("email", "ip", "ssn", "card", "phone", "iban", "key", "token", "person")
 _GIVEN_ALL = {n for ns in GIVEN.values() for n in ns}
 _TITLE_ALL = sorted({t for ts in TITLES.values() for t in ts}, key=len, reverse=True)
 _WORD = re.compile(r"\w+")
@@ -68,6 +81,8 @@ def _matches(text: str) -> Iterator[re.Match]:
         yield from _EMAIL.finditer(text)
     for m in _DIGITS.finditer(text):
         yield from _NUMBER.finditer(text, m.start(), m.end() + 1)
+    yield from (m for m in _IBAN.finditer(text) if iban_check(m.group().replace(" ", "")) == 1)
+    yield from _KEY.finditer(text)
     if _HEX.search(text):
         yield from _TOKEN.finditer(text)
     if not _TRIGGERS.isdisjoint(_WORD.findall(text)):
@@ -86,6 +101,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(value: str) -> int:
+    """Remainder of an account number by 97; 1 is valid."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) in text order, not overlapping."""
     out, end = [], 0
@@ -93,7 +113,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         if m.start() < end:
             continue
         end = m.end()
-        kind = next(k for k in ("email", "ip", "card", "phone", "token", "person") if m.groupdict().get(k))
+        kind = next(k for k in KINDS if m.groupdict().get(k))
         found = m.group(kind)
         if kind == "person":
             first, *rest = re.finditer(r"\S+", found)
@@ -105,11 +125,13 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 name = p.group()
                 own = f"family_{script_of(name)}" if last else f"given_{gender}_{script_of(name)}"
                 out.append((m.start() + p.start(), m.start() + p.end(), own, name.casefold()))
-        elif kind in ("card", "phone"):
+        elif kind == "iban":
+            out.append((m.start(), m.end(), kind, found.replace(" ", "")))
+        elif kind in ("card", "phone", "ssn"):
             digits = re.sub(r"\D", "", found)
-            out.append((m.start(), m.end(), kind if kind == "phone" else "card_valid" if luhn(digits) else "card_other", digits))
+            out.append((m.start(), m.end(), kind if kind != "card" else "card_valid" if luhn(digits) else "card_other", digits))
         else:
-            out.append((m.start(), m.end(), kind, found.lower() if kind != "token" else found))
+            out.append((m.start(), m.end(), kind, found if kind in ("token", "key") else found.lower()))
     return _with_bare_names(text, out)
 
 
@@ -148,6 +170,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     number = lambda n: (next(draw) << 16 | next(draw) << 8 | next(draw)) % n
     if kind == "ip":
         return ".".join(str(1 + number(254)) for _ in range(4))
+    like = lambda s: "".join(str(number(10)) if c.isdigit() else chr((65 if c.isupper() else 97) + number(26)) if c.isalpha() else c for c in s)
+    if kind == "ssn":
+        return "9" + like(value[1:])
+    if kind == "iban":
+        body = like(value[4:])
+        return f"{value[:2]}{98 - iban_check(value[:2] + '00' + body):02d}{body}"
+    if kind == "key":
+        keep = re.match(r"AKIA|ASIA|gh._|xox.-|sk-", value).end()
+        return value[:keep] + like(value[keep:])
     if kind == "phone":
         keep = max(0, len(value) - 10)
         own = [str(number(10)) for _ in value[keep:]]
@@ -164,21 +195,25 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return "".join(letters[number(16)] for _ in value)
     if kind == "email":
         local, _, domain = value.partition("@")
-        shape = lambda s: "".join(str(number(10)) if c.isdigit() else chr(97 + number(26)) if c.isalpha() else c for c in s)
         host, _, _ = domain.partition(".")
-        return f"{shape(local)}{'x' * (attempt // 8)}@{shape(host)}.example"
+        return f"{like(local)}{'x' * (attempt // 8)}@{like(host)}.example"
     script = kind.rsplit("_", 1)[1]
-    if kind.startswith("given"):
-        gender = kind.split("_")[1]
-        names = GIVEN[gender, script] if gender in "fm" else GIVEN["f", script] + GIVEN["m", script]
-    else:
-        names = FAMILY[script]
-    return "".join(names[number(len(names))] for _ in range(1 + attempt // 2)).casefold()
+    pick = lambda xs: xs[number(len(xs))]
+    gender = kind.split("_")[1] if kind.startswith("given") else None
+    if gender == "u":
+        gender = pick("fm")
+    if gender and attempt < 2:
+        return pick(GIVEN[gender, script]).casefold()
+    syllable = lambda: "".join(pick(part) for part in SYLLABLES[script])
+    return ("".join(syllable() for _ in range(1 + min(3, attempt // 4) + number(2))) + pick(ENDINGS[gender or "family", script])).casefold()
 
 
 def _shaped(kind: str, found: str, new: str) -> str:
     """The canonical replacement in the layout of the found string."""
-    if kind in ("phone", "card_valid", "card_other"):
+    if kind == "iban":
+        letters = iter(new)
+        return "".join(c if c == " " else next(letters) for c in found)
+    if kind in ("phone", "ssn", "card_valid", "card_other"):
         digits = iter(new)
         return "".join(next(digits) if c.isdigit() else c for c in found)
     if kind.startswith(("given", "family")):
@@ -196,14 +231,14 @@ def assign(values: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogate(key, k, v, n) for k, v, n in rows], pa.string())], names=["kind", "value", "attempt", "new"])
 
     real = values.select("kind", F.col("value").alias("new"))
-    left, done = values.withColumn("attempt", F.lit(0)), None
+    left, taken, done = values.withColumn("attempt", F.lit(0)), real, None
     while True:
         tried = materialize(left.mapInArrow(try_next, "kind string, value string, attempt int, new string"), "pii-tried")
-        taken = real if done is None else real.unionByName(done.select("kind", "new"))
         winners = tried.groupBy("kind", "new").agg(F.min("value").alias("value")).join(taken, ["kind", "new"], "left_anti")
-        won = winners.select("kind", "value", "new")
-        done = materialize(won if done is None else done.unionByName(won), "pii-done")
-        left = tried.join(done, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        won = materialize(winners.select("kind", "value", "new"), "pii-won")
+        done = won if done is None else done.unionByName(won)
+        taken = taken.unionByName(won.select("kind", "new"))
+        left = tried.join(won, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         left = materialize(left, "pii-left")
         if left.isEmpty():
             return done
@@ -213,30 +248,34 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with surrogates in ``text`` and the column ``n_entities`` added.
 
     Null texts stay null with no entities; empty tables, texts without entities and rows with
-    null or repeated ids pass unchanged; other columns pass through, except that one named
-    ``n_entities`` gives way.
+    null or repeated ids pass unchanged; equal texts get equal replacements; other columns pass
+    through, except that one named ``n_entities`` gives way.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64("text").alias("__th"))
+    th, known_ = fresh(docs, "__th"), fresh(docs, "__map")
+    keyed = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64("text").alias(th))
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sorted({e[2:] for e in entities(t)}) if t else [] for t in b.column(1).to_pylist()]
-            th = [h for h, f in zip(b.column(0).to_pylist(), found, strict=True) for _ in f]
+            hashes = [h for h, f in zip(b.column(0).to_pylist(), found, strict=True) for _ in f]
             flat = [x for f in found for x in f]
-            yield pa.RecordBatch.from_arrays([pa.array(th, pa.int64()), pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string())], names=["th", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.string())], names=[th, "kind", "value"])
 
     # A text's entities depend on the text alone, so its hash is key enough, and copies meet here.
-    mentions = materialize(keyed.select(F.col("__th").alias("th"), "text").mapInArrow(detect, "th bigint, kind string, value string"), "pii-mentions")
-    mapping = assign(mentions.select("kind", "value").distinct(), key)
-    by_text = mentions.distinct().join(mapping, ["kind", "value"]).groupBy("th").agg(F.collect_list(F.struct("kind", "value", "new")).alias("__map"))
-    both = keyed.join(by_text, keyed["__th"] == by_text["th"], "left").drop("th", "__th")
+    mentions = keyed.select(th, "text").mapInArrow(detect, f"`{th}` bigint, kind string, value string")
+    mentions = materialize(mentions.groupBy(th, "kind", "value").agg(F.count("*").alias("rows")), "pii-mentions")
+    values = materialize(mentions.groupBy("kind", "value").agg(F.count("*").alias("n")), "pii-values")
+    mapping = assign(values.select("kind", "value"), key)
+    by_text = spread_join(mentions, mapping, ["kind", "value"], values, [th]).groupBy(th).agg(F.collect_list(F.struct("kind", "value", "new")).alias(known_))
+    copies = materialize(mentions.groupBy(th).agg(F.max("rows").alias("n")), "pii-copies")
+    both = spread_join(keyed, by_text, [th], copies, [c for c in columns if c == "doc_id"] or [th], "left").drop(th)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_entities bigint"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, count = [], []
-            for text, known in zip(b.column("text").to_pylist(), b.column("__map").to_pylist(), strict=True):
+            for text, known in zip(b.column("text").to_pylist(), b.column(known_).to_pylist(), strict=True):
                 if not known:
                     out.append(text)
                     count.append(0)
