@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizlink.llm.common import materialize, n_tasks
+from bizlink.llm.common import fresh, materialize, n_tasks
 from bizlink.llm.graph import components
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
@@ -225,7 +225,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     verdict = near_duplicates(docs)
     groups = verdict.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
     keep = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.th").alias("keep_th"))
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    both = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["keep_id"]) & (keyed["__th"] == keep["keep_th"]), "left_semi")
-    once = Window.partitionBy("doc_id", "__th").orderBy("doc_id", "__th")
-    return both.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    th, n = fresh(docs, "__th"), fresh(docs, "__n")
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    both = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["keep_id"]) & (keyed[th] == keep["keep_th"]), "left_semi")
+    once = Window.partitionBy("doc_id", th).orderBy("doc_id", th)
+    return both.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
