@@ -13,7 +13,7 @@ Each class, toxic and ordinary, has a model of word pairs from a bounded sample
 What one or two occurrences would give is left to the next level whole; higher counts lose the
 modified Kneser-Ney discount, estimated from counts of counts, and their standard error beside it,
 so that chance repeats of rare words don't look like expressions of a class. The shared counts
-cover every word of the corpus and stay a distributed table; only those of words in labelled rows
+cover every word of the corpus and stay a distributed table; only those of words that a class has something left for
 are sent to the tasks, as any other word is as likely in one class as in the other up to the
 classes' backoff weights. A document is scored from its length-normalised log-likelihood ratio, the part
 of it that comes from expressions well above the noise of sparse counts, that part's sum, and the length, by a logistic
@@ -114,24 +114,18 @@ class Model:
     """Probabilities of words and word pairs by class, for words of labelled rows in the order
     of their hashes; a word outside has the number of words as its place."""
 
-    def __init__(self, words: pa.Table, pairs: pa.Table, shared_total: int):
+    def __init__(self, words: pa.Table, pairs: pa.Table, back: list[float], shared_total: int):
         col = lambda t, c: t.column(c).to_numpy()
         order = np.argsort(col(words, "key"))
         self.key = col(words, "key")[order]
         size, floor = len(self.key), 1 / max(1, shared_total)
-        shared = np.maximum(np.r_[col(words, "shared")[order], 0] / max(1, shared_total), floor)
-        v, w = (np.searchsorted(self.key, col(pairs, c)) for c in ("v", "w"))
-        pair = v * size + w
+        shared = np.maximum(np.r_[col(words, "shared")[order] * floor, 0], floor)
+        pair = np.searchsorted(self.key, col(pairs, "v")) * size + np.searchsorted(self.key, col(pairs, "w"))
         by_pair = np.argsort(pair)
-        self.pair, v = pair[by_pair], v[by_pair]
-        self.word, self.rest, self.more = [], [], []
-        for y in (0, 1):
-            cont, cont_lost, follow, follow_lost = (col(words, f"{c}{y}")[order].astype(float) for c in ("cont", "cont_lost", "follow", "follow_lost"))
-            total = max(1.0, cont.sum())
-            back = cont_lost.sum() / total if cont.any() else 1.0
-            self.word.append(np.r_[(cont - cont_lost) / total, 0] + back * shared)
-            self.rest.append(np.r_[np.where(follow > 0, follow_lost / np.maximum(follow, 1), 1.0), 1.0])
-            self.more.append(col(pairs, f"kept{y}")[by_pair] / np.maximum(follow[v], 1))
+        self.pair = pair[by_pair]
+        self.word = [np.r_[col(words, f"kept{y}")[order], 0] + back[y] * shared for y in (0, 1)]
+        self.rest = [np.r_[col(words, f"rest{y}")[order], 1.0] for y in (0, 1)]
+        self.more = [col(pairs, f"more{y}")[by_pair] for y in (0, 1)]
 
     def place(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.key, hashes)
@@ -209,13 +203,19 @@ def model_of(grams: DataFrame) -> Model:
     pairs = with_lost(own, "n")
     before = with_lost(own.groupBy("kind", F.col("w").alias("key")).agg(F.count("*").alias("n")), "n")
     ahead = pairs.groupBy("kind", F.col("v").alias("key")).agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
-    both = before.withColumn("what", F.lit("cont")).unionByName(ahead.withColumn("what", F.lit("follow")))
-    of = lambda what, y, c: F.sum(F.when((F.col("what") == what) & (F.col("kind") == y), F.col(c)).otherwise(0))
-    fields = [of(what, y, c).alias(f"{what}{tail}{y}") for what in ("cont", "follow") for c, tail in (("n", ""), ("lost", "_lost")) for y in (0, 1)]
-    words = both.groupBy("key").agg(*fields).join(shared, "key", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    kept = pairs.withColumn("kept", F.col("n") - F.col("lost")).where("kept > 0")
-    kept = kept.groupBy("v", "w").agg(*(F.sum(F.when(F.col("kind") == y, F.col("kept")).otherwise(0)).alias(f"kept{y}") for y in (0, 1)))
-    return Model(words.toArrow(), kept.toArrow(), shared.agg(F.sum("shared")).first()[0] or 0)
+    totals = {r["kind"]: r for r in before.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")).collect()}
+    total, back = [totals[y]["n"] if y in totals else 1 for y in (0, 1)], [totals[y]["lost"] / totals[y]["n"] if y in totals else 1.0 for y in (0, 1)]
+    of = lambda y, c: F.sum(F.when(F.col("kind") == y, c))
+    kept = pairs.withColumn("kept", F.col("n") - F.col("lost")).where("kept > 0").join(ahead.select("kind", F.col("key").alias("v"), F.col("n").alias("follow")), ["kind", "v"])
+    kept = kept.groupBy("v", "w").agg(*(F.coalesce(of(y, F.col("kept") / F.col("follow")), F.lit(0.0)).alias(f"more{y}") for y in (0, 1)))
+    kept = materialize(kept, "tox-pairs")
+    # Words that no count is left for, in either class and alone or in pairs, are like unseen ones.
+    facts = before.select("key", "kind", ((F.col("n") - F.col("lost")) / F.when(F.col("kind") == 0, total[0]).otherwise(total[1])).alias("kept"), F.lit(None).cast("double").alias("rest"))
+    facts = facts.unionByName(ahead.select("key", "kind", F.lit(None).cast("double").alias("kept"), (F.col("lost") / F.col("n")).alias("rest"))).where("kept > 0 or rest < 1")
+    facts = facts.unionByName(kept.select(F.col("w").alias("key"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("kept"), F.lit(None).cast("double").alias("rest")))
+    fields = [F.coalesce(of(y, F.col(c)), F.lit(none)).alias(f"{c}{y}") for c, none in (("kept", 0.0), ("rest", 1.0)) for y in (0, 1)]
+    words = facts.groupBy("key").agg(*fields).join(shared, "key", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return Model(words.toArrow(), kept.toArrow(), back, shared.agg(F.sum("shared")).first()[0] or 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], np.ndarray]:
