@@ -9,11 +9,10 @@ keys. Native edit distance settles most pairs, the rest goes to the subsequence
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlink.functions.fuzzy import partial, partial_udf, ratio, ratio_udf
+from bizlink.functions.fuzzy import partial_udf, ratio_udf
 from bizlink.functions.identity import match_digits, name_key
 from bizlink.operators.components import components
 
@@ -48,8 +47,7 @@ def similar_names(names: DataFrame) -> DataFrame:
     cuts = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), F.col("k")), shifted)))
     spans = spans.select("l", "la", "lb", F.inline(F.array_distinct(cuts)))
     pairs = short.join(spans, ["la", "lb", "part", "text"]).where("s <> l").select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "k").distinct()
-    edits = F.levenshtein("a", "b", 64)
-    near = pairs.withColumn("e", edits).where((F.col("e") >= 0) & (F.col("e") <= F.col("k")))
+    near = pairs.withColumn("e", F.levenshtein("a", "b")).where(F.col("e") <= F.col("k"))
     sure = near.where(2 * F.col("e") <= F.col("k")).select("a", "b")
     open_ = near.where(2 * F.col("e") > F.col("k")).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b")
     return sure.unionByName(open_)
@@ -59,64 +57,11 @@ def link_keys(listings: DataFrame) -> DataFrame:
     return listings.withColumn("_phone", match_digits(F.col("phone"))).withColumn("_name", name_key(F.col("name")))
 
 
-def weak_edges(listings: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` of record ids: a star per phone key and per name, and one edge per
-    pair of similar names between their smallest records. Addresses don't count yet."""
-    keyed = link_keys(listings).select("id", "_phone", "_name")
-    star = lambda key: keyed.where(F.col(key).isNotNull()).join(keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("b")), key).select(F.col("id").alias("a"), "b").where("a <> b")
-    low = keyed.where("_name is not null").groupBy("_name").agg(F.min("id").alias("low"))
-    alike = similar_names(low.select(F.col("_name").alias("name")))
-    one, two = low.select(F.col("_name").alias("a"), F.col("low").alias("x")), low.select(F.col("_name").alias("b"), F.col("low").alias("y"))
-    named = alike.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return star("_phone").unionByName(star("_name")).unionByName(named)
-
-
-def resolve(listings: DataFrame, mode: str = "components", largest: int = 5000) -> DataFrame:
-    """Add ``cluster`` to listings with ``id, ord, name, phone, address``.
-
-    ``components`` is the transitive closure of matching pairs, addresses checked per pair of
-    equal or similar names through the group's first address. ``replay`` repeats the ordered
-    greedy rule inside each weak component, where it can't cross; a component larger than
-    ``largest`` is closed transitively instead, since one task would have to hold it.
-    """
-    keyed = link_keys(listings)
-    if mode == "components":
-        found = components(strict_edges(keyed))
-        return _with_cluster(listings, found)
-    weak = _with_cluster(keyed, components(weak_edges(listings)))
-    sizes = weak.groupBy("cluster").agg(F.count("*").alias("size"))
-    sized = weak.join(sizes, "cluster")
-    small = sized.where((F.col("size") > 1) & (F.col("size") <= largest)).drop("size")
-    schema = small.schema
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "id"])
-        heads: list[dict] = []
-        out = []
-        for r in pdf.to_dict("records"):
-            hit = next((h for h in heads if _same(h, r)), None)
-            if hit is None:
-                hit = {k: r[k] for k in ("_phone", "_name", "address", "id")}
-                heads.append(hit)
-            else:
-                for k in ("_phone", "_name", "address"):
-                    hit[k] = hit[k] or r[k]
-            out.append(hit["id"])
-        return pdf.assign(cluster=out)
-
-    small = small.groupBy("cluster").applyInPandas(replay, schema)
-    alone = sized.where("size = 1").drop("size")
-    large = _with_cluster(sized.where(F.col("size") > largest).drop("size", "cluster"), components(strict_edges(sized.where(F.col("size") > largest))))
-    return small.unionByName(alone).unionByName(large.select(*small.columns)).drop("_phone", "_name")
-
-
-def _same(a: dict, b: dict) -> bool:
-    if a["_phone"] and a["_phone"] == b["_phone"]:
-        return True
-    if not a["_name"] or not b["_name"] or ratio(a["_name"], b["_name"]) < THRESHOLD:
-        return False
-    x, y = (a["address"] or "").lower(), (b["address"] or "").lower()
-    return not x or not y or partial(x, y) >= ADDRESS_THRESHOLD
+def resolve(listings: DataFrame) -> DataFrame:
+    """Add ``cluster`` to listings with ``id, name, phone, address``: the transitive closure of
+    matching pairs, addresses checked per pair of equal or similar names. The result doesn't
+    depend on the order of arrival, and the rule is the same for groups of any size."""
+    return _with_cluster(listings, components(strict_edges(link_keys(listings))))
 
 
 def strict_edges(keyed: DataFrame) -> DataFrame:

@@ -113,6 +113,19 @@ def review_lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lead_id").agg(one.alias("reviews"), bins.alias("histogram"))
 
 
+def reviews_unavailable(panel: Column) -> Column:
+    """A place's header without a number of reviews, or no header: reviews were held back, which
+    isn't the same as none."""
+    return ~F.coalesce(panel.rlike(r"\(\s*[\d,]+\s*\)"), F.lit(False))
+
+
+def review_snippets(reviews: Column, most: int = 6) -> Column:
+    """The worst reviews with a text in one line, 160 characters of each; empty if there are none."""
+    told = F.filter(reviews, lambda r: F.coalesce(r["text"] != "", F.lit(False)))
+    order = F.array_sort(F.transform(told, lambda r: F.struct(F.coalesce(r["stars"], F.lit(5)).alias("s"), r["pos"].alias("p"), r["stars"].alias("n"), r["text"].alias("t"))))
+    return F.array_join(F.transform(F.slice(order, 1, most), lambda r: F.concat(F.coalesce(r["n"].cast("string"), F.lit("?")), F.lit("★: "), F.substring(r["t"], 1, 160))), " | ")
+
+
 def degraded_jobs(flags: DataFrame) -> DataFrame:
     """Jobs of which half the leads or more came back without their reviews."""
     return flags.groupBy("job_id").agg(F.count_if("unavailable").alias("degraded"), F.count("*").alias("n")).where("degraded * 2 >= n")

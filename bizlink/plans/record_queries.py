@@ -80,9 +80,11 @@ def c6_w4_worst_reviews(spark, sf_dir):
     return lists.select("lead_id", F.array_join(records.worst_first(F.col("reviews"), 6), "|").alias("worst"))
 
 
-@query("SELECT job_id, count(*) FILTER (unavailable) AS degraded, count(*) AS n FROM (SELECT lead_id % 500 AS job_id, unavailable FROM v_reviews) GROUP BY job_id HAVING count(*) FILTER (unavailable) * 2 >= count(*)")
+@query("SELECT job_id, count(*) FILTER (u) AS degraded, count(*) AS n FROM (SELECT job_id, CASE WHEN job_id % 2 = 0 THEN lead_id % 5 IN (0, 1, 2) ELSE lead_id % 5 = 1 END AS u FROM v_leads) GROUP BY job_id HAVING count(*) FILTER (u) * 2 >= count(*)")
 def p15_degraded_reviews(spark, sf_dir):
-    return records.degraded_jobs(view(spark, sf_dir, "reviews").select((F.col("lead_id") % 500).alias("job_id"), "unavailable"))
+    k, even = F.col("lead_id") % 5, F.col("job_id") % 2 == 0
+    panel = F.when(even & (k == 0), "4.9").when(k == 1, None).when(even & (k == 2), "3.0 ()").otherwise("4.9\n(1,418)")
+    return records.degraded_jobs(view(spark, sf_dir, "leads").select("job_id", records.reviews_unavailable(panel).alias("unavailable")))
 
 
 @query("SELECT lead_id, CASE WHEN lead_id % 3 = 0 THEN 'new' ELSE 'old' END AS weaknesses, CASE WHEN lead_id % 3 = 0 THEN 4 ELSE review_weakness_count END AS weakness_count FROM v_leads")
@@ -139,9 +141,94 @@ def f23_partial_merge(spark, sf_dir):
     return view(spark, sf_dir, "leads").select("lead_id", records.merge_partial(F.col("services"), F.col("owner_title"), F.col("lead_id") % 5 == 0).alias("merged"))
 
 
-@query("SELECT lead_id, concat('Business: ', name, chr(10), 'Category: ', coalesce(business_category, 'unknown'), chr(10), 'Rating: ', CASE WHEN google_rating IS NULL THEN 'unknown' ELSE printf('%.1f', google_rating) END, ' (', google_review_count, ' reviews)', chr(10), 'Website: ', coalesce(website, 'none')) AS facts FROM v_leads")
+_T10 = "CASE WHEN google_review_count > 0 AND year_founded > 0 THEN floor((google_review_count * 20 + greatest(1, 2026 - year_founded)) / (greatest(1, 2026 - year_founded) * 2)) END"
+_FACTS = {
+    "name": "name", "category": "coalesce(business_category, '(unknown)')", "location": "coalesce(address, '(unknown)')", "website": "coalesce(website, '(none)')", "platform": "coalesce(website_cms, '(unknown)')",
+    "ssl": "CASE WHEN has_ssl THEN 'yes' ELSE 'no/unknown' END", "services": "coalesce(services, '(none listed)')", "about": "coalesce(description, '(none)')", "rating": "coalesce(CASE WHEN google_rating IS NOT NULL THEN printf('%.1f', google_rating) END, '(unknown)')",
+    "reviews": "google_review_count", "reviews_per_year": f"coalesce(CAST(CAST({_T10} AS BIGINT) AS VARCHAR), 'unknown')", "open_now": "coalesce(CAST(google_is_open AS VARCHAR), '(unknown)')", "platforms": "coalesce(external_platforms, '(none detected)')", "marketing": "coalesce(marketing_stack, '(none detected)')",
+    "weaknesses": "CASE WHEN review_weakness_count > 0 THEN CAST(review_weakness_count AS VARCHAR) ELSE '(none found)' END", "review_texts": "coalesce(nullif(texts, ''), '(none)')", "owner": "coalesce(owner_name, '(unknown)')", "owner_title": "coalesce(owner_title, '(unknown)')",
+    "team_size": "coalesce(CAST(employee_count AS VARCHAR), '(unknown)')", "founded": "coalesce(CAST(year_founded AS VARCHAR), '(unknown)')",
+    "socials": "coalesce(nullif(array_to_string(list_filter([CASE WHEN social_facebook IS NOT NULL THEN 'facebook' END, CASE WHEN social_instagram IS NOT NULL THEN 'instagram' END, CASE WHEN social_twitter IS NOT NULL THEN 'twitter' END], lambda x: x IS NOT NULL), ', '), ''), '(none found)')",
+}
+_SNIPPETS = "(SELECT lead_id, array_to_string(list(concat(coalesce(CAST(stars AS VARCHAR), '?'), '★: ', substring(text, 1, 160)) ORDER BY s, pos, stars NULLS FIRST, text), ' | ') AS texts FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY s, pos, stars NULLS FIRST, text) AS rn FROM (SELECT *, coalesce(stars, 5) AS s FROM v_reviews)) WHERE rn <= 6 GROUP BY lead_id)"
+_TEXT = " || chr(10) || ".join(f"concat('{k}: ', {v})" for k, v in _FACTS.items())
+
+
+def _prompts(spark, sf_dir):
+    lists = records.review_lists(view(spark, sf_dir, "reviews")).select("lead_id", records.review_snippets(F.col("reviews")).alias("texts"))
+    leads = view(spark, sf_dir, "leads").withColumn("social_linkedin", F.lit(None).cast("string")).join(lists, "lead_id", "left")
+    age = F.greatest(F.lit(1), F.lit(2026) - F.col("year_founded"))
+    tenths = F.when((F.col("google_review_count") > 0) & (F.col("year_founded") > 0), F.floor((F.col("google_review_count") * 20 + age) / (age * 2)))
+    return sinks.prompt_table(leads, F.col("texts"), tenths.cast("long"))
+
+
+@query(f"SELECT lead_id, {_TEXT} AS facts FROM v_leads LEFT JOIN {_SNIPPETS} USING (lead_id)")
 def f24_prompt_facts(spark, sf_dir):
-    return sinks.prompt_table(view(spark, sf_dir, "leads")).select("lead_id", "facts")
+    return _prompts(spark, sf_dir).select("lead_id", "facts")
+
+
+@query(f"SELECT lead_id, concat({_TEXT.replace('nullif(texts', 'nullif(NULL').replace(f'CAST(CAST({_T10} AS BIGINT) AS VARCHAR)', 'NULL')}, chr(10), 'page_text: ', CASE WHEN lead_id % 2 = 0 THEN repeat('ab ', 1000) || repeat('cd', 1000) ELSE '(website text unavailable)' END, chr(10), 'competitors: ', CASE WHEN lead_id % 3 = 0 THEN 'Acme' ELSE '(none)' END) AS facts FROM v_leads")
+def f24_dossier_facts(spark, sf_dir):
+    k = F.col("lead_id")
+    leads = view(spark, sf_dir, "leads").withColumn("social_linkedin", F.lit(None).cast("string"))
+    text = F.when(k % 2 == 0, F.concat(F.repeat(F.lit("ab "), F.lit(1000)), F.repeat(F.lit("cd"), F.lit(2000))))
+    return sinks.dossier_facts(leads, text, F.when(k % 3 == 0, "Acme")).select("lead_id", "facts")
+
+
+@query("SELECT lead_id, concat('{\"opener\": \"Hello ', name, '\"}') AS reply FROM v_leads")
+def g3_model_replies(spark, sf_dir):
+    def greet(prompts):
+        return ['{"opener": "Hello %s"}' % p.split("\n")[0].removeprefix("name: ") for p in prompts]
+
+    return sinks.ask(_prompts(spark, sf_dir), greet).select("lead_id", "reply")
+
+
+@query(f"SELECT job_id, CASE category WHEN 'no_website' THEN 1 ELSE 2 END AS section, CAST(row_number() OVER (PARTITION BY job_id, category ORDER BY lead_score DESC, ord) AS INT) AS place, lead_id FROM {LABELLED}")
+def s12_report_sections(spark, sf_dir):
+    return sinks.report_sections(labelled(spark, sf_dir))
+
+
+@query(f"SELECT lead_id, job_id, CASE WHEN job_id IN (1, 2) THEN 7 ELSE lead_score END AS lead_score FROM {SCORED} WHERE NOT (job_id = 2 AND lead_id % 2 = 0)")
+def s10_replace_jobs(spark, sf_dir):
+    path = sinks.scratch(spark, "leads")
+    leads = scored(spark, sf_dir).select("lead_id", "lead_score", "job_id")
+    sinks.replace_jobs(leads, path)
+    again = leads.where("job_id in (1, 2) and not (job_id = 2 and lead_id % 2 = 0)").withColumn("lead_score", F.lit(7).cast(leads.schema["lead_score"].dataType))
+    for _ in range(2):
+        sinks.replace_jobs(again, path)
+    return spark.read.schema(leads.schema).parquet(path)
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_brand || ' LLC'), '[^a-z0-9 ]', '', 'g')) AS spaced FROM part")
+def f2_spaced_names(spark, sf_dir):
+    from bizlink.functions.identity import spaced_name
+
+    return table(spark, sf_dir, "part").select("p_partkey", spaced_name(F.concat("p_name", F.lit(" & "), "p_brand", F.lit(" LLC"))).alias("spaced"))
+
+
+@query()
+def f4_f5_name_ratios(spark, sf_dir):
+    from bizlink.functions.fuzzy import best_ratio_udf, partial_udf, ratio_udf, sorted_ratio_udf
+
+    a, b = F.col("p_name"), F.concat(F.reverse(F.split("p_name", " "))[0], F.lit(" "), "p_type")
+    pairs = table(spark, sf_dir, "part").select("p_partkey", a.alias("a"), b.alias("b"))
+    return pairs.select("p_partkey", *(f()("a", "b").alias(n) for n, f in (("indel", ratio_udf), ("sorted", sorted_ratio_udf), ("partial", partial_udf), ("best", best_ratio_udf))))
+
+
+@query("SELECT source, count(*) AS n FROM v_listings GROUP BY source")
+def g5_observed_sources(spark, sf_dir):
+    """Rows by source, read from the metrics that gathering reports about each."""
+    from pyspark.sql import Observation
+
+    from bizlink.sources.listings import Registry
+
+    every = view(spark, sf_dir, "listings")
+    found = []
+    for name in ("google_maps", "hotfrog", "npi"):
+        seen = Observation(name)
+        Registry({name: lambda name=name: every.where(F.col("source") == name)}, [name]).gather(spark, on_progress=seen).write.format("noop").mode("overwrite").save()
+        found.append((name, seen.get["rows"]))
+    return spark.createDataFrame(found, "source string, n long")
 
 
 @query("SELECT lead_id, has_google_maps OR lead_id % 2 = 0 AS has_google_maps, CASE WHEN planned THEN CASE WHEN lead_id % 2 = 0 THEN 4.5 END ELSE google_rating END AS google_rating FROM (SELECT *, NOT has_google_maps AND NOT (phone IS NOT NULL AND contains(sources, 'npi')) AS planned FROM v_leads) WHERE NOT (NOT planned AND NOT has_google_maps)")
@@ -194,7 +281,7 @@ def x12_sitemap(spark, sf_dir):
 def page_structure(spark, sf_dir):
     from bizlink.sources.html import parse_pages
 
-    return parse_pages(table(spark, sf_dir, "pages")).select("page_id", F.size("services").alias("n_services"), F.size("partners").alias("n_partners"), F.size("team").alias("n_team"), F.md5("text").alias("text_md5"), "summary")
+    return parse_pages(table(spark, sf_dir, "pages")).select("page_id", F.size("services").alias("n_services"), F.size("partners").alias("n_partners"), F.size("team").alias("n_team"), F.md5("text").alias("text_md5"), "summary", "owner_title", F.array_join("post_titles", "|").alias("titles"), F.size("cards").alias("n_cards"), F.col("detail.name").alias("detail_name"))
 
 
 @query()
@@ -204,28 +291,45 @@ def x3_x8_s6_page_structure(spark, sf_dir):
 
 @query()
 def x13_lead_rollup(spark, sf_dir):
+    from bizlink.functions.identity import host
     from bizlink.sources.html import parse_pages, roll_up
 
-    pages = table(spark, sf_dir, "pages").withColumn("lead_id", F.pmod(F.col("page_id"), F.lit(40)))
-    return roll_up(parse_pages(pages), "lead_id", 8)
+    return roll_up(parse_pages(table(spark, sf_dir, "pages").withColumn("domain", host(F.col("url")))), "domain", 8)
 
 
 @query()
-def j1_similar_names(spark, sf_dir):
-    return linkage.similar_names(_doc_names(spark, sf_dir))
+def x13_contact_roll_up(spark, sf_dir):
+    from bizlink.functions.identity import host
+    from bizlink.functions.pages import CONTACT_PATHS
+    from bizlink.sources.html import contact_roll_up
 
+    k = F.col("page_id")
+    path = F.get(F.array(*(F.lit(p) for p in ("/", *CONTACT_PATHS, "/find/us"))), (F.floor(k / 7) % 21).cast("int"))
+    site = F.concat_ws("-", host(F.col("url")), F.floor(k / 150).cast("string"))
+    html = F.concat("html", F.when(k % 5 == 0, F.concat(F.lit("<p>jo.doe"), k.cast("string"), F.lit("@acme.com</p>"))).when(k % 5 == 1, "<p>info@acme.com</p>").otherwise(""), F.when(k % 4 == 0, "<p>Founded by Ann Lee.</p>").otherwise(""))
+    pages = table(spark, sf_dir, "pages").select(site.alias("lead"), F.concat(F.lit("https://acme.com"), path).alias("url"), html.alias("html"), F.lit("acme.com").alias("domain"))
+    return contact_roll_up(pages, "lead", "domain").select("lead", "pages", "owner", "best_email")
 
-def _doc_names(spark, sf_dir):
+
+@query()
+def j1_similar_names(spark, sf_dir):
     from bizlink.functions.identity import normalize_name
 
-    return table(spark, sf_dir, "documents").select(normalize_name(F.substring("text", 1, 30)).alias("name"))
+    return linkage.similar_names(_sites(spark, sf_dir).select(normalize_name(F.col("name")).alias("name")))
+
+
+def _sites(spark, sf_dir):
+    """Listings made of pages: the site and section a page stands for is the business."""
+    from bizlink.functions.identity import host
+
+    site = F.element_at(F.split(host(F.col("url")), r"\."), -3)
+    section = F.regexp_extract("html", r"(?is)<title>\s*(\S+ \S+)", 1)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat_ws(" ", section, site).alias("name"), F.lit(None).cast("string").alias("phone"), F.concat((F.col("page_id") % 40).cast("string"), F.lit(" Main Street")).alias("address"))
 
 
 @query()
 def j2_resolve(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 30).alias("name"), F.lit(None).cast("string").alias("phone"), F.concat("source", F.lit(" Main Street")).alias("address"))
-    return linkage.resolve(rows, "replay").select("id", "cluster")
+    return linkage.resolve(_sites(spark, sf_dir)).select("id", "cluster")
 
 
 @query()
@@ -242,11 +346,12 @@ def s10_s11_export_views(spark, sf_dir):
     return spark.read.parquet(path).where("category = 'has_website'").select("lead_id", "category")
 
 
-@query(f"SELECT job_id, count(*) AS exported, CAST(min(lead_score) AS INT) AS lo, CAST(max(lead_score) AS INT) AS hi FROM {SCORED} GROUP BY job_id")
+@query(f"SELECT job_id, count(*) AS exported, CAST(min(lead_score) AS INT) AS lo, CAST(max(lead_score) AS INT) AS hi, job_id * 3 AS scraped, job_id * 2 AS verified, 'leads.csv' AS file FROM {SCORED} GROUP BY job_id")
 def s13_manifest(spark, sf_dir):
-    made = sinks.manifests(scored(spark, sf_dir))
+    jobs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("job_id"), F.col("n_name").alias("niche"), F.lit("Bend, OR").alias("location"), (F.col("n_nationkey") * 3).cast("long").alias("total_scraped"), (F.col("n_nationkey") * 2).cast("long").alias("total_verified"))
+    made = sinks.manifests(scored(spark, sf_dir), jobs, {"csv": "leads.csv"})
     j = F.col("manifest")
-    return made.select("job_id", F.get_json_object(j, "$.exported").cast("long").alias("exported"), F.get_json_object(j, "$.lead_score.min").cast("int").alias("lo"), F.get_json_object(j, "$.lead_score.max").cast("int").alias("hi"))
+    return made.select("job_id", F.get_json_object(j, "$.exported").cast("long").alias("exported"), F.get_json_object(j, "$.lead_score.min").cast("int").alias("lo"), F.get_json_object(j, "$.lead_score.max").cast("int").alias("hi"), F.get_json_object(j, "$.counts.total_scraped").cast("long").alias("scraped"), F.get_json_object(j, "$.counts.total_verified").cast("long").alias("verified"), F.get_json_object(j, "$.files.csv").alias("file"))
 
 
 @query("SELECT name, phone, source FROM (SELECT *, row_number() OVER (PARTITION BY name, phone ORDER BY ord, cluster) AS rn FROM v_listings) WHERE rn = 1")

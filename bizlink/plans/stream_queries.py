@@ -15,14 +15,15 @@ def _stream(spark, sf_dir, sql):
     return spark.sql(sql, events=jobs.events_stream(spark, sf_dir, "events", _EVENTS))
 
 
-@query("SELECT job_id, seq, pct, stage, type FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM v_progress) WHERE rn = 1")
+@query("SELECT job_id, seq, pct, stage, type FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM v_progress) WHERE rn = 1 AND epoch_us(ts) // 1000 + 86400000 >= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM v_progress)")
 def t1_latest_progress(spark, sf_dir):
-    return jobs.collect_all(jobs.latest_progress(_stream(spark, sf_dir, PROGRESS)), "complete", "t1")
+    return jobs.live_progress(jobs.collect_all(jobs.latest_progress(_stream(spark, sf_dir, PROGRESS), 86_400), "append", "t1"))
 
 
-@query("""SELECT job_id, seq, pct, type FROM (SELECT *, lag(pct) OVER w AS before, coalesce(sum(CASE WHEN type = 'done' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dones FROM v_progress WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq)) WHERE dones = 0 AND (before IS NULL OR before <> pct OR type = 'done')""")
+@query("""SELECT job_id, seq, pct, type FROM (SELECT *, lag(pct) OVER w AS before, coalesce(sum(CASE WHEN type = 'done' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, life ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dones
+ FROM (SELECT *, sum(CASE WHEN gap > 90000000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, seq) AS life FROM (SELECT *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY job_id ORDER BY ts, seq) AS gap FROM v_progress)) WINDOW w AS (PARTITION BY job_id, life ORDER BY ts, seq)) WHERE dones = 0 AND (before IS NULL OR before <> pct OR type = 'done')""")
 def t2_progress_changes(spark, sf_dir):
-    return jobs.collect_all(jobs.changes_only(_stream(spark, sf_dir, PROGRESS), 10**8), "append", "t2")
+    return jobs.collect_all(jobs.changes_only(_stream(spark, sf_dir, PROGRESS), 90_000), "append", "t2")
 
 
 @query("SELECT job_id, epoch_us(ts) // 1000 AS last_ms FROM (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS nxt FROM v_progress) WHERE epoch_us(nxt) // 1000 - epoch_us(ts) // 1000 > 90000000 OR (nxt IS NULL AND epoch_us(ts) // 1000 + 90000000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM v_progress))")
@@ -55,26 +56,14 @@ def t6_fresh_verdicts(spark, sf_dir):
 
 @query("SELECT cluster, arg_min(name, ord) FILTER (name <> '') AS name, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources_str, CAST(max(ord) AS INT) AS phone_source_count FROM v_listings GROUP BY cluster")
 def t7_incremental_pool(spark, sf_dir):
-    from bizlink.operators.golden import merge_pool
     from bizlink.plans.views import view
 
-    path = jobs.scratch(spark, "tiles")
+    path, pool = jobs.scratch(spark, "tiles"), jobs.scratch(spark, "pool")
     tiles = view(spark, sf_dir, "listings").select("cluster", F.col("source").alias("sources"), F.col("ord").cast("int").alias("ord"), "name").withColumn("phone_source_count", F.col("ord"))
     tiles.write.parquet(path)
-    out = jobs.scratch(spark, "pool")
-
-    def merge(batch, n):
-        if n > 0:
-            batch = batch.unionByName(spark.read.parquet(f"{out}/{n - 1}").withColumnsRenamed({"sources_str": "sources"}))
-        small = batch.groupBy("cluster").agg(F.min("ord").alias("_o"))
-        merged = merge_pool(batch, ["name"]).join(small, "cluster").withColumnRenamed("_o", "ord")
-        merged.write.mode("overwrite").parquet(f"{out}/{n}")
-
     stream = spark.readStream.schema(tiles.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query_ = stream.writeStream.foreachBatch(merge).option("checkpointLocation", jobs.scratch(spark, "t7-state")).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    last = query_.lastProgress.batchId
-    return spark.read.parquet(f"{out}/{last}").select("cluster", "name", "sources_str", "phone_source_count")
+    jobs.collect_all(stream, "append", "t7", jobs.pool_sink(pool, ["name"]))
+    return spark.read.parquet(pool).select("cluster", "name", "sources_str", "phone_source_count")
 
 
 @query("""SELECT seq, CAST(streak AS BIGINT) AS streak, max(streak) OVER (PARTITION BY server ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 5 AS tripped FROM (

@@ -2,100 +2,324 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bizlink.functions import contact as C
+from bizlink.functions import pages as P
+
 HIDDEN = {"script", "style", "noscript", "iframe"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
-PARTNER = re.compile("partner|client|certified|affiliate|member|sponsor|accredited|authorized|distributor|reseller", re.I)
-SERVICE = re.compile("service|product|offer|what we do", re.I)
-TEAM = re.compile("team|member|profile|person|employee|staff", re.I)
-NAME = re.compile(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")
-SCHEMA = "text string, summary string, services array<string>, partners array<string>, team array<struct<name: string, title: string>>"
+#: Words of partnership; headings of services; where their lists, people, cards and labels stand.
+PARTNER_WORDS = ["partner", "client", "certified", "affiliate", "member", "sponsor", "accredited", "authorized", "distributor", "reseller"]
+COMPANY = re.compile(r"\b[A-Z][A-Za-z0-9\s&.]+(?:Inc|LLC|Ltd|Corp|Group|Solutions|Technologies|Systems|Services)\b")
+SERVICE_HEADING = re.compile(r"(?i)(?:our\s+)?(?:services?|products?|solution|what\s+we\s+do|speciali(?:ze|se)s?|offer(?:ings)?|capabilities?|expertise)")
+SERVICE_SENTENCES = [
+    r"(?i:(?:we\s+)?(?:offer|provide|specializ(?:e|se)\s+in|deliver)\s+)(.+?)(?:\.\s*(?:We|Our|Call|Contact|Learn|Get))",
+    r"(?i:(?:our\s+)?(?:services|products|solutions)\s+(?:include|are|cover|range\s+from)\s+)(.+?)(?:\.\s*(?:We|Our|Call|Contact))",
+]
+SERVICE_LISTS = [
+    ("div", "class", "service"), ("ul", "class", "service"), ("div", "class", "product"), ("ul", "class", "product"), ("div", "id", "service"), ("ul", "id", "service"), ("div", "class", "solution"),
+    ("div", "class", "offering"), ("div", "class", "capability"), ("div", "class", "menu"), ("ul", "class", "menu"), ("div", "id", "menu"), ("ul", "id", "menu"), ("div", "class", "food"),
+    ("div", "class", "drink"), ("section", "class", "menu"), ("section", "id", "menu"), ("div", "class", "specialty"), ("div", "class", "category"), ("div", "class", "feature"), ("div", "class", "offer"),
+]
+TEAM_BOXES = [("div", "class", w) for w in ("team", "member", "profile", "person", "employee", "staff")] + [("li", "class", w) for w in ("team", "member", "person")] + [("article", "class", w) for w in ("team", "member")]
+TEAM_PARTS = [("h3", "p"), ("h4", "p"), ("h3", "span"), ("h4", "span"), ("strong", "span")]
+TEAM_SENTENCE = re.compile(r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\s*[—–,-]\s*([A-Za-z\s/]+?)(?=[,.\n]|$)")
+OWNER_TITLES = ["owner", "founder", "co-founder", "ceo", "president", "proprietor", "managing director", "principal", "managing partner", "executive director", "general manager"]
+NOT_TITLES = ["recent post", "latest news", "archive", "category", "tag", "search"]
+SUMMARY_WORDS = ["specializ", "mission", "vision", "dedicated", "expert", "service", "solution", "provide", "offer", "client", "partner", "deliver"]
+CARDS = [("div", "class=", "hf-box"), ("div", "class=", "company-card"), ("li", "class=", "search-result"), ("div", "class", "business"), ("article", None, None), ("div", "class=", "search-result-item"), ("div", "class=", "result")]
+CARD_PHONES = [("a", "href^", "tel:"), ("*", "class", "phone"), ("*", "class", "tel")]
+CARD_ADDRESSES = [("span", "class=", "small"), ("*", "class", "address"), ("*", "class", "location")]
+DETAIL_NAMES = [("h1", None, None), ("*", "class", "business-name"), ("*", "class", "company-name"), ("h2", None, None)]
+DETAIL_TEXTS = [("*", "class=", "description"), ("*", "class=", "company-description"), ("*", "class", "about"), ("*", "class", "description")]
+NOT_ADDRESSES = ["Is this your", "Claim this", "Sponsored", "Ad"]
+SOCIAL_SITES = {"facebook": ["facebook.com"], "instagram": ["instagram.com"], "twitter": ["twitter.com", "x.com"], "linkedin": ["linkedin.com"]}
+LISTING = "struct<name: string, address: string, phone: string, website: string, description: string, url: string, social_facebook: string, social_instagram: string, social_twitter: string, social_linkedin: string>"
+SCHEMA = f"text string, summary string, services array<string>, partners array<string>, team array<struct<name: string, title: string>>, owner_title string, post_titles array<string>, cards array<{LISTING}>, detail {LISTING}"
+
+
+class Node:
+    """An element: tag, attributes, children and strings in order, parent."""
+
+    __slots__ = ("tag", "attrs", "kids", "up")
+
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
+        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
+
+    def walk(self) -> Iterator[Node]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
+
+    def words(self) -> str:
+        """Visible text, white space joined."""
+        out, stack = [], [self]
+        while stack:
+            k = stack.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif k.tag not in HIDDEN:
+                stack += reversed(k.kids)
+        return " ".join(" ".join(out).split())
+
+    def fits(self, rule: tuple[str, str | None, str | None]) -> bool:
+        tag, where, value = rule
+        if tag not in ("*", self.tag):
+            return False
+        if where is None:
+            return True
+        found = self.attrs.get(where.rstrip("=^"), "")
+        return value in found.split() if where.endswith("=") else found.startswith(value) if where.endswith("^") else value in found
+
+    def all(self, rule: tuple[str, str | None, str | None]) -> list[Node]:
+        return [n for n in self.walk() if n is not self and n.fits(rule)]
 
+    def first_text(self, rules: list, ok: Callable[[str], bool] = bool) -> str | None:
+        return next((t for r in rules for t in (n.words() for n in self.all(r)) if ok(t)), None)
 
-class Page(HTMLParser):
-    """Visible text, list items under telling headings, alternative texts, person cards."""
 
+class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hidden, self.open, self.text = 0, [], []
-        self.heading, self.items, self.alts, self.cards = "", [], [], []
+        self.top = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        if tag == "img" and attrs.get("alt"):
-            self.alts.append(attrs["alt"].strip())
-        if tag in VOID:
-            return
-        self.hidden += tag in HIDDEN
-        self.open.append((tag, bool(TEAM.search(attrs.get("class") or "")), len(self.text)))
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.kids.append(node)
+        if tag not in VOID:
+            self.at = node
 
     def handle_endtag(self, tag):
-        while self.open:
-            name, card, at = self.open.pop()
-            self.hidden -= name in HIDDEN
-            words = " ".join(self.text[at:])
-            if name in {"h1", "h2", "h3", "h4"}:
-                self.heading = words
-            elif name == "li" and words:
-                self.items.append((self.heading, words))
-            if card and words and len(words) < 300:
-                self.cards.append(words)
-            if name == tag:
-                break
+        node = self.at
+        while node.up is not None and node.tag != tag:
+            node = node.up
+        if node.up is not None:
+            self.at = node.up
 
     def handle_data(self, data):
-        if not self.hidden and data.strip():
-            self.text.append(" ".join(data.split()))
+        if data.strip():
+            self.at.kids.append(data)
+
+
+def tree(html: str | None) -> Node:
+    parser = _Tree()
+    parser.feed(html or "")
+    parser.close()
+    return parser.top
+
+
+def _schema_services(top: Node) -> list[str]:
+    """Names of services and products in JSON-LD, down to five levels."""
+    out: list[str] = []
+
+    def look(value: object, depth: int) -> None:
+        if depth > 5:
+            return
+        if isinstance(value, dict):
+            name = value.get("name", "")
+            if value.get("@type") in ("Service", "Product") and isinstance(name, str) and len(name) > 2:
+                out.append(name)
+            value = list(value.values())
+        if isinstance(value, list):
+            for v in value:
+                look(v, depth + 1)
+
+    for script in top.all(("script", "type=", "application/ld+json")):
+        try:
+            look(json.loads("".join(k for k in script.kids if isinstance(k, str))), 0)
+        except ValueError:
+            continue
+    return list(dict.fromkeys(out))[:15]
+
+
+def _told_services(top: Node, text: str) -> list[str]:
+    """Services from sentences, from lists under telling headings, and from lists in telling boxes."""
+    out = []
+    for pattern in SERVICE_SENTENCES:
+        m = re.search(pattern, text)
+        for part in re.split(r"\s*(?:,|\s+and\s+|\s+or\s+)\s*", m.group(1)[:300]) if m else []:
+            out += [s for s in [part.strip().strip(".,;:!?").strip()] if 3 < len(s) < 80]
+    items = []
+    for head in (n for n in top.walk() if n.tag in ("h2", "h3", "h4") and SERVICE_HEADING.search(n.words())):
+        box = head.up
+        while box.up is not None and box.tag not in ("section", "div", "article"):
+            box = box.up
+        items += (box if box.up is not None else head.up).all(("li", None, None))
+    for rule in SERVICE_LISTS:
+        items += [li for box in top.all(rule) for li in box.all(("li", None, None))]
+    out += [t for t in (li.words() for li in items) if 3 < len(t) < 100]
+    return list(dict.fromkeys(out))[:20]
+
+
+def _partners(top: Node) -> list[str]:
+    """Alternative texts of images in a context of partnership, and company names in short texts of one."""
+    told = lambda t: any(w in t.lower() for w in PARTNER_WORDS)
+    out = []
+    for img in top.all(("img", "alt", "")):
+        alt, box = img.attrs.get("alt", "").strip(), img.up
+        if len(alt) > 2 and not re.match(r"^[a-z][a-z0-9.-]+\.[a-z]{2,}$", alt):
+            while box is not None and not told(alt) and not told(box.words()):
+                box = box.up
+            out += [alt] if box is not None else []
+    for n in top.walk():
+        text = n.words() if n.tag in ("li", "div", "span") else ""
+        if text and len(text) <= 100 and told(text):
+            out += [c.strip() for c in COMPANY.findall(text) if len(c.strip()) > 3]
+    return list({p.lower(): p for p in reversed(out)}.values())[::-1][:20]
+
+
+def _team(top: Node, text: str) -> tuple[list[tuple[str, str]], str | None]:
+    """People with titles, and the first title that is an owner's."""
+    people: list[tuple[str, str]] = []
+    for rule in TEAM_BOXES:
+        boxes = top.all(rule)
+        for box in boxes if len(boxes) >= 2 else []:
+            for a, b in TEAM_PARTS:
+                name, title = box.all((a, None, None)), box.all((b, None, None))
+                if name and title:
+                    name, title = name[0].words(), title[0].words()
+                    people += [(name, title)] if 4 < len(name) < 60 and 2 < len(title) < 80 else []
+                    break
+        if people:
+            break
+    if not people:
+        pairs = ((m.group(1).strip(), m.group(2).strip()) for m in TEAM_SENTENCE.finditer(text))
+        people = [(n, t) for n, t in pairs if 4 < len(n) < 60 and 2 < len(t) < 60]
+    people = list(dict.fromkeys(people))
+    owner = next((t for _, t in people if any(w in t.lower() for w in OWNER_TITLES)), None)
+    return people[:20], owner
+
+
+def _socials(links: list[Node]) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for a in links:
+        href = a.attrs.get("href", "")
+        site = next((s for s, hosts in SOCIAL_SITES.items() if any(h in href.lower() for h in hosts)), None)
+        if site:
+            found.setdefault(f"social_{site}", href)
+    return found
+
+
+def _cards(top: Node) -> list[dict]:
+    """Listings of a results page: the first kind of card that there is."""
+    boxes = next((b for b in (top.all(r) for r in CARDS) if b), [])
+    out = []
+    for box in boxes:
+        links = [a for a in box.all(("a", None, None)) if a.words()]
+        profile = [a for a in links if "/company/" in a.attrs.get("href", "")]
+        named = [a for a in links if a.up.tag in ("h2", "h3") or "business-name" in a.attrs.get("class", "")]
+        link = next((a for a in [x for x in profile if x in named] + profile + named), None)
+        if link is None:
+            continue
+        address = box.first_text(CARD_ADDRESSES, lambda t: bool(t) and not any(w in t for w in NOT_ADDRESSES))
+        street = [box.first_text([("*", "class", c)]) for c in ("street-address", "locality")]
+        site = next((a.attrs.get("href") for a in links if "website" in a.attrs.get("class", "")), None)
+        out.append({"name": link.words(), "address": ", ".join(filter(None, street)) or address, "phone": box.first_text(CARD_PHONES), "website": site, "url": link.attrs.get("href")})
+    return out
+
+
+def _detail(top: Node) -> dict | None:
+    """One business from a page of its own: heading, text, labelled facts, social links."""
+    out: dict[str, str | None] = {"name": top.first_text(DETAIL_NAMES), "description": top.first_text(DETAIL_TEXTS)}
+    links: list[Node] = []
+    for dt in top.all(("dt", None, None)):
+        after = dt.up.kids[dt.up.kids.index(dt) + 1 :]
+        dd = next((k for k in after if isinstance(k, Node) and k.tag == "dd"), None)
+        if dd is None:
+            continue
+        label, own = dt.words().lower(), dd.all(("a", None, None))
+        if "website" in label:
+            site = own[0].attrs.get("href", "") if own else ""
+            if site and not _socials(own[:1]):
+                out["website"] = site
+        elif "social" in label or "media" in label:
+            links += own
+        elif "phone" in label:
+            out.setdefault("phone", dd.words())
+        elif "address" in label:
+            out.setdefault("address", dd.words())
+    out |= _socials(links) or _socials(top.all(("a", None, None)))
+    return out if out["name"] else None
 
 
 def parse_page(html: str | None) -> dict:
-    page = Page()
-    page.feed(html or "")
-    page.close()
-    text = " ".join(page.text)
-    items = [(h, i) for h, i in page.items if 2 < len(i) <= 80]
-    services = list(dict.fromkeys(i for h, i in items if SERVICE.search(h)))[:15]
-    named = [a for a in page.alts if PARTNER.search(a)] + [i for h, i in items if PARTNER.search(h)]
-    people = {}
-    for card in page.cards:
-        m = NAME.search(card)
-        if m:
-            people.setdefault(m.group(), card[m.end() :].strip(" ,-–")[:60])
-    lines = sorted((s for s in re.split(r"(?<=[.!?])\s+", text) if len(s) > 40), key=lambda s: -len(s) * (1.5 if SERVICE.search(s) else 1))
+    top = tree(html)
+    text = top.words()
+    weight = lambda s: len(s) * (1.5 if any(w in s.lower() for w in SUMMARY_WORDS) else 1)
     summary = ""
-    for s in lines:
+    for s in sorted((s for s in re.split(r"(?<=[.!?])\s+", text) if len(s) > 40), key=weight, reverse=True):
         if len(summary) + len(s) + 1 > 500:
             break
         summary = f"{summary} {s}".strip()
-    return {"text": text, "summary": summary or None, "services": services, "partners": list(dict.fromkeys(named))[:20], "team": [{"name": n, "title": t or None} for n, t in people.items()][:20]}
+    people, owner = _team(top, text)
+    titles = [t for t in (n.words() for n in top.walk() if n.tag in ("h1", "h2", "h3", "h4")) if 10 < len(t) < 150 and not any(w in t.lower() for w in NOT_TITLES)]
+    return {
+        "text": text, "summary": summary or None, "services": _schema_services(top) or _told_services(top, text), "partners": _partners(top),
+        "team": [{"name": n, "title": t} for n, t in people], "owner_title": owner, "post_titles": titles[:10], "cards": _cards(top), "detail": _detail(top),
+    }
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Add the columns of ``SCHEMA``; one Arrow pass, other columns unchanged."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    names = re.findall(r"[a-z_]+(?=:)", LISTING)
+    whole = lambda d: None if d is None else {n: d.get(n) for n in names}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             parsed = [parse_page(h) for h in pdf["html"]]
-            yield pdf.assign(**{k: [p[k] for p in parsed] for k in ("text", "summary", "services", "partners", "team")})
+            for p in parsed:
+                p["cards"], p["detail"] = [whole(c) for c in p["cards"]], whole(p["detail"])
+            yield pdf.assign(**{k: pd.Series([p[k] for p in parsed], dtype=object, index=pdf.index) for k in ("text", "summary", "services", "partners", "team", "owner_title", "post_titles", "cards", "detail")})
 
     return pages.mapInPandas(run, f"{fields}, {SCHEMA}")
 
 
 def roll_up(parsed: DataFrame, lead: str, most: int) -> DataFrame:
-    """Facts of a lead from its first ``most`` pages, home page first, then by address: the
-    first found summary, services and team, partners of all pages once each."""
-    from bizlink.functions.pages import page_kind
-
-    kind = page_kind(F.col("url"))
-    w = Window.partitionBy(lead).orderBy((kind != "home").cast("int"), "url", "page_id")
+    """Facts of a lead from its first ``most`` pages, home page first, then by kind and address:
+    the first found summary, services and team, partners of all these pages once each."""
+    kind = P.page_kind(F.col("url"))
+    w = Window.partitionBy(lead).orderBy((kind != "home").cast("int"), (kind == "other").cast("int"), "url", "page_id")
     few = parsed.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     first = lambda c: F.min_by(c, F.when(F.size(c) > 0, F.col("_n")))
     return few.groupBy(lead).agg(F.count("*").alias("pages"), F.min_by("summary", F.when(F.col("summary").isNotNull(), F.col("_n"))).alias("summary"), first("services").alias("services"), first("team").alias("team"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("partners")))).alias("partners"))
+
+
+#: Paths that are tried though the home page isn't there.
+HIGH_VALUE = ["/contact", "/contact-us", "/about", "/about-us", "/locations"]
+
+
+def contact_roll_up(pages: DataFrame, lead: str, domain: str, most: int = 10, most_emails: int = 20) -> DataFrame:
+    """Contacts of a lead from its pages in order: home, contact paths, then pages that a sitemap
+    would tell, each by address. Reading ends after the page by which an owner and an address
+    of medium rank or better are known, or ``most_emails`` addresses, or ``most`` pages.
+
+    Columns only; per lead the pages are few, and running counts say where reading ended.
+    """
+    place = P.path_order(F.col("url"), P.CONTACT_PATHS)
+    order = F.coalesce(place, F.when(P.sitemap_relevant(F.col("url")), len(P.CONTACT_PATHS) + 1))
+    path = F.rtrim(P.path_of(F.col("url")), F.lit("/"))
+    facts = pages.select(F.col(lead), F.col(domain).alias("_d"), "url", order.alias("_o"), path.isin(HIGH_VALUE).alias("_high"), C.harvest_emails(F.col("html")).alias("emails"), C.owner_name(P.visible_text(F.col("html"))).alias("owner")).where("_o is not null")
+    facts = facts.withColumn("best", F.array_max(F.transform("emails", lambda e: C.email_score(e, F.col("_d")))))
+    home = F.min("_o").over(Window.partitionBy(lead)) == 0
+    facts = facts.withColumn("_home", home).where("_home or _high")
+    w = Window.partitionBy(lead).orderBy("_o", "url")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.coalesce(F.max("owner").over(upto).isNotNull() & (F.max("best").over(upto) >= 40), F.lit(False))
+    ends = (F.col("_o") > 0) & (known | (F.sum(F.size("emails")).over(upto) >= most_emails) | (F.row_number().over(w) >= most))
+    read = facts.withColumn("_n", F.row_number().over(w)).withColumn("_end", ends)
+    read = read.withColumn("_over", F.coalesce(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).where("not _over")
+    emails = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", "emails"))), lambda x: x["emails"])))
+    out = read.groupBy(lead).agg(F.count("*").alias("pages"), emails.alias("emails"), F.min_by("owner", F.when(F.col("owner").isNotNull(), F.col("_n"))).alias("owner"), F.first("_d").alias("_d"))
+    best = F.get(F.array_sort(F.transform("emails", lambda e: F.struct((-C.email_score(e, F.col("_d"))).alias("s"), e.alias("e")))), F.lit(0))["e"]
+    return out.select(lead, "pages", "emails", "owner", best.alias("best_email"))

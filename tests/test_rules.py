@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from bizlink.functions import contact as C
 from bizlink.functions import identity as I
 from bizlink.functions.fuzzy import lcs, partial, ratio, token_set
 from bizlink.functions.places import location_matches
-from bizlink.operators import golden, linkage, outreach, records, select
+from bizlink.functions import pages as P
+from bizlink.operators import golden, linkage, lookups, market, outreach, records, select
 from bizlink.operators.components import components
-from bizlink.sources.html import parse_page
+from bizlink.sources.html import contact_roll_up, parse_page
 from bizlink.sources.listings import Registry, canonical
-from bizlink.sources.sinks import dates_in, replace_jobs
+from bizlink.sources.sinks import ask, dates_in, replace_jobs
 
 
 def one(spark, column, **values):
@@ -49,6 +51,97 @@ def test_name_and_phone_keys(spark):
     assert one(spark, I.slug(F.col("s")), s="  !!  ") == "leads"
 
 
+def test_fixed_lists_are_whole():
+    assert len(lookups.AREA_CODES) == 337
+    assert len(set(lookups.AREA_CODES.values())) == 51
+    assert len(market.PROFILES) == 12 and len(records.MEDICAL) == 44 and len(C.OWNER_PATTERNS) == 17
+    assert len(C.ASSET_HOSTS) == 22 and len(C.LONG_ENDINGS) == 113 and len(C.NOT_NAMES) == 225
+    assert len(P.CMS) == 12 and len(P.AD_TAGS) == 11 and len(P.DIRECT) == 19 and len(P.CHALLENGES) == 6
+    assert len(P.FOUNDED) == 4 and len(P.STAFF) == 6
+
+
+@pytest.mark.parametrize(("category", "profile"), [("Roofing Contractor", "Roofing"), ("Joe's HVAC & Heating", "HVAC"), ("Italian Restaurant", "Restaurant"), ("Seaside Motel", "Hospitality / Lodging"), ("Acme Kitchen Remodeling", "Remodeling / General Contractor"), (None, "Local business"), ("Pet Grooming", "Local business")])
+def test_profiles(spark, category, profile):
+    assert one(spark, market.profile_of(F.col("c")), c=category) == profile
+
+
+@pytest.mark.parametrize(("text", "email"), [("write joe [at] acme [dot] plumbing today", "joe@acme.plumbing"), ("mail: ann @ site . co", "ann@site.co"), ("what is . that", None), ("", None)])
+def test_spelled_addresses(spark, text, email):
+    assert one(spark, F.get(C.harvest_emails(F.col("t")), F.lit(0)), t=text) == email
+
+
+def test_owner_names_as_python_finds_them(spark):
+    from bizlink.functions.pages import visible_text
+
+    texts = ["Founded by John Smith. Call", "Owner: Mary Jones, here", "Jane Doe, CEO of Acme", "Bob Stone - Founder", "Ann Lee is the owner", "I'm Bob Jones and", "Smith Brown & Sons Plumbing", "Our founder, Mark Twain!", "with owner Zed Young.", "Owner is Pat Gray.",
+             "Propietario: Juan García.", "Propriétaire: Jean Dupont.", "Inhaber: Hans Müller.", "Contact us Our Team", "contact person Max Frost.", "Meet Our Team. Founded by Eve Hill.", "nothing here", ""]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(visible_text(F.col("html")).alias("t")).limit(40)
+    texts += [r["t"] for r in pages.collect()]
+    got = [r["o"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", C.owner_name(F.col("t")).alias("o")).orderBy("i").collect()]
+
+    def plausible(name):
+        parts = name.split()
+        return 2 <= len(parts) <= 4 and all(re.match(r"^[A-Z][a-zA-ZÀ-ÿ'’\-]*$", p) and p.lower().strip(".,'’-") not in C.NOT_NAMES for p in parts) and sum(len(p) >= 3 for p in parts) >= 2
+
+    for text, owner in zip(texts, got, strict=True):
+        hits = (m.group(1).strip() for m in (re.search(p, text) for p in C.OWNER_PATTERNS) if m)
+        assert owner == next((h for h in hits if plausible(h)), None), text[:80]
+    assert sum(o is not None for o in got) >= 13
+
+
+def test_page_structure_rules():
+    page = parse_page("""<script type="application/ld+json">{"@graph":[{"@type":"Service","name":"Roof repair"},{"x":{"@type":"Product","name":"Tiles"}}]}</script><h1>All about our roofs here</h1>
+      <ul class="menu"><li>Never listed</li></ul><div class="team-card"><h3>Ann Smith</h3><p>Co-Founder</p></div><div class="team-card"><h3>Bob Stone</h3><p>Roofer</p></div>
+      <div>Our partners <img alt="Acme Gold"><li>Certified by Globex Systems</li></div>""")
+    assert page["services"] == ["Roof repair", "Tiles"] and page["owner_title"] == "Co-Founder" and page["post_titles"] == ["All about our roofs here"]
+    assert page["team"] == [{"name": "Ann Smith", "title": "Co-Founder"}, {"name": "Bob Stone", "title": "Roofer"}]
+    assert "Acme Gold" in page["partners"] and any("Globex Systems" in p for p in page["partners"])
+    told = parse_page("<p>We offer roof repair, gutter cleaning and siding. We are good.</p><section><h2>Our Services</h2><ul><li>Inspection</li></ul></section>")
+    assert told["services"] == ["roof repair", "gutter cleaning", "siding", "Inspection"]
+    assert parse_page("<p>Eve Hill — General Manager, here</p>")["owner_title"] == "General Manager"
+
+
+def test_listing_cards_and_detail():
+    cards = parse_page("""<div class="hf-box"><h3><a href="/company/1/acme">Acme Roofs</a></h3><a href="tel:1">555-1234</a><span class="small">Claim this</span><span class="small">1 Main St</span></div>
+      <div class="hf-box"><p>no link</p></div>""")["cards"]
+    assert [(c["name"], c["phone"], c["address"], c["url"]) for c in cards] == [("Acme Roofs", "555-1234", "1 Main St", "/company/1/acme")]
+    yp = parse_page("""<div class="result"><a class="business-name" href="/b/2">Bolt Co</a><div class="phones phone primary">555-9</div><div class="street-address">2 Elm</div><div class="locality">Bend, OR</div><a class="track-visit-website" href="https://bolt.co">w</a></div>""")["cards"]
+    assert [(c["name"], c["phone"], c["address"], c["website"]) for c in yp] == [("Bolt Co", "555-9", "2 Elm, Bend, OR", "https://bolt.co")]
+    one_ = parse_page("""<h1>Acme Roofs</h1><p class="description">Good roofs</p><dl class="row"><dt>Website</dt><dd><a href="https://acme.com">w</a></dd><dt>Phone no.</dt><dd>555</dd><dt>Social media</dt><dd><a href="https://facebook.com/a">f</a><a href="https://x.com/a">x</a></dd><dt>Address</dt><dd>1 Main</dd></dl>""")["detail"]
+    assert one_ == {"name": "Acme Roofs", "description": "Good roofs", "website": "https://acme.com", "phone": "555", "address": "1 Main", "social_facebook": "https://facebook.com/a", "social_twitter": "https://x.com/a"}
+    assert parse_page("")["detail"] is None and parse_page(None)["cards"] == []
+
+
+def test_contact_roll_up_stops_early(spark):
+    page = lambda path, html: ("a", "acme.com", f"https://acme.com{path}", html)
+    rows = [page("/", "info@acme.com"), page("/contact", "Founded by Ann Lee."), page("/about", "<b>joe.doe@acme.com</b>"), page("/team", "zoe@acme.com"), page("/shop", "never@acme.com")]
+    rows += [("b", "b.com", "https://b.com/team", "x@b.com"), ("b", "b.com", "https://b.com/contact", "y.z@b.com")]
+    got = {r["lead"]: r for r in contact_roll_up(spark.createDataFrame(rows, "lead string, domain string, url string, html string"), "lead", "domain").collect()}
+    assert (got["a"]["pages"], got["a"]["owner"], got["a"]["best_email"], got["a"]["emails"]) == (2, "Ann Lee", "info@acme.com", ["info@acme.com"])
+    assert (got["b"]["pages"], got["b"]["best_email"]) == (1, "y.z@b.com")
+
+
+def test_founding_and_staff(spark):
+    html = lambda c, t: one(spark, c, t=t)
+    year = P.year_founded(F.col("t"), 2026, F.lit(2011))
+    assert html(year, 'since 1990, "foundingDate": "1979-02-01"') == 1979 and html(year, "Founded in 1987. since 1991. Established 2001") == 1991
+    assert html(year, "Copyright © 1999-2024") == 1999 and html(year, "nothing") == 2011 and html(year, '"foundingDate":"1200"') is None
+    staff = P.employee_count(F.col("t"))
+    assert html(staff, 'numberOfEmployees: 50') == 50 and html(staff, '<meta content="12" itemprop="numberOfEmployees">') == 12
+    assert html(staff, "We're a team of 50 people") == 50 and html(staff, "a 200-person company") == 200 and html(staff, "our 30 - person team") == 30 and html(staff, "We employ over 80") == 80
+
+
+def test_model_hook_goes_on_after_a_failure(spark):
+    def model(prompts):
+        if "bad" in prompts:
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([("bad",), ("ok",)], "facts string").repartition(2, "facts")
+    assert {r["facts"]: r["reply"] for r in ask(rows, model).collect()}["ok"] == "OK"
+    assert ask(rows, None).where("reply is null").count() == 2
+
+
 def test_ratios_against_plain_definitions():
     rng = random.Random(5)
 
@@ -86,13 +179,60 @@ def test_similar_names_finds_every_pair(spark):
     assert got == want
 
 
-def test_replay_equals_ordered_greedy(spark):
-    rows = [(1, 1, "Acme Roofing", "(213) 555-0142", "1 Main St"), (2, 2, "Acme Roofing LLC", "213-555-0142", None), (3, 3, "Acme Roofing", None, "99 Far Rd, Elsewhere"), (4, 4, "Other", None, None), (5, 5, "Acme Roofings", None, "1 Main Street")]
-    df = spark.createDataFrame(rows, "id long, ord long, name string, phone string, address string")
-    got = {r["id"]: r["cluster"] for r in linkage.resolve(df, "replay").collect()}
-    assert got[1] == got[2] == got[5] and got[4] == 4 and got[3] in (1, 3)
-    for n in (1, 7):
-        assert {r["id"]: r["cluster"] for r in linkage.resolve(df.repartition(n), "replay").collect()} == got
+def test_resolve_is_the_closure_of_matches(spark):
+    from bizlink.functions.identity import match_digits, name_key
+
+    rng = random.Random(7)
+    names = ["Acme Roofing", "Acme Roofingg", "Acme Roof", "Bolt Electric", "Bolt Electrics", "Bold Electric", "Zen Spa", ""]
+    rows = [(i, rng.choice(names), rng.choice([None, "", "213-555-0101", "(213) 555-0102", "541 555 0103"]), rng.choice([None, "1 Main St", "1 Main Street", "99 Oak Avenue"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, name string, phone string, address string").repartition(3)
+    keyed = {r["id"]: r for r in df.withColumn("p", match_digits(F.col("phone"))).withColumn("n", name_key(F.col("name"))).collect()}
+
+    def same(a, b):
+        if a["p"] and a["p"] == b["p"]:
+            return True
+        if not a["n"] or not b["n"] or ratio(a["n"], b["n"]) < 88:
+            return False
+        x, y = (a["address"] or "").lower(), (b["address"] or "").lower()
+        return not x or not y or partial(x, y) >= 60
+
+    root = {i: i for i in keyed}
+    changed = True
+    while changed:
+        changed = False
+        for i in keyed:
+            low = min(root[k] for k in keyed if k == i or same(keyed[i], keyed[k]) or same(keyed[k], keyed[i]))
+            changed |= low < root[i]
+            root[i] = min(root[i], low)
+    assert {r["id"]: r["cluster"] for r in linkage.resolve(df).collect()} == root
+
+
+def test_resolve_has_one_rule_for_all_sizes(spark):
+    rows = spark.range(5300).select("id", F.when(F.col("id") < 5200, "").otherwise(F.md5(F.col("id").cast("string"))).alias("name"), F.when(F.col("id") < 5200, "213-555-0101").alias("phone"), F.lit("1 Main St").alias("address"))
+    got = linkage.resolve(rows).groupBy("cluster").count().collect()
+    assert max(r["count"] for r in got) == 5200 and len(got) == 101
+
+
+def test_best_place(spark):
+    leads = spark.createDataFrame([(1,), (2,), (3,)], "lead_id long")
+    rows = [(1, "Acme Roofing", 0, "https://g/maps/place/a", "Zzz", 4.0, 9), (1, "Acme Roofing", 1, "https://g/maps/place/b", "Roofing Acme", 4.5, 7), (2, "Bolt", 0, "https://g/maps/place/c", "Qqqq", 3.0, 1), (3, "Bolt", 0, "https://g/search", "Bolt", 3.0, 1)]
+    tries = spark.createDataFrame(rows, "lead_id long, target_name string, cand_ord int, href string, cand_name string, rating double, reviews int")
+    got = {r["lead_id"]: r for r in linkage.best_place(leads, tries).collect()}
+    assert got[1]["google_maps_url"] == "https://g/maps/place/b" and got[1]["google_rating"] == 4.5
+    assert not got[2]["has_google_maps"] and got[2]["google_maps_url"] is None and not got[3]["has_google_maps"]
+
+
+def test_partial_and_set_ratios_by_plain_windows():
+    from bizlink.functions.fuzzy import sorted_ratio
+
+    rng = random.Random(9)
+    for _ in range(150):
+        a, b = (" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(2))
+        x, y = sorted((a, b), key=len)
+        cuts = {y[max(0, s) : s + len(x)] for s in range(1 - len(x), len(y))}
+        assert partial(a, b) == pytest.approx(max(ratio(x, c) for c in cuts))
+        assert sorted_ratio(a, b) == pytest.approx(ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
+        assert token_set(a, b) == pytest.approx(token_set(b, a)) and (set(a.split()) <= set(b.split())) <= (token_set(a, b) == 100)
 
 
 def test_components_of_chains(spark):
