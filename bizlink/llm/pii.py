@@ -264,11 +264,12 @@ def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:
 
     # A text's entities depend on the text alone, so its hash is key enough, and copies meet here.
     mentions = keyed.select(th, "text").mapInArrow(detect, f"`{th}` bigint, kind string, value string")
-    mentions = materialize(mentions.groupBy(th, "kind", "value").agg(F.count("*").alias("rows")), "pii-mentions")
+    mentions = materialize(mentions.distinct(), "pii-mentions")
     values = materialize(mentions.groupBy("kind", "value").agg(F.count("*").alias("n")), "pii-values")
     mapping = assign(values.select("kind", "value"), key)
     by_text = spread_join(mentions, mapping, ["kind", "value"], values, [th]).groupBy(th).agg(F.collect_list(F.struct("kind", "value", "new")).alias(known_))
-    copies = materialize(mentions.groupBy(th).agg(F.max("rows").alias("n")), "pii-copies")
+    # Texts without entities travel too, so copies are counted over all rows.
+    copies = materialize(keyed.groupBy(th).agg(F.count("*").alias("n")).where("n > 1"), "pii-copies")
     both = spread_join(keyed, by_text, [th], copies, [c for c in columns if c == "doc_id"] or [th], "left").drop(th)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_entities bigint"
 
