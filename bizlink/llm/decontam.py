@@ -17,6 +17,7 @@ import hashlib
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ WINDOW = 10
 BLOCK_BYTES = 8 << 20
 #: Words of an item that stay together.
 PIECE_WORDS = 20_000
+#: Words of short texts that are searched together; a longer text is searched alone.
+TOGETHER = 100_000
 #: ASCII bytes that are not part of a word become spaces, A-Z become a-z.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,16 +126,37 @@ class Tables:
 
     def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Positions inside any occurrence, and the items that own one."""
+        return self._hits([words])[0]
+
+    def hits_of(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
+        """Of each text the positions inside any occurrence, and the items that own one. Texts go
+        through the tables together, an unknown word after each, which no window holds."""
+        out, at = [], 0
+        while at < len(texts):
+            upto, n = at, 0
+            while upto < len(texts) and (upto == at or n + len(texts[upto]) <= TOGETHER):
+                n += len(texts[upto])
+                upto += 1
+            out += self._hits(texts[at:upto])
+            at = upto
+        return out
+
+    def _hits(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
         get, unknown = self.number.get, len(self.number)
-        ids = np.array([get(w, unknown) for w in words], np.int64)
-        edge, items = np.zeros(len(words) + 1, np.int64), set()
+        size = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(size + 1) - (size + 1)
+        ids = np.fromiter(chain.from_iterable(chain(map(get, t, repeat(unknown)), (unknown,)) for t in texts), np.int64, int((size + 1).sum()))
+        edge, items = np.zeros(len(ids) + 1, np.int64), [set() for _ in texts]
         for s in self.searches:
             starts, window = s.find(ids)
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + s.m, -1)
-            for u in np.unique(window):
-                items.update(self.items[o] for o in np.unique(s.owners[s.run[u] : s.run[u + 1]]))
-        return np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
+            owner = np.searchsorted(first, starts, "right") - 1
+            for both in np.unique(owner * len(s.start) + window):
+                k, u = divmod(int(both), len(s.start))
+                items[k].update(self.items[o] for o in np.unique(s.owners[s.run[u] : s.run[u + 1]]))
+        inside = np.cumsum(edge[:-1]) > 0
+        return [(np.flatnonzero(inside[f : f + n]), own) for f, n, own in zip(first, size, items, strict=True)]
 
 
 #: The tables of the block that a worker used last, by the block's name.
@@ -180,7 +204,7 @@ def _scan(name: str, sent: Broadcast, emit: Callable) -> Callable:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 words = [words_of(t) for t in part.column("text").to_pylist()]
-                yield emit(part, [len(w) for w in words], [tables.hits(w) for w in words])
+                yield emit(part, [len(w) for w in words], tables.hits_of(words))
 
     return run
 
