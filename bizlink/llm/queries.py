@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlink.llm import bpe, decontam, linededup, pii, quality, sharding, simhash, suffix, tokens_out, toxicity
+from bizlink.llm import bpe, decontam, dialogue, linededup, pii, quality, sharding, simhash, suffix, tokens_out, toxicity, vecgraph, whitening
 from bizlink.llm.common import read, scratch_path
 
 #: The vocabulary of the production queries; every operator takes the path as a parameter.
@@ -65,8 +65,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_substrings(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecgraph.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_bpe_round_trip, op4_line_dedup, op5_pii_surrogates, op6_toxicity, op7_simhash_groups, op8_slot_sharding, op9_decontamination, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality_rules, op3_bpe_round_trip, op4_line_dedup, op5_pii_surrogates, op6_toxicity, op7_simhash_groups, op8_slot_sharding, op9_decontamination, op10_suffix_dedup, op11_embedding_groups, op12_conversation_repair, op13_embedding_whitening)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
