@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the folder that all executors share and read back; a local master without the
-    setting uses a temporary folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from bizlink.scratch import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,15 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     both are grouped minima and joins. The labels only fall, rounds go on until none does,
     and each round's table is written out so that plans stay short.
     """
-    both = _cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = _cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "components")
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "components")
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
         met = labels.join(around, labels["node"] == around["a"]).select("node", "root", F.least("root", "low").alias("new"))
         # Pull the old root along to what any of its members has found.
         pulled = met.groupBy(F.col("root").alias("hook")).agg(F.min("new").alias("to"))
         jump = met.join(pulled, met["new"] == pulled["hook"], "left").select("node", F.col("root").alias("was"), F.least("new", F.coalesce("to", "new")).alias("root"))
-        jump = _cut(jump)
+        jump = materialize(jump, "components")
         moved = jump.where("root <> was").limit(1).count()
         labels = jump.select("node", "root")
         if not moved:

@@ -1,10 +1,14 @@
 """Record linkage: candidate keys, verification, clusters; never a cross join.
 
 Two listings match on the last seven phone digits, or on names at least 88 percent alike
-unless both have addresses that disagree. The work is done on distinct names. A pair of
-lengths la + lb may differ in k = floor(0.12 (la + lb)) edits, so one of k + 1 equal parts of
-the shorter name stands unchanged in the other within a shift of k: those parts are the join
-keys. Native edit distance settles most pairs, the rest goes to the subsequence ratio.
+unless both have addresses that disagree. The work is done on distinct names. Short names are
+joined on what is left of them after deletions, which is exact by itself. Longer ones are
+joined on their rarest trigrams: a pair may differ in so few places that one of each name's
+rarest ones is common to both, near the same place. Native edit distance settles most of
+these pairs, the rest goes to the subsequence ratio.
+
+Clusters are the transitive closure of matches (:func:`resolve`), or what the sequential
+first-match rule makes of the listings in their order (:func:`greedy_clusters`).
 """
 
 from __future__ import annotations
@@ -15,42 +19,93 @@ from pyspark.sql import functions as F
 from bizlink.functions.fuzzy import partial_udf, ratio_udf
 from bizlink.functions.identity import match_digits, name_key
 from bizlink.operators.components import components
+from bizlink.scratch import materialize
 
 THRESHOLD, ADDRESS_THRESHOLD = 88, 60
-#: Shorter length sums admit no edit: equality is all that is left.
-_NO_EDIT = 9
-
-
-def _parts(name: Column, k: Column) -> Column:
-    """(number, first place, text) of the k + 1 parts of a name."""
-    n = F.length(name)
-    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("part"), (F.floor(i * n / (k + 1)) + 1).cast("int").alias("at"), F.substring(name, F.floor(i * n / (k + 1)).cast("int") + 1, (F.floor((i + 1) * n / (k + 1)) - F.floor(i * n / (k + 1))).cast("int")).alias("text")))
+#: Names up to ``SHORT`` letters are joined by deletions; a partner of a longer one has ``LEAST`` or more.
+SHORT, LEAST, GRAM = 13, 11, 3
+#: A trigram of more names than this is dealt over several tasks.
+HOT_GRAM = 4096
+
+
+def _deletions(la: int, lb: int) -> tuple[int, int] | None:
+    """How many letters names of la >= lb letters lose at most down to what they share."""
+    most = 12 * (la + lb) // 100
+    most -= (most - (la - lb)) % 2
+    return None if most < la - lb else ((most + la - lb) // 2, (most - la + lb) // 2)
+
+
+def _shortened(name: Column, times: int) -> Column:
+    """All strings that ``name`` gives by ``times`` deletions, up to two."""
+    once = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    if times == 0:
+        return F.array(name)
+    return F.array_distinct(once(name) if times == 1 else F.flatten(F.transform(once(name), once)))
+
+
+def _by_deletions(names: DataFrame) -> DataFrame:
+    """Similar pairs among names of up to ``SHORT`` letters: those that share a string which
+    both become by as many deletions as their lengths allow. Nothing is left to verify."""
+    cuts = [(la, lb, *cut) for la in range(1, SHORT + 1) for lb in range(1, la + 1) if (cut := _deletions(la, lb)) and cut != (0, 0)]
+    plan = names.sparkSession.createDataFrame(cuts, "la int, lb int, ka int, kb int")  # a few dozen rows
+
+    def side(length: str, times: str, name: str) -> DataFrame:
+        each = names.join(F.broadcast(plan), names["n"] == plan[length])
+        rest = F.when(F.col(times) == 0, _shortened(F.col("name"), 0)).when(F.col(times) == 1, _shortened(F.col("name"), 1)).otherwise(_shortened(F.col("name"), 2))
+        return each.select("la", "lb", F.col("name").alias(name), F.explode(rest).alias("rest"))
+
+    both = side("la", "ka", "x").join(side("lb", "kb", "y"), ["la", "lb", "rest"])
+    return both.where("la > lb or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def rare_grams(names: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``(name, n, gram, pos, df)``: the rarest trigrams of each name with so many letters that
+    a similar name has one of them too. A gram's repeats in a name are told apart by number.
+
+    The order is by ``counts`` (gram, df), by default those of the names themselves; any order
+    serves as long as all names to be joined go by the same. Grams not counted come first. A
+    gram that a name has more than once has no place: its repeats may stand for each other.
+    """
+    at = F.sequence(F.lit(1), F.col("n") - (GRAM - 1))
+    grams = F.transform(at, lambda i: F.struct(F.substring(F.col("name"), i, F.lit(GRAM)).alias("g"), i.alias("pos")))
+    same = lambda x, earlier: F.size(F.filter("grams", lambda y: (y["g"] == x["g"]) & ((y["pos"] < x["pos"]) | ~F.lit(earlier))))
+    numbered = F.transform("grams", lambda x: F.struct(F.concat(x["g"], same(x, True).cast("string")).alias("gram"), F.when(same(x, False) == 1, x["pos"]).alias("pos")))
+    plain = F.transform("grams", lambda x: F.struct(F.concat(x["g"], F.lit("0")).alias("gram"), x["pos"].alias("pos")))
+    numbered = F.when(F.size(F.array_distinct(F.transform("grams", lambda x: x["g"]))) == F.size("grams"), plain).otherwise(numbered)
+    each = names.where(F.col("n") >= LEAST).withColumn("grams", grams).select("name", "n", F.inline(numbered))
+    if counts is None:
+        counts = each.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = each.join(counts, "gram", "left").select("name", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram", "pos").alias("g"))
+    own = ranked.groupBy("name", "n").agg(F.array_sort(F.collect_list("g")).alias("gs"))
+    # A pair of n letters and fewer loses at most 3n/14 of them, and with each three trigrams.
+    most = F.least(F.col("n") - (GRAM - 1), F.floor(F.col("n") * (3 * GRAM) / 14).cast("int") + 1)
+    return own.select("name", "n", F.inline(F.slice("gs", F.lit(1), most))).select("name", "n", "gram", "pos", "df")
+
+
+def _by_grams(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Similar pairs across two tables of :func:`rare_grams`, the longer name over ``SHORT``."""
+    parts = F.ceil(F.col("df") / HOT_GRAM).cast("int") + 1
+    left = one.withColumn("part", F.pmod(F.xxhash64("name"), parts).cast("int")).select("gram", "part", F.col("name").alias("x"), F.col("n").alias("la"), F.col("pos").alias("i"))
+    right = two.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("gram", "part", F.col("name").alias("y"), F.col("n").alias("lb"), F.col("pos").alias("j"))
+    # The work is in the pairs and not in the bytes, so tasks aren't joined up by size.
+    tasks = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, "gram", "part"), right.repartition(tasks, "gram", "part")
+    high, low = F.greatest("la", "lb"), F.least("la", "lb")
+    near = (high > SHORT) & (14 * low >= 11 * high) & F.coalesce(14 * F.abs(F.col("i") - F.col("j")) <= 3 * high, F.lit(True)) & (F.col("x") != F.col("y"))
+    k = F.floor((F.col("la") + F.col("lb")) * 12 / 100).cast("int")
+    # The distance is taken before pairs are made distinct: few of them are left to shuffle.
+    pairs = left.join(right, ["gram", "part"]).where(near & (F.levenshtein("x", "y") <= k))
+    near = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), k.alias("k")).distinct().withColumn("e", F.levenshtein("a", "b"))
+    sure = near.where(2 * F.col("e") <= F.col("k")).select("a", "b")
+    open_ = near.where(2 * F.col("e") > F.col("k")).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b")
+    return sure.unionByName(open_)
 
 
 def similar_names(names: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of distinct ``name`` values at least 88 percent alike."""
     names = names.select("name").where(F.length("name") > 0).distinct().withColumn("n", F.length("name"))
-    # The longer name's length lb runs from la to where 0.12 T still covers the difference.
-    longest = F.floor(F.col("n") * 1.273 + 1).cast("int")
-    short = names.select(F.col("name").alias("s"), F.col("n").alias("la"), F.explode(F.sequence("n", longest)).alias("lb")).where((F.col("la") + F.col("lb") >= _NO_EDIT))
-    short = short.withColumn("k", F.floor((F.col("la") + F.col("lb")) * 0.12).cast("int"))
-    short = short.where((F.col("k") >= F.col("lb") - F.col("la")) & (F.col("k") < F.col("la"))).select("s", "la", "lb", "k", F.inline(_parts(F.col("s"), F.col("k"))))
-    spans = names.select(F.col("name").alias("l"), F.col("n").alias("lb"), F.explode(F.sequence(F.greatest(F.lit(1), F.floor(F.col("n") / 1.28 - 1).cast("int")), "n")).alias("la")).where(F.col("la") + F.col("lb") >= _NO_EDIT)
-    spans = spans.withColumn("k", F.floor((F.col("la") + F.col("lb")) * 0.12).cast("int")).where((F.col("k") >= F.col("lb") - F.col("la")) & (F.col("k") < F.col("la")))
-    place = lambda i, f: F.floor((i + f) * F.col("la") / (F.col("k") + 1)).cast("int")
-
-    def shifted(i: Column) -> Column:
-        size = place(i, 1) - place(i, 0)
-        lo, hi = F.greatest(F.lit(1), place(i, 0) + 1 - F.col("k")), F.least(F.col("lb") - size + 1, place(i, 0) + 1 + F.col("k"))
-        return F.when(hi >= lo, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda p: F.struct(i.alias("part"), F.substring(F.col("l"), p, size).alias("text"))))
-
-    cuts = F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), F.col("k")), shifted)))
-    spans = spans.select("l", "la", "lb", F.inline(F.array_distinct(cuts)))
-    pairs = short.join(spans, ["la", "lb", "part", "text"]).where("s <> l").select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "k").distinct()
-    near = pairs.withColumn("e", F.levenshtein("a", "b")).where(F.col("e") <= F.col("k"))
-    sure = near.where(2 * F.col("e") <= F.col("k")).select("a", "b")
-    open_ = near.where(2 * F.col("e") > F.col("k")).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b")
-    return sure.unionByName(open_)
+    grams = materialize(rare_grams(names), "grams")
+    return _by_deletions(names).unionByName(_by_grams(grams, grams))
 
 
 def link_keys(listings: DataFrame) -> DataFrame:

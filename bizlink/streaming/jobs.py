@@ -6,7 +6,6 @@ runs a stream over what is there and returns the result as a table, for tests an
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bizlink.operators.outreach import KEYS
+from bizlink.scratch import scratch_path as scratch
 
 
 def events_stream(spark: SparkSession, folder: str, table: str, schema: str, files_per_batch: int = 8) -> DataFrame:
@@ -22,18 +22,6 @@ def events_stream(spark: SparkSession, folder: str, table: str, schema: str, fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def collect_all(stream: DataFrame, mode: str, tag: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream to the end of its input into a table: the last batch's rows in complete
     mode, all rows otherwise."""
