@@ -72,5 +72,5 @@ def merge_pool(listings: DataFrame, fields: list[str], key: str = "cluster") ->
         full = ~is_blank(F.col(f), types[f])
         order = F.struct((-F.length(f)).alias("n"), "ord") if f == "description" else F.col("ord")
         aggs.append(F.min_by(F.when(full, F.col(f)), F.when(full, order)).alias(f))
-    union = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("sources", ","))))), ",")
+    union = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("sources", ","))))), ",")
     return listings.groupBy(key).agg(*aggs, union.alias("sources_str"), F.max("phone_source_count").alias("phone_source_count"))

@@ -43,18 +43,25 @@ def _shortened(name: Column, times: int) -> Column:
     return F.array_distinct(once(name) if times == 1 else F.flatten(F.transform(once(name), once)))
 
 
-def _by_deletions(names: DataFrame) -> DataFrame:
-    """Similar pairs among names of up to ``SHORT`` letters: those that share a string which
-    both become by as many deletions as their lengths allow. Nothing is left to verify."""
+def _short_forms(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(name, la, lb, rest)`` of names of up to ``SHORT`` letters, as the longer and as the
+    shorter of a pair: what is left of them after as many deletions as the lengths allow."""
     cuts = [(la, lb, *cut) for la in range(1, SHORT + 1) for lb in range(1, la + 1) if (cut := _deletions(la, lb)) and cut != (0, 0)]
     plan = names.sparkSession.createDataFrame(cuts, "la int, lb int, ka int, kb int")  # a few dozen rows
 
-    def side(length: str, times: str, name: str) -> DataFrame:
+    def side(length: str, times: str) -> DataFrame:
         each = names.join(F.broadcast(plan), names["n"] == plan[length])
         rest = F.when(F.col(times) == 0, _shortened(F.col("name"), 0)).when(F.col(times) == 1, _shortened(F.col("name"), 1)).otherwise(_shortened(F.col("name"), 2))
-        return each.select("la", "lb", F.col("name").alias(name), F.explode(rest).alias("rest"))
+        return each.select("name", "la", "lb", F.explode(rest).alias("rest"))
+
+    return side("la", "ka"), side("lb", "kb")
 
-    both = side("la", "ka", "x").join(side("lb", "kb", "y"), ["la", "lb", "rest"])
+
+def _by_deletions(names: DataFrame) -> DataFrame:
+    """Similar pairs among names of up to ``SHORT`` letters: those that share a string which
+    both become by deletions. Nothing is left to verify."""
+    longer, shorter = _short_forms(names)
+    both = longer.withColumnRenamed("name", "x").join(shorter.withColumnRenamed("name", "y"), ["la", "lb", "rest"])
     return both.where("la > lb or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -94,11 +101,27 @@ def _by_grams(one: DataFrame, two: DataFrame) -> DataFrame:
     near = (high > SHORT) & (14 * low >= 11 * high) & F.coalesce(14 * F.abs(F.col("i") - F.col("j")) <= 3 * high, F.lit(True)) & (F.col("x") != F.col("y"))
     k = F.floor((F.col("la") + F.col("lb")) * 12 / 100).cast("int")
     # The distance is taken before pairs are made distinct: few of them are left to shuffle.
+    # The distance is taken before pairs are made distinct: few of them are left to shuffle.
     pairs = left.join(right, ["gram", "part"]).where(near & (F.levenshtein("x", "y") <= k))
-    near = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), k.alias("k")).distinct().withColumn("e", F.levenshtein("a", "b"))
-    sure = near.where(2 * F.col("e") <= F.col("k")).select("a", "b")
-    open_ = near.where(2 * F.col("e") > F.col("k")).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b")
-    return sure.unionByName(open_)
+    return verified(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs ``(a, b)`` of different names that are at least 88 percent alike."""
+    k = F.floor((F.length("a") + F.length("b")) * 12 / 100)
+    near = pairs.where(F.col("a") != F.col("b")).withColumn("e", F.levenshtein("a", "b")).where(F.col("e") <= k).distinct()
+    return near.where(2 * F.col("e") <= k).select("a", "b").unionByName(near.where(2 * F.col("e") > k).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b"))
+
+
+def candidate_keys(names: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``(key, name)``: keys of which two similar names share one, whenever each was made.
+    Trigrams go by ``counts`` (gram, df), which must stay the same; without them by alphabet."""
+    names = names.where(F.length("name") > 0).withColumn("n", F.length("name"))
+    if counts is None:
+        counts = names.sparkSession.createDataFrame([], "gram string, df long")
+    grams = rare_grams(names, counts).select(F.concat(F.lit("g"), "gram").alias("key"), "name")
+    forms = [f.select(F.concat_ws(",", "la", "lb", "rest").alias("key"), "name") for f in _short_forms(names)]
+    return grams.unionByName(forms[0]).unionByName(forms[1]).distinct()
 
 
 def similar_names(names: DataFrame) -> DataFrame:

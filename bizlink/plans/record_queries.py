@@ -311,25 +311,32 @@ def x13_contact_roll_up(spark, sf_dir):
     return contact_roll_up(pages, "lead", "domain").select("lead", "pages", "owner", "best_email")
 
 
-@query()
+#: Which listings of a business meet (g, h, n: full, shorter and third name), and where each ends up.
+_MEET = """SELECT ord, c, source, name, phone, address, c % 7 <> 0 AS h, c % 5 <> 1 AS n,
+ (c % 4 <> 0 AND c % 3 <> 0) OR c % 5 <> 0 AS gh, c % 4 <> 0 OR c % 2 = 1 AS gn, c % 3 <> 0 OR c % 2 = 1 AS hn FROM v_businesses"""
+_CLOSURE = f"""SELECT *, CASE source WHEN 'google_maps' THEN 1 WHEN 'hotfrog' THEN CASE WHEN gh OR (n AND gn AND hn) THEN 1 ELSE 2 END
+ ELSE CASE WHEN gn OR (h AND gh AND hn) THEN 1 WHEN h AND hn THEN CASE WHEN gh THEN 1 ELSE 2 END ELSE 3 END END * CAST(1000000000 AS BIGINT) + c AS cluster FROM ({_MEET})"""
+_FIRST = f"""SELECT *, CASE source WHEN 'google_maps' THEN 1 WHEN 'hotfrog' THEN CASE WHEN gh THEN 1 ELSE 2 END
+ ELSE CASE WHEN gn OR (h AND gh AND c % 3 <> 0) THEN 1 WHEN h AND NOT gh AND hn THEN 2 ELSE 3 END END * CAST(1000000000 AS BIGINT) + c AS cluster FROM ({_MEET})"""
+
+
+@query("SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT lower(g.name) AS x, replace(lower(h.name), ' llc', '') AS y FROM v_businesses g JOIN v_businesses h ON g.c = h.c AND g.source = 'google_maps' AND h.source = 'hotfrog')")
 def j1_similar_names(spark, sf_dir):
     from bizlink.functions.identity import normalize_name
 
-    return linkage.similar_names(_sites(spark, sf_dir).select(normalize_name(F.col("name")).alias("name")))
+    return linkage.similar_names(view(spark, sf_dir, "businesses").select(normalize_name(F.col("name")).alias("name")))
 
 
-def _sites(spark, sf_dir):
-    """Listings made of pages: the site and section a page stands for is the business."""
-    from bizlink.functions.identity import host
+@query(f"SELECT ord AS id, cluster FROM ({_CLOSURE})")
+def j2_resolve(spark, sf_dir):
+    return linkage.resolve(view(spark, sf_dir, "businesses").withColumnRenamed("ord", "id")).select("id", "cluster")
 
-    site = F.element_at(F.split(host(F.col("url")), r"\."), -3)
-    section = F.regexp_extract("html", r"(?is)<title>\s*(\S+ \S+)", 1)
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat_ws(" ", section, site).alias("name"), F.lit(None).cast("string").alias("phone"), F.concat((F.col("page_id") % 40).cast("string"), F.lit(" Main Street")).alias("address"))
 
+@query(f"SELECT ord, cluster FROM ({_FIRST})")
+def j2_first_match(spark, sf_dir):
+    from bizlink.operators.greedy import greedy_clusters
 
-@query()
-def j2_resolve(spark, sf_dir):
-    return linkage.resolve(_sites(spark, sf_dir)).select("id", "cluster")
+    return greedy_clusters(view(spark, sf_dir, "businesses")).select("ord", "cluster")
 
 
 @query()

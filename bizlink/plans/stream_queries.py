@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bizlink.plans.record_queries import _CLOSURE
 from bizlink.plans.registry import query
 from bizlink.plans.views import OUTREACH, PROGRESS, table
 from bizlink.streaming import jobs
@@ -54,16 +55,19 @@ def t6_fresh_verdicts(spark, sf_dir):
     return jobs.collect_all(jobs.with_fresh_verdict(events, verdicts, "user_id", 400 * 86400).select("seq", "verdict"), "append", "t6")
 
 
-@query("SELECT cluster, arg_min(name, ord) FILTER (name <> '') AS name, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources_str, CAST(max(ord) AS INT) AS phone_source_count FROM v_listings GROUP BY cluster")
+@query(f"""SELECT cluster AS ord, arg_min(name, ord) AS name, arg_min(phone, ord) FILTER (phone <> '') AS phone, arg_min(address, ord) FILTER (address <> '') AS address,
+ array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, CAST(max(ord % 5) AS INT) AS phone_source_count FROM ({_CLOSURE}) GROUP BY cluster""")
 def t7_incremental_pool(spark, sf_dir):
+    from bizlink.operators.entities import EntityStore
     from bizlink.plans.views import view
 
-    path, pool = jobs.scratch(spark, "tiles"), jobs.scratch(spark, "pool")
-    tiles = view(spark, sf_dir, "listings").select("cluster", F.col("source").alias("sources"), F.col("ord").cast("int").alias("ord"), "name").withColumn("phone_source_count", F.col("ord"))
-    tiles.write.parquet(path)
+    path = jobs.scratch(spark, "tiles")
+    tiles = view(spark, sf_dir, "businesses").select("ord", F.col("source").alias("sources"), (F.col("ord") % 5).cast("int").alias("phone_source_count"), "name", "phone", "address")
+    tiles.repartitionByRange(3, F.col("ord") % 1000).write.parquet(path)
     stream = spark.readStream.schema(tiles.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    jobs.collect_all(stream, "append", "t7", jobs.pool_sink(pool, ["name"]))
-    return spark.read.parquet(pool).select("cluster", "name", "sources_str", "phone_source_count")
+    store = EntityStore(spark, jobs.scratch(spark, "pool"), ["name", "phone", "address"], 32)
+    jobs.collect_all(stream, "append", "t7", jobs.pool_sink(store))
+    return store.pool().select("ord", "name", "phone", "address", "sources", "phone_source_count")
 
 
 @query("""SELECT seq, CAST(streak AS BIGINT) AS streak, max(streak) OVER (PARTITION BY server ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 5 AS tripped FROM (

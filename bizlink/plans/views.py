@@ -101,7 +101,22 @@ UNION ALL SELECT c_custkey, 2, concat('Jane.Doe@biz', CAST(c_custkey AS STRING),
 UNION ALL SELECT c_custkey, 3, concat('x', CAST(c_custkey % 10 AS STRING), '@gmail.com'), concat('biz', CAST(c_custkey AS STRING), '.com') FROM {customer} WHERE c_custkey % 3 = 0
 UNION ALL SELECT c_custkey, 4, 'noreply@sentry.io', concat('biz', CAST(c_custkey AS STRING), '.com') FROM {customer} WHERE c_custkey % 5 = 0"""
 
-VIEWS = {"leads": LEADS, "jobs": JOBS, "outreach": OUTREACH, "listings": LISTINGS, "ledger": LEDGER, "progress": PROGRESS, "reviews": REVIEWS, "emails": EMAILS}
+_LETTERS = "translate(md5(concat('{0}', CAST(c_custkey AS STRING))), '0123456789abcdef', 'bcdfghjklmnpqrst')"
+_NAME, _WORD, _OTHER = (f"substring({_LETTERS.format(mark)}, 1, {n})" for mark, n in (("", 14), ("w", 8), ("n", 16)))
+_TEL = "concat('(213) ', substring(CAST(10000000 + c_custkey AS STRING), 2, 3), '-', substring(CAST(10000000 + c_custkey AS STRING), 5, 4))"
+
+#: Up to three listings of a business under names that read like words: spelled in full, with a
+#: letter less, and in capitals or under another name; phones and addresses come and go.
+BUSINESSES = f"""
+SELECT 1000000000 + c_custkey AS ord, c_custkey AS c, 'google_maps' AS source, {_NAME} AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE {_TEL} END AS phone,
+  concat(CAST(c_custkey AS STRING), ' ', {_WORD}, ' Street') AS address FROM {{customer}}
+UNION ALL
+SELECT 2000000000 + c_custkey, c_custkey, 'hotfrog', concat(substring({_NAME}, 1, 6), substring({_NAME}, 8, 7), ' LLC'), CASE WHEN c_custkey % 3 = 0 THEN '' ELSE {_TEL} END,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Zzz Xxx Www' ELSE concat(CAST(c_custkey AS STRING), ' ', {_WORD}, ' St') END FROM {{customer}} WHERE c_custkey % 7 <> 0
+UNION ALL
+SELECT 3000000000 + c_custkey, c_custkey, 'npi', CASE WHEN c_custkey % 2 = 0 THEN concat('Dr. ', {_OTHER}) ELSE upper({_NAME}) END, {_TEL}, NULL FROM {{customer}} WHERE c_custkey % 5 <> 1"""
+
+VIEWS = {"businesses": BUSINESSES, "leads": LEADS, "jobs": JOBS, "outreach": OUTREACH, "listings": LISTINGS, "ledger": LEDGER, "progress": PROGRESS, "reviews": REVIEWS, "emails": EMAILS}
 TABLES = ("customer", "orders", "events", "lineitem", "pages", "documents")
 
 

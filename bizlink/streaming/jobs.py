@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from bizlink.operators.entities import EntityStore
 from bizlink.operators.outreach import KEYS
 from bizlink.scratch import scratch_path as scratch
 
@@ -94,24 +95,14 @@ def changes_only(progress: DataFrame, give_up_seconds: int = 8100) -> DataFrame:
     return progress.withWatermark("ts", "10 minutes").groupBy("job_id").applyInPandasWithState(step, "job_id long, seq long, pct int, type string", "pct int, over boolean, before long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def pool_sink(path: str, fields: list[str], target: int | None = None, parts: int = 64) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges tiles into the pool at ``path``, kept in parts by hash
-    of the key, of which a batch rewrites those it touches. Merging is idempotent, so a batch may
-    run again. A pool that has ``target`` records takes no more tiles."""
-    from bizlink.operators.golden import merge_pool
+def pool_sink(store: EntityStore, target: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that resolves tiles against the store's index and merges them into
+    its pool: a new spelling of a known business joins it. A batch is taken in once by its
+    number, whole or not at all. A pool that has ``target`` records takes no more tiles."""
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int"))
-        if n > 0:
-            pool = spark.read.parquet(path)
-            if target is not None and pool.count() >= target:
-                return
-            touched = [r[0] for r in keyed.select("part").distinct().collect()]
-            keyed = keyed.unionByName(pool.where(F.col("part").isin(touched)).withColumnRenamed("sources_str", "sources"))
-        first = keyed.groupBy("cluster").agg(F.min("ord").alias("ord"))
-        merged = merge_pool(keyed, fields).join(first, "cluster").withColumn("part", F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int"))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        if target is None or n == 0 or store.pool().count() < target:
+            store.merge(batch, n)
 
     return write
 

@@ -100,3 +100,66 @@ def test_greedy_pools_as_tiles_do(spark):
     rows = [(1, "Elite Clinic", "213-555-0142", None, 0), (2, "Elite Clinic", None, None, 0), (3, "Alpha Medical Center", "111-111-1111", None, 0), (4, "Zeta Family Practice", "222-222-2222", None, 0), (5, "Other Name", "(213) 555-0142", None, 0)]
     got = {r["ord"]: r["cluster"] for r in greedy.greedy_clusters(spark.createDataFrame(rows, LISTING)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+
+
+def tiles_of(rng, n, tiles):
+    rows = []
+    for ord_, name, phone, address, _ in random_listings(rng, n, [0]):
+        rows.append((ord_, name, phone, address, rng.choice(["npi", "yelp,npi", "google_maps"]), rng.randint(0, 3), rng.choice([None, "short", "a longer text"])))
+    return [rows[k::tiles] for k in range(tiles)]
+
+
+TILE = "ord long, name string, phone string, address string, sources string, phone_source_count int, description string"
+FIELDS = ["name", "phone", "address", "description"]
+
+
+def groups(pairs):
+    out = {}
+    for k, v in pairs:
+        out.setdefault(v, set()).add(k)
+    return sorted(map(sorted, out.values()))
+
+
+def test_entity_store_gives_resolve_of_the_whole(spark, tmp_path):
+    from bizlink.operators.entities import EntityStore
+    from bizlink.operators.golden import merge_pool
+
+    tiles = tiles_of(random.Random(3), 120, 3)
+    store = EntityStore(spark, str(tmp_path / "s"), FIELDS, 8)
+    for k, tile in enumerate(tiles):
+        store.merge(spark.createDataFrame(tile, TILE), k)
+    whole = spark.createDataFrame([r for t in tiles for r in t], TILE)
+    want = linkage.resolve(whole.withColumnRenamed("ord", "id"))
+    assert groups((r["ord"], r["root"]) for r in store.clusters(whole).collect()) == groups((r["id"], r["cluster"]) for r in want.select("id", "cluster").collect())
+    pool = merge_pool(want.withColumnRenamed("id", "ord"), FIELDS).select(*FIELDS, "sources_str", "phone_source_count").collect()
+    assert sorted(map(str, (tuple(r) for r in store.pool().select(*FIELDS, "sources", "phone_source_count").collect()))) == sorted(map(str, (tuple(r) for r in pool)))
+    assert store.tables.numbers() == list(range(3))
+    # A batch that comes again changes nothing; one without news of a cluster leaves its parts.
+    store.merge(spark.createDataFrame(tiles[0], TILE), 2)
+    assert store.tables.numbers() == list(range(3))
+    before = store.tables.latest()
+    store.merge(spark.createDataFrame([(99_999, "Quite Another Business", "999-111-2222", "1 Far Road", "npi", 1, None)], TILE), 3)
+    after = store.tables.latest()
+    assert sum(before.folders["pool"].get(p) != f for p, f in after.folders["pool"].items()) == 1
+    assert before.read("pool").count() + 1 == after.read("pool").count()
+
+
+def test_entity_store_survives_a_batch_cut_off(spark, tmp_path, monkeypatch):
+    from bizlink.operators.entities import EntityStore
+    from bizlink.sources.versions import Version
+
+    store = EntityStore(spark, str(tmp_path / "s"), FIELDS, 4)
+    one = [(1, "Acme Roofing", "213-555-0101", None, "npi", 1, None), (2, "Zen Spa", None, "1 Main St", "npi", 0, None)]
+    two = [(3, "Acme Roofingg", None, None, "yelp", 2, "text"), (4, "Zen Spa", "213-555-0101", "1 Main St", "yelp", 0, None)]
+    store.merge(spark.createDataFrame(one, TILE), 0)
+    with monkeypatch.context() as m:
+        m.setattr(Version, "commit", lambda self: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            store.merge(spark.createDataFrame(two, TILE), 1)
+    assert sorted(r["name"] for r in store.pool().collect()) == ["Acme Roofing", "Zen Spa"]
+    store.merge(spark.createDataFrame(two, TILE), 1)
+    (left,) = store.pool().collect()
+    assert (left["ord"], left["name"], left["sources"], left["phone_source_count"], left["description"], left["address"]) == (1, "Acme Roofing", "npi,yelp", 2, "text", "1 Main St")
+    assert store.tables.at(0).read("pool").count() == 2
+    assert store.tables.vacuum(keep=1) > 0
+    assert store.pool().count() == 1 and store.tables.numbers() == [1]
