@@ -23,7 +23,7 @@ from bizlink.scratch import materialize
 
 THRESHOLD, ADDRESS_THRESHOLD = 88, 60
 #: Names up to ``SHORT`` letters are joined by deletions; a partner of a longer one has ``LEAST`` or more.
-SHORT, LEAST, GRAM = 13, 11, 3
+SHORT, LEAST, GRAM = 12, 11, 3
 #: A trigram of more names than this is dealt over several tasks.
 HOT_GRAM = 4096
 
@@ -102,14 +102,15 @@ def _by_grams(one: DataFrame, two: DataFrame) -> DataFrame:
     k = F.floor((F.col("la") + F.col("lb")) * 12 / 100).cast("int")
     # The distance is taken before pairs are made distinct: few of them are left to shuffle.
     # The distance is taken before pairs are made distinct: few of them are left to shuffle.
-    pairs = left.join(right, ["gram", "part"]).where(near & (F.levenshtein("x", "y") <= k))
-    return verified(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    pairs = left.join(right, ["gram", "part"]).where(near & (F.call_function("levenshtein", F.col("x"), F.col("y"), k) >= 0))
+    # Written, or the filters that follow would be taken into the join and run on all its rows.
+    return verified(materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs"))
 
 
 def verified(pairs: DataFrame) -> DataFrame:
     """The distinct pairs ``(a, b)`` of different names that are at least 88 percent alike."""
     k = F.floor((F.length("a") + F.length("b")) * 12 / 100)
-    near = pairs.where(F.col("a") != F.col("b")).withColumn("e", F.levenshtein("a", "b")).where(F.col("e") <= k).distinct()
+    near = materialize(pairs.where(F.col("a") != F.col("b")).distinct().withColumn("e", F.levenshtein("a", "b")).where(F.col("e") <= k), "near")
     return near.where(2 * F.col("e") <= k).select("a", "b").unionByName(near.where(2 * F.col("e") > k).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b"))
 
 

@@ -57,7 +57,10 @@ def w1_latest_attempt(spark, sf_dir):
 _LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phone7, name_norm ORDER BY attempted_at DESC, attempt_id DESC) AS rn FROM v_outreach) WHERE rn = 1)"
 
 
-@query(f"SELECT (SELECT count(*) FROM v_outreach) AS attempts, count(*) AS contacted, count(*) FILTER (disposition = 'booked') AS booked, count(*) FILTER (disposition = 'interested') AS interested, floor((count(*) FILTER (disposition = 'booked') * 2000 + count(*)) / (count(*) * 2)) / 10 AS conversion_pct FROM {_LATEST}")
+FUNNEL = f"SELECT (SELECT count(*) FROM v_outreach) AS attempts, count(*) AS contacted, count(*) FILTER (disposition = 'booked') AS booked, count(*) FILTER (disposition = 'interested') AS interested, floor((count(*) FILTER (disposition = 'booked') * 2000 + count(*)) / (count(*) * 2)) / 10 AS conversion_pct FROM {_LATEST}"
+
+
+@query(FUNNEL)
 def a6_funnel(spark, sf_dir):
     return outreach.funnel(view(spark, sf_dir, "outreach")).withColumn("conversion_pct", F.col("conversion_pct").cast("double"))
 

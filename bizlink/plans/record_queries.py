@@ -314,9 +314,9 @@ def x13_contact_roll_up(spark, sf_dir):
 #: Which listings of a business meet (g, h, n: full, shorter and third name), and where each ends up.
 _MEET = """SELECT ord, c, source, name, phone, address, c % 7 <> 0 AS h, c % 5 <> 1 AS n,
  (c % 4 <> 0 AND c % 3 <> 0) OR c % 5 <> 0 AS gh, c % 4 <> 0 OR c % 2 = 1 AS gn, c % 3 <> 0 OR c % 2 = 1 AS hn FROM v_businesses"""
-_CLOSURE = f"""SELECT *, CASE source WHEN 'google_maps' THEN 1 WHEN 'hotfrog' THEN CASE WHEN gh OR (n AND gn AND hn) THEN 1 ELSE 2 END
+CLOSURE = f"""SELECT *, CASE source WHEN 'google_maps' THEN 1 WHEN 'hotfrog' THEN CASE WHEN gh OR (n AND gn AND hn) THEN 1 ELSE 2 END
  ELSE CASE WHEN gn OR (h AND gh AND hn) THEN 1 WHEN h AND hn THEN CASE WHEN gh THEN 1 ELSE 2 END ELSE 3 END END * CAST(1000000000 AS BIGINT) + c AS cluster FROM ({_MEET})"""
-_FIRST = f"""SELECT *, CASE source WHEN 'google_maps' THEN 1 WHEN 'hotfrog' THEN CASE WHEN gh THEN 1 ELSE 2 END
+FIRST = f"""SELECT *, CASE source WHEN 'google_maps' THEN 1 WHEN 'hotfrog' THEN CASE WHEN gh THEN 1 ELSE 2 END
  ELSE CASE WHEN gn OR (h AND gh AND c % 3 <> 0) THEN 1 WHEN h AND NOT gh AND hn THEN 2 ELSE 3 END END * CAST(1000000000 AS BIGINT) + c AS cluster FROM ({_MEET})"""
 
 
@@ -327,12 +327,12 @@ def j1_similar_names(spark, sf_dir):
     return linkage.similar_names(view(spark, sf_dir, "businesses").select(normalize_name(F.col("name")).alias("name")))
 
 
-@query(f"SELECT ord AS id, cluster FROM ({_CLOSURE})")
+@query(f"SELECT ord AS id, cluster FROM ({CLOSURE})")
 def j2_resolve(spark, sf_dir):
     return linkage.resolve(view(spark, sf_dir, "businesses").withColumnRenamed("ord", "id")).select("id", "cluster")
 
 
-@query(f"SELECT ord, cluster FROM ({_FIRST})")
+@query(f"SELECT ord, cluster FROM ({FIRST})")
 def j2_first_match(spark, sf_dir):
     from bizlink.operators.greedy import greedy_clusters
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bizlink.plans.record_queries import _CLOSURE
+from bizlink.plans.outreach_queries import FUNNEL
+from bizlink.plans.record_queries import CLOSURE
 from bizlink.plans.registry import query
 from bizlink.plans.views import OUTREACH, PROGRESS, table
-from bizlink.streaming import jobs
+from bizlink.streaming import jobs, states
 
 _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -18,13 +19,13 @@ def _stream(spark, sf_dir, sql):
 
 @query("SELECT job_id, seq, pct, stage, type FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS rn FROM v_progress) WHERE rn = 1 AND epoch_us(ts) // 1000 + 86400000 >= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM v_progress)")
 def t1_latest_progress(spark, sf_dir):
-    return jobs.live_progress(jobs.collect_all(jobs.latest_progress(_stream(spark, sf_dir, PROGRESS), 86_400), "append", "t1"))
+    return states.live_progress(jobs.collect_all(states.latest_progress(_stream(spark, sf_dir, PROGRESS), 86_400), "append", "t1"))
 
 
 @query("""SELECT job_id, seq, pct, type FROM (SELECT *, lag(pct) OVER w AS before, coalesce(sum(CASE WHEN type = 'done' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, life ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dones
  FROM (SELECT *, sum(CASE WHEN gap > 90000000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, seq) AS life FROM (SELECT *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY job_id ORDER BY ts, seq) AS gap FROM v_progress)) WINDOW w AS (PARTITION BY job_id, life ORDER BY ts, seq)) WHERE dones = 0 AND (before IS NULL OR before <> pct OR type = 'done')""")
 def t2_progress_changes(spark, sf_dir):
-    return jobs.collect_all(jobs.changes_only(_stream(spark, sf_dir, PROGRESS), 90_000), "append", "t2")
+    return jobs.collect_all(states.changes_only(_stream(spark, sf_dir, PROGRESS), 90_000), "append", "t2")
 
 
 @query("SELECT job_id, epoch_us(ts) // 1000 AS last_ms FROM (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS nxt FROM v_progress) WHERE epoch_us(nxt) // 1000 - epoch_us(ts) // 1000 > 90000000 OR (nxt IS NULL AND epoch_us(ts) // 1000 + 90000000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM v_progress))")
@@ -37,6 +38,13 @@ def t4_latest_disposition(spark, sf_dir):
     return jobs.collect_all(jobs.latest_dispositions(_stream(spark, sf_dir, OUTREACH)), "complete", "t4")
 
 
+@query(FUNNEL)
+def t4_funnel_stream(spark, sf_dir):
+    path = jobs.scratch(spark, "funnel")
+    jobs.collect_all(states.funnel_changes(_stream(spark, sf_dir, OUTREACH)), "append", "t4f", states.funnel_sink(path))
+    return states.read_funnel(spark, path).withColumn("conversion_pct", F.col("conversion_pct").cast("double"))
+
+
 @query("SELECT DISTINCT phone7, name_norm FROM v_outreach WHERE phone7 IS NOT NULL OR name_norm IS NOT NULL")
 def t5_delivery_ledger(spark, sf_dir):
     path = jobs.scratch(spark, "ledger")
@@ -56,7 +64,7 @@ def t6_fresh_verdicts(spark, sf_dir):
 
 
 @query(f"""SELECT cluster AS ord, arg_min(name, ord) AS name, arg_min(phone, ord) FILTER (phone <> '') AS phone, arg_min(address, ord) FILTER (address <> '') AS address,
- array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, CAST(max(ord % 5) AS INT) AS phone_source_count FROM ({_CLOSURE}) GROUP BY cluster""")
+ array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, CAST(max(ord % 5) AS INT) AS phone_source_count FROM ({CLOSURE}) GROUP BY cluster""")
 def t7_incremental_pool(spark, sf_dir):
     from bizlink.operators.entities import EntityStore
     from bizlink.plans.views import view

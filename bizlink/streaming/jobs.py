@@ -37,64 +37,6 @@ def collect_all(stream: DataFrame, mode: str, tag: str, sink: Callable[[DataFram
     return spark.read.schema(stream.schema).parquet(out) if sink is None else None
 
 
-def latest_progress(progress: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """Changes of the last progress per job, as an append stream: a row with a job's newest
-    progress, and a row of type ``expired`` when the job has been silent for ``ttl_seconds`` of
-    event time, upon which its state goes. :func:`live_progress` reads the table from it."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["job_id", "ts_ms", "seq", "pct", "stage", "type"]
-        if state.hasTimedOut:
-            ms, seq = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], ms + ttl_seconds * 1000, seq, None, None, "expired")], columns=columns)
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        last = rows.iloc[-1]
-        ms = last["ts"].value // 1_000_000
-        if state.exists and tuple(state.get) > (ms, last["seq"]):
-            return
-        state.update((int(ms), int(last["seq"])))
-        state.setTimeoutTimestamp(max(ms + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], ms, last["seq"], last["pct"], last["stage"], last["type"])], columns=columns)
-
-    watched = progress.withWatermark("ts", "10 minutes").groupBy("job_id")
-    return watched.applyInPandasWithState(step, "job_id long, ts_ms long, seq long, pct int, stage string, type string", "ms long, seq long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def live_progress(changes: DataFrame) -> DataFrame:
-    """Last progress of the jobs that haven't expired."""
-    last = changes.groupBy("job_id").agg(F.max(F.struct("ts_ms", "seq", "pct", "stage", "type")).alias("l"))
-    return last.where("l.type <> 'expired'").select("job_id", "l.seq", "l.pct", "l.stage", "l.type")
-
-
-def changes_only(progress: DataFrame, give_up_seconds: int = 8100) -> DataFrame:
-    """Updates of a job where its percentage changed, until a terminal one; nothing after that.
-    A job without updates for ``give_up_seconds`` of event time is given up: its state goes, and
-    what comes later is like a new job's, whether the gap ends inside a batch or not."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, over, before = state.get if state.exists else (-1, False, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        keep = []
-        for r in rows.itertuples():
-            now = r.ts.value // 1_000_000
-            if before is not None and now - before > give_up_seconds * 1000:
-                last, over = -1, False
-            if not over and (r.pct != last or r.type == "done"):
-                keep.append((key[0], r.seq, r.pct, r.type))
-                last, over = r.pct, r.type == "done"
-            before = now
-        state.update((int(last), bool(over), int(before)))
-        state.setTimeoutTimestamp(max(before + give_up_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(keep, columns=["job_id", "seq", "pct", "type"])
-
-    return progress.withWatermark("ts", "10 minutes").groupBy("job_id").applyInPandasWithState(step, "job_id long, seq long, pct int, type string", "pct int, over boolean, before long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def pool_sink(store: EntityStore, target: int | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that resolves tiles against the store's index and merges them into
     its pool: a new spelling of a known business joins it. A batch is taken in once by its
