@@ -74,8 +74,9 @@ def site_status(code: Column, html: Column, url: Column) -> Column:
 
 
 def fetch_outcome(code: Column, html: Column) -> Column:
+    """An empty page is taken for a challenge that wasn't met."""
     head = F.lower(F.substring(html, 1, 4000))
-    return F.when(contains_any(head, CHALLENGES) | code.isin(401, 403, 429), "blocked").when(code >= 500, "target_down").when(code >= 400, "reject").otherwise("ok")
+    return F.when(F.coalesce(html == "", F.lit(True)) | contains_any(head, CHALLENGES) | code.isin(401, 403, 429), "blocked").when(code >= 500, "target_down").when(code >= 400, "reject").otherwise("ok")
 
 
 def path_of(url: Column) -> Column:
@@ -229,8 +230,9 @@ def json_ld_items(html: Column) -> Column:
 
 
 def json_ld(html: Column) -> Column:
-    """The JSON-LD blocks of a page as strings."""
-    return F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    """The JSON-LD blocks of a page as strings, the type in double, single or no quotes."""
+    kind = r"""type\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json(?=[\s/>]))"""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<script\b[^>]*?\b{kind}[^>]*>(.*?)</script>"), F.lit(1))
 
 
 def sitemap_locations(xml: Column) -> Column:

@@ -83,7 +83,7 @@ def panel_listing(panels: DataFrame) -> DataFrame:
 def stars_of(label: Column) -> Column:
     """1 to 5 from a label such as "Rated 2.0 out of 5"; halves to the even number."""
     value = F.regexp_extract(label, r"(?i)([0-5](?:\.\d)?)\s*(?:star|out of)", 1).try_cast("double")
-    return F.greatest(F.lit(1), F.least(F.lit(5), F.bround(value, 0).cast("int"))) if label is not None else None
+    return F.when(value.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), F.bround(value, 0).cast("int"))))
 
 
 def review_weaknesses(reviews: Column, histogram: Column, responds: Column) -> tuple[Column, Column]:

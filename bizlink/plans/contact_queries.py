@@ -29,9 +29,13 @@ _SCORE = lambda e, d: (
 )
 
 
+#: The spelled form without look-behind and possessive parts, which the SQL's engine lacks.
+_SPELLED = r"(?i)([a-zA-Z0-9._%+\-]+\s*\[?\s*(?:at|@)\s*\]?\s*[a-zA-Z0-9.\-]+\s*\[?\s*(?:dot|\.)\s*\]?\s*[a-zA-Z]{2,})"
+
+
 #: Documents with addresses that end as real ones do, some spelled in words.
 _MAILS = "concat(replace(text, '.example.com', '.biz.com'), CASE doc_id % 3 WHEN 0 THEN concat(' write to joe', CAST(doc_id AS STRING), ' [at] acme [dot] plumbing') ELSE '' END)"
-_RAW = f"regexp_extract(t, '{C.SPELLED}', 1)"
+_RAW = f"regexp_extract(t, '{_SPELLED}', 1)"
 _PLAIN = f"trim(trim(regexp_replace(regexp_replace({_RAW}, '\\s*\\[?\\s*(?:at|@)\\s*\\]?\\s*', '@'), '\\s*\\[?\\s*(?:dot|\\.)\\s*\\]?\\s*', '.', 'g')), '[]()')"
 
 
@@ -82,12 +86,12 @@ def f10_phone_harvest(spark, sf_dir):
     return lookups.harvest_phones(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "e164")
 
 
-_VERDICT = "(SELECT lead_id, email, regexp_matches(email, '^" + C.EMAIL + "$') AS ok, lead_id % 4 <> 0 AS mx, CASE lead_id % 5 WHEN 0 THEN 250 WHEN 1 THEN 550 WHEN 2 THEN -1 WHEN 3 THEN NULL ELSE 450 END AS code, lead_id % 15 = 0 AS ca, lower(split_part(email, '@', 1)) AS l, lower(split_part(email, '@', 2)) AS d FROM v_emails WHERE ord < 4)"
+_VERDICT = "(SELECT lead_id, email, regexp_matches(email, '^" + C.EMAIL + "$') AS ok, lead_id % 4 <> 0 AS mx, CASE lead_id % 5 WHEN 0 THEN 250 WHEN 1 THEN 550 WHEN 2 THEN -1 WHEN 3 THEN NULL ELSE 450 END AS code, lead_id % 15 = 0 AS ca, lower(split_part(email, '@', 1)) AS l, lower(split_part(email, '@', 2)) AS d FROM v_emails)"
 
 
 @query(f"SELECT lead_id, email, tier, tier IN ('verified', 'mx_only') AS verified, CASE WHEN NOT ok THEN 0 ELSE 2 + CASE WHEN mx THEN 3 ELSE 0 END + CASE WHEN tier = 'verified' THEN 3 WHEN asked THEN 1 ELSE 0 END + CASE WHEN d IN {_IN(C.GENERIC_DOMAINS)} THEN 0 ELSE 1 END + CASE WHEN l IN {_IN(C.ROLE_PARTS)} THEN 0 ELSE 1 END END AS score FROM (SELECT *, CASE WHEN asked AND code = 250 AND NOT ca THEN 'verified' WHEN asked AND code BETWEEN 500 AND 599 THEN 'undeliverable' WHEN asked AND code = 250 THEN 'catch_all' WHEN ok AND mx THEN 'mx_only' ELSE 'invalid' END AS tier FROM (SELECT *, ok AND mx AND coalesce(code <> -1, false) AS asked FROM {_VERDICT}))")
 def j8_email_verdict(spark, sf_dir):
-    emails = view(spark, sf_dir, "emails").where("ord < 4")
+    emails = view(spark, sf_dir, "emails")
     k = F.col("lead_id")
     code = F.when(k % 5 == 0, 250).when(k % 5 == 1, 550).when(k % 5 == 2, -1).when(k % 5 == 4, 450)
     facts = emails.select("lead_id", "ord", (k % 4 != 0).alias("mx"), code.alias("code"), (k % 15 == 0).alias("catch_all"))
@@ -155,10 +159,11 @@ def marked(spark, sf_dir):
 _ANY = lambda words, text: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT page_id, {_ANY(P.PARKED, 'lower(html)')} AS parked, CASE WHEN code < 400 THEN CASE WHEN {_ANY(P.PARKED, 'lower(html)')} THEN 'dead' ELSE 'active' END WHEN code = 429 THEN 'active' ELSE 'dead' END AS status, CASE WHEN {_ANY(P.CHALLENGES, 'lower(substring(html, 1, 4000))')} OR code IN (401, 403, 429) THEN 'blocked' WHEN code >= 500 THEN 'target_down' WHEN code >= 400 THEN 'reject' ELSE 'ok' END AS outcome FROM {_MARKED}")
+@query(f"SELECT page_id, {_ANY(P.PARKED, 'lower(html)')} AS parked, CASE WHEN code < 400 THEN CASE WHEN {_ANY(P.PARKED, 'lower(html)')} THEN 'dead' ELSE 'active' END WHEN code = 429 THEN 'active' ELSE 'dead' END AS status, CASE WHEN coalesce(html, '') = '' OR {_ANY(P.CHALLENGES, 'lower(substring(html, 1, 4000))')} OR code IN (401, 403, 429) THEN 'blocked' WHEN code >= 500 THEN 'target_down' WHEN code >= 400 THEN 'reject' ELSE 'ok' END AS outcome FROM (SELECT page_id, url, code, CASE page_id % 50 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE html END AS html FROM {_MARKED})")
 def p11_p13_page_status(spark, sf_dir):
     html, code = F.col("html"), F.col("code")
-    return marked(spark, sf_dir).select("page_id", P.is_parked(html).alias("parked"), P.site_status(code, html, F.col("url")).alias("status"), P.fetch_outcome(code, html).alias("outcome"))
+    some = F.when(F.col("page_id") % 50 == 0, "").when(F.col("page_id") % 50 != 1, html)
+    return marked(spark, sf_dir).withColumn("html", some).select("page_id", P.is_parked(html).alias("parked"), P.site_status(code, html, F.col("url")).alias("status"), P.fetch_outcome(code, html).alias("outcome"))
 
 
 _PATH = "lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1))"
@@ -232,7 +237,9 @@ def f17_taxonomy_term(spark, sf_dir):
 
 @query(f"SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*type=\"application/ld\\+json\"[^>]*>(.*?)</script>', 1)) AS block FROM {_MARKED}")
 def s5_json_ld_blocks(spark, sf_dir):
-    return marked(spark, sf_dir).select("page_id", F.explode(P.json_ld(F.col("html"))).alias("block"))
+    k, quoted = F.col("page_id"), F.lit('type="application/ld+json"')
+    other = F.when(k % 3 == 1, F.replace("html", quoted, F.lit("type='application/ld+json'"))).when(k % 3 == 2, F.replace("html", quoted, F.lit("id=x type=application/ld+json")))
+    return marked(spark, sf_dir).select("page_id", F.explode(P.json_ld(F.coalesce(other, F.col("html")))).alias("block"))
 
 
 @query()

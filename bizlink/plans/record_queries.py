@@ -231,7 +231,7 @@ def g5_observed_sources(spark, sf_dir):
     return spark.createDataFrame(found, "source string, n long")
 
 
-@query("SELECT lead_id, has_google_maps OR lead_id % 2 = 0 AS has_google_maps, CASE WHEN planned THEN CASE WHEN lead_id % 2 = 0 THEN 4.5 END ELSE google_rating END AS google_rating FROM (SELECT *, NOT has_google_maps AND NOT (phone IS NOT NULL AND contains(sources, 'npi')) AS planned FROM v_leads) WHERE NOT (NOT planned AND NOT has_google_maps)")
+@query("SELECT lead_id, CASE WHEN planned THEN lead_id % 2 = 0 ELSE has_google_maps END AS has_google_maps, CASE WHEN planned THEN CASE WHEN lead_id % 2 = 0 THEN 4.5 END ELSE google_rating END AS google_rating FROM (SELECT *, NOT has_google_maps AND NOT (phone IS NOT NULL AND contains(sources, 'npi')) AS planned FROM v_leads)")
 def j6_apply_enrichment(spark, sf_dir):
     from bizlink.functions.scoring import needs_maps
 
@@ -239,8 +239,7 @@ def j6_apply_enrichment(spark, sf_dir):
     planned = leads.where(needs_maps()).select("lead_id")
     results = planned.select("lead_id", (F.col("lead_id") % 2 == 0).alias("has_google_maps"), F.when(F.col("lead_id") % 2 == 0, 4.5).alias("google_rating"))
     out = lookups.apply_planned(leads, planned, results, ["has_google_maps", "google_rating"])
-    never = ~F.col("has_google_maps") & F.col("phone").isNotNull() & F.contains("sources", F.lit("npi"))
-    return out.where(~never).select("lead_id", F.coalesce("has_google_maps", F.lit(False)).alias("has_google_maps"), "google_rating")
+    return out.select("lead_id", F.coalesce("has_google_maps", F.lit(False)).alias("has_google_maps"), "google_rating")
 
 
 @query("SELECT lead_id, CASE WHEN hundredths >= 35 THEN e164 END AS owner_phone FROM (SELECT lead_id, concat('+1213555', CAST(1000 + lead_id AS VARCHAR)) AS e164, CASE WHEN lead_id % 2 = 0 THEN 40 ELSE 0 END + CASE WHEN lead_id % 3 = 0 THEN 30 ELSE 0 END + 20 + CASE WHEN lead_id % 5 = 0 THEN 15 ELSE 0 END - CASE WHEN lead_id % 7 = 0 THEN 10 ELSE 0 END AS hundredths FROM v_leads)")
@@ -346,11 +345,60 @@ def j5_best_place(spark, sf_dir):
     return linkage.best_place(leads, tries.select("lead_id", "target_name", "c.*", F.col("google_rating").alias("rating"), F.col("google_review_count").alias("reviews")))
 
 
-@query(f"SELECT lead_id, category FROM {LABELLED} WHERE category = 'has_website'")
+_SHOWN = "lead_id job_id category name lead_score phone_verified owner_name owner_phone owner_email website website_cms has_ssl website_name_found google_rating google_review_count address social_facebook social_instagram sources description employee_count year_founded partners services owner_title review_weakness_count external_platforms marketing_stack".split()
+
+
+@query(f"SELECT {', '.join(_SHOWN)} FROM {LABELLED}")
 def s10_s11_export_views(spark, sf_dir):
     path = sinks.scratch(spark, "export")
     sinks.write_partitioned(sinks.export_view(labelled(spark, sf_dir)), path, ["category"])
-    return spark.read.parquet(path).where("category = 'has_website'").select("lead_id", "category")
+    return spark.read.parquet(path).select(*_SHOWN)
+
+
+@query("SELECT p_partkey, CAST(greatest(1, least(5, round_even((p_partkey % 11) / 2.0, 0))) AS INT) AS stars FROM part UNION ALL SELECT -p_partkey, NULL FROM part")
+def f18_stars(spark, sf_dir):
+    k = F.col("p_partkey")
+    half = F.concat(F.floor(k % 11 / 2).cast("string"), F.when(k % 11 % 2 == 1, ".5").otherwise(""))
+    label = F.when(k % 2 == 0, F.concat(half, F.lit(" stars"))).otherwise(F.concat(F.lit("Rated "), half, F.lit(" out of 5")))
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", records.stars_of(label).alias("stars")).unionByName(part.select((-k).alias("p_partkey"), records.stars_of(F.lit("no rating")).alias("stars")))
+
+
+def _business_page():
+    k, seg = F.col("lead_id"), F.col("business_category")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    json_ld = text('<script type="application/ld+json">{"@graph":[{"@type":"Service","name":"', seg, ' repair"},{"x":{"@type":"Product","name":"', seg, ' parts"}}]}</script>')
+    listed = text("<section><h2>Our Services</h2><ul><li>", seg, " repair<li>", seg, " cleaning</ul></section>")
+    told = text("<p>We offer ", seg, " repair, ", seg, " cleaning and ", seg, " care. We are good.</p>")
+    image = text('<div>Our partners <img alt="Acme ', k.cast("string"), ' Gold"></div>')
+    item = text("<ul><li>Certified by Globex ", k.cast("string"), " Systems</ul>")
+    cards = '<div class="team-card"><h3>Ann Smith</h3><p>Co-Founder</div><div class="team-card"><h3>Bob Stone</h3><p>Roofer</div>'
+    return F.concat(
+        F.when(k % 3 == 0, json_ld).when(k % 3 == 1, listed).otherwise(told), F.when(k % 4 == 0, image).when(k % 4 == 1, item).otherwise(""),
+        F.when(k % 5 == 0, cards).when(k % 5 == 1, "<p>Eve Hill — General Manager, here</p>").otherwise(""),
+    )
+
+
+@query("""SELECT lead_id, concat(business_category, ' repair|', business_category, CASE lead_id % 3 WHEN 0 THEN ' parts' WHEN 1 THEN ' cleaning' ELSE concat(' cleaning|', business_category, ' care') END) AS services,
+ CASE lead_id % 4 WHEN 0 THEN concat('Acme ', lead_id, ' Gold') WHEN 1 THEN concat('Certified by Globex ', lead_id, ' Systems') ELSE '' END AS partners,
+ CASE lead_id % 5 WHEN 0 THEN 'Ann Smith:Co-Founder|Bob Stone:Roofer' WHEN 1 THEN 'Eve Hill:General Manager' ELSE '' END AS team, CASE lead_id % 5 WHEN 0 THEN 'Co-Founder' WHEN 1 THEN 'General Manager' END AS owner_title FROM v_leads""")
+def x6_x8_business_pages(spark, sf_dir):
+    from bizlink.sources.html import parse_pages
+
+    people = F.transform("team", lambda p: F.concat_ws(":", p["name"], p["title"]))
+    parsed = parse_pages(view(spark, sf_dir, "leads").select("lead_id", _business_page().alias("html")))
+    return parsed.select("lead_id", F.array_join("services", "|").alias("services"), F.array_join("partners", "|").alias("partners"), F.array_join(people, "|").alias("team"), "owner_title")
+
+
+@query("SELECT lead_id, CAST(1 + lead_id % 3 AS INT) AS n_cards, name, concat('555-', lead_id) AS phone, concat(lead_id, ' Main St') AS address, concat('/company/', lead_id, '/x') AS url FROM v_leads")
+def s6_listing_cards(spark, sf_dir):
+    from bizlink.sources.html import parse_pages
+
+    k = F.col("lead_id").cast("string")
+    card = F.concat(F.lit('<div class="hf-box"><h3><a href="/company/'), k, F.lit('/x">'), F.replace("name", F.lit("&"), F.lit("&amp;")), F.lit('</a></h3><a href="tel:1">555-'), k, F.lit('</a><span class="small">Claim this</span><span class="small">'), k, F.lit(" Main St</span></div>"))
+    pages = view(spark, sf_dir, "leads").select("lead_id", F.repeat(card, (1 + F.col("lead_id") % 3).cast("int")).alias("html"))
+    first = F.col("cards")[0]
+    return parse_pages(pages).select("lead_id", F.size("cards").alias("n_cards"), *(first[c].alias(c) for c in ("name", "phone", "address", "url")))
 
 
 @query(f"SELECT job_id, count(*) AS exported, CAST(min(lead_score) AS INT) AS lo, CAST(max(lead_score) AS INT) AS hi, job_id * 3 AS scraped, job_id * 2 AS verified, 'leads.csv' AS file FROM {SCORED} GROUP BY job_id")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,31 +49,32 @@ LISTING = "struct<name: string, address: string, phone: string, website: string,
 SCHEMA = f"text string, summary string, services array<string>, partners array<string>, team array<struct<name: string, title: string>>, owner_title string, post_titles array<string>, cards array<{LISTING}>, detail {LISTING}"
 
 
+#: An open element that the start of another ends, and where that stops.
+_ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 class Node:
-    """An element: tag, attributes, children and strings in order, parent."""
+    """An element: tag, attributes, parent, and its place among its parent's children. Its
+    subtree is a slice of the page's elements, and its text a slice of the page's text."""
 
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "place", "page", "at", "end", "low", "high")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
-        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
+        self.tag, self.attrs, self.kids, self.up, self.place = tag, attrs, [], up, 0
 
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    def walk(self) -> list[Node]:
+        return self.page.nodes[self.at : self.end]
+
+    @property
+    def size(self) -> int:
+        """Length of the text."""
+        return max(0, self.page.stops[self.high] - self.page.stops[self.low] - 1) if self.high > self.low else 0
 
     def words(self) -> str:
         """Visible text, white space joined."""
-        out, stack = [], [self]
-        while stack:
-            k = stack.pop()
-            if isinstance(k, str):
-                out.append(k)
-            elif k.tag not in HIDDEN:
-                stack += reversed(k.kids)
-        return " ".join(" ".join(out).split())
+        return self.page.text[self.page.stops[self.low] : self.page.stops[self.low] + self.size]
 
     def fits(self, rule: tuple[str, str | None, str | None]) -> bool:
         tag, where, value = rule
@@ -81,30 +85,99 @@ class Node:
         found = self.attrs.get(where.rstrip("=^"), "")
         return value in found.split() if where.endswith("=") else found.startswith(value) if where.endswith("^") else value in found
 
+    def each(self, rule: tuple[str, str | None, str | None]) -> Iterator[Node]:
+        nodes = self.page.nodes
+        if rule[0] == "*":
+            found = range(self.at + 1, self.end)
+        else:
+            places = self.page.by_tag.get(rule[0], [])
+            found = places[bisect_left(places, self.at + 1) : bisect_left(places, self.end)]
+        return (nodes[i] for i in found if nodes[i].fits(rule))
+
     def all(self, rule: tuple[str, str | None, str | None]) -> list[Node]:
-        return [n for n in self.walk() if n is not self and n.fits(rule)]
+        return list(self.each(rule))
 
     def first_text(self, rules: list, ok: Callable[[str], bool] = bool) -> str | None:
-        return next((t for r in rules for t in (n.words() for n in self.all(r)) if ok(t)), None)
+        return next((t for r in rules for t in (n.words() for n in self.each(r)) if ok(t)), None)
+
+
+class Page:
+    """The elements of a page in order with the slices of each, from one pass over the tree."""
+
+    def __init__(self, top: Node) -> None:
+        self.nodes: list[Node] = []
+        self.by_tag: dict[str, list[int]] = {}
+        words: list[str] = []
+        pieces: list[str] = []
+        stack: list[tuple[Node | str, bool, bool]] = [(top, False, False)]
+        while stack:
+            k, hidden, done = stack.pop()
+            if isinstance(k, str):
+                words += [] if hidden else k.split()
+                pieces += [] if hidden else [k.strip()]
+            elif done:
+                k.end, k.high = len(self.nodes), len(words)
+            else:
+                k.page, k.at, k.low = self, len(self.nodes), len(words)
+                self.by_tag.setdefault(k.tag, []).append(k.at)
+                self.nodes.append(k)
+                hidden = hidden or k.tag in HIDDEN
+                stack.append((k, hidden, True))
+                stack += [(c, hidden, False) for c in reversed(k.kids)]
+        self.text, self.raw = " ".join(words), " ".join(pieces)
+        self.stops = [0, *accumulate(len(w) + 1 for w in words)]
 
 
 class _Tree(HTMLParser):
+    """Elements may be left unclosed: what ends them in a browser ends them here."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.top = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()
+
+    def _close(self, node: Node) -> None:
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.up
+        self.open[node.tag] -= 1
+        self.at = node.up
+
+    def _end_before(self, tag: str) -> None:
+        if tag in _HEADINGS and self.at.tag in _HEADINGS or tag in _BLOCKS and self.at.tag == "p":
+            self._close(self.at)
+        ended, within = _ENDS.get(tag, ((), ()))
+        if any(self.open[t] for t in ended):
+            node = last = self.at
+            found = None
+            while node.up is not None and node.tag not in within:
+                if node.tag in ended:
+                    found = node
+                node = node.up
+            if found is not None and last is not None:
+                self._close(found)
 
     def handle_starttag(self, tag, attrs):
+        self._end_before(tag)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node.place = len(self.at.kids)
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._close(self.at)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.at
-        while node.up is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.up
-        if node.up is not None:
-            self.at = node.up
+        self._close(node)
 
     def handle_data(self, data):
         if data.strip():
@@ -115,6 +188,7 @@ def tree(html: str | None) -> Node:
     parser = _Tree()
     parser.feed(html or "")
     parser.close()
+    Page(parser.top)
     return parser.top
 
 
@@ -149,31 +223,35 @@ def _told_services(top: Node, text: str) -> list[str]:
         m = re.search(pattern, text)
         for part in re.split(r"\s*(?:,|\s+and\s+|\s+or\s+)\s*", m.group(1)[:300]) if m else []:
             out += [s for s in [part.strip().strip(".,;:!?").strip()] if 3 < len(s) < 80]
-    items = []
-    for head in (n for n in top.walk() if n.tag in ("h2", "h3", "h4") and SERVICE_HEADING.search(n.words())):
-        box = head.up
-        while box.up is not None and box.tag not in ("section", "div", "article"):
+    heads = (n for n in top.walk() if n.tag in ("h2", "h3", "h4") and SERVICE_HEADING.search(n.words()))
+    boxes = {}
+    for box in (h.up for h in heads):
+        while box.up is not None and box.up.up is not None and box.tag not in ("section", "div", "article"):
             box = box.up
-        items += (box if box.up is not None else head.up).all(("li", None, None))
-    for rule in SERVICE_LISTS:
-        items += [li for box in top.all(rule) for li in box.all(("li", None, None))]
-    out += [t for t in (li.words() for li in items) if 3 < len(t) < 100]
-    return list(dict.fromkeys(out))[:20]
+        boxes[box.at] = box
+    told = dict.fromkeys(out)
+    for box in [*boxes.values(), *(b for rule in SERVICE_LISTS for b in top.each(rule))]:
+        for li in box.each(("li", None, None)):
+            if 3 < li.size < 100:
+                told.setdefault(li.words())
+            if len(told) >= 20:
+                break
+    return list(told)[:20]
 
 
 def _partners(top: Node) -> list[str]:
     """Alternative texts of images in a context of partnership, and company names in short texts of one."""
     told = lambda t: any(w in t.lower() for w in PARTNER_WORDS)
     out = []
-    for img in top.all(("img", "alt", "")):
-        alt, box = img.attrs.get("alt", "").strip(), img.up
+    # Some box around an image tells of partnership if the page does: the outermost holds all.
+    anywhere = told(top.words())
+    for img in top.each(("img", "alt", "")):
+        alt = img.attrs.get("alt", "").strip()
         if len(alt) > 2 and not re.match(r"^[a-z][a-z0-9.-]+\.[a-z]{2,}$", alt):
-            while box is not None and not told(alt) and not told(box.words()):
-                box = box.up
-            out += [alt] if box is not None else []
+            out += [alt] if anywhere or told(alt) else []
     for n in top.walk():
-        text = n.words() if n.tag in ("li", "div", "span") else ""
-        if text and len(text) <= 100 and told(text):
+        text = n.words() if n.tag in ("li", "div", "span") and 0 < n.size <= 100 else ""
+        if text and told(text):
             out += [c.strip() for c in COMPANY.findall(text) if len(c.strip()) > 3]
     return list({p.lower(): p for p in reversed(out)}.values())[::-1][:20]
 
@@ -185,9 +263,9 @@ def _team(top: Node, text: str) -> tuple[list[tuple[str, str]], str | None]:
         boxes = top.all(rule)
         for box in boxes if len(boxes) >= 2 else []:
             for a, b in TEAM_PARTS:
-                name, title = box.all((a, None, None)), box.all((b, None, None))
+                name, title = (next(box.each((tag, None, None)), None) for tag in (a, b))
                 if name and title:
-                    name, title = name[0].words(), title[0].words()
+                    name, title = name.words(), title.words()
                     people += [(name, title)] if 4 < len(name) < 60 and 2 < len(title) < 80 else []
                     break
         if people:
@@ -232,9 +310,14 @@ def _detail(top: Node) -> dict | None:
     """One business from a page of its own: heading, text, labelled facts, social links."""
     out: dict[str, str | None] = {"name": top.first_text(DETAIL_NAMES), "description": top.first_text(DETAIL_TEXTS)}
     links: list[Node] = []
-    for dt in top.all(("dt", None, None)):
-        after = dt.up.kids[dt.up.kids.index(dt) + 1 :]
-        dd = next((k for k in after if isinstance(k, Node) and k.tag == "dd"), None)
+    following: dict[int, dict[int, Node]] = {}
+    for dt in top.each(("dt", None, None)):
+        if dt.up.at not in following:
+            dd, own = None, following.setdefault(dt.up.at, {})
+            for k in reversed([k for k in dt.up.kids if isinstance(k, Node) and k.tag in ("dt", "dd")]):
+                dd = k if k.tag == "dd" else dd
+                own[k.at] = dd
+        dd = following[dt.up.at][dt.at]
         if dd is None:
             continue
         label, own = dt.words().lower(), dd.all(("a", None, None))
@@ -252,19 +335,28 @@ def _detail(top: Node) -> dict | None:
     return out if out["name"] else None
 
 
+def _summary(page: Page, most: int = 500) -> str | None:
+    """The weightiest lines of over 40 characters that fit into ``most`` together; lines end
+    where the text itself has line ends, not at tags. Nothing up to 40 characters."""
+    lines = [t for t in (line.strip() for line in page.raw.split("\n")) if len(t) > 40]
+    weight = lambda s: len(s) * (1.5 if any(w in s.lower() for w in SUMMARY_WORDS) else 1)
+    taken: list[str] = []
+    for line in sorted(lines, key=weight, reverse=True):
+        if sum(map(len, taken)) + len(line) > most:
+            break
+        taken.append(line)
+    text = " ".join(taken)
+    return text if len(text) > 40 else None
+
+
 def parse_page(html: str | None) -> dict:
     top = tree(html)
     text = top.words()
-    weight = lambda s: len(s) * (1.5 if any(w in s.lower() for w in SUMMARY_WORDS) else 1)
-    summary = ""
-    for s in sorted((s for s in re.split(r"(?<=[.!?])\s+", text) if len(s) > 40), key=weight, reverse=True):
-        if len(summary) + len(s) + 1 > 500:
-            break
-        summary = f"{summary} {s}".strip()
+    summary = _summary(top.page)
     people, owner = _team(top, text)
-    titles = [t for t in (n.words() for n in top.walk() if n.tag in ("h1", "h2", "h3", "h4")) if 10 < len(t) < 150 and not any(w in t.lower() for w in NOT_TITLES)]
+    titles = [t for t in (n.words() for n in top.walk() if n.tag in ("h1", "h2", "h3", "h4") and 10 < n.size < 150) if not any(w in t.lower() for w in NOT_TITLES)]
     return {
-        "text": text, "summary": summary or None, "services": _schema_services(top) or _told_services(top, text), "partners": _partners(top),
+        "text": text, "summary": summary, "services": _schema_services(top) or _told_services(top, text), "partners": _partners(top),
         "team": [{"name": n, "title": t} for n, t in people], "owner_title": owner, "post_titles": titles[:10], "cards": _cards(top), "detail": _detail(top),
     }
 

@@ -288,3 +288,54 @@ def test_registry_and_replace(spark, tmp_path):
         replace_jobs(spark.createDataFrame([(1, 1), (2, 2)], "lead_id long, job_id long"), path)
     replace_jobs(spark.createDataFrame([(3, 1)], "lead_id long, job_id long"), path)
     assert sorted(r["lead_id"] for r in spark.read.parquet(path).collect()) == [2, 3]
+
+
+def test_addresses_and_numbers_in_long_texts(spark):
+    """A text without a break is read once: a megabyte of it takes no more than seconds."""
+    import time
+
+    from bizlink.functions import contact
+    from bizlink.operators import lookups
+
+    texts = ["a" * 1_000_000, "ab@" * 300_000, "x" + " " * 1_000_000, "0123456789abcdef" * 60_000 + " bob at acme dot com", "213-555-0142 " * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(5)
+    one(spark, contact.harvest_emails(F.col("t")), t="a@b.com")
+    began = time.perf_counter()
+    got = {r["id"]: r["e"] for r in df.select("id", contact.harvest_emails(F.col("t")).alias("e")).collect()}
+    assert got[3] == ["bob@acme.com"] and not got[0]
+    assert lookups.harvest_phones(df, "id", "t").count() == 1
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("text", ["a@b.com.c@d.com", "x a.b@c.org,d@e.net", "..a@b.co", "a@b@c.com", "a@b", "no-reply@x.y.zz1", "%a@b-c.dd e@f.g.hh"])
+def test_addresses_as_the_plain_pattern_finds_them(spark, text):
+    from bizlink.functions import contact
+
+    assert one(spark, F.regexp_extract_all(F.col("t"), F.lit(contact._FOUND), F.lit(1)), t=text) == re.findall(contact.EMAIL, text)
+
+
+def test_unclosed_elements_and_large_pages():
+    import time
+
+    assert parse_page("<div><h2>Services</h2><ul><li>Roof repair<li>Gutter cleaning<li>Siding work</ul></div>")["services"] == ["Roof repair", "Gutter cleaning", "Siding work"]
+    assert parse_page("<dl><dt>Phone<dd>1<dt>Address<dd>2 Elm</dl><h1>Acme</h1>")["detail"] == {"name": "Acme", "description": None, "phone": "1", "address": "2 Elm"}
+    assert parse_page("<table><tr><td>a<td>b<tr><td>c</table><p>x<p>y<div>z")["text"] == "a b c x y z"
+    for html in ("".join(f"<div><img alt='Logo {i} Corp'>our partner" for i in range(4000)), "<h2>Our services</h2><ul>" + "".join(f"<li>item number {i}" for i in range(4000)), "<div>" * 4000 + "</x></b>" * 4000, "<dl>" + "<dt>Phone" * 4000):
+        began = time.perf_counter()
+        parse_page(html)
+        assert time.perf_counter() - began < 2
+
+
+def test_summary_by_lines():
+    long = "We are dedicated to roofs of every kind and to those who live under them"
+    assert parse_page(f"<p>{long}\nshort\n{long} too</p>")["summary"] == f"{long} too {long}"
+    assert parse_page("<p>short\nlines\nonly</p>")["summary"] is None and parse_page(f"<p>{'x' * 600}</p>")["summary"] is None
+
+
+def test_json_ld_in_any_quotes_and_empty_pages(spark):
+    from bizlink.functions import pages
+
+    for kind in ('"application/ld+json"', "'application/ld+json'", "application/ld+json", 'application/ld+json id="x"'):
+        assert one(spark, pages.json_ld(F.col("t")), t=f'<script id=1 type={kind}>{{"a": 1}}</script>') == ['{"a": 1}']
+    assert one(spark, pages.json_ld(F.col("t")), t="<script type=application/ld+jsonx>1</script>") == []
+    assert [one(spark, pages.fetch_outcome(F.lit(200), F.col("t")), t=t) for t in ("", None, "<p>fine</p>")] == ["blocked", "blocked", "ok"]
