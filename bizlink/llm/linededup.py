@@ -12,8 +12,9 @@ Texts are read once for 128-bit hashes of their lines, a small table from which
    Positions whose fingerprint occurs once in the corpus are dropped; a match can't contain them;
 2. the others are joined by fingerprint and window with the first position (by doc_id, then
    line) that has both. A later one is a seed of a match between two documents;
-3. seeds of the same two documents and shift are extended both ways over the line hashes until
-   they differ, which gives the match at its full length;
+3. seeds of the same two documents and shift are extended both ways: each window that follows
+   or precedes on the same shift is a seed too until the texts differ, so the match at its full
+   length is the seeds joined end to end, and no lines are fetched or compared again;
 4. the later side of each match is deleted when the texts are read again.
 
 A frequent line or passage costs one row per position in partial counts, and its positions
@@ -97,8 +98,8 @@ def fingerprints(hashed: DataFrame, run: int, words: int | None = None) -> DataF
 
 
 def seeds(hashed: DataFrame, run: int, words: int | None = None) -> DataFrame:
-    """``(doc_id, th, first_id, first_th, shift, starts)``: later windows by the document that
-    has them first and by how many lines later they stand; written."""
+    """``(doc_id, th, first_id, first_th, shift, windows)``: later windows (line, size) by the
+    document that has them first and by how many lines later they stand."""
     positions = fingerprints(hashed, run, words)
     twice = materialize(positions.groupBy("fp").agg(F.count("*").alias("n"), F.sum(F.size("windows")).alias("w")).where("w > 1"), "line-fps")
     left = spread_join(positions, twice.select("fp"), ["fp"], twice.select("fp", "n"), ["doc_id", "th", "at"], "left_semi")
@@ -106,25 +107,25 @@ def seeds(hashed: DataFrame, run: int, words: int | None = None) -> DataFrame:
     place = F.struct(*DOC, "line")
     first = materialize(windows.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-first")
     later = spread_join(windows, first.drop("n"), ["fp", "content"], first, ["doc_id", "th", "line"]).where(place > F.col("first"))
-    found = later.select(*DOC, F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), (F.col("line") - F.col("first.line")).alias("shift"), "line")
-    return materialize(found.groupBy(*DOC, "first_id", "first_th", "shift").agg(F.collect_set("line").alias("starts")), "line-seeds")
+    found = later.select(*DOC, F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), (F.col("line") - F.col("first.line")).alias("shift"), F.struct("line", "size").alias("window"))
+    return found.groupBy(*DOC, "first_id", "first_th", "shift").agg(F.collect_list("window").alias("windows"))
 
 
-def extended(own: bytes, other: bytes, shift: int, starts: list[int]) -> list[tuple[int, int]]:
-    """(first line, lines) of the matches that hold the seeds: line k of ``own`` is line k - shift of ``other``."""
-    a, b = (np.frombuffer(x, f"V{WIDTH}") for x in (own, other))
-    lo = max(shift, 0)
-    hi = min(len(a), len(b) + shift)
-    equal = a[lo:hi] == b[lo - shift : hi - shift]
-    differ = np.r_[lo - 1, np.flatnonzero(~equal) + lo, hi]
-    k = np.unique(np.searchsorted(differ, starts))
-    return [(int(i) + 1, int(j - i) - 1) for i, j in zip(differ[k - 1], differ[k], strict=True)]
+def extended(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first line, lines) of the matches at full length from seeds (line, size) on one shift."""
+    out: list[tuple[int, int]] = []
+    for line, size in sorted(windows):
+        if out and line <= out[-1][0] + out[-1][1]:
+            start, had = out.pop()
+            out.append((start, max(had, line + size - start)))
+        else:
+            out.append((line, size))
+    return out
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("own", "other", "shift", "starts")), strict=True)
-        found = [extended(*r) for r in rows]
+        found = [extended([(w["line"], w["size"]) for w in ws]) for ws in batch.column("windows").to_pylist()]
         take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
         flat = [x for f in found for x in f]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array([x[k] for x in flat], pa.int32()) for k in (0, 1))], names=[*DOC, "line", "size"])
@@ -132,17 +133,8 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_runs(docs: DataFrame, run: int, words: int | None = None) -> DataFrame:
     """``(doc_id, th, runs)`` of ``(doc_id, th, text)``: the runs that occurred earlier."""
-    hashed = line_hashes(docs)
-    matches = seeds(hashed, run, words)
-    # A null id can't be joined on; equal texts have equal lines, so any value will do for it.
-    known = lambda df, c, name: df.withColumn(name, F.coalesce(c, F.lit(0)))
-    lines = known(hashed, "doc_id", "__id").groupBy("__id", "th").agg(F.first("lines").alias("lines"))
-    matches = known(known(matches, "doc_id", "own_id"), "first_id", "other_id")
-    own = lines.withColumnsRenamed({"__id": "own_id", "lines": "own"})
-    other = lines.withColumnsRenamed({"__id": "other_id", "th": "first_th", "lines": "other"})
-    counts = materialize(matches.groupBy("other_id", "first_th").agg(F.count("*").alias("n")), "line-partners")
-    both = spread_join(matches, other, ["other_id", "first_th"], counts, [*DOC, "shift"]).join(own, ["own_id", "th"])
-    found = both.select(*DOC, "own", "other", "shift", "starts").mapInArrow(_extend, "doc_id bigint, th bigint, line int, size int")
+    matches = seeds(line_hashes(docs), run, words)
+    found = matches.select(*DOC, "windows").mapInArrow(_extend, "doc_id bigint, th bigint, line int, size int")
     return found.groupBy(*DOC).agg(F.collect_set(F.struct("line", "size")).alias("runs"))
 
 

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from bizlink.llm import bpe, decontam, graph, linededup, pii, quality, sharding, simhash, suffix, tokens_out, toxicity
 
@@ -180,10 +181,18 @@ def test_op4_hot_passage_and_clashing_names(spark, monkeypatch):
 
 
 def test_op4_extends_to_full_matches():
-    lines = lambda s: b"".join(xxhash.xxh3_128_digest(c.encode()) for c in s)
-    assert linededup.extended(lines("xabcdey"), lines("abcdez"), 1, [2, 3]) == [(1, 5)]
-    assert linededup.extended(lines("abcXdef"), lines("abcYdef"), 0, [4, 0]) == [(0, 3), (4, 3)]
-    assert linededup.extended(lines("aaaa"), lines("aaaa"), 1, [1]) == [(1, 3)]
+    assert linededup.extended([(3, 3), (1, 3), (2, 3)]) == [(1, 5)]
+    assert linededup.extended([(4, 3), (0, 3)]) == [(0, 3), (4, 3)]
+    assert linededup.extended([(1, 1), (2, 3), (0, 2)]) == [(0, 5)]
+
+
+def test_op4_text_of_passages_from_many_sources(spark):
+    """Each passage of one text is first in another one: a row for each source, none with lines."""
+    rows = [(i, "\n".join(f"s{i} line {k}" for k in range(4))) for i in range(600)]
+    rows.append((9_000, "\n".join(f"{t}\nown {i}" for i, t in rows)))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), counts=True).collect()}
+    assert (got[9_000]["n_lines"], got[9_000]["n_deleted"]) == (3000, 2400) and got[9_000]["text"] == "\n".join(f"own {i}" for i in range(600))
+    assert all(got[i]["n_deleted"] == 0 for i in range(600))
 
 
 def test_op5_surrogates(spark, none):
@@ -459,6 +468,20 @@ def test_op9_long_items_and_texts(spark, monkeypatch):
     assert got[-1]["n_hit"] == 10 and not got[-2]["n_hit"]
 
 
+def test_op9_equal_items_and_clashing_names(spark, monkeypatch):
+    """Items repeated as rows are one piece, blocks keep to their size, and no column is lost."""
+    item = " ".join(f"w{k}" for k in range(12))
+    bench = spark.createDataFrame([(5, item)] * 3000 + [(k, f"{item} {k}") for k in range(40)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    pieces, n = decontam._blocks(bench)
+    assert pieces.count() == 41 and n > 4
+    assert pieces.groupBy("block").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("c")).where("b > 300 and c > 1").count() == 0
+    docs = spark.createDataFrame([(1, f"a {item} b", 8, "x"), (2, "all clean", 7, "y"), (3, None, 6, "z")], "doc_id long, text string, __row long, __found string")
+    got = decontam.drop_contaminated(docs, bench)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(2, "all clean", 7, "y"), (3, None, 6, "z")]
+    assert [r["n_items"] for r in decontam.contamination(docs, bench).orderBy("doc_id").collect()] == [40, 0, 0]
+
+
 def test_op9_tables_of_frequent_words():
     rng = np.random.default_rng(5)
     words = np.char.add("v", np.minimum(rng.zipf(1.2, 200_000), 50_000).astype(str))
@@ -626,5 +649,5 @@ def test_entry_imports_everything():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
