@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizlink.llm.common import materialize
+from bizlink.llm.common import fresh, materialize
 
 WINDOW = 10
 #: Aim for the text of the items whose windows are sent to the tasks at once.
@@ -182,12 +182,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """The pieces with their block, and the number of blocks."""
+    """The distinct pieces with their block, and the number of blocks: so many that none holds
+    over ``BLOCK_BYTES``, but for one that is a single piece."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    pieces = materialize(items.mapInArrow(_pieces, "item string, m int, text string"), "decontam-pieces")
-    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 if total <= BLOCK_BYTES else math.ceil(2 * total / BLOCK_BYTES)
-    return pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")), n
+    pieces = materialize(items.mapInArrow(_pieces, "item string, m int, text string").distinct(), "decontam-pieces")
+    n = 1
+    while True:
+        dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int"))
+        sizes = dealt.groupBy("block").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("c"))
+        over = sizes.where((F.col("b") > BLOCK_BYTES) & (F.col("c") > 1)).agg(F.max("b")).first()[0]
+        if over is None:
+            return dealt, n
+        n = max(2 * n, n * math.ceil(over / BLOCK_BYTES))
 
 
 def _send(pieces: DataFrame, block: int) -> tuple[str, Broadcast]:
@@ -267,9 +273,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window of the benchmark occurs. Null and
-    empty texts stay, as do repeated rows; a column may not be named ``__row``."""
+    empty texts stay, as do repeated rows."""
     pieces, n = _blocks(benchmark)
     if n == 1:
         return docs.mapInArrow(_scan(*_send(pieces, 0), _clean), docs.schema)
-    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam")
-    return keyed.join(_finds_by_block(keyed, pieces, n), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = fresh(docs, "__row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontam")
+    found = _finds_by_block(keyed.select(F.col(row).alias("__row"), "text"), pieces, n).select(F.col("__row").alias("__found"))
+    return keyed.join(found, F.col(row) == found["__found"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
