@@ -2,40 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bizlink.scratch import materialize, scratch_path
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a laptop) a temporary folder is made and set; on a
-    cluster without the setting this raises rather than write to machine-local disks.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage is cut, and a lost
-    executor costs at most the tasks that were running on it."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "scratch_path", "materialize_buckets", "spread_join", "fresh", "n_tasks", "text_of", "same_row", "read"]
 
 
 def materialize_buckets(df: DataFrame, tag: str, keys: list[str], buckets: int) -> DataFrame:
@@ -45,7 +19,10 @@ def materialize_buckets(df: DataFrame, tag: str, keys: list[str], buckets: int)
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, tag)).bucketBy(buckets, *keys).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    # The name was needed for the buckets only; the files, at a path of their own, stay.
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 #: A key of more rows than this, and than the ``HOT_KEYS``-th part of all, is spread over tasks.
