@@ -242,6 +242,17 @@ def s5_json_ld_blocks(spark, sf_dir):
     return marked(spark, sf_dir).select("page_id", F.explode(P.json_ld(F.coalesce(other, F.col("html")))).alias("block"))
 
 
+_OWNER = "concat(CASE c_custkey % 7 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Robert' WHEN 2 THEN 'Maria' WHEN 3 THEN 'Chen' WHEN 4 THEN 'Priya' WHEN 5 THEN 'Olaf' ELSE 'Grace' END, ' ', CASE c_custkey % 5 WHEN 0 THEN 'Leeman' WHEN 1 THEN 'Stone' WHEN 2 THEN 'Okafor' WHEN 3 THEN 'Raman' ELSE 'Hopper' END)"
+#: Sentences around a name, in the order of the patterns, and two that tell none.
+_SAID = [("Since 1990. Founded by ", "."), ("Our owner: ", "."), ("by ", ", Owner, since then"), ("here ", ", CEO of Acme"), ("and ", " is the founder of it"), ("Meet ", "! "), ("Hello, I'm ", " and we fix roofs"), ("With owner ", "."), ("Propietario: ", "."), ("Inhaber: ", "."), ("Contact person: ", "."), ("We like ", " a lot"), ("Managed by Read More. ", " too")]
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 13 < 11 THEN {_OWNER} END AS owner FROM customer")
+def f16_owner_sentences(spark, sf_dir):
+    said = F.get(F.array(*(F.concat(F.lit(a), F.expr(_OWNER), F.lit(b)) for a, b in _SAID)), (F.col("c_custkey") % len(_SAID)).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.owner_name(said).alias("owner"))
+
+
 @query()
 def f16_owner_name(spark, sf_dir):
     return marked(spark, sf_dir).select("page_id", C.owner_name(P.visible_text(F.col("html"))).alias("owner"))
