@@ -1,8 +1,10 @@
 """Surrogates for personal data (operator 5).
 
-Entities are found by pattern: e-mail addresses, phone numbers, IPv4 addresses, payment card,
-social security and bank account numbers, secret tokens and keys, and the parts of personal
-names after a form of address or with a known given name. Each distinct entity of the corpus gets one replacement of its own type,
+Entities are found by pattern: e-mail addresses, in any script, phone numbers, IPv4 and IPv6
+addresses, payment card, social security and bank account numbers, secret tokens, keys and
+private-key blocks, and the parts of personal names after a form of address, a doctor's title or
+words that introduce a name, or with a known given name. Particles of a name (``von``, ``de``)
+stay as they are. Each distinct entity of the corpus gets one replacement of its own type,
 made from a keyed hash (HMAC-SHA256) of its canonical form: names keep gender and script,
 numbers keep layout, card numbers keep their check digit valid or not, account numbers country
 and a valid check, keys their prefix, tokens their alphabet. Family names, and given names once
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -47,11 +50,17 @@ ENDINGS = {
     ("f", "latin"): ["a", "ina", "ella", "ine"], ("m", "latin"): ["o", "us", "an", "ert"], ("f", "cyrillic"): ["а", "ина", "ия"], ("m", "cyrillic"): ["ан", "ий", "ор"], ("f", "greek"): ["ία", "ούλα"], ("m", "greek"): ["ος", "άς"],
 }
 #: Forms of address by gender.
-TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Κύριος"]}
-
-_NAME = r"[^\W\d_a-zà-ÿа-яά-ώ][^\W\d_]+"
+TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Κυρία"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Κύριος"], "u": ["Dr", "Prof", "Doctor", "Professor"]}
+#: Words before a name that tell no gender; particles inside one.
+INTRODUCTIONS = ["My name is", "my name is", "Sincerely,", "sincerely,", "Kind regards,", "kind regards,", "Best regards,", "best regards,", "Contact person:", "contact person:"]
+PARTICLES = ["von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "al", "bin", "ibn", "zu"]
+
+_CAPITAL = r"[^\W\d_a-zà-ÿа-яά-ώ]"
+_NAME = rf"{_CAPITAL}(?:[^\W\d_]+|(?=['’]{_CAPITAL}))(?:['’]{_CAPITAL}[^\W\d_]+)?"
+_FAMILY = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME}"
 _GENDER_OF = {t: g for g, ts in TITLES.items() for t in ts} | {n: g for (g, _), ns in GIVEN.items() for n in ns}
-_EMAIL = re.compile(r"(?P<email>[A-Za-z0-9À-ÿ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
+_EMAIL = re.compile(r"(?P<email>(?<![\w.%+-])[\w.%+-]+@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)+)")
+_IPV6 = re.compile(r"(?<![\w:.])(?P<ipv6>[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:])")
 #: A stretch that may hold a number, and the kinds of numbers inside it.
 _DIGITS = re.compile(r"[+\d][\d .()-]{5,}")
 _NUMBER = re.compile(
@@ -65,16 +74,40 @@ _TOKEN = re.compile(r"(?<![0-9A-Za-z])(?P<token>[0-9a-f]{32,128}|[0-9A-F]{32,128
 _IBAN = re.compile(r"(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])")
 #: Prefixes of cloud, code host, chat and model service keys, with what follows.
 _KEY = re.compile(r"(?<![0-9A-Za-z])(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{20,})(?![0-9A-Za-z])")
-KINDS = ("email", "ip", "ssn", "card", "phone", "iban", "key", "token", "person")
+_BLOCK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
+KINDS = ("email", "ip", "ipv6", "block", "ssn", "card", "phone", "iban", "key", "token", "person")
 _GIVEN_ALL = {n for ns in GIVEN.values() for n in ns}
 _TITLE_ALL = sorted({t for ts in TITLES.values() for t in ts}, key=len, reverse=True)
 _WORD = re.compile(r"\w+")
 #: The first run of word characters of all that a person can begin with.
-_TRIGGERS = {_WORD.match(t).group() for t in (*_GIVEN_ALL, *_TITLE_ALL)}
-_PERSON = re.compile(rf"(?<!\w)(?P<person>(?:{'|'.join(map(re.escape, _TITLE_ALL))})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(sorted(_GIVEN_ALL))}) {_NAME})(?!\w)")
+_TRIGGERS = {_WORD.match(t).group() for t in (*_GIVEN_ALL, *_TITLE_ALL, *(w.rpartition(" ")[0] or w for w in INTRODUCTIONS))}
+_PERSON = re.compile(
+    rf"(?<!\w)(?P<person>(?:{'|'.join(map(re.escape, _TITLE_ALL))})\.? (?:{_NAME} )?{_FAMILY}(?: {_NAME})?"
+    rf"|(?:{'|'.join(map(re.escape, INTRODUCTIONS))})\s{_NAME} {_FAMILY}|(?:{'|'.join(sorted(_GIVEN_ALL))}) {_FAMILY})(?!\w)"
+)
 _BARE = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 
 
+def _is_ipv6(m: re.Match) -> bool:
+    """Whether the string is an address and not a time or a name with colons."""
+    try:
+        ipaddress.IPv6Address(m.group())
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in m.group()) and len(m.group()) > 5
+
+
+def _blocks(text: str) -> Iterator[re.Match]:
+    """Private-key blocks, from each first line to the next last line."""
+    start = None
+    for m in _BLOCK.finditer(text):
+        if m.group(1) == "BEGIN":
+            start = m if start is None else start
+        elif start is not None:
+            yield re.compile(r"(?s)(?P<block>.*)").fullmatch(text, start.start(), m.end())
+            start = None
+
+
 def _matches(text: str) -> Iterator[re.Match]:
     """Matches of all kinds; each pattern runs only where a cheap sign of it is seen."""
     if "@" in text:
@@ -83,6 +116,10 @@ def _matches(text: str) -> Iterator[re.Match]:
         yield from _NUMBER.finditer(text, m.start(), m.end() + 1)
     yield from (m for m in _IBAN.finditer(text) if iban_check(m.group().replace(" ", "")) == 1)
     yield from _KEY.finditer(text)
+    if "::" in text or text.count(":") > 6:
+        yield from filter(_is_ipv6, _IPV6.finditer(text))
+    if "PRIVATE KEY-----" in text:
+        yield from _blocks(text)
     if _HEX.search(text):
         yield from _TOKEN.finditer(text)
     if not _TRIGGERS.isdisjoint(_WORD.findall(text)):
@@ -116,10 +153,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         kind = next(k for k in KINDS if m.groupdict().get(k))
         found = m.group(kind)
         if kind == "person":
-            first, *rest = re.finditer(r"\S+", found)
-            title = first.group().rstrip(".")
+            intro = next((w for w in INTRODUCTIONS if found.startswith(w)), "")
+            words = [p for p in re.finditer(r"\S+", found) if p.start() >= len(intro) and p.group() not in PARTICLES]
+            title = "" if intro else words[0].group().rstrip(".")
+            parts = words if intro or title in _GIVEN_ALL else words[1:]
             gender = _GENDER_OF.get(title, "u")
-            parts = [first, *rest] if title in _GIVEN_ALL else rest
+            gender = _GENDER_OF.get(parts[0].group(), "u") if gender == "u" else gender
             for k, p in enumerate(parts):
                 last = k == len(parts) - 1
                 name = p.group()
@@ -131,7 +170,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", found)
             out.append((m.start(), m.end(), kind if kind != "card" else "card_valid" if luhn(digits) else "card_other", digits))
         else:
-            out.append((m.start(), m.end(), kind, found if kind in ("token", "key") else found.lower()))
+            out.append((m.start(), m.end(), kind, found if kind in ("token", "key", "block") else found.lower()))
     return _with_bare_names(text, out)
 
 
@@ -171,6 +210,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "ip":
         return ".".join(str(1 + number(254)) for _ in range(4))
     like = lambda s: "".join(str(number(10)) if c.isdigit() else chr((65 if c.isupper() else 97) + number(26)) if c.isalpha() else c for c in s)
+    if kind == "ipv6":
+        return "".join("0123456789abcdef"[number(15) + 1] if c in "0123456789abcdef" else c for c in value)
+    if kind == "block":
+        lines = value.split("-----")
+        return "-----".join([*lines[:2], like(lines[2]), *lines[3:]])
     if kind == "ssn":
         return "9" + like(value[1:])
     if kind == "iban":
@@ -218,7 +262,7 @@ def _shaped(kind: str, found: str, new: str) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in found)
     if kind.startswith(("given", "family")):
         return new.upper() if found.isupper() else new.title()
-    return new.upper() if kind == "email" and found.isupper() else new
+    return new.upper() if kind in ("email", "ipv6") and found.isupper() else new
 
 
 def assign(values: DataFrame, key: bytes) -> DataFrame:

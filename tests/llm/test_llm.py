@@ -237,6 +237,32 @@ def test_op5_kinds_and_layout():
     assert len(names) > 480 and all(len(n) < 20 for n in names)
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("Dr. Ahmed Hassan came", [("given_u_latin", "ahmed"), ("family_latin", "hassan")]),
+    ("Prof. Anna Berg and Anna", [("given_f_latin", "anna"), ("family_latin", "berg"), ("given_f_latin", "anna")]),
+    ("My name is Priya Raman and", [("given_u_latin", "priya"), ("family_latin", "raman")]),
+    ("Kind regards,\nPriya Raman", [("given_u_latin", "priya"), ("family_latin", "raman")]),
+    ("Mrs. von Berg; Herr Karl von der Heide", [("family_latin", "berg"), ("given_m_latin", "karl"), ("family_latin", "heide")]),
+    ("Ms. O'Neill and the dog's name", [("family_latin", "o'neill")]),
+    ("john@пример.рф or иван@пример.рф.", [("email", "john@пример.рф"), ("email", "иван@пример.рф")]),
+    ("2001:0db8:85a3::8a2e:0370:7334 at 12:30:45 in std::vector, ::1, a::b", [("ipv6", "2001:0db8:85a3::8a2e:0370:7334")]),
+    ("the von Berg name, Best of Luck, My name is known", []),
+])
+def test_op5_more_kinds(text, found):
+    assert [(k, v) for _, _, k, v in pii.entities(text)] == found
+
+
+def test_op5_key_blocks_and_addresses_keep_their_layout():
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123+/=\nxyz\n-----END RSA PRIVATE KEY-----"
+    ((a, b, kind, value),) = pii.entities(f"x {block} y -----BEGIN PRIVATE KEY----- never ended")
+    assert (a, b, kind, value) == (2, 2 + len(block), "block", block)
+    new = pii.surrogate(b"k", kind, value, 0)
+    assert new != block and new.startswith("-----BEGIN RSA PRIVATE KEY-----\n") and new.endswith("\n-----END RSA PRIVATE KEY-----") and len(new) == len(block)
+    import ipaddress
+
+    assert ipaddress.IPv6Address(pii.surrogate(b"k", "ipv6", "fe80::1ff:fe23:4567:890a", 0))
+
+
 def test_op5_against_plain_rounds(spark, monkeypatch):
     from bizlink.llm import common
 
