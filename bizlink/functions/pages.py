@@ -134,20 +134,21 @@ def name_on_site(name: Column, html: Column) -> Column:
 
 #: How pages tell a founding year, and how many people work there.
 FOUNDED = [
-    r"(?i)(?:founded|established|incorporated|started|opened|launched|since)\s+(?:in\s+)?(\d{4})",
-    r"(?i)copyright\s+(?:©\s*)?(\d{4})(?:\s*[-–]\s*\d{4})?",
-    r"(?i)(?:serving|operating|in\s+business)\s+(?:since|for\s+over)\s+(\d{4})",
-    r"(?i)(?:year\s+(?:established|founded)|est\.)\s*[:.]?\s*(\d{4})",
+    r"(?i:(?:founded|established|incorporated|started|opened|launched|since)\s+(?:in\s+)?)(\d{4})",
+    r"(?i:copyright\s+(?:©\s*)?(\d{4})(?:\s*[-–]\s*\d{4})?)",
+    r"(?i:(?:serving|operating|in\s+business)\s+(?:since|for\s+over)\s+)(\d{4})",
+    r"(?i:(?:year\s+(?:established|founded)|est\.)\s*[:.]?\s*)(\d{4})",
 ]
 FOUNDED_SCHEMA = r"""(?i)(?:"foundingDate"\s*:\s*|foundingDate["']?\s*[:=]\s*)"?(\d{4})"""
 COPYRIGHT_RANGE = r"(?i)copyright\s+(?:©\s*)?(\d{4})\s*[-–]\s*\d{4}"
+#: Phrases of staff; in the first and the last, groups but the number's don't capture here.
 STAFF = [
-    r"(?i)(?:we(?:'re| are)?\s+(?:a\s+)?)?team\s+of\s+(\d{1,5})\s*(?:people|members|employees|professionals|staff)?",
-    r"(?i)(\d{1,5})\s*\+\s*(?:employees|staff|people|team\s+members)",
-    r"(?i)(?:over|more\s+than|about|approximately)\s+(\d{1,5})\s*(?:employees|staff|people|team)",
-    r"(?i)(\d{1,5})\s*(?:employees|staff\s+members|people\s+on\s+(?:staff|team))",
-    r"(?i)(?:our|a)\s+(\d{1,5})\s*-\s*(?:person|member)\s+(?:team|company)",
-    r"(?i)employ(?:s|ees)?\s+(?:over|about|approximately|more\s+than)?\s*(\d{1,5})",
+    r"(?i:(?:we(?:'re| are)?\s+(?:a\s+)?)?team\s+of\s+)(\d{1,5})\s*(?:people|members|employees|professionals|staff)?",
+    r"(?i:(\d{1,5})\s*\+\s*(?:employees|staff|people|team\s+members))",
+    r"(?i:(?:over|more\s+than|about|approximately)\s+)(\d{1,5})\s*(?:employees|staff|people|team)",
+    r"(?i:(\d{1,5})\s*(?:employees|staff\s+members|people\s+on\s+(?:staff|team)))",
+    r"(?i:(?:our|a)\s+)(\d{1,5})\s*-\s*(?:person|member)\s+(?:team|company)",
+    r"(?i:employ(?:s|ees)?\s+(?:over|about|approximately|more\s+than)?\s*)(\d{1,5})",
 ]
 STAFF_SCHEMA = r"""(?i)(?:"numberOfEmployees"\s*:\s*|"numberOfEmployees"\s*}\s*:\s*|numberOfEmployees["']?\s*[:=]\s*)(\d{1,7})"""
 STAFF_ITEM = [r"""(?i)<[^>]*itemprop=["']numberOfEmployees["'][^>]*content=["'](\d+)["']""", r"""(?i)<[^>]*content=["'](\d+)["'][^>]*itemprop=["']numberOfEmployees["']"""]

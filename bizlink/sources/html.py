@@ -19,25 +19,33 @@ from bizlink.functions import pages as P
 
 HIDDEN = {"script", "style", "noscript", "iframe"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
-#: Words of partnership; headings of services; where their lists, people, cards and labels stand.
+#: Words of partnership.
 PARTNER_WORDS = ["partner", "client", "certified", "affiliate", "member", "sponsor", "accredited", "authorized", "distributor", "reseller"]
+#: Fixed value: what reads like a company's name.
 COMPANY = re.compile(r"\b[A-Z][A-Za-z0-9\s&.]+(?:Inc|LLC|Ltd|Corp|Group|Solutions|Technologies|Systems|Services)\b")
+#: Fixed value: headings of services.
 SERVICE_HEADING = re.compile(r"(?i)(?:our\s+)?(?:services?|products?|solution|what\s+we\s+do|speciali(?:ze|se)s?|offer(?:ings)?|capabilities?|expertise)")
+#: Sentences of services.
 SERVICE_SENTENCES = [
     r"(?i:(?:we\s+)?(?:offer|provide|specializ(?:e|se)\s+in|deliver)\s+)(.+?)(?:\.\s*(?:We|Our|Call|Contact|Learn|Get))",
     r"(?i:(?:our\s+)?(?:services|products|solutions)\s+(?:include|are|cover|range\s+from)\s+)(.+?)(?:\.\s*(?:We|Our|Call|Contact))",
 ]
+#: Where lists of services stand.
 SERVICE_LISTS = [
     ("div", "class", "service"), ("ul", "class", "service"), ("div", "class", "product"), ("ul", "class", "product"), ("div", "id", "service"), ("ul", "id", "service"), ("div", "class", "solution"),
     ("div", "class", "offering"), ("div", "class", "capability"), ("div", "class", "menu"), ("ul", "class", "menu"), ("div", "id", "menu"), ("ul", "id", "menu"), ("div", "class", "food"),
     ("div", "class", "drink"), ("section", "class", "menu"), ("section", "id", "menu"), ("div", "class", "specialty"), ("div", "class", "category"), ("div", "class", "feature"), ("div", "class", "offer"),
 ]
+#: Where people stand, and the parts of their boxes.
 TEAM_BOXES = [("div", "class", w) for w in ("team", "member", "profile", "person", "employee", "staff")] + [("li", "class", w) for w in ("team", "member", "person")] + [("article", "class", w) for w in ("team", "member")]
 TEAM_PARTS = [("h3", "p"), ("h4", "p"), ("h3", "span"), ("h4", "span"), ("strong", "span")]
+#: Fixed value: a sentence that names a person and a title.
 TEAM_SENTENCE = re.compile(r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\s*[—–,-]\s*([A-Za-z\s/]+?)(?=[,.\n]|$)")
+#: Titles of owners; headings that are none of posts; words that make a line weigh more.
 OWNER_TITLES = ["owner", "founder", "co-founder", "ceo", "president", "proprietor", "managing director", "principal", "managing partner", "executive director", "general manager"]
 NOT_TITLES = ["recent post", "latest news", "archive", "category", "tag", "search"]
 SUMMARY_WORDS = ["specializ", "mission", "vision", "dedicated", "expert", "service", "solution", "provide", "offer", "client", "partner", "deliver"]
+#: Cards of a results page, and where a card and a page of one business have their facts.
 CARDS = [("div", "class=", "hf-box"), ("div", "class=", "company-card"), ("li", "class=", "search-result"), ("div", "class", "business"), ("article", None, None), ("div", "class=", "search-result-item"), ("div", "class=", "result")]
 CARD_PHONES = [("a", "href^", "tel:"), ("*", "class", "phone"), ("*", "class", "tel")]
 CARD_ADDRESSES = [("span", "class=", "small"), ("*", "class", "address"), ("*", "class", "location")]
