@@ -246,6 +246,12 @@ def _search(threshold: float):
         place, own_place = np.searchsorted(every, ids), np.searchsorted(every, nodes)
         counts, ways, a, b = [], [], [], []
         home = homes == here
+        # Hits between vectors at home here count for both, whichever found the other.
+        at_home = np.cumsum(home) - 1
+        mutual, asking = np.zeros((int(home.sum()),) * 2, bool), np.zeros(int(home.sum()), bool)
+        own_node = np.searchsorted(nodes, ids).clip(max=len(nodes) - 1)
+        resident = (nodes[own_node] == ids) & home[own_node]
+        asking[at_home[own_node[resident]]] = True
         for lo in range(0, len(ids), 1024):
             part = slice(lo, lo + 1024)
             q = _units(asked["embedding"].iloc[part])
@@ -256,7 +262,10 @@ def _search(threshold: float):
             sims = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[i[s : s + 65536]], vectors[j[s : s + 65536]]) for s in range(0, len(i), 65536))])
             i, j, sims = i[sims >= threshold], j[sims >= threshold], sims[sims >= threshold]
             other = nodes[j] != ids[part][i]
-            hits = np.bincount(i[other & home[j]], weight[j[other & home[j]]], minlength=len(q))
+            both = other & home[j] & resident[part][i]
+            mutual[at_home[own_node[part][i[both]]], at_home[j[both]]] = True
+            rest = other & home[j] & ~resident[part][i]
+            hits = np.bincount(i[rest], weight[j[rest]], minlength=len(q))
             counts += [(0, ids[lo + k], int(v), here) for k, v in enumerate(hits) if v]
             a.append(place[part][i[other]])
             b.append(own_place[j[other]])
@@ -273,6 +282,8 @@ def _search(threshold: float):
             label = _forest(np.concatenate(a), np.concatenate(b), len(every))
             moved = np.flatnonzero(label != np.arange(len(every)))
             a, b = [label[moved]], [moved]
+        hits = (mutual | (mutual.T & asking[:, None])) @ weight[home]
+        counts += [(0, n, int(v), here) for n, v in zip(nodes[home], hits, strict=True) if v]
         edges = [(1, every[x], every[y], here) for x, y in zip(a[0], b[0], strict=True)]
         return pd.DataFrame(counts + edges + ways, columns=columns)
 
