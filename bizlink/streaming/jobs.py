@@ -25,16 +25,16 @@ def events_stream(spark: SparkSession, folder: str, table: str, schema: str, fil
 
 def collect_all(stream: DataFrame, mode: str, tag: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream to the end of its input into a table: the last batch's rows in complete
-    mode, all rows otherwise."""
+    mode, all rows otherwise. A batch that runs again replaces its own rows."""
     spark = stream.sparkSession
     out, state = scratch(spark, tag), scratch(spark, f"{tag}-state")
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch-{n}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(sink or write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out) if sink is None else None
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out) if sink is None else None
 
 
 def pool_sink(store: EntityStore, target: int | None = None) -> Callable[[DataFrame, int], None]:
