@@ -34,8 +34,9 @@ NEAREST, RANDOM, DEGREE, ALPHA = 40, 16, 16, 1.2
 ENTRIES, BEAM, STEP = 8, 32, 4
 #: A walk goes on through nodes that miss the threshold by so much: hits may touch only through them.
 SLACK = 0.08
-#: Queries of the audit, recall to reach, and the width of a border that is tried first.
-AUDIT, RECALL, MARGIN = 200, 0.98, 0.12
+#: Queries of the audit, recall to reach, and the width of a border that is tried first: a hit lies
+#: (2 - 2 * threshold) ** 0.5 away at most, of which a border sees a root of the dimension's share.
+AUDIT, RECALL, MARGIN = 200, 0.98, 0.06
 
 
 def _units(column: pd.Series) -> np.ndarray:
