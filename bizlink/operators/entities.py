@@ -4,6 +4,7 @@ The store keeps, as versioned tables in parts (:mod:`bizlink.sources.versions`):
 
 * ``places``: a row for each (name, address) seen, by name, and each phone, by phone, with the
   node it is; ``grams``: the rare trigrams and short forms by which similar names are found;
+* ``lengths``: the lengths of names seen, as keys are made for lengths that occur only;
 * ``links``: which node a cluster's old root was united with, by old root;
 * ``pool``: the merged record of each cluster, by root.
 
@@ -18,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlink.functions.fuzzy import partial_udf
 from bizlink.functions.identity import match_digits, name_key
 from bizlink.operators.components import components
 from bizlink.operators.golden import merge_pool
-from bizlink.operators.linkage import ADDRESS_THRESHOLD, candidate_keys, verified
+from bizlink.operators.linkage import agreeing, candidate_keys, lengths_of, verified
 from bizlink.scratch import materialize
 from bizlink.sources.versions import Version, VersionedTables
 
@@ -39,6 +39,7 @@ class EntityStore:
         self.tables = VersionedTables(spark, path, {
             "places": "key string, address string, node string",
             "grams": "key string, name string",
+            "lengths": "key string",
             "links": "key string, root string",
             "pool": f"key string, ord long, sources string, phone_source_count int, {record}",
         }, parts)
@@ -57,16 +58,23 @@ class EntityStore:
         named = materialize(keyed.where("_name is not null").select(F.col("_name").alias("key"), F.col("_address").alias("address"), "node").distinct(), "named")
         phones = keyed.where("_phone is not null").select(_phone(F.col("_phone")).alias("key"), F.lit("").alias("address"), _phone(F.col("_phone")).alias("node")).distinct()
         # Similar names, those in the store among them, are found by keys that both have.
-        own = materialize(candidate_keys(named.select(F.col("key").alias("name")).distinct()), "keys")
-        stored = now.read("grams", own).select("key", F.col("name").alias("other")).unionByName(own.select("key", F.col("name").alias("other"))).distinct()
+        names = named.select(F.col("key").alias("name")).distinct()
+        before = {int(r["key"]) for r in now.read("lengths").collect()}  # a few at most, see lengths_of
+        lengths = before | lengths_of(names)
+        own = materialize(candidate_keys(names, lengths), "keys")
+        stored = now.read("grams", own).select("key", F.col("name").alias("other"))
+        late = own.limit(0)
+        if before and lengths > before:
+            # Stored names have no keys yet for the lengths that are new.
+            late = materialize(candidate_keys(now.read("places").where("node like 'n%'").select(F.col("key").alias("name")), lengths, before), "keys")
+        stored = stored.unionByName(own.unionByName(late).select("key", F.col("name").alias("other"))).distinct()
         alike = verified(own.join(stored, "key").select(F.col("name").alias("a"), F.col("other").alias("b")))
         both = alike.select(F.col("a").alias("name"), F.col("b").alias("key")).unionByName(named.select(F.col("key").alias("name"), "key").distinct()).distinct()
         both = materialize(both, "alike")
         seen = now.read("places", both.select("key").unionByName(phones.select("key")))
         places = materialize(seen.unionByName(named).unionByName(phones).distinct(), "places")
         pairs = named.select(F.col("key").alias("name"), "address", "node").join(both, "name").join(places.select("key", F.col("address").alias("other"), F.col("node").alias("there")), "key").where("node <> there")
-        open_ = (F.col("address") == "") | (F.col("other") == "") | (F.col("address") == F.col("other"))
-        agree = pairs.where(open_).unionByName(pairs.where(~open_).where(partial_udf()("address", "other") >= ADDRESS_THRESHOLD)).select(F.col("node").alias("a"), F.col("there").alias("b"))
+        agree = agreeing(materialize(pairs, "near"), "address", "other").select(F.col("node").alias("a"), F.col("there").alias("b"))
         calls = keyed.where("_phone is not null").select(F.col("node").alias("a"), _phone(F.col("_phone")).alias("b")).where("a <> b")
         edges = materialize(agree.unionByName(calls).distinct(), "edges")
         touched = materialize(keyed.select("node").union(edges.select("a")).union(edges.select("b")).distinct(), "touched")
@@ -84,7 +92,8 @@ class EntityStore:
         merged = merge_pool(everything, self.fields, "key").withColumnRenamed("sources_str", "sources").join(first, "key").select("key", *record)
         new = self.tables.begin(now, number)
         new.put("places", named.unionByName(phones), keep=["key", "address"])
-        new.put("grams", own, keep=["key", "name"])
+        new.put("grams", own.unionByName(late), keep=["key", "name"])
+        new.put("lengths", self.spark.createDataFrame([(str(n),) for n in sorted(lengths)], "key string"), keep=["key"])
         new.put("links", united, keep=["key"])
         new.put("pool", merged, keep=["key"], gone=united)
         new.commit()

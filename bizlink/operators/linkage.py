@@ -1,11 +1,13 @@
 """Record linkage: candidate keys, verification, clusters; never a cross join.
 
 Two listings match on the last seven phone digits, or on names at least 88 percent alike
-unless both have addresses that disagree. The work is done on distinct names. Short names are
-joined on what is left of them after deletions, which is exact by itself. Longer ones are
-joined on their rarest trigrams: a pair may differ in so few places that one of each name's
-rarest ones is common to both, near the same place. Native edit distance settles most of
-these pairs, the rest goes to the subsequence ratio.
+unless both have addresses that disagree. The work is done on distinct names. Names of up to
+``SHORT`` letters are joined on what is left of them after deletions, which is exact by itself
+and meets no pair that isn't similar, as long as each side loses at most ``MOST`` letters. The
+other pairs (longer names, and lengths that differ by more) are joined on the longer name's
+rarest trigrams: a pair may differ in so few places that one of each name's rarest ones is
+common to both, near the same place. Only lengths that occur are provided for. Native edit
+distance settles most of these pairs, the rest goes to the subsequence ratio.
 
 Clusters are the transitive closure of matches (:func:`resolve`), or what the sequential
 first-match rule makes of the listings in their order (:func:`greedy_clusters`).
@@ -13,6 +15,8 @@ first-match rule makes of the listings in their order (:func:`greedy_clusters`).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +26,9 @@ from bizlink.operators.components import components
 from bizlink.scratch import materialize
 
 THRESHOLD, ADDRESS_THRESHOLD = 88, 60
-#: Names up to ``SHORT`` letters are joined by deletions; a partner of a longer one has ``LEAST`` or more.
-SHORT, LEAST, GRAM = 12, 11, 3
+#: Names up to ``SHORT`` letters are joined by deletions of up to ``MOST`` letters; a partner of
+#: one joined by trigrams has ``LEAST`` or more.
+SHORT, MOST, LEAST, GRAM = 20, 2, 11, 3
 #: A trigram of more names than this is dealt over several tasks.
 HOT_GRAM = 4096
 
@@ -35,19 +40,44 @@ def _deletions(la: int, lb: int) -> tuple[int, int] | None:
     return None if most < la - lb else ((most + la - lb) // 2, (most - la + lb) // 2)
 
 
+def length_pairs(lengths: set[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Pairs of lengths that similar names may have, the longer first: ``(la, lb, ka, kb)`` of those
+    joined by ka and kb deletions, ``(la, lb)`` of those joined by trigrams. All lengths over
+    ``SHORT`` count as the one after it."""
+    cuts, grams = [], []
+    for la, lb in ((x, y) for x in sorted(lengths) for y in sorted(lengths) if y <= x):
+        if la > SHORT:
+            grams += [(la, lb)] if 14 * lb >= 11 * la else []
+        elif (cut := _deletions(la, lb)) and max(cut) > MOST:
+            grams.append((la, lb))
+        elif cut and cut != (0, 0):
+            cuts.append((la, lb, *cut))
+    return cuts, grams
+
+
+def lengths_of(names: DataFrame) -> set[int]:
+    """The lengths that occur, at most one over ``SHORT``."""
+    return {r[0] for r in names.select(F.least(F.length("name"), F.lit(SHORT + 1)).alias("n")).distinct().collect()}
+
+
 def _shortened(name: Column, times: int) -> Column:
     """All strings that ``name`` gives by ``times`` deletions, up to two."""
-    once = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    n = F.length(name)
+    cut = lambda i, j: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, j - i - 1), F.substring(name, j + 1, n))
     if times == 0:
         return F.array(name)
-    return F.array_distinct(once(name) if times == 1 else F.flatten(F.transform(once(name), once)))
+    if times == 1:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, n))))
+    # Each two letters are taken once; equal results are few, and making them distinct costs more than they do.
+    return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: cut(i, j))))).otherwise(F.array().cast("array<string>"))
 
 
-def _short_forms(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(name, la, lb, rest)`` of names of up to ``SHORT`` letters, as the longer and as the
-    shorter of a pair: what is left of them after as many deletions as the lengths allow."""
-    cuts = [(la, lb, *cut) for la in range(1, SHORT + 1) for lb in range(1, la + 1) if (cut := _deletions(la, lb)) and cut != (0, 0)]
+def _short_forms(names: DataFrame, cuts: list[tuple[int, int, int, int]]) -> tuple[DataFrame, DataFrame]:
+    """``(name, la, lb, rest)`` of the names as the longer and as the shorter of a pair of lengths:
+    what is left of them after as many deletions as the lengths allow."""
     plan = names.sparkSession.createDataFrame(cuts, "la int, lb int, ka int, kb int")  # a few dozen rows
+    # Names are few bytes and many forms: the tasks go by rows.
+    names = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
 
     def side(length: str, times: str) -> DataFrame:
         each = names.join(F.broadcast(plan), names["n"] == plan[length])
@@ -57,12 +87,14 @@ def _short_forms(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return side("la", "ka"), side("lb", "kb")
 
 
-def _by_deletions(names: DataFrame) -> DataFrame:
-    """Similar pairs among names of up to ``SHORT`` letters: those that share a string which
-    both become by deletions. Nothing is left to verify."""
-    longer, shorter = _short_forms(names)
-    both = longer.withColumnRenamed("name", "x").join(shorter.withColumnRenamed("name", "y"), ["la", "lb", "rest"])
-    return both.where("la > lb or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _by_deletions(names: DataFrame, cuts: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Similar pairs among names of these lengths: those that share a string which both become
+    by deletions. Strings meet by 64 bits of hash, so the few pairs found are verified."""
+    longer, shorter = (f.select("name", F.xxhash64("la", "lb", "rest").alias("h")) for f in _short_forms(names, cuts))
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = longer.withColumnRenamed("name", "x").repartition(tasks, "h").join(shorter.withColumnRenamed("name", "y").repartition(tasks, "h"), "h")
+    near = (F.length("x") > F.length("y")) | (F.col("x") < F.col("y"))
+    return verified(both.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def rare_grams(names: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -89,20 +121,28 @@ def rare_grams(names: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     return own.select("name", "n", F.inline(F.slice("gs", F.lit(1), most))).select("name", "n", "gram", "pos", "df")
 
 
-def _by_grams(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Similar pairs across two tables of :func:`rare_grams`, the longer name over ``SHORT``."""
+def _gram_roles(grams: DataFrame, pairs: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """Rows of :func:`rare_grams` as those of the longer and of the shorter name of a pair of
+    lengths, with the longer one's length as ``tag``, so that only such pairs meet."""
+    plan = grams.sparkSession.createDataFrame(pairs, "tag int, lb int")  # a few dozen rows
+    own = F.least("n", F.lit(SHORT + 1))
+    longer = grams.join(F.broadcast(plan.select("tag").distinct()), own == F.col("tag"))
+    return longer, grams.join(F.broadcast(plan), own == F.col("lb")).drop("lb")
+
+
+def _by_grams(grams: DataFrame, lengths: list[tuple[int, int]]) -> DataFrame:
+    """Similar pairs of these lengths among the names of :func:`rare_grams`."""
+    one, two = _gram_roles(grams, lengths)
     parts = F.ceil(F.col("df") / HOT_GRAM).cast("int") + 1
-    left = one.withColumn("part", F.pmod(F.xxhash64("name"), parts).cast("int")).select("gram", "part", F.col("name").alias("x"), F.col("n").alias("la"), F.col("pos").alias("i"))
-    right = two.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("gram", "part", F.col("name").alias("y"), F.col("n").alias("lb"), F.col("pos").alias("j"))
+    left = one.withColumn("part", F.pmod(F.xxhash64("name"), parts).cast("int")).select("tag", "gram", "part", F.col("name").alias("x"), F.col("n").alias("la"), F.col("pos").alias("i"))
+    right = two.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("tag", "gram", "part", F.col("name").alias("y"), F.col("n").alias("lb"), F.col("pos").alias("j"))
     # The work is in the pairs and not in the bytes, so tasks aren't joined up by size.
-    tasks = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(tasks, "gram", "part"), right.repartition(tasks, "gram", "part")
-    high, low = F.greatest("la", "lb"), F.least("la", "lb")
-    near = (high > SHORT) & (14 * low >= 11 * high) & F.coalesce(14 * F.abs(F.col("i") - F.col("j")) <= 3 * high, F.lit(True)) & (F.col("x") != F.col("y"))
+    tasks = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, "tag", "gram", "part"), right.repartition(tasks, "tag", "gram", "part")
+    near = ((F.col("la") > F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("x") < F.col("y")))) & (14 * F.col("lb") >= 11 * F.col("la")) & F.coalesce(14 * F.abs(F.col("i") - F.col("j")) <= 3 * F.col("la"), F.lit(True))
     k = F.floor((F.col("la") + F.col("lb")) * 12 / 100).cast("int")
     # The distance is taken before pairs are made distinct: few of them are left to shuffle.
-    # The distance is taken before pairs are made distinct: few of them are left to shuffle.
-    pairs = left.join(right, ["gram", "part"]).where(near & (F.call_function("levenshtein", F.col("x"), F.col("y"), k) >= 0))
+    pairs = left.join(right, ["tag", "gram", "part"]).where(near & (F.call_function("levenshtein", F.col("x"), F.col("y"), k) >= 0))
     # Written, or the filters that follow would be taken into the join and run on all its rows.
     return verified(materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs"))
 
@@ -114,22 +154,37 @@ def verified(pairs: DataFrame) -> DataFrame:
     return near.where(2 * F.col("e") <= k).select("a", "b").unionByName(near.where(2 * F.col("e") > k).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b"))
 
 
-def candidate_keys(names: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """``(key, name)``: keys of which two similar names share one, whenever each was made.
-    Trigrams go by ``counts`` (gram, df), which must stay the same; without them by alphabet."""
-    names = names.where(F.length("name") > 0).withColumn("n", F.length("name"))
-    if counts is None:
-        counts = names.sparkSession.createDataFrame([], "gram string, df long")
-    grams = rare_grams(names, counts).select(F.concat(F.lit("g"), "gram").alias("key"), "name")
-    forms = [f.select(F.concat_ws(",", "la", "lb", "rest").alias("key"), "name") for f in _short_forms(names)]
-    return grams.unionByName(forms[0]).unionByName(forms[1]).distinct()
+def _named(names: DataFrame) -> DataFrame:
+    return names.select("name").where(F.length("name") > 0).distinct().withColumn("n", F.length("name"))
+
+
+def candidate_keys(names: DataFrame, lengths: set[int], but: set[int] = frozenset()) -> DataFrame:
+    """``(key, name)``: keys of which two similar names of these lengths share one, whenever each
+    was made; without those for two lengths of ``but``. Trigrams go by alphabet, which stays."""
+    cuts, pairs = length_pairs(lengths)
+    cuts, pairs = [c for c in cuts if not {c[0], c[1]} <= but], [p for p in pairs if not {p[0], p[1]} <= but]
+    names = _named(names)
+    keys = [f.select(F.concat_ws(",", "la", "lb", "rest").alias("key"), "name") for f in (_short_forms(names, cuts) if cuts else ())]
+    if pairs:
+        grams = rare_grams(_of_lengths(names, pairs), names.sparkSession.createDataFrame([], "gram string, df long"))
+        keys += [f.select(F.concat(F.lit("g"), F.col("tag").cast("string"), F.lit(","), "gram").alias("key"), "name") for f in _gram_roles(grams, pairs)]
+    return reduce(DataFrame.unionByName, keys, names.select(F.lit("").alias("key"), "name").limit(0)).distinct()
+
+
+def _of_lengths(names: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    return names.where(F.least("n", F.lit(SHORT + 1)).isin([n for p in pairs for n in p]))
 
 
 def similar_names(names: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of distinct ``name`` values at least 88 percent alike."""
-    names = names.select("name").where(F.length("name") > 0).distinct().withColumn("n", F.length("name"))
-    grams = materialize(rare_grams(names), "grams")
-    return _by_deletions(names).unionByName(_by_grams(grams, grams))
+    names = materialize(_named(names), "names")
+    cuts, pairs = length_pairs(lengths_of(names))
+    found = names.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
+    if cuts:
+        found = found.unionByName(_by_deletions(names, cuts))
+    if pairs:
+        found = found.unionByName(_by_grams(materialize(rare_grams(_of_lengths(names, pairs)), "grams"), pairs))
+    return found
 
 
 def link_keys(listings: DataFrame) -> DataFrame:
@@ -157,12 +212,18 @@ def strict_edges(keyed: DataFrame) -> DataFrame:
     groups = alike.unionByName(nodes.select(F.col("_name").alias("a"), F.col("_name").alias("b")).distinct())
     one = nodes.select(F.col("_name").alias("a"), F.col("_addr").alias("x"), F.col("b").alias("i"))
     two = nodes.select(F.col("_name").alias("b"), F.col("_addr").alias("y"), F.col("b").alias("j"))
-    pairs = groups.join(one, "a").join(two, "b").where("i <> j and (a <> b or i < j)")
-    open_ = (F.col("x") == "") | (F.col("y") == "") | (F.col("x") == F.col("y"))
-    agree = pairs.where(open_).select("i", "j").unionByName(pairs.where(~open_).where(partial_udf()("x", "y") >= ADDRESS_THRESHOLD).select("i", "j"))
+    pairs = materialize(groups.join(one, "a").join(two, "b").where("i <> j and (a <> b or i < j)").select("i", "j", "x", "y"), "places")
+    agree = agreeing(pairs, "x", "y").select("i", "j")
     return phone.unionByName(same).unionByName(agree.select(F.col("i").alias("a"), F.col("j").alias("b"))).where("a <> b")
 
 
+def agreeing(pairs: DataFrame, one: str, two: str) -> DataFrame:
+    """Rows of a written table whose addresses agree: one is empty or contained in the other, or
+    they are alike. Only the last is left to Python."""
+    open_ = F.contains(one, F.col(two)) | F.contains(two, F.col(one))
+    return pairs.where(open_).unionByName(pairs.where(~open_).where(partial_udf()(one, two) >= ADDRESS_THRESHOLD))
+
+
 def _with_cluster(rows: DataFrame, found: DataFrame) -> DataFrame:
     roots = found.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
     return rows.join(roots, rows["id"] == roots["_node"], "left").withColumn("cluster", F.coalesce("_root", "id")).drop("_node", "_root")
