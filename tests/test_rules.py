@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -339,3 +340,19 @@ def test_json_ld_in_any_quotes_and_empty_pages(spark):
         assert one(spark, pages.json_ld(F.col("t")), t=f'<script id=1 type={kind}>{{"a": 1}}</script>') == ['{"a": 1}']
     assert one(spark, pages.json_ld(F.col("t")), t="<script type=application/ld+jsonx>1</script>") == []
     assert [one(spark, pages.fetch_outcome(F.lit(200), F.col("t")), t=t) for t in ("", None, "<p>fine</p>")] == ["blocked", "blocked", "ok"]
+
+
+def test_parsed_pages_go_out_by_few():
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from bizlink.sources.html import HELD_PAGES, parse_pages
+
+    class Pages:
+        schema = StructType.fromDDL("page_id long, html string")
+        mapInArrow = lambda self, run, schema: run
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(300)), "html": [None, "<p class='x'>text</p>", ""] * 100})
+    out = list(parse_pages(Pages())(iter([batch])))
+    assert max(b.num_rows for b in out) <= HELD_PAGES
+    assert [i for b in out for i in b.column("page_id").to_pylist()] == list(range(300)) and out[0].column("text").to_pylist()[:3] == ["", "text", ""]
