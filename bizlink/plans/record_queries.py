@@ -9,7 +9,7 @@ from bizlink.operators import linkage, lookups, records
 from bizlink.operators.select import first_by
 from bizlink.plans.lead_queries import LABELLED, SCORED, labelled, scored
 from bizlink.plans.registry import query
-from bizlink.plans.views import table, view
+from bizlink.plans.views import spread, table, view
 from bizlink.sources import sinks
 
 
@@ -396,7 +396,7 @@ def s6_listing_cards(spark, sf_dir):
 
     k = F.col("lead_id").cast("string")
     card = F.concat(F.lit('<div class="hf-box"><h3><a href="/company/'), k, F.lit('/x">'), F.replace("name", F.lit("&"), F.lit("&amp;")), F.lit('</a></h3><a href="tel:1">555-'), k, F.lit('</a><span class="small">Claim this</span><span class="small">'), k, F.lit(" Main St</span></div>"))
-    pages = view(spark, sf_dir, "leads").select("lead_id", F.repeat(card, (1 + F.col("lead_id") % 3).cast("int")).alias("html"))
+    pages = spread(view(spark, sf_dir, "leads"), "lead_id").select("lead_id", F.repeat(card, (1 + F.col("lead_id") % 3).cast("int")).alias("html"))
     first = F.col("cards")[0]
     return parse_pages(pages).select("lead_id", F.size("cards").alias("n_cards"), *(first[c].alias(c) for c in ("name", "phone", "address", "url")))
 

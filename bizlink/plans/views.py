@@ -127,6 +127,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table of few bytes dealt over the session's tasks, for work in Python that grows
+    with the rows: files are split by bytes, which gives millions of small rows to a task or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -356,3 +356,12 @@ def test_parsed_pages_go_out_by_few():
     out = list(parse_pages(Pages())(iter([batch])))
     assert max(b.num_rows for b in out) <= HELD_PAGES
     assert [i for b in out for i in b.column("page_id").to_pylist()] == list(range(300)) and out[0].column("text").to_pylist()[:3] == ["", "text", ""]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["s6_listing_cards"])
+def test_python_work_is_spread_by_rows(spark, name):
+    """Tables of one small file give more than one task of parsing or comparing."""
+    from bizlink.plans import record_queries
+
+    assert getattr(record_queries, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
