@@ -386,7 +386,7 @@ def x6_x8_business_pages(spark, sf_dir):
     from bizlink.sources.html import parse_pages
 
     people = F.transform("team", lambda p: F.concat_ws(":", p["name"], p["title"]))
-    parsed = parse_pages(view(spark, sf_dir, "leads").select("lead_id", _business_page().alias("html")))
+    parsed = parse_pages(spread(view(spark, sf_dir, "leads"), "lead_id").select("lead_id", _business_page().alias("html")))
     return parsed.select("lead_id", F.array_join("services", "|").alias("services"), F.array_join("partners", "|").alias("partners"), F.array_join(people, "|").alias("team"), "owner_title")
 
 
