@@ -67,7 +67,7 @@ class EntityStore:
         if before and lengths > before:
             # Stored names have no keys yet for the lengths that are new.
             late = materialize(candidate_keys(now.read("places").where("node like 'n%'").select(F.col("key").alias("name")), lengths, before), "keys")
-        stored = stored.unionByName(own.unionByName(late).select("key", F.col("name").alias("other"))).distinct()
+        stored = stored.unionByName(own.unionByName(late).select("key", F.col("name").alias("other")))
         alike = verified(own.join(stored, "key").select(F.col("name").alias("a"), F.col("other").alias("b")))
         both = alike.select(F.col("a").alias("name"), F.col("b").alias("key")).unionByName(named.select(F.col("key").alias("name"), "key").distinct()).distinct()
         both = materialize(both, "alike")

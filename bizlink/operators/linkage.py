@@ -160,15 +160,18 @@ def _named(names: DataFrame) -> DataFrame:
 
 def candidate_keys(names: DataFrame, lengths: set[int], but: set[int] = frozenset()) -> DataFrame:
     """``(key, name)``: keys of which two similar names of these lengths share one, whenever each
-    was made; without those for two lengths of ``but``. Trigrams go by alphabet, which stays."""
+    was made; without those for two lengths of ``but``. Some rows repeat. Trigrams go by alphabet,
+    which stays."""
     cuts, pairs = length_pairs(lengths)
     cuts, pairs = [c for c in cuts if not {c[0], c[1]} <= but], [p for p in pairs if not {p[0], p[1]} <= but]
     names = _named(names)
-    keys = [f.select(F.concat_ws(",", "la", "lb", "rest").alias("key"), "name") for f in (_short_forms(names, cuts) if cuts else ())]
+    # Both sides of equal lengths have the same forms.
+    forms = ((0, cuts), (1, [c for c in cuts if c[0] != c[1]]))
+    keys = [_short_forms(names, own)[k].select(F.concat_ws(",", "la", "lb", "rest").alias("key"), "name") for k, own in forms if own]
     if pairs:
         grams = rare_grams(_of_lengths(names, pairs), names.sparkSession.createDataFrame([], "gram string, df long"))
         keys += [f.select(F.concat(F.lit("g"), F.col("tag").cast("string"), F.lit(","), "gram").alias("key"), "name") for f in _gram_roles(grams, pairs)]
-    return reduce(DataFrame.unionByName, keys, names.select(F.lit("").alias("key"), "name").limit(0)).distinct()
+    return reduce(DataFrame.unionByName, keys, names.select(F.lit("").alias("key"), "name").limit(0))
 
 
 def _of_lengths(names: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:

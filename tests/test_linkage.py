@@ -163,3 +163,27 @@ def test_entity_store_survives_a_batch_cut_off(spark, tmp_path, monkeypatch):
     assert store.tables.at(0).read("pool").count() == 2
     assert store.tables.vacuum(keep=1) > 0
     assert store.pool().count() == 1 and store.tables.numbers() == [1]
+
+
+def test_random_names_meet_by_deletions_only(spark):
+    """Names of few letters have all trigrams in common, so that joining on these meets all pairs."""
+    cuts, grams = linkage.length_pairs({13, 14, 18})
+    assert grams == [] and {c[:2] for c in cuts} == {(13, 13), (14, 13), (14, 14), (18, 18)}
+    rng = random.Random(7)
+    names = {"".join(rng.choice("bcdfghjk") for _ in range(n)) for n in (13, 14, 18) for _ in range(300)}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    keys = linkage.candidate_keys(df, linkage.lengths_of(df))
+    met = keys.distinct().groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert met < 300
+
+
+def test_entity_store_takes_in_new_lengths(spark, tmp_path):
+    from bizlink.operators.entities import EntityStore
+
+    store = EntityStore(spark, str(tmp_path / "s"), FIELDS, 4)
+    long = "qwrtpsdfghjklzxcvbnmqwrtpsdf"
+    rows = [(1, "bcdfghjklmnpqr", None, None, "npi", 0, None), (2, long, None, None, "npi", 0, None), (3, "bcdfghjklmnpq", None, None, "npi", 0, None), (4, long + "x", None, None, "npi", 0, None), (5, "bcdfghjklmnpqrstv", None, None, "npi", 0, None)]
+    for k, part in enumerate((rows[:2], rows[2:])):
+        store.merge(spark.createDataFrame(part, TILE), k)
+    whole = spark.createDataFrame(rows, TILE)
+    assert groups((r["ord"], r["root"]) for r in store.clusters(whole).collect()) == [[1, 3, 5], [2, 4]]
