@@ -313,13 +313,14 @@ def marked_anchors(rows: DataFrame) -> DataFrame:
     """
     total = rows.where("kind = 0").count()
     often = lambda kind, keys: F.broadcast(rows.where(F.col("kind") == kind).groupBy(*keys).agg(F.sum("id").alias("n")).where(F.col("n") >= max(HOT_ROWS, total // FREQUENT)))
-    pairs = often(1, ["h", "s"]).select("h", "s", F.lit(True).alias("frequent"))
+    pairs = often(1, ["h", "s"]).select("h", "s")
     anchors_ = often(2, ["h"]).select("h", F.col("n").alias("stretches"))
-    own = rows.where("kind = 0").drop("kind").join(pairs, ["h", "s"], "left")
+    own = rows.where("kind = 0").drop("kind")
     place = ["id", "th", "h", "s", "first", "last", "at"]
-    settled = own.where("frequent").select(*place)
+    # Each row is asked only whether its pair is frequent: no row becomes several.
+    settled = own.join(pairs, ["h", "s"], "left_semi").select(*place)
     one = settled.groupBy("h", "s").agg(F.min(F.struct("id", "th", "first", "last", "at")).alias("one")).select("h", "s", "one.*")
-    rest = own.where("frequent is null").select(*place, F.lit(False).alias("frequent")).unionByName(one.select(*place, F.lit(True).alias("frequent")))
+    rest = own.join(pairs, ["h", "s"], "left_anti").select(*place, F.lit(False).alias("frequent")).unionByName(one.select(*place, F.lit(True).alias("frequent")))
     rest = rest.join(anchors_, "h", "left").withColumn("part", F.when(F.col("stretches").isNotNull(), F.pmod("s", F.lit(1024))).otherwise(0))
     group = Window.partitionBy("h", "part")
     by_stretch = group.orderBy("s")
