@@ -154,14 +154,17 @@ def greedy_clusters(listings: DataFrame, walk: int = WALK) -> DataFrame:
     keyed = listings.where(filled(F.col("name"))).select(F.col("ord").cast("long").alias("ord"), name_key(F.col("name")).alias("name"), match_digits(F.col("phone")).alias("phone"), F.lower(F.coalesce("address", F.lit(""))).alias("address"), rank.alias("rank"))
     keyed = materialize(keyed, "keyed")
     alike = materialize(similar_names(keyed.select("name")), "alike")
-    node = lambda mark, c: F.concat(F.lit(mark), F.col(c))
-    links = keyed.where("name is not null and phone is not null").select(node("n", "name").alias("a"), node("p", "phone").alias("b")).distinct()
-    roots = components(links.unionByName(alike.select(node("n", "a").alias("a"), node("n", "b").alias("b"))))
-    own = F.coalesce(node("n", "name"), node("p", "phone"), F.concat(F.lit("o"), F.col("ord").cast("string")))
-    placed = keyed.withColumn("own", own).join(roots, F.col("own") == roots["node"], "left").withColumn("comp", F.coalesce("root", "own")).drop("own", "node", "root")
+    # A name's node is its first listing, a listing without one is a node itself; nodes of one phone are tied to the first.
+    first = keyed.where("name is not null").groupBy("name").agg(F.min("ord").alias("own"))
+    owned = materialize(keyed.where("name is not null").join(first, "name").unionByName(keyed.where("name is null").withColumn("own", F.col("ord"))), "owned")
+    of_phone = owned.where("phone is not null").groupBy("phone").agg(F.min("own").alias("b"))
+    by_phone = owned.where("phone is not null").join(of_phone, "phone").select(F.col("own").alias("a"), "b")
+    tied = materialize(alike.join(first.select(F.col("name").alias("a"), F.col("own").alias("i")), "a").join(first.select(F.col("name").alias("b"), F.col("own").alias("j")), "b"), "tied")
+    roots = components(by_phone.unionByName(tied.select(F.col("i").alias("a"), F.col("j").alias("b"))))
+    placed = owned.join(roots, F.col("own") == roots["node"], "left").withColumn("comp", F.coalesce("root", "own")).drop("own", "node", "root")
     placed = materialize(placed, "placed")
     large = materialize(placed.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > walk).select("comp"), "large")
-    tied = alike.withColumn("node", node("n", "a")).join(roots, "node").select("a", "b", F.col("root").alias("comp"))
+    tied = tied.join(roots, F.col("i") == roots["node"]).select("a", "b", F.col("root").alias("comp"))
     few, few_tied = placed.join(large, "comp", "left_anti"), tied.join(large, "comp", "left_anti")
     none = lambda kind: F.lit(None).cast(kind)
     rows = few_tied.select("comp", F.lit(0).alias("kind"), none("long").alias("ord"), "a", "b", none("string").alias("address"), none("int").alias("rank"))

@@ -15,8 +15,12 @@ first-match rule makes of the listings in their order (:func:`greedy_clusters`).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,14 +91,119 @@ def _short_forms(names: DataFrame, cuts: list[tuple[int, int, int, int]]) -> tup
     return side("la", "ka"), side("lb", "kb")
 
 
-def _by_deletions(names: DataFrame, cuts: list[tuple[int, int, int, int]]) -> DataFrame:
+#: Hashes of what is left of names that a task sorts, on average.
+FORMS = 1 << 22
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(SHORT, _ODD)]), dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _short_hashes(letters: np.ndarray, times: int) -> np.ndarray:
+    """For names of equal length, a row of code points each: hashes of what ``times`` deletions leave."""
+    n = letters.shape[1]
+    codes = _mixed((letters.astype(np.uint64) + np.uint64(1)) * _ODD)
+    # Sums of the letters before each place, each letter moved to the left by 0, 1 or 2.
+    sums = [np.pad(np.cumsum(codes[:, k:] * _POWER[: n - k], axis=1, dtype=np.uint64), ((0, 0), (1 + k, 0))) for k in range(times + 1)]
+    if times == 0:
+        return sums[0][:, n:]
+    if times == 1:
+        i = np.arange(n)
+        return sums[0][:, i] + sums[1][:, n:] - sums[1][:, i + 1]
+    i, j = np.triu_indices(n, 1)
+    return sums[0][:, i] + sums[1][:, j] - sums[1][:, i + 1] + sums[2][:, n:] - sums[2][:, j + 1]
+
+
+def _hashed_forms(cuts: list[tuple[int, int, int, int]], bins: int):
+    """From ``(name, x)`` the hashes of every form that a pair of lengths asks for, many to a row:
+    ``(bin, h, x)``. The last two bits of a hash say whose form it is: 0 of either of equal
+    lengths, 1 of the longer name, 2 of the shorter; the others give the bin."""
+    asked: dict[int, list[tuple[int, int, int, int]]] = {}
+    for la, lb, ka, kb in cuts:
+        for n, times, side in ((la, ka, 0),) if la == lb else ((la, ka, 1), (lb, kb, 2)):
+            asked.setdefault(n, []).append((la, lb, times, side))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, ids = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            sizes = np.fromiter(map(len, names), np.int64, len(names))
+            for n in np.intersect1d(sizes, list(asked)):
+                own = np.flatnonzero(sizes == n)
+                letters = np.frombuffer("".join(names[own]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+                made = []
+                for la, lb, times, side in asked[int(n)]:
+                    h = _mixed(_short_hashes(letters, times) ^ _mixed(np.full(1, (la << 8) + lb, np.uint64) * _ODD))
+                    made.append((h & ~np.uint64(3)) | np.uint64(side))
+                h = np.concatenate(made, axis=1)
+                x, h = np.repeat(ids[own], h.shape[1]), h.ravel()
+                where = ((h >> np.uint64(2)) % np.uint64(bins)).astype(np.uint16)
+                order = np.argsort(where, kind="stable")
+                h, x, where = h[order], x[order], where[order]
+                cuts_ = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+                parts = [[v[i:j].tobytes() for i, j in zip(cuts_[:-1], cuts_[1:], strict=True)] for v in (h, x)]
+                yield pa.RecordBatch.from_arrays([pa.array(where[cuts_[:-1]].astype(np.int32)), *(pa.array(v, pa.binary()) for v in parts)], names=["bin", "h", "x"])
+
+    return run
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``(x, y)`` of names with a form in common, from rows in the order of their bins."""
+
+    def pairs(rows: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        h, x = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in ((0, np.uint64), (1, np.int64)))
+        if len(h) == 0:
+            return
+        order = np.argsort(h)
+        h, x = h[order], x[order]
+        key = h >> np.uint64(2)
+        same = np.r_[False, key[1:] == key[:-1], False]
+        some = same[1:] | same[:-1]
+        h, x = h[some], x[some]
+        order = np.lexsort((x, h))
+        h, x = h[order], x[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])] if len(h) else np.empty(0, bool)
+        h, x = h[new], x[new]
+        if len(h) == 0:
+            return
+        key, side, at = h >> np.uint64(2), h & np.uint64(3), np.arange(len(h))
+        end = np.searchsorted(key, key, "right")
+        first = np.where(side == 0, at + 1, np.where(side == 1, np.searchsorted(h, key << np.uint64(2) | np.uint64(2)), end))
+        count = end - first
+        done = np.r_[0, np.cumsum(count)]
+        lo = 0
+        while lo < len(h):
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + (1 << 18), "right")) - 1)
+            i = np.repeat(at[lo:hi], count[lo:hi])
+            j = np.arange(len(i)) - np.repeat(done[lo:hi] - done[lo], count[lo:hi]) + first[i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j]))], names=["x", "y"])
+            lo = hi
+
+    held, own = [], None
+    for batch in batches:
+        for bin_, h, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bin_ != own:
+                yield from pairs(held)
+                held, own = [], bin_
+            held.append((h, x))
+    yield from pairs(held)
+
+
+def _by_deletions(names: DataFrame, cuts: list[tuple[int, int, int, int]], counts: dict[int, int]) -> DataFrame:
     """Similar pairs among names of these lengths: those that share a string which both become
-    by deletions. Strings meet by 64 bits of hash, so the few pairs found are verified."""
-    longer, shorter = (f.select("name", F.xxhash64("la", "lb", "rest").alias("h")) for f in _short_forms(names, cuts))
-    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = longer.withColumnRenamed("name", "x").repartition(tasks, "h").join(shorter.withColumnRenamed("name", "y").repartition(tasks, "h"), "h")
-    near = (F.length("x") > F.length("y")) | (F.col("x") < F.col("y"))
-    return verified(both.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    by deletions. Strings meet by 62 bits of hash and names go by 64, so that pairs may come up in
+    vain but none is lost; the few found are verified."""
+    session = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = sum(counts.get(n, 0) * math.comb(n, k) for la, lb, ka, kb in cuts for n, k in {(la, ka), (lb, kb)})
+    tasks = max(session, -(-made // FORMS))
+    keyed = names.select("name", F.xxhash64("name").alias("x"))
+    # Names are few bytes and many forms: the tasks go by rows.
+    forms = keyed.repartition(session, "x").mapInArrow(_hashed_forms(cuts, min(8 * tasks, 1 << 16)), "bin int, h binary, x binary")
+    met = forms.repartition(tasks, "bin").sortWithinPartitions("bin").mapInArrow(_meeting, "x bigint, y bigint").distinct()
+    both = met.join(keyed.select("x", F.col("name").alias("p")), "x").join(keyed.select(F.col("x").alias("y"), F.col("name").alias("q")), "y")
+    return verified(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
 
 
 def rare_grams(names: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -151,7 +260,13 @@ def verified(pairs: DataFrame) -> DataFrame:
     """The distinct pairs ``(a, b)`` of different names that are at least 88 percent alike."""
     k = F.floor((F.length("a") + F.length("b")) * 12 / 100)
     near = materialize(pairs.where(F.col("a") != F.col("b")).distinct().withColumn("e", F.levenshtein("a", "b")).where(F.col("e") <= k), "near")
-    return near.where(2 * F.col("e") <= k).select("a", "b").unionByName(near.where(2 * F.col("e") > k).where(ratio_udf()("a", "b") >= THRESHOLD).select("a", "b"))
+    unsure = _dealt(near.where(2 * F.col("e") > k).select("a", "b")).where(ratio_udf()("a", "b") >= THRESHOLD)
+    return near.where(2 * F.col("e") <= k).select("a", "b").unionByName(unsure)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes over the session's tasks, for work in Python that goes by rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _named(names: DataFrame) -> DataFrame:
@@ -181,10 +296,11 @@ def _of_lengths(names: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
 def similar_names(names: DataFrame) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of distinct ``name`` values at least 88 percent alike."""
     names = materialize(_named(names), "names")
-    cuts, pairs = length_pairs(lengths_of(names))
+    counts = {r[0]: r[1] for r in names.groupBy(F.least(F.length("name"), F.lit(SHORT + 1))).count().collect()}
+    cuts, pairs = length_pairs(set(counts))
     found = names.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
     if cuts:
-        found = found.unionByName(_by_deletions(names, cuts))
+        found = found.unionByName(_by_deletions(names, cuts, counts))
     if pairs:
         found = found.unionByName(_by_grams(materialize(rare_grams(_of_lengths(names, pairs)), "grams"), pairs))
     return found

@@ -323,7 +323,7 @@ FIRST = f"""SELECT *, CASE source WHEN 'google_maps' THEN 1 WHEN 'hotfrog' THEN
 def j1_similar_names(spark, sf_dir):
     from bizlink.functions.identity import normalize_name
 
-    return linkage.similar_names(view(spark, sf_dir, "businesses").select(normalize_name(F.col("name")).alias("name")))
+    return linkage.similar_names(view(spark, sf_dir, "businesses", "c_custkey").select(normalize_name(F.col("name")).alias("name")))
 
 
 @query(f"SELECT ord AS id, cluster FROM ({CLOSURE})")
@@ -335,7 +335,7 @@ def j2_resolve(spark, sf_dir):
 def j2_first_match(spark, sf_dir):
     from bizlink.operators.greedy import greedy_clusters
 
-    return greedy_clusters(view(spark, sf_dir, "businesses")).select("ord", "cluster")
+    return greedy_clusters(view(spark, sf_dir, "businesses", "c_custkey")).select("ord", "cluster")
 
 
 @query()

@@ -120,10 +120,12 @@ VIEWS = {"businesses": BUSINESSES, "leads": LEADS, "jobs": JOBS, "outreach": OUT
 TABLES = ("customer", "orders", "events", "lineitem", "pages", "documents")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: str | None = None) -> DataFrame:
+    """A derived view over the tables in ``sf_dir``, which are first dealt by column ``dealt``."""
     sql = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    if dealt:
+        used = {t: spread(rows, dealt) for t, rows in used.items()}
     return spark.sql(sql, **used)
 
 

@@ -187,3 +187,43 @@ def test_entity_store_takes_in_new_lengths(spark, tmp_path):
         store.merge(spark.createDataFrame(part, TILE), k)
     whole = spark.createDataFrame(rows, TILE)
     assert groups((r["ord"], r["root"]) for r in store.clusters(whole).collect()) == [[1, 3, 5], [2, 4]]
+
+
+def test_short_names_meet_by_one_form_each(spark):
+    """Forms of equal lengths are made once for both sides and are few rows; no pair is lost."""
+    rng = random.Random(11)
+    names = sorted(spelled(rng, "abcé😀", 1, 20, 60, 3) | {"a" * n for n in range(1, 21)} | {"b" + "a" * n for n in range(1, 20)})
+    cuts, _ = linkage.length_pairs(set(range(1, 21)))
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, x bigint")
+    rows = df.coalesce(1).mapInArrow(linkage._hashed_forms(cuts, 16), "bin int, h binary, x binary").collect()
+    assert len(rows) <= 16 * 20
+    got = {tuple(sorted((names[r["x"]], names[r["y"]]))) for r in spark.createDataFrame(rows, "bin int, h binary, x binary").coalesce(1).sortWithinPartitions("bin").mapInArrow(linkage._meeting, "x bigint, y bigint").collect()}
+    asked = {c[:2] for c in cuts}
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if (max(len(a), len(b)), min(len(a), len(b))) in asked and ratio(a, b) >= 88}
+    assert got == want
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from bizlink.operators import components as module
+
+    written, plain = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, tag: written.append(tag) or plain(df, tag))
+    edges = spark.range(120).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(500, 900), (900, 700), (600, 600)], "a long, b long"))
+    got = {r["node"]: r["root"] for r in module.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(121)}, 500: 500, 700: 500, 900: 500}
+    assert len(written) <= 40
+    assert module.components(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_are_the_smallest_node_reachable(spark, seed):
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(60)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    from bizlink.operators.components import components
+
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
