@@ -321,11 +321,11 @@ def strict_edges(keyed: DataFrame) -> DataFrame:
     """Matching edges: phone stars; for names, records of one (name, address) are a node that
     ties to the name's records without an address and to similar addresses of the name and of
     similar names. Distinct (name, address) pairs are compared, not records."""
-    rows = keyed.select("id", "_phone", "_name", F.lower(F.coalesce("address", F.lit(""))).alias("_addr"))
+    rows = materialize(keyed.select("id", "_phone", "_name", F.lower(F.coalesce("address", F.lit(""))).alias("_addr")), "keyed")
     by_phone = rows.where("_phone is not null").groupBy("_phone").agg(F.min("id").alias("b"))
     phone = rows.join(by_phone, "_phone").select(F.col("id").alias("a"), "b")
     named = rows.where("_name is not null")
-    nodes = named.groupBy("_name", "_addr").agg(F.min("id").alias("b"))
+    nodes = materialize(named.groupBy("_name", "_addr").agg(F.min("id").alias("b")), "nodes")
     same = named.join(nodes, ["_name", "_addr"]).select(F.col("id").alias("a"), "b")
     alike = similar_names(nodes.select(F.col("_name").alias("name")))
     groups = alike.unionByName(nodes.select(F.col("_name").alias("a"), F.col("_name").alias("b")).distinct())
@@ -340,7 +340,7 @@ def agreeing(pairs: DataFrame, one: str, two: str) -> DataFrame:
     """Rows of a written table whose addresses agree: one is empty or contained in the other, or
     they are alike. Only the last is left to Python."""
     open_ = F.contains(one, F.col(two)) | F.contains(two, F.col(one))
-    return pairs.where(open_).unionByName(pairs.where(~open_).where(partial_udf()(one, two) >= ADDRESS_THRESHOLD))
+    return pairs.where(open_).unionByName(_dealt(pairs.where(~open_)).where(partial_udf()(one, two) >= ADDRESS_THRESHOLD))
 
 
 def _with_cluster(rows: DataFrame, found: DataFrame) -> DataFrame:

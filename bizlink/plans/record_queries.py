@@ -328,7 +328,7 @@ def j1_similar_names(spark, sf_dir):
 
 @query(f"SELECT ord AS id, cluster FROM ({CLOSURE})")
 def j2_resolve(spark, sf_dir):
-    return linkage.resolve(view(spark, sf_dir, "businesses").withColumnRenamed("ord", "id")).select("id", "cluster")
+    return linkage.resolve(view(spark, sf_dir, "businesses", "c_custkey").withColumnRenamed("ord", "id")).select("id", "cluster")
 
 
 @query(f"SELECT ord, cluster FROM ({FIRST})")
