@@ -17,8 +17,8 @@ repeated windows. The digits are taken in an order that lets most suffixes go ea
 
 So equal groups are those of the named sort, but suffixes are never put in the order of their
 bytes, which nothing here needs. Only anchor rows, the contexts of step 3 and one copy of the
-texts are dealt out. Frequent anchors and stretches are marked where they lie, or spread. An anchor
-with more than ``MEMBERS`` stretches is sorted window by window across tasks.
+texts are dealt out, and rows of frequent anchors and stretches are spread. An anchor with more
+than ``MEMBERS`` stretches is sorted window by window across tasks.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ DEPTH, GRAM, DIGIT = 200, 24, 50
 PIECE = 1 << 17
 #: Stretches of one anchor that a task sorts in memory.
 MEMBERS = 10_000
-#: What makes up more than this part of a task's rows, and of all, is kept apart from the shuffle
-#: by anchor; pairs that a task counts at a time for that.
+#: What makes up more than this part of a task's rows, and of all, is not dealt out by its anchor
+#: alone; pairs that a task counts at a time for that.
 FREQUENT, HELD_PAIRS = 2_000, 1 << 20
-_PAIR = np.dtype([("h", np.uint64), ("s", np.uint64), ("n", np.int64)])
+_PAIR = np.dtype([("h", np.uint64), ("s", np.uint64), ("n", np.int64), ("id", np.int64), ("th", np.int64), ("first", np.int32), ("last", np.int32), ("at", np.int32)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,17 +108,18 @@ def _bytes(text: str | None) -> np.ndarray:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchor rows (kind 0), and at the end of the task what is frequent in it: (anchor, stretch)
-    pairs with their number of rows (kind 1) and anchors with their number of stretches (kind 2)."""
-    names = ["kind", "id", "th", "h", "s", "first", "last", "at"]
+    pairs with their number of rows and one of these (kind 1) and anchors with their number of
+    stretches (kind 2)."""
+    names = ["kind", "id", "th", "h", "s", "first", "last", "at", "n"]
     counted, held, rows = np.empty(0, _PAIR), [], 0
 
     def merged(limit: int) -> np.ndarray:
         whole = np.concatenate([counted, *held])
         order = np.lexsort((whole["s"], whole["h"]))
-        whole = whole[order]
-        new = np.flatnonzero(np.r_[True, (whole["h"][1:] != whole["h"][:-1]) | (whole["s"][1:] != whole["s"][:-1])]) if len(whole) else np.empty(0, np.int64)
-        out = whole[new].copy()
-        out["n"] = np.add.reduceat(whole["n"], new) if len(new) else out["n"]
+        h, s = whole["h"][order], whole["s"][order]
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])]) if len(whole) else np.empty(0, np.int64)
+        out = whole[order[new]]
+        out["n"] = np.add.reduceat(whole["n"][order], new) if len(new) else out["n"]
         _, group, stretches = np.unique(out["h"], return_inverse=True, return_counts=True)
         return out[(out["n"] >= limit) | (stretches[group] >= limit)] if len(out) else out
 
@@ -126,21 +127,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             found = [anchors(_bytes(t)) for t in part.column(2).to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
             h, s, *places = (np.concatenate([f[k] for f in found]) for k in range(5))
-            held.append(np.rec.fromarrays([h, s, np.ones(len(h), np.int64)], dtype=_PAIR))
+            id_, th = (part.column(k).to_numpy()[row] for k in (0, 1))
+            held.append(np.rec.fromarrays([h, s, np.ones(len(h), np.int64), id_, th, *places], dtype=_PAIR))
             rows += len(h)
             if sum(map(len, held)) > HELD_PAIRS:
                 # Pairs that are rare so far go, as in counting frequent items with bounded memory.
                 counted, held = merged(max(1, rows // FREQUENT)), []
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int8)), part.column(0).take(row), part.column(1).take(row), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), *(pa.array(p.astype(np.int32)) for p in places)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int8)), pa.array(id_), pa.array(th), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), *(pa.array(p.astype(np.int32)) for p in places), pa.nulls(len(row), pa.int64())], names=names)
     counted = merged(max(2, rows // FREQUENT))
+    least = max(2, rows // FREQUENT)
+    pairs = counted[counted["n"] >= least]
     h, stretches = np.unique(counted["h"], return_counts=True)
-    often = stretches >= max(2, rows // FREQUENT)
-    keep = counted["n"] >= max(2, rows // FREQUENT)
-    for kind, h, s, n in ((1, counted["h"][keep], counted["s"][keep], counted["n"][keep]), (2, h[often], h[often], stretches[often])):
-        zero = pa.array(np.zeros(len(h), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(n.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), zero, zero, zero], names=names)
+    many = np.zeros(int((stretches >= least).sum()), _PAIR)
+    many["h"], many["n"] = h[stretches >= least], stretches[stretches >= least]
+    for kind, found in ((1, pairs), (2, many)):
+        columns = (np.ascontiguousarray(found[k]) for k in names[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind, np.int8)), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns)], names=names)
 
 
 def removed(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -307,31 +311,31 @@ def marked_anchors(rows: DataFrame) -> DataFrame:
     """``(id, th, h, at, first, last, members, copied, open)`` of anchor rows whose stretch occurs
     again (``copied``) or that stand for their stretch where their anchor has several (``open``).
 
-    Frequent pairs of anchor and stretch are known from the tasks' own counts, are fewer than
-    ``FREQUENT`` by construction, and mark their rows where these lie; one row of each goes on.
-    Frequent anchors are sorted by stretch in several tasks. The rest is sorted by anchor.
+    Frequent pairs of anchor and stretch are known from the tasks' own counts and are fewer than
+    ``FREQUENT`` by construction. Each row is asked once whether its pair is one of them, and then
+    is settled and dealt out by its place; one row of each pair, which the tasks gave with the
+    counts, stands for it among the rows of its anchor. Frequent anchors are sorted by stretch in
+    several tasks. The rest is sorted by anchor.
     """
     total = rows.where("kind = 0").count()
-    often = lambda kind, keys: F.broadcast(rows.where(F.col("kind") == kind).groupBy(*keys).agg(F.sum("id").alias("n")).where(F.col("n") >= max(HOT_ROWS, total // FREQUENT)))
-    pairs = often(1, ["h", "s"]).select("h", "s")
-    anchors_ = often(2, ["h"]).select("h", F.col("n").alias("stretches"))
-    own = rows.where("kind = 0").drop("kind")
-    place = ["id", "th", "h", "s", "first", "last", "at"]
-    # Each row is asked only whether its pair is frequent: no row becomes several.
-    settled = own.join(pairs, ["h", "s"], "left_semi").select(*place)
-    one = settled.groupBy("h", "s").agg(F.min(F.struct("id", "th", "first", "last", "at")).alias("one")).select("h", "s", "one.*")
-    rest = own.join(pairs, ["h", "s"], "left_anti").select(*place, F.lit(False).alias("frequent")).unionByName(one.select(*place, F.lit(True).alias("frequent")))
-    rest = rest.join(anchors_, "h", "left").withColumn("part", F.when(F.col("stretches").isNotNull(), F.pmod("s", F.lit(1024))).otherwise(0))
+    often = lambda kind, keys, *more: rows.where(F.col("kind") == kind).groupBy(*keys).agg(F.sum("n").alias("n"), *more).where(F.col("n") >= max(HOT_ROWS, total // FREQUENT))
+    place = ["id", "th", "first", "last", "at"]
+    pairs = materialize(often(1, ["h", "s"], F.min(F.struct(*place)).alias("one")), "suffix-pairs")
+    anchors_ = F.broadcast(often(2, ["h"]).select("h", F.col("n").alias("stretches")))
+    own = rows.where("kind = 0").join(F.broadcast(pairs.select("h", "s", F.lit(True).alias("settled"))), ["h", "s"], "left")
+    own = own.select("h", "s", *place, F.coalesce("settled", F.lit(False)).alias("settled"), F.lit(False).alias("stands"))
+    ones = pairs.select("h", "s", "one.*", F.lit(False).alias("settled"), F.lit(True).alias("stands"))
+    # Parts below zero hold settled rows only.
+    part = F.when(F.col("settled"), -1 - F.pmod(F.xxhash64("id", "th", "first"), F.lit(1024))).when(F.col("stretches").isNotNull(), F.pmod("s", F.lit(1024))).otherwise(0)
+    dealt = own.unionByName(ones).join(anchors_, "h", "left").withColumn("part", part)
     group = Window.partitionBy("h", "part")
     by_stretch = group.orderBy("s")
-    new = F.coalesce(F.lag("s").over(by_stretch) != F.col("s"), F.lit(True))
-    copied = F.col("frequent") | ~new | F.coalesce(F.lead("s").over(by_stretch) == F.col("s"), F.lit(False))
-    marked = rest.withColumn("new", new).withColumn("copied", copied)
+    new = ~F.col("settled") & F.coalesce(F.lag("s").over(by_stretch) != F.col("s"), F.lit(True))
+    copied = F.col("stands") | ~new | F.coalesce(F.lead("s").over(by_stretch) == F.col("s"), F.lit(False))
+    marked = dealt.withColumn("new", new).withColumn("copied", copied)
     marked = marked.withColumn("members", F.coalesce("stretches", F.sum(F.col("new").cast("long")).over(group)))
     marked = marked.withColumn("open", F.col("new") & (F.col("members") > 1)).where("copied or open")
-    out = ["id", "th", "h", "at", "first", "last", "members", "copied", "open"]
-    others = settled.select("id", "th", "h", "at", "first", "last", F.lit(0).cast("long").alias("members"), F.lit(True).alias("copied"), F.lit(False).alias("open"))
-    return marked.select(*out).unionByName(others)
+    return marked.select("id", "th", "h", "at", "first", "last", "members", "copied", "open")
 
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
@@ -345,7 +349,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     # A null id can't be a join key; equal texts are copies, so that any value serves for it.
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    anchor = "kind tinyint, id bigint, th bigint, h bigint, s bigint, first int, last int, at int"
+    anchor = "kind tinyint, id bigint, th bigint, h bigint, s bigint, first int, last int, at int, n bigint"
     rows = materialize(keyed.select("id", "th", "text").mapInArrow(_anchor_rows, anchor), "suffix-anchors")
     found = marked_anchors(rows).groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "first", "last", "members", "copied", "open")).alias("found"))
     joined = keyed.join(found, ["id", "th"], "left").select("doc_id", "id", "th", "text", "found")

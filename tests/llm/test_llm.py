@@ -556,6 +556,32 @@ def test_op10_bytes_decide_where_hashes_meet(monkeypatch):
     assert suffix._by_digits(data, start, np.zeros(len(start), np.uint64)).tolist() == [0, 1, 2, 3]
 
 
+def joins_of(plan):
+    """(keys, rows out) of every join of a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if "Join" in name:
+        yield plan.leftKeys().size(), plan.metrics().apply("numOutputRows").value()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    for child in below:
+        yield from joins_of(child)
+
+
+@pytest.mark.parametrize("copies", [40, 160])
+def test_op10_rows_are_asked_once_for_frequent_pairs(spark, copies, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_ROWS", 20)
+    rng = random.Random(17)
+    long_ = ["".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(200 - copies + 1)]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(long_ + long_[:1] * (copies - 1))], "id long, th long, text string").coalesce(2)
+    rows = suffix.materialize(docs.mapInArrow(suffix._anchor_rows, "kind tinyint, id bigint, th bigint, h bigint, s bigint, first int, last int, at int, n bigint"), "test-anchors")
+    marked = suffix.marked_anchors(rows)
+    found = marked.collect()
+    n = rows.where("kind = 0").count()
+    assert [out for keys, out in joins_of(marked._jdf.queryExecution().executedPlan()) if keys == 2] == [n]
+    assert {r["id"] for r in found if r["copied"]} == {0, *range(len(long_), 200)} and not any(r["open"] for r in found)
+    each = rows.where("kind = 0 and id = 0").count()
+    assert len({(r["id"], r["first"]) for r in found}) == copies * each
+
+
 def test_op10_text_over_a_piece(spark):
     rng = random.Random(13)
     long_ = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
