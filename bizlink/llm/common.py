@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizlink.scratch import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "materialize_buckets", "spread_join", "fresh", "n_tasks", "text_of", "same_row", "read"]
+__all__ = ["materialize", "scratch_path", "materialize_buckets", "spread_join", "fresh", "n_tasks", "units", "text_of", "same_row", "read"]
 
 
 def materialize_buckets(df: DataFrame, tag: str, keys: list[str], buckets: int) -> DataFrame:
@@ -62,6 +66,18 @@ def n_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def units(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a part has ``most`` bytes of the text column at most, or one row."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            before = int(size[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(size, before + most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def text_of(df: DataFrame) -> Column:
     """The text column, null as empty."""
     return F.coalesce(df["text"], F.lit(""))

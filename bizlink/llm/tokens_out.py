@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlink.llm.bpe import INNER_SPACE, SPACE
-from bizlink.llm.common import n_tasks
+from bizlink.llm.common import n_tasks, units
 
 #: Writer settings: row group and page sizes in bytes, rows a page; version 2 pages give the
 #: delta encodings where no dictionary is used, and page indexes are always written.
@@ -119,17 +119,6 @@ def _library(path: str) -> LibraryEncoder:
     return _LOADED[path]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0), np.int64))
-        lo = 0
-        while lo < batch.num_rows:
-            before = int(size[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(size, before + UNIT_BYTES, "right")))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
-
-
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, options: dict | None = None) -> None:
     """Write the token files of ``docs`` to ``path``.
 
@@ -142,7 +131,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = _library(vocabulary), 0
-        for part in _units(batches):
+        for part in units(batches, 2, UNIT_BYTES):
             ids = [i + end for i in enc.encode(part.column(2).fill_null(""))]
             n = np.array([len(i) // 4 for i in ids], np.int64)
             stop = at + np.cumsum(n)

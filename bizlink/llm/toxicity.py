@@ -24,17 +24,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlink.llm.bpe import Filling
-from bizlink.llm.common import materialize
+from bizlink.llm.common import materialize, units
 
 #: Labelled rows of each label that the class counts take, and that the curve takes.
 PER_CLASS, PER_CLASS_CURVE = 20_000, 5_000
@@ -44,7 +46,12 @@ MARGIN = 1.0
 DISCOUNT = 0.75
 #: What stands before a text's first word.
 START = 0
-_WORD = re.compile(r"\w+")
+#: Bytes of text that are taken together.
+UNIT_BYTES = 8 << 20
+#: Different words, and word pairs of labelled rows, from which counts leave the worker.
+FLUSH_WORDS, FLUSH_PAIRS = 1 << 18, 1 << 22
+#: A word, or what parts pieces of text that are taken apart together.
+_WORD = re.compile(r"\w+|\n")
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -52,12 +59,8 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
 def _hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: Column) -> DataFrame:
@@ -67,30 +70,68 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, folds: Column) -
     return parts[0].unionByName(parts[1]).select(F.col("doc_id").cast("long").alias("id"), F.col("y").cast("int").alias("y"))
 
 
+def _numbers() -> defaultdict[str, int]:
+    """Numbers of words as they are met, from 1; 0 is what stands before a text's first word."""
+    number = defaultdict(count().__next__)
+    number["\n"] = number.default_factory()
+    return number
+
+
+def _number_hashes(number: dict[str, int]) -> np.ndarray:
+    hashes = _hashes(list(number))
+    hashes[0] = START
+    return hashes
+
+
+def _numbered(texts: pa.Array, number: defaultdict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as their numbers, and where those of each text begin and the last end.
+
+    A word is a run of letters, digits and underscores of the text in lower case. Arrow cuts the texts
+    at spaces and line ends, which are in no word and decide a letter's lower case as an end of text
+    does, so each distinct piece is taken apart once, all in one string with line ends between them.
+    """
+    cut = pa.compute.split_pattern(pa.compute.replace_substring(texts.fill_null(""), "\n", " "), " ")
+    pieces = cut.flatten().dictionary_encode()
+    every = pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary)
+    found = _WORD.findall(pa.compute.binary_join(every, "\n")[0].as_py().lower())
+    own = np.fromiter(map(number.__getitem__, found), np.int32, len(found))
+    marks = np.flatnonzero(own == 0)
+    own = own[own != 0]
+    ends = np.concatenate([[0], marks - np.arange(len(marks)), [len(own)]]).astype(np.int32)
+    got = pa.ListArray.from_arrays(pa.array(ends), pa.array(own)).take(pieces.indices)
+    at = got.offsets.to_numpy()[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+    return got.flatten().to_numpy().astype(np.int64), at
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, v, w, n) of a batch: texts that hold a word pair, for labelled rows under their
-    label, and under kind 2 the words of all rows."""
-    for batch in batches:
-        number: dict[str, int] = {}
-        total = np.zeros(1 << 12, np.int64)
-        pairs: list[list[np.ndarray]] = [[], []]
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64)
-            if len(own) == 0:
-                continue
-            counted = np.bincount(own)
-            if len(counted) > len(total):
-                total = np.concatenate([total, np.zeros(max(len(total), len(counted) - len(total)), np.int64)])
-            total[: len(counted)] += counted
-            if y is not None:
-                pairs[y].append(np.unique(np.r_[0, own[:-1] + 1] << 32 | own))
-        hashes = _hashes(list(number))
-        yield _rows(2, np.zeros(len(hashes), np.int64), hashes, total[: len(hashes)])
-        before = np.r_[np.int64(START), hashes]
-        for y in (0, 1):
-            if pairs[y]:
-                both, n = np.unique(np.concatenate(pairs[y]), return_counts=True)
-                yield _rows(y, before[both >> 32], hashes[both & 0xFFFFFFFF], n)
+    """(kind, v, w, n) of a task's texts: texts that hold a word pair, for labelled rows under
+    their label, and under kind 2 the words of all rows."""
+    number, total = _numbers(), np.zeros(0, np.int64)
+    pairs: list[list[np.ndarray]] = [[], []]
+    waiting = 0
+    for part in units(batches, 0, UNIT_BYTES):
+        own, at = _numbered(part.column(0), number)
+        more = np.bincount(own, minlength=len(number))
+        more[: len(total)] += total
+        total = more
+        for k, y in enumerate(part.column(1).to_pylist()):
+            text = own[at[k] : at[k + 1]]
+            if y is not None and len(text):
+                pairs[y].append(np.unique(np.r_[0, text[:-1]] << 32 | text))
+                waiting += len(pairs[y][-1])
+        if len(number) > FLUSH_WORDS or waiting > FLUSH_PAIRS:
+            yield from _counts(number, total, pairs)
+            number, total, pairs, waiting = _numbers(), np.zeros(0, np.int64), [[], []], 0
+    yield from _counts(number, total, pairs)
+
+
+def _counts(number: dict[str, int], total: np.ndarray, pairs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    hashes = _number_hashes(number)
+    yield _rows(2, np.zeros(len(total[1:]), np.int64), hashes[1:], total[1:])
+    for y in (0, 1):
+        if pairs[y]:
+            both, n = np.unique(np.concatenate(pairs[y]), return_counts=True)
+            yield _rows(y, hashes[both >> 32], hashes[both & 0xFFFFFFFF], n)
 
 
 def _rows(kind: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -136,11 +177,12 @@ class Model:
     def ratios(self, places: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary)."""
         size = len(self.key)
-        pair = np.where((places < size) & (before < size), before * size + places, -1)
+        seen = np.flatnonzero((places < size) & (before < size))
+        pair = before[seen] * size + places[seen]
         at = np.searchsorted(self.pair, pair)
-        seen = at < len(self.pair)
-        seen[seen] = self.pair[at[seen]] == pair[seen]
-        at = at[seen]
+        kept = at < len(self.pair)
+        kept[kept] = self.pair[at[kept]] == pair[kept]
+        seen, at = seen[kept], at[kept]
         p = []
         for y in (0, 1):
             now = self.rest[y][before] * self.word[y][places]
@@ -149,20 +191,22 @@ class Model:
         return np.log(p[1]) - np.log(p[0])
 
 
-def _features(model: Model, known: Filling, texts: list[str | None]) -> np.ndarray:
+def _features(model: Model, texts: pa.Array) -> np.ndarray:
     """Mean excess over the margin, mean ratio, number of words, summed excess, by text."""
-    found = [words_of(t) for t in texts]
-    unseen = list({w for ws in found for w in ws if w not in known and w not in known.older})
-    fresh = dict(zip(unseen, model.place(_hashes(unseen)).tolist(), strict=True))
-    known.make = lambda w: fresh[w] if w in fresh else int(model.place(_hashes([w]))[0])
+    number = _numbers()
+    own, at = _numbered(texts, number)
+    of_number = model.place(_number_hashes(number))
+    places = of_number[own]
+    n = np.diff(at)
+    some = n > 0
+    first = at[:-1][some]
+    before = np.roll(places, 1)
+    before[first] = of_number[0]
+    r = model.ratios(places, before)
     out = np.zeros((len(texts), 4))
-    start = int(model.place(np.array([START]))[0])
-    for k, ws in enumerate(found):
-        if ws:
-            own = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            r = model.ratios(own, np.r_[start, own[:-1]])
-            high = np.maximum(r - MARGIN, 0).sum()
-            out[k] = high / len(ws), r.mean(), len(ws), high
+    if len(first):
+        high, n = np.add.reduceat(np.maximum(r - MARGIN, 0), first), n[some]
+        out[some] = np.column_stack([high / n, np.add.reduceat(r, first) / n, n, high])
     return out
 
 
@@ -228,10 +272,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], np.ndarra
     seen = texts.join(F.broadcast(curve), texts["doc_id"] == curve["id"]).select("text", "y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filling(None)
-        for batch in batches:
-            f = _features(sent.value, known, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(f[:, k]) for k in range(4))], names=["y", "a", "b", "c", "d"])
+        for part in units(batches, 0, UNIT_BYTES):
+            f = _features(sent.value, part.column(0))
+            yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(f[:, k]) for k in range(4))], names=["y", "a", "b", "c", "d"])
 
     got = seen.mapInArrow(measure, "y int, a double, b double, c double, d double").toArrow()
     f = np.column_stack([got.column(k).to_numpy() for k in (1, 2, 3, 4)])
@@ -249,16 +292,12 @@ def score(docs: DataFrame, sent: Broadcast[Model], weights: np.ndarray) -> DataF
     Null and empty texts have no words and get the curve's value there; a null id isn't held
     out; repeated rows are scored alike; other columns are ignored.
     """
-    caches: dict[int, Filling] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = caches.setdefault(0, Filling(None))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                z = _design(_features(sent.value, known, part.column(2).to_pylist())) @ weights
-                s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for part in units(batches, 2, UNIT_BYTES):
+            z = _design(_features(sent.value, part.column(2))) @ weights
+            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")

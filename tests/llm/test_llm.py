@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -372,6 +373,33 @@ def test_op6_ratios_as_by_hand(spark):
         assert np.allclose(got, want)
 
 
+def test_op6_takes_each_piece_apart_once(monkeypatch):
+    rng = random.Random(15)
+    odd = ["ΑΣ", "ΑΣ.Β", "ΟΔΟΣ\nΣΑΣ", "İzmir", "x_1-y2", "it's", "\x00z", "a\u00a0b\r\nc", "Straße,", "日本語。テスト", "--", "", "٣½"]
+    texts = [" ".join(rng.choice([*odd, "River", "stone,", "Haus."]) for _ in range(rng.randint(0, 60))) for _ in range(500)] + [None, "", " ", "\n"]
+    y_of = [rng.choice([None, 0, 1]) for _ in texts]
+    want = Counter()
+    for t, y in zip(texts, y_of, strict=True):
+        ws = [0, *toxicity._hashes(re.findall(r"\w+", (t or "").lower())).tolist()]
+        want.update((2, 0, w) for w in ws[1:])
+        want.update((y, *p) for p in set(zip(ws, ws[1:], strict=False)) if y is not None)
+    looked, word = [], toxicity._WORD
+
+    class Looking:
+        def findall(self, text):
+            looked.append(len(text))
+            return word.findall(text)
+
+    monkeypatch.setattr(toxicity, "_WORD", Looking())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(y_of, pa.int32())], names=["text", "y"])
+    got = Counter()
+    for b in toxicity._count_grams(iter([batch.slice(3, 200), batch.slice(0, 3), batch.slice(203)])):
+        for kind, v, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[kind, v, w] += n
+    assert got == want
+    assert 10 * sum(looked) < sum(len(t or "") for t in texts)
+
+
 def test_op6_sees_expressions_of_ordinary_words(spark):
     rng = random.Random(14)
     rows, labels = [], []
