@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,20 +44,28 @@ FILE_OPTIONS = {
 _LINE = "\x00"
 #: A line end with no white space beside it is a pre-token of its own, so a cut before it is exact.
 _LINE_END = f"([^{SPACE}])\n([^{SPACE}])"
-#: Distinct chunks of one generation of a worker's cache.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks that a worker keeps at most, beside those of the texts at hand.
+CACHE_CHUNKS = 1_000_000
 #: Bytes of text that are encoded together.
 UNIT_BYTES = 8 << 20
+#: Chunks that the library gets as one text, a line end behind each.
+JOINED = 64
+#: A letter and marks behind it up to the end: the splitter always parts them, and the marks are one pre-token.
+_MARKS = r"(\pL)([!-/:-@\[-`{-~]+)$"
 _LOADED: dict[str, LibraryEncoder] = {}
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+
+
 class LibraryEncoder:
     """Whole texts through the tokenizers library, each distinct chunk once.
 
     Arrow cuts the texts of a unit before spaces and single line ends and numbers the distinct chunks; those that
-    the cache lacks go to the library in one call, and the ids of every text are gathered from
-    theirs. A chunk that ends in one mark after a letter is the ids of both parts, since the
-    splitter always parts them. Texts where a cut could fall inside a pre-token, or with a
+    the cache lacks go to the library, many in one text with line ends between them, and the ids of every text are
+    gathered from theirs. A chunk that ends in marks after a letter is the ids of both parts. Texts where a cut could fall inside a pre-token, or with a
     special token's string, go to the library whole.
     """
 
@@ -71,46 +78,70 @@ class LibraryEncoder:
         self.library.no_padding()
         special = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
         self.whole = "|".join(filter(None, [INNER_SPACE, special, _LINE]))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = dict(zip(".,!?;:", self._ids(list(".,!?;:")), strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        self.alone = "|".join(filter(None, ["^$", f"[{SPACE}]", special]))
+        self.known, self.ids = pa.array([], pa.string()), _lists([])
+        self.line_end = self._ids(["\n"])[0]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, chunks: pa.Array) -> pa.ListArray:
+        """Ids of each chunk with the space it was cut from, or without the line end.
+
+        A line end between two chunks that hold no white space is a pre-token of its own, as the next one starts
+        with a space or no white space at all; other chunks go to the library alone."""
+        body = pa.compute.replace_substring_regex(chunks, f"^{_LINE}\n", "")
+        text = pa.compute.if_else(pa.compute.starts_with(chunks, f"{_LINE}\n"), body, pa.compute.binary_join_element_wise("", body, " "))
+        alone = pa.compute.match_substring_regex(body, self.alone).to_numpy(zero_copy_only=False)
+        n = int((~alone).sum())
+        groups = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(0, n, JOINED), n].astype(np.int32)), text.filter(pa.array(~alone)))
+        joined = self._ids([g + "\n" for g in pa.compute.binary_join(groups, "\n").to_pylist()])
+        flat = np.concatenate([np.empty(0, np.int32), *joined])
+        ends = np.flatnonzero(flat == self.line_end[0])
+        if len(self.line_end) != 1 or len(ends) != n:
+            return _lists(self._ids(text.to_pylist()))
+        parted = pa.ListArray.from_arrays(pa.array(np.r_[0, ends - np.arange(n)].astype(np.int32)), pa.array(flat[flat != self.line_end[0]]))
+        both = pa.concat_arrays([parted, _lists(self._ids(text.filter(pa.array(alone)).to_pylist()))])
+        return both.take(pa.array(np.argsort(np.argsort(alone, kind="stable"))))
+
+    def _chunks(self, chunks: pa.Array) -> pa.ListArray:
         """Ids of each chunk with the space or the line end that it was cut from."""
-        marks = self.marks
-        base = [c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in chunks]
-        own = dict.fromkeys(base)
-        young, old = self.young.get, self.old.get
-        for c in own:
-            own[c] = young(c) or old(c)
-        unseen = [c for c, ids in own.items() if ids is None]
-        own.update(zip(unseen, self._ids([c[1:] if c[:1] == _LINE else " " + c for c in unseen]), strict=True))
-        if len(self.young) > CACHE_CHUNKS:
-            self.young, self.old = {}, self.young
-        self.young.update(own)
-        return [own[b] if len(b) == len(c) else own[b] + marks[c[-1]] for b, c in zip(base, chunks, strict=True)]
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
+        base = pa.compute.replace_substring_regex(chunks, _MARKS, r"\1")
+        cut = np.flatnonzero(pa.compute.binary_length(base).to_numpy() < pa.compute.binary_length(chunks).to_numpy())
+        marks = pa.compute.replace_substring_regex(chunks.take(pa.array(cut)), f"(?s)^.*{_MARKS}", f"{_LINE}\n\\2")
+        own = pa.concat_arrays([base, marks]).dictionary_encode()
+        at = pa.compute.index_in(own.dictionary, value_set=self.known)
+        unseen = own.dictionary.filter(at.is_null())
+        known, ids = pa.concat_arrays([self.known, unseen]), pa.concat_arrays([self.ids, self._pieces(unseen)])
+        place = at.fill_null(-1).to_numpy().copy()
+        place[place < 0] = len(self.known) + np.arange(len(unseen))
+        keep = len(known) <= CACHE_CHUNKS
+        self.known, self.ids = (known, ids) if keep else (own.dictionary, ids.take(pa.array(place)))
+        of_own = place[own.indices.to_numpy()]
+        three = np.full((len(chunks), 3), len(ids) + 1)
+        three[pa.compute.starts_with(base, f"{_LINE}\n").to_numpy(zero_copy_only=False), 0] = len(ids)
+        three[:, 1] = of_own[: len(chunks)]
+        three[cut, 2] = of_own[len(chunks) :]
+        got = pa.concat_arrays([ids, _lists([self.line_end, self.line_end[:0]])]).take(pa.array(three.ravel()))
+        return pa.ListArray.from_arrays(pa.array(got.offsets.to_numpy()[::3]), got.values)
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """Ids of each text and the end id behind them."""
         whole = np.flatnonzero(pa.compute.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False))
         cut = pa.compute.split_pattern(pa.compute.replace_substring_regex(texts, _LINE_END, f"\\1 {_LINE}\n\\2"), " ")
         numbered = cut.flatten().dictionary_encode()
-        place = numbered.indices.to_numpy().copy()
+        place = numbered.indices.to_numpy().astype(np.int64)
         at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        chunks = numbered.dictionary.to_pylist()
-        firsts = [chunks[i] for i in place[at[:-1]].tolist()]
-        ids = [*self._chunks(chunks), *self._ids(firsts), b""]
+        chunks = self._chunks(numbered.dictionary)
+        firsts = self._ids(numbered.dictionary.take(pa.array(place[at[:-1]])).to_pylist())
+        end = len(chunks) + len(texts)
         place[at[:-1]] = len(chunks) + np.arange(len(texts))
-        for row, own in zip(whole.tolist(), self._ids([texts[r].as_py() for r in whole.tolist()]), strict=True):
-            place[at[row] : at[row + 1]] = len(ids) - 1
-            place[at[row]] = len(chunks) + row
-            ids[len(chunks) + row] = own
-        got = pa.array(ids, pa.binary()).take(pa.array(place))
-        ends = np.frombuffer(got.buffers()[1], np.int32)[got.offset + at]
-        flat = got.buffers()[2].to_pybytes()
-        return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for row, own in zip(whole.tolist(), self._ids(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            place[at[row] + 1 : at[row + 1]] = end + 1
+            firsts[row] = own
+        ids = pa.concat_arrays([chunks, _lists([*firsts, np.array([end_id], np.int32), self.line_end[:0]])])
+        got = ids.take(pa.array(np.insert(place, at[1:], end)))
+        return pa.ListArray.from_arrays(pa.array(got.offsets.to_numpy()[at + np.arange(len(at))]), got.values)
 
 
 def _library(path: str) -> LibraryEncoder:
@@ -127,17 +158,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     are ignored; an empty table gives a folder with a schema only.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = _library(vocabulary), 0
         for part in units(batches, 2, UNIT_BYTES):
-            ids = [i + end for i in enc.encode(part.column(2).fill_null(""))]
-            n = np.array([len(i) // 4 for i in ids], np.int64)
+            ids = enc.encode(part.column(2).fill_null(""), end_id)
+            n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             stop = at + np.cumsum(n)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(stop - n), pa.array(n), pa.ListArray.from_arrays(cuts, flat)], schema=schema)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(stop - n), pa.array(n), ids], schema=schema)
             at = int(stop[-1])
 
     ranged = (

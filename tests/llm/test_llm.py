@@ -70,6 +70,29 @@ def test_op1_files(spark, docs, corpus, none, tmp_path):
     assert tokens_out.token_digests(spark, path + "0").count() == 0
 
 
+def test_op1_chunks_reach_the_library_together(monkeypatch):
+    rng = random.Random(16)
+    odd = ["ΑΣ", "x,", "é!!", "'s", "don't", "it's,", "<|endoftext|>", "\u00a0", "\n", "\n\n", "\t", "\x00", "\x00\n", "日本語。", "1,&", "a1", "word***", "Word_", "\r\n", "--", "½", ""]
+    texts = ["".join(rng.choice(odd) + rng.choice(["", " ", "\n", "  "]) for _ in range(rng.randint(0, 20))) for _ in range(1500)]
+    plain = [" ".join("".join(rng.choice("etaoinshr") for _ in range(9)) + rng.choice(["", ".", "!?"]) for _ in range(200)) for _ in range(30)]
+    want = lambda ts: [e.ids + [2] for e in library().encode_batch(ts, add_special_tokens=False)]
+    enc = tokens_out.LibraryEncoder(VOCABULARY)
+    own, given = enc.library, []
+
+    class Counting:
+        def encode_batch_fast(self, ts, **k):
+            given.extend(ts)
+            return own.encode_batch_fast(ts, **k)
+
+    enc.library = Counting()
+    assert enc.encode(pa.array(plain), 2).to_pylist() == want(plain)
+    assert 10 * len(given) < len({w for t in plain for w in t.split()})
+    for most in (10_000, 50):
+        monkeypatch.setattr(tokens_out, "CACHE_CHUNKS", most)
+        for k in range(0, 1500, 500):
+            assert enc.encode(pa.array(texts).slice(k, 500), 2).to_pylist() == want(texts[k : k + 500])
+
+
 def test_op1_file_encodings(docs, tmp_path):
     import pyarrow.parquet as pq
 
