@@ -3,7 +3,9 @@
 The store keeps, as versioned tables in parts (:mod:`bizlink.sources.versions`):
 
 * ``places``: a row for each (name, address) seen, by name, and each phone, by phone, with the
-  node it is; ``grams``: the rare trigrams and short forms by which similar names are found;
+  node it is;
+* ``forms``: hashes of what deletions leave of the names, many to a row, by bin; ``grams``: the
+  rare trigrams of other names. By these similar names are found;
 * ``lengths``: the lengths of names seen, as keys are made for lengths that occur only;
 * ``links``: which node a cluster's old root was united with, by old root;
 * ``pool``: the merged record of each cluster, by root.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from bizlink.functions.identity import match_digits, name_key
 from bizlink.operators.components import components
 from bizlink.operators.golden import merge_pool
-from bizlink.operators.linkage import agreeing, candidate_keys, lengths_of, verified
+from bizlink.operators.linkage import agreeing, form_keys, gram_keys, lengths_of, met_by_forms, verified
 from bizlink.scratch import materialize
 from bizlink.sources.versions import Version, VersionedTables
 
@@ -38,6 +40,7 @@ class EntityStore:
         record = ", ".join(f"{f} string" for f in fields)
         self.tables = VersionedTables(spark, path, {
             "places": "key string, address string, node string",
+            "forms": "key string, h binary, x binary",
             "grams": "key string, name string",
             "lengths": "key string",
             "links": "key string, root string",
@@ -57,19 +60,11 @@ class EntityStore:
         keyed = materialize(keyed.withColumn("node", node), "batch")
         named = materialize(keyed.where("_name is not null").select(F.col("_name").alias("key"), F.col("_address").alias("address"), "node").distinct(), "named")
         phones = keyed.where("_phone is not null").select(_phone(F.col("_phone")).alias("key"), F.lit("").alias("address"), _phone(F.col("_phone")).alias("node")).distinct()
-        # Similar names, those in the store among them, are found by keys that both have.
-        names = named.select(F.col("key").alias("name")).distinct()
+        names = materialize(named.select(F.col("key").alias("name")).distinct(), "names")
         before = {int(r["key"]) for r in now.read("lengths").collect()}  # a few at most, see lengths_of
         lengths = before | lengths_of(names)
-        own = materialize(candidate_keys(names, lengths), "keys")
-        stored = now.read("grams", own).select("key", F.col("name").alias("other"))
-        late = own.limit(0)
-        if before and lengths > before:
-            # Stored names have no keys yet for the lengths that are new.
-            late = materialize(candidate_keys(now.read("places").where("node like 'n%'").select(F.col("key").alias("name")), lengths, before), "keys")
-        stored = stored.unionByName(own.unionByName(late).select("key", F.col("name").alias("other")))
-        alike = verified(own.join(stored, "key").select(F.col("name").alias("a"), F.col("other").alias("b")))
-        both = alike.select(F.col("a").alias("name"), F.col("b").alias("key")).unionByName(named.select(F.col("key").alias("name"), "key").distinct()).distinct()
+        alike, keys = _similar(now, names, before, lengths)
+        both = alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("name"), F.col("b").alias("key")).unionByName(named.select(F.col("key").alias("name"), "key").distinct()).distinct()
         both = materialize(both, "alike")
         seen = now.read("places", both.select("key").unionByName(phones.select("key")))
         places = materialize(seen.unionByName(named).unionByName(phones).distinct(), "places")
@@ -92,7 +87,8 @@ class EntityStore:
         merged = merge_pool(everything, self.fields, "key").withColumnRenamed("sources_str", "sources").join(first, "key").select("key", *record)
         new = self.tables.begin(now, number)
         new.put("places", named.unionByName(phones), keep=["key", "address"])
-        new.put("grams", own.unionByName(late), keep=["key", "name"])
+        for table, (rows, keep) in keys.items():
+            new.put(table, rows, keep)
         new.put("lengths", self.spark.createDataFrame([(str(n),) for n in sorted(lengths)], "key string"), keep=["key"])
         new.put("links", united, keep=["key"])
         new.put("pool", merged, keep=["key"], gone=united)
@@ -118,6 +114,36 @@ def _phone(phone: Column) -> Column:
     return F.concat(F.lit("p"), phone)
 
 
+def _similar(now: Version, names: DataFrame, before: set[int], lengths: set[int]) -> tuple[DataFrame, dict[str, tuple[DataFrame, list[str]]]]:
+    """Similar pairs ``(a, b)`` among ``names`` and of these with stored ones; for each index the
+    rows it gets and the columns by which they replace others."""
+    spelled = lambda places: places.where("node like 'n%'").select(F.col("key").alias("name")).distinct()
+    known = spelled(now.read("places", names.select(F.col("name").alias("key")))) if before else names.limit(0)
+    # Stored names have no keys yet for the lengths that are new.
+    late = spelled(now.read("places")) if before and lengths > before else names.limit(0)
+    made = materialize(form_keys(names.join(known, "name", "left_anti"), lengths), "forms")
+    own, others = made, made.limit(0)
+    if before:
+        own = made.unionByName(materialize(form_keys(known, lengths), "forms"))
+        old = materialize(form_keys(late, lengths, before), "forms")
+        others = now.read("forms", materialize(own.select("key").distinct(), "bins")).unionByName(old)
+        made = made.unionByName(old)
+    met = materialize(met_by_forms(own, others), "met")
+    there = now.read_hashed("places", met.select(F.explode(F.array("x", "y")).alias("hash")))
+    by_hash = materialize(names.unionByName(spelled(there)).distinct().withColumn("x", F.xxhash64("name")), "names")
+    pairs = met.join(by_hash.select("x", F.col("name").alias("a")), "x").join(by_hash.select(F.col("x").alias("y"), F.col("name").alias("b")), "y").select("a", "b")
+    keys = {"forms": (made, [])}
+    if (grams := gram_keys(names, lengths)) is not None:
+        grams = materialize(grams, "grams")
+        old = gram_keys(late, lengths, before) if before else None
+        added = grams if old is None else grams.unionByName(materialize(old, "grams"))
+        # Rows of keys are many, and small as files: without a hint Spark may take them for a small table.
+        stored = now.read("grams", grams.hint("merge")).unionByName(added).select("key", F.col("name").alias("other"))
+        pairs = pairs.unionByName(grams.join(stored.hint("merge"), "key").select(F.col("name").alias("a"), F.col("other").alias("b")))
+        keys["grams"] = (added.hint("merge"), ["key", "name"])
+    return verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), keys
+
+
 def _roots(now: Version, nodes: DataFrame) -> DataFrame:
     """``(node, root)``: links are followed from old roots to new ones until all have ended.
     Each batch adds a link to a root at most, so there are as many steps as a root was united."""

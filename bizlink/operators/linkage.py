@@ -64,35 +64,10 @@ def lengths_of(names: DataFrame) -> set[int]:
     return {r[0] for r in names.select(F.least(F.length("name"), F.lit(SHORT + 1)).alias("n")).distinct().collect()}
 
 
-def _shortened(name: Column, times: int) -> Column:
-    """All strings that ``name`` gives by ``times`` deletions, up to two."""
-    n = F.length(name)
-    cut = lambda i, j: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, j - i - 1), F.substring(name, j + 1, n))
-    if times == 0:
-        return F.array(name)
-    if times == 1:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, n))))
-    # Each two letters are taken once; equal results are few, and making them distinct costs more than they do.
-    return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: cut(i, j))))).otherwise(F.array().cast("array<string>"))
-
-
-def _short_forms(names: DataFrame, cuts: list[tuple[int, int, int, int]]) -> tuple[DataFrame, DataFrame]:
-    """``(name, la, lb, rest)`` of the names as the longer and as the shorter of a pair of lengths:
-    what is left of them after as many deletions as the lengths allow."""
-    plan = names.sparkSession.createDataFrame(cuts, "la int, lb int, ka int, kb int")  # a few dozen rows
-    # Names are few bytes and many forms: the tasks go by rows.
-    names = names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
-
-    def side(length: str, times: str) -> DataFrame:
-        each = names.join(F.broadcast(plan), names["n"] == plan[length])
-        rest = F.when(F.col(times) == 0, _shortened(F.col("name"), 0)).when(F.col(times) == 1, _shortened(F.col("name"), 1)).otherwise(_shortened(F.col("name"), 2))
-        return each.select("name", "la", "lb", F.explode(rest).alias("rest"))
-
-    return side("la", "ka"), side("lb", "kb")
-
-
 #: Hashes of what is left of names that a task sorts, on average.
 FORMS = 1 << 22
+#: Bins of an index of hashes that is kept; a task sorts one at a time.
+BINS = 2048
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(SHORT, _ODD)]), dtype=np.uint64)
 
@@ -150,28 +125,35 @@ def _hashed_forms(cuts: list[tuple[int, int, int, int]], bins: int):
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs ``(x, y)`` of names with a form in common, from rows in the order of their bins."""
+    """Pairs ``(x, y)`` of names with a form in common, from rows in the order of their bins. With
+    a fourth column only pairs that have a name from a row where it is false."""
 
-    def pairs(rows: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, x = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in ((0, np.uint64), (1, np.int64)))
-        if len(h) == 0:
+        own = np.repeat([not any(r[2:]) for r in rows], [len(r[0]) // 8 for r in rows])
+        if not own.any():
             return
         order = np.argsort(h)
-        h, x = h[order], x[order]
+        h, x, own = h[order], x[order], own[order]
         key = h >> np.uint64(2)
         same = np.r_[False, key[1:] == key[:-1], False]
         some = same[1:] | same[:-1]
-        h, x = h[some], x[some]
-        order = np.lexsort((x, h))
-        h, x = h[order], x[order]
+        h, x, own = h[some], x[some], own[some]
+        order = np.lexsort((~own, x, h))
+        h, x, own = h[order], x[order], own[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (x[1:] != x[:-1])] if len(h) else np.empty(0, bool)
-        h, x = h[new], x[new]
-        if len(h) == 0:
+        h, x, own = h[new], x[new], own[new]
+        if not own.any():
             return
-        key, side, at = h >> np.uint64(2), h & np.uint64(3), np.arange(len(h))
-        end = np.searchsorted(key, key, "right")
-        first = np.where(side == 0, at + 1, np.where(side == 1, np.searchsorted(h, key << np.uint64(2) | np.uint64(2)), end))
-        count = end - first
+        # Own names go before others of the same form and meet what comes after them; so that these
+        # meet all of the other length too, the shorter own ones meet its others.
+        order = np.lexsort((x, ~own, h))
+        h, x, own = h[order], x[order], own[order]
+        side, at, owned = h & np.uint64(3), np.arange(len(h)), np.r_[0, np.cumsum(own)]
+        there = np.where(side == 0, h, h ^ np.uint64(3))
+        first, end = np.searchsorted(h, there, "left"), np.searchsorted(h, there, "right")
+        first = np.where(side == 0, at + 1, np.where(side == 1, first, first + owned[end] - owned[first]))
+        count = np.where(own, end - first, 0)
         done = np.r_[0, np.cumsum(count)]
         lo = 0
         while lo < len(h):
@@ -183,14 +165,23 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, own = [], None
     for batch in batches:
-        for bin_, h, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bin_, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bin_ != own:
                 yield from pairs(held)
                 held, own = [], bin_
-            held.append((h, x))
+            held.append(row)
     yield from pairs(held)
 
 
+_FORM = "bin int, h binary, x binary"
+
+
+def _hashed(keyed: DataFrame, cuts: list[tuple[int, int, int, int]], bins: int) -> DataFrame:
+    """Forms of names with their hashes. Names are few bytes and many forms: the tasks go by rows."""
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(tasks, "x").mapInArrow(_hashed_forms(cuts, bins), _FORM)
+
+
 def _by_deletions(names: DataFrame, cuts: list[tuple[int, int, int, int]], counts: dict[int, int]) -> DataFrame:
     """Similar pairs among names of these lengths: those that share a string which both become
     by deletions. Strings meet by 62 bits of hash and names go by 64, so that pairs may come up in
@@ -199,8 +190,7 @@ def _by_deletions(names: DataFrame, cuts: list[tuple[int, int, int, int]], count
     made = sum(counts.get(n, 0) * math.comb(n, k) for la, lb, ka, kb in cuts for n, k in {(la, ka), (lb, kb)})
     tasks = max(session, -(-made // FORMS))
     keyed = names.select("name", F.xxhash64("name").alias("x"))
-    # Names are few bytes and many forms: the tasks go by rows.
-    forms = keyed.repartition(session, "x").mapInArrow(_hashed_forms(cuts, min(8 * tasks, 1 << 16)), "bin int, h binary, x binary")
+    forms = _hashed(keyed, cuts, min(8 * tasks, 1 << 16))
     met = forms.repartition(tasks, "bin").sortWithinPartitions("bin").mapInArrow(_meeting, "x bigint, y bigint").distinct()
     both = met.join(keyed.select("x", F.col("name").alias("p")), "x").join(keyed.select(F.col("x").alias("y"), F.col("name").alias("q")), "y")
     return verified(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
@@ -273,20 +263,54 @@ def _named(names: DataFrame) -> DataFrame:
     return names.select("name").where(F.length("name") > 0).distinct().withColumn("n", F.length("name"))
 
 
+def _asked(lengths: set[int], but: set[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """:func:`length_pairs` without those of two lengths of ``but``."""
+    cuts, pairs = length_pairs(lengths)
+    return [c for c in cuts if not {c[0], c[1]} <= but], [p for p in pairs if not {p[0], p[1]} <= but]
+
+
+def form_keys(names: DataFrame, lengths: set[int], but: set[int] = frozenset()) -> DataFrame:
+    """``(key, h, x)``: hashes ``h`` of what deletions leave of the names, and the names' own ``x``,
+    many to a row, as 64-bit numbers; ``key`` is their bin. Forms are made for pairs of these
+    lengths without those for two lengths of ``but``."""
+    cuts, _ = _asked(lengths, but)
+    made = _hashed(_named(names).select("name", F.xxhash64("name").alias("x")), cuts, BINS) if cuts else names.sparkSession.createDataFrame([], _FORM)
+    return made.select(F.col("bin").cast("string").alias("key"), "h", "x")
+
+
+def met_by_forms(own: DataFrame, others: DataFrame) -> DataFrame:
+    """Hashes ``(x, y)`` of names that share a form, out of rows of :func:`form_keys`: pairs among
+    ``own``, and of one of these with one of ``others``. Forms meet in NumPy, a bin at a time, as
+    tables of a row for each form are small enough as files to be broadcast and far larger in memory."""
+    rows = own.select("key", "h", "x", F.lit(False).alias("other")).unionByName(others.select("key", "h", "x", F.lit(True).alias("other")))
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_meeting, "x bigint, y bigint").distinct()
+
+
+def gram_keys(names: DataFrame, lengths: set[int], but: set[int] = frozenset()) -> DataFrame | None:
+    """``(key, name)``: trigrams of which two similar names share one, for pairs of lengths that aren't
+    joined by deletions; none if there are no such lengths. They go by alphabet, which stays."""
+    _, pairs = _asked(lengths, but)
+    if not pairs:
+        return None
+    grams = rare_grams(_of_lengths(_named(names), pairs), names.sparkSession.createDataFrame([], "gram string, df long"))
+    return reduce(DataFrame.unionByName, (f.select(F.concat(F.lit("g"), F.col("tag").cast("string"), F.lit(","), "gram").alias("key"), "name") for f in _gram_roles(grams, pairs)))
+
+
 def candidate_keys(names: DataFrame, lengths: set[int], but: set[int] = frozenset()) -> DataFrame:
     """``(key, name)``: keys of which two similar names of these lengths share one, whenever each
-    was made; without those for two lengths of ``but``. Some rows repeat. Trigrams go by alphabet,
-    which stays."""
-    cuts, pairs = length_pairs(lengths)
-    cuts, pairs = [c for c in cuts if not {c[0], c[1]} <= but], [p for p in pairs if not {p[0], p[1]} <= but]
-    names = _named(names)
-    # Both sides of equal lengths have the same forms.
-    forms = ((0, cuts), (1, [c for c in cuts if c[0] != c[1]]))
-    keys = [_short_forms(names, own)[k].select(F.concat_ws(",", "la", "lb", "rest").alias("key"), "name") for k, own in forms if own]
-    if pairs:
-        grams = rare_grams(_of_lengths(names, pairs), names.sparkSession.createDataFrame([], "gram string, df long"))
-        keys += [f.select(F.concat(F.lit("g"), F.col("tag").cast("string"), F.lit(","), "gram").alias("key"), "name") for f in _gram_roles(grams, pairs)]
-    return reduce(DataFrame.unionByName, keys, names.select(F.lit("").alias("key"), "name").limit(0))
+    was made; a row for each, of :func:`form_keys` and :func:`gram_keys`. Some rows repeat."""
+    forms = form_keys(names, lengths, but).mapInArrow(_single, "h bigint, x bigint")
+    keys = forms.join(_named(names).withColumn("x", F.xxhash64("name")).hint("merge"), "x").select(F.col("h").cast("string").alias("key"), "name")
+    grams = gram_keys(names, lengths, but)
+    return keys if grams is None else keys.unionByName(grams)
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, x in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            # Whose form it is doesn't matter for a key.
+            yield pa.RecordBatch.from_arrays([pa.array((np.frombuffer(h, np.uint64) >> np.uint64(2)).astype(np.int64)), pa.array(np.frombuffer(x, np.int64))], names=["h", "x"])
 
 
 def _of_lengths(names: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:

@@ -97,9 +97,14 @@ class Version:
             return self._load(table, list(self.folders[table]))
         return self._load(table, self._touched(keys)).join(keys.select("key").distinct(), "key", "left_semi")
 
+    def read_hashed(self, table: str, hashes: DataFrame) -> DataFrame:
+        """The rows whose ``key`` has one of the ``hash`` values given (``xxhash64``), with it."""
+        parts = [str(r[0]) for r in hashes.select(F.pmod("hash", F.lit(self.tables.parts)).alias("p")).distinct().collect()]  # at most one a part
+        return self._load(table, parts).withColumn("hash", F.xxhash64("key")).join(hashes.select("hash").distinct(), "hash", "left_semi")
+
     def put(self, table: str, rows: DataFrame, keep: list[str], gone: DataFrame | None = None) -> None:
-        """Add rows, replacing those with the same ``keep`` columns, and drop the keys of
-        ``gone``. Parts of other keys aren't read or written."""
+        """Add rows, replacing those with the same ``keep`` columns if there are any, and drop the
+        keys of ``gone``. Parts of other keys aren't read or written."""
         keys = rows.select("key") if gone is None else rows.select("key").unionByName(gone.select("key"))
         parts = self._touched(keys)
         if not parts:
@@ -108,8 +113,10 @@ class Version:
         if gone is not None:
             old = old.join(gone.select("key").distinct(), "key", "left_anti")
         columns = old.columns
-        new = rows.select(*columns).dropDuplicates(keep)
-        whole = old.join(new.select(*keep), keep, "left_anti").select(*columns).unionByName(new)
+        if keep:
+            rows = rows.select(*columns).dropDuplicates(keep)
+            old = old.join(rows.select(*keep), keep, "left_anti").select(*columns)
+        whole = old.unionByName(rows.select(*columns))
         folder = f"{table}/v{self.number}"
         whole.withColumn("part", self._part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.tables.path}/{folder}")
         files, at = self.tables._files(f"{self.tables.path}/{folder}")

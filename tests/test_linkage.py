@@ -227,3 +227,37 @@ def test_components_are_the_smallest_node_reachable(spark, seed):
 
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_forms_meet_where_one_name_is_own(spark):
+    """Stored names meet the batch's and not each other, whichever of the two is longer; a stored name may come again."""
+    rng = random.Random(12)
+    names = sorted(spelled(rng, "abc", 1, 20, 60, 3))
+    own, others = set(names[::3]), set(names[1::3]) | set(names[2::3]) | set(names[::9])
+    lengths = {len(n) for n in names}
+    table = lambda some: spark.createDataFrame([(n,) for n in sorted(some)], "name string")
+    hashed = {r["x"]: r["name"] for r in table(names).withColumn("x", F.xxhash64("name")).collect()}
+    met = linkage.met_by_forms(linkage.form_keys(table(own), lengths), linkage.form_keys(table(others), lengths)).collect()
+    got = {tuple(sorted((hashed[r["x"]], hashed[r["y"]]))) for r in met}
+    asked = {c[:2] for c in linkage.length_pairs(lengths)[0]}
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if (a in own or b in own) and (max(len(a), len(b)), min(len(a), len(b))) in asked and ratio(a, b) >= 88}
+    assert got == want and len(met) == len(want) > 20
+
+
+def test_entity_store_has_no_table_of_a_row_for_each_form(spark, tmp_path, monkeypatch):
+    """Such a table is small as a file, so that Spark sends it to the driver to broadcast it."""
+    from bizlink.operators import entities
+
+    written, plain = [], entities.materialize
+    monkeypatch.setattr(entities, "materialize", lambda df, tag: written.append(plain(df, tag)) or written[-1])
+    monkeypatch.setattr(linkage, "BINS", 16, raising=False)
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice("bcdfghjklmnpqrst") for _ in range(14)), None, None, "npi", 0, None) for i in range(400)]
+    store = entities.EntityStore(spark, str(tmp_path / "s"), FIELDS, 4)
+    for k in range(2):
+        # The names come again under other numbers, and nothing is kept twice.
+        store.merge(spark.createDataFrame([(400 * k + i, *r) for i, *r in rows], TILE), k)
+    assert max(t.count() for t in written) <= 2 * len(rows)
+    kept = store.tables.latest().read("forms")
+    assert kept.agg(F.sum(F.length("h"))).first()[0] == 8 * 14 * len(rows)
+    assert store.pool().count() == len(rows)
