@@ -12,7 +12,8 @@ The store keeps, as versioned tables in parts (:mod:`bizlink.sources.versions`):
 
 A batch joins the index on its own keys and reads and rewrites the parts of these keys only.
 Its matches are edges between nodes; those between roots of stored clusters unite them, and
-only the united clusters' records are merged again. The clusters are those of
+only the united clusters' records are merged again. Its joins are by sorting, as all of these
+tables grow with the input (see :meth:`bizlink.sources.versions.Version.read`). The clusters are those of
 :func:`bizlink.operators.linkage.resolve` over all batches, in whatever order they came.
 """
 
@@ -68,23 +69,23 @@ class EntityStore:
         both = materialize(both, "alike")
         seen = now.read("places", both.select("key").unionByName(phones.select("key")))
         places = materialize(seen.unionByName(named).unionByName(phones).distinct(), "places")
-        pairs = named.select(F.col("key").alias("name"), "address", "node").join(both, "name").join(places.select("key", F.col("address").alias("other"), F.col("node").alias("there")), "key").where("node <> there")
+        pairs = named.select(F.col("key").alias("name"), "address", "node").join(both.hint("merge"), "name").join(places.select("key", F.col("address").alias("other"), F.col("node").alias("there")).hint("merge"), "key").where("node <> there")
         agree = agreeing(materialize(pairs, "near"), "address", "other").select(F.col("node").alias("a"), F.col("there").alias("b"))
         calls = keyed.where("_phone is not null").select(F.col("node").alias("a"), _phone(F.col("_phone")).alias("b")).where("a <> b")
         edges = materialize(agree.unionByName(calls).distinct(), "edges")
         touched = materialize(keyed.select("node").union(edges.select("a")).union(edges.select("b")).distinct(), "touched")
         roots = materialize(_roots(now, touched), "roots")
-        tied = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        tied = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")).hint("merge"), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")).hint("merge"), "b")
         united = materialize(components(tied.select(F.col("x").alias("a"), F.col("y").alias("b"))).where("node <> root").select(F.col("node").alias("key"), "root"), "united")
         # Records: those of the batch at their new roots, and those of clusters that lost theirs or get more.
-        now_at = roots.join(united.select(F.col("key").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("key"))
+        now_at = roots.join(united.select(F.col("key").alias("root"), F.col("root").alias("up")).hint("merge"), "root", "left").select("node", F.coalesce("up", "root").alias("key"))
         record = ["ord", "sources", "phone_source_count", *self.fields]
-        fresh = keyed.join(now_at, "node").select("key", *record)
-        moved = now.read("pool", united).join(united, "key").select(F.col("root").alias("key"), *record)
+        fresh = keyed.join(now_at.hint("merge"), "node").select("key", *record)
+        moved = now.read("pool", united).join(united.hint("merge"), "key").select(F.col("root").alias("key"), *record)
         staying = now.read("pool", fresh.select("key").unionByName(united.select(F.col("root").alias("key"))))
         everything = fresh.unionByName(moved).unionByName(staying.select("key", *record))
         first = everything.groupBy("key").agg(F.min("ord").alias("ord"))
-        merged = merge_pool(everything, self.fields, "key").withColumnRenamed("sources_str", "sources").join(first, "key").select("key", *record)
+        merged = merge_pool(everything, self.fields, "key").withColumnRenamed("sources_str", "sources").join(first.hint("merge"), "key").select("key", *record)
         new = self.tables.begin(now, number)
         new.put("places", named.unionByName(phones), keep=["key", "address"])
         for table, (rows, keep) in keys.items():
@@ -103,7 +104,7 @@ class EntityStore:
         name, phone = name_key(F.col("name")), match_digits(F.col("phone"))
         node = F.when(name.isNotNull(), _place(name, F.lower(F.coalesce("address", F.lit(""))))).when(phone.isNotNull(), _phone(phone)).otherwise(F.concat(F.lit("o"), F.col("ord").cast("string")))
         keyed = listings.select("ord", node.alias("node"))
-        return keyed.join(_roots(self.tables.latest(), keyed.select("node").distinct()), "node").select("ord", "root")
+        return keyed.join(_roots(self.tables.latest(), keyed.select("node").distinct()).hint("merge"), "node").select("ord", "root")
 
 
 def _place(name: Column, address: Column) -> Column:
@@ -121,26 +122,25 @@ def _similar(now: Version, names: DataFrame, before: set[int], lengths: set[int]
     known = spelled(now.read("places", names.select(F.col("name").alias("key")))) if before else names.limit(0)
     # Stored names have no keys yet for the lengths that are new.
     late = spelled(now.read("places")) if before and lengths > before else names.limit(0)
-    made = materialize(form_keys(names.join(known, "name", "left_anti"), lengths), "forms")
+    made = materialize(form_keys(names.join(known.hint("merge"), "name", "left_anti"), lengths), "forms")
     own, others = made, made.limit(0)
     if before:
         own = made.unionByName(materialize(form_keys(known, lengths), "forms"))
         old = materialize(form_keys(late, lengths, before), "forms")
-        others = now.read("forms", materialize(own.select("key").distinct(), "bins")).unionByName(old)
+        others = now.read("forms", materialize(own.select("key").distinct(), "bins"), "broadcast").unionByName(old)
         made = made.unionByName(old)
     met = materialize(met_by_forms(own, others), "met")
     there = now.read_hashed("places", met.select(F.explode(F.array("x", "y")).alias("hash")))
     by_hash = materialize(names.unionByName(spelled(there)).distinct().withColumn("x", F.xxhash64("name")), "names")
-    pairs = met.join(by_hash.select("x", F.col("name").alias("a")), "x").join(by_hash.select(F.col("x").alias("y"), F.col("name").alias("b")), "y").select("a", "b")
+    pairs = met.join(by_hash.select("x", F.col("name").alias("a")).hint("merge"), "x").join(by_hash.select(F.col("x").alias("y"), F.col("name").alias("b")).hint("merge"), "y").select("a", "b")
     keys = {"forms": (made, [])}
     if (grams := gram_keys(names, lengths)) is not None:
         grams = materialize(grams, "grams")
         old = gram_keys(late, lengths, before) if before else None
         added = grams if old is None else grams.unionByName(materialize(old, "grams"))
-        # Rows of keys are many, and small as files: without a hint Spark may take them for a small table.
-        stored = now.read("grams", grams.hint("merge")).unionByName(added).select("key", F.col("name").alias("other"))
+        stored = now.read("grams", grams).unionByName(added).select("key", F.col("name").alias("other"))
         pairs = pairs.unionByName(grams.join(stored.hint("merge"), "key").select(F.col("name").alias("a"), F.col("other").alias("b")))
-        keys["grams"] = (added.hint("merge"), ["key", "name"])
+        keys["grams"] = (added, ["key", "name"])
     return verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), keys
 
 
@@ -150,7 +150,7 @@ def _roots(now: Version, nodes: DataFrame) -> DataFrame:
     at = nodes.select("node", F.col("node").alias("root"))
     while True:
         links = now.read("links", at.select(F.col("root").alias("key"))).select(F.col("key").alias("root"), F.col("root").alias("up"))
-        nexts = materialize(at.join(links, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("on")), "roots")
+        nexts = materialize(at.join(links.hint("merge"), "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("on")), "roots")
         if nexts.where("on").isEmpty():
             return nexts.select("node", "root")
         at = nexts.select("node", "root")

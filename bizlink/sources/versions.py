@@ -90,17 +90,18 @@ class Version:
         folders = sorted(f"{self.tables.path}/{self.folders[table][p]}" for p in parts if p in self.folders[table])
         return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
-    def read(self, table: str, keys: DataFrame | None = None) -> DataFrame:
+    def read(self, table: str, keys: DataFrame | None = None, join: str = "merge") -> DataFrame:
         """The rows of a table, or those whose ``key`` is among the keys given: only the parts
-        of these are read."""
+        of these are read. Keys that grow with the input are joined by sorting: such a table is
+        far smaller as a file than in the memory of the driver, which would broadcast it."""
         if keys is None:
             return self._load(table, list(self.folders[table]))
-        return self._load(table, self._touched(keys)).join(keys.select("key").distinct(), "key", "left_semi")
+        return self._load(table, self._touched(keys)).join(keys.select("key").distinct().hint(join), "key", "left_semi")
 
     def read_hashed(self, table: str, hashes: DataFrame) -> DataFrame:
         """The rows whose ``key`` has one of the ``hash`` values given (``xxhash64``), with it."""
         parts = [str(r[0]) for r in hashes.select(F.pmod("hash", F.lit(self.tables.parts)).alias("p")).distinct().collect()]  # at most one a part
-        return self._load(table, parts).withColumn("hash", F.xxhash64("key")).join(hashes.select("hash").distinct(), "hash", "left_semi")
+        return self._load(table, parts).withColumn("hash", F.xxhash64("key")).join(hashes.select("hash").distinct().hint("merge"), "hash", "left_semi")
 
     def put(self, table: str, rows: DataFrame, keep: list[str], gone: DataFrame | None = None) -> None:
         """Add rows, replacing those with the same ``keep`` columns if there are any, and drop the
@@ -111,11 +112,11 @@ class Version:
             return
         old = self._load(table, parts)
         if gone is not None:
-            old = old.join(gone.select("key").distinct(), "key", "left_anti")
+            old = old.join(gone.select("key").distinct().hint("merge"), "key", "left_anti")
         columns = old.columns
         if keep:
             rows = rows.select(*columns).dropDuplicates(keep)
-            old = old.join(rows.select(*keep), keep, "left_anti").select(*columns)
+            old = old.join(rows.select(*keep).hint("merge"), keep, "left_anti").select(*columns)
         whole = old.unionByName(rows.select(*columns))
         folder = f"{table}/v{self.number}"
         whole.withColumn("part", self._part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.tables.path}/{folder}")
